@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels, scratch
 
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
 _NODE_BYTES = 400
 
@@ -174,11 +174,10 @@ def local_tries(most: int = TRIE_BYTES):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(1 << 62)
-        for batch in source:
-            data, at = kernels.buffer(batch.column("text"))
+        for rows, data, at in kernels.batches(source, "text"):
             points = _codepoints(data, at)
             raw = data.tobytes()
-            ids = batch.column("doc_id").to_pylist()
+            ids = rows.column("doc_id").to_pylist()
             for i, (doc, n) in enumerate(zip(ids, points)):
                 trie.add(raw[at[i] : at[i + 1]].translate(None, kernels.SPACE), (-n, NO_ID if doc is None else doc, 1))
                 if trie.held > most:
