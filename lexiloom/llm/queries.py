@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, warc
+from . import exact, mixing, quality, suffix_tree, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,7 +125,11 @@ select doc_id, keep_id, group_size::bigint as group_size,
 from g
 """
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op10_suffix_tree)}
 ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL}

@@ -8,9 +8,14 @@ survive lost executors: a later stage rereads them instead of recomputing.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, list[str]] = {}
@@ -62,3 +67,31 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
         writer = writer.partitionBy(*partition_by)
     writer.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once per application.
+
+    Executors then need neither an installed package nor a shared PYTHONPATH.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexiloom-source-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    where = f"{folder}/lexiloom_llm.zip"
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in (package.parent / "__init__.py", *package.glob("*.py")):
+            z.write(source, f"lexiloom/{source.relative_to(package.parent)}")
+    spark.sparkContext.addPyFile(where)
+    _SHIPPED.add(app)
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with the package shipped first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

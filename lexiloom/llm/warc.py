@@ -167,7 +167,7 @@ def read_archive(spark: SparkSession, where: str, payload: bool = True) -> DataF
             yield _batch(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(where).select("content")
-    return files.mapInArrow(read, HEADERS + (", payload binary" if payload else ""))
+    return scratch.arrow(files, read, HEADERS + (", payload binary" if payload else ""))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
