@@ -213,8 +213,9 @@ def owner_tries(most: int = TRIE_BYTES):
 def owners(docs: DataFrame, most: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct text: text_sha256, keep_points, keep_id, group_size."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = slim.mapInArrow(local_tries(most), _OUT_SQL)
-    return local.repartition(F.col("n_bytes"), F.col("bucket")).mapInArrow(owner_tries(most), "text_sha256 string, keep_points long, keep_id long, group_size long")
+    local = scratch.arrow(slim, local_tries(most), _OUT_SQL)
+    dealt = local.repartition(F.col("n_bytes"), F.col("bucket"))
+    return scratch.arrow(dealt, owner_tries(most), "text_sha256 string, keep_points long, keep_id long, group_size long")
 
 
 def normalised(text: str = "text") -> Column:
@@ -225,23 +226,30 @@ def normalised(text: str = "text") -> Column:
     return out
 
 
-def groups(docs: DataFrame, most: int = TRIE_BYTES) -> DataFrame:
-    """All rows of ``docs`` with keep_id, group_size, kept and text_sha256; other columns stay.
+def groups(docs: DataFrame, carry: list[str] | None = None, most: int = TRIE_BYTES) -> DataFrame:
+    """All rows of ``docs`` with keep_id, group_size, kept and text_sha256.
 
-    The owner table is written first and only texts with several rows are joined, on the
-    digest, so the join's sides are plain shuffles and a hot digest can be split.
+    ``carry`` names the columns that go along (all, unless given); columns with the new names
+    are replaced. The owner table is written first and only texts with several rows are
+    joined, on the digest, so the join's sides are plain shuffles and a hot digest can be
+    split; the join is the same at every size.
     """
     several = scratch.keep(owners(docs, most).where("group_size > 1"), "owners")
-    own = {c: f"_own_{c}" for c in ("keep_id", "group_size", "kept", "text_sha256")}
-    several = several.select(F.col("text_sha256").alias(own["text_sha256"] + "_"), F.col("keep_points").alias("_own_points"), F.col("keep_id").alias(own["keep_id"]), F.col("group_size").alias(own["group_size"]))
-    rows = docs.drop(*own).withColumn(own["text_sha256"], F.sha2(normalised().cast("binary"), 256))
-    joined = rows.join(several, F.col(own["text_sha256"]) == F.col(own["text_sha256"] + "_"), "left")
-    alone = F.col(own["group_size"]).isNull()
-    points = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    new = ("keep_id", "group_size", "kept", "text_sha256")
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)],
+        F.col("doc_id").cast("long").alias("own_id"),
+        F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("points"),
+        F.sha2(normalised().cast("binary"), 256).alias("text_sha256"),
+    )
+    several = several.hint("merge")
+    joined = rows.join(several, "text_sha256", "left")
+    alone = F.col("group_size").isNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in own],
-        F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col(own["keep_id"])).alias("keep_id"),
-        F.coalesce(F.col(own["group_size"]), F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col(own["keep_id"])) & (points == F.col("_own_points")))).alias("kept"),
-        F.col(own["text_sha256"]).alias("text_sha256"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)],
+        F.when(alone, F.col("own_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce(F.col("group_size"), F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")))).alias("kept"),
+        "text_sha256",
     )

@@ -109,7 +109,7 @@ select doc_id, source, copy::bigint as copy, n_copies, text from n, unnest(range
 
 
 def op5_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = exact.groups(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
