@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, suffix_tree, warc
+from . import exact, mixing, quality, substring, suffix_tree, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,27 @@ from n
 """
 
 
+def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents
+), w as (
+  select r, doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) as g from d, unnest(range(1, len(ws) - 48)) as u(i)
+), f as (
+  select r, i, doc_id > min(doc_id) over (partition by g) as again from w
+), p as (
+  select r, list(distinct i + k) as gone from f, unnest(range(0, 50)) as v(k) where again group by r
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+from d left join p on d.r = p.r
+"""
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -131,5 +152,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op10_suffix_tree)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op10_suffix_tree)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL}
