@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, substring, suffix_tree, warc
+from . import exact, jaccard, mixing, quality, substring, suffix_tree, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,11 +146,38 @@ select doc_id, keep_id, group_size::bigint as group_size,
 from g
 """
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws from documents
+), s as (
+  select distinct doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) as g
+  from d, unnest(range(1, greatest(len(ws) - 3, 2))) as u(i) where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), e as (
+  select a, b from l union all select b, a from l
+), r(doc_id, reached) as (
+  select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.reached
+), m as (
+  select doc_id, min(reached) as component_id from r group by doc_id
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id from d left join n using (doc_id) join m using (doc_id)
+"""
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op10_suffix_tree)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op7_jaccard_join, op10_suffix_tree)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
