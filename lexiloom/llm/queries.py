@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, quality, substring, suffix_tree, warc
+from . import exact, jaccard, mixing, pieces, quality, substring, suffix_tree, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,11 +173,17 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id from d l
 """
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encoded(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", digest.alias("ids_sha256"), "round_trip")
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op7_jaccard_join, op10_suffix_tree)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op7_jaccard_join, op9_sentencepiece, op10_suffix_tree)}
 ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
