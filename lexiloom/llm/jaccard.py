@@ -93,20 +93,9 @@ def describe(width: int, bits: int):
     return run
 
 
-def _added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums counter blocks by number inside one task."""
-    total: dict[int, np.ndarray] = {}
-    for batch in source:
-        for k, b in zip(batch.column("block").to_pylist(), batch.column("counters")):
-            part = np.frombuffer(b.as_buffer(), dtype=np.int64)
-            total[k] = total[k] + part if k in total else part.copy()
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counters"])
-
-
 def sketch(blocks: DataFrame, bits: int) -> np.ndarray:
     """The corpus sketch: fixed size, whatever the corpus."""
-    summed = scratch.arrow(blocks.repartition(F.col("block")), _added, "block int, counters binary")
+    summed = scratch.arrow(blocks.repartition(F.col("block")), scratch.added, "block int, counters binary")
     out = np.zeros(1 << bits, dtype=np.int64)
     for block, counters in summed.toLocalIterator():
         out[block * _BLOCK : block * _BLOCK + len(counters) // 8] += np.frombuffer(counters, dtype=np.int64)

@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,3 +96,14 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """``mapInArrow`` with the package shipped first."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums counter arrays (block, int64 bytes) by block number inside one task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in source:
+        for k, b in zip(batch.column("block").to_pylist(), batch.column("counters")):
+            part = np.frombuffer(b.as_buffer(), dtype=np.int64)
+            total[k] = total[k] + part if k in total else part.copy()
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counters"])
