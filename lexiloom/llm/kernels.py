@@ -84,7 +84,8 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a run of rows: ``start``, ``end`` (bytes) and ``first`` (rows -> words)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = IS_SPACE):
+        """``gap`` marks the bytes between words."""
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
@@ -92,7 +93,7 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        space = IS_SPACE[data]
+        space = gap[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[0] = after[-1] = True
         before[1:], after[:-1] = space[:-1], space[1:]

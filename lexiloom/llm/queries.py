@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, mixing, pieces, quality, substring, suffix_tree, warc
+from . import exact, jaccard, langid, mixing, pieces, quality, substring, suffix_tree, toxicity, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -179,6 +179,10 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id from d l
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encoded(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
@@ -191,5 +195,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op6_language_id, op7_jaccard_join, op9_sentencepiece, op10_suffix_tree)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op6_language_id, op7_jaccard_join, op8_toxicity, op9_sentencepiece, op10_suffix_tree)}
 ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
