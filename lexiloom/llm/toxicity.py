@@ -220,7 +220,7 @@ def row_logits(net: Net, v: Vocabulary, most: int = 4096) -> np.ndarray:
     return np.maximum.reduceat(logit, np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))) if len(row) else logit
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.005, decay: float = 1e-4, seed: int = 3) -> Net | None:
+def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Net | None:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
