@@ -14,7 +14,9 @@ long texts are taken whole.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -130,7 +132,7 @@ def splits_at_marks(model: Model) -> bool:
 def tokenizer(model: Model):
     """The model as a tokenizers ``Tokenizer``."""
     import tokenizers as T
-    from tokenizers import decoders, models, normalizers, pre_tokenizers
+    from tokenizers import models, normalizers, pre_tokenizers
 
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.trim_spaces:
@@ -150,51 +152,107 @@ def tokenizer(model: Model):
     out.normalizer = normalizers.Sequence(steps)
     if splits_at_marks(model):
         out.pre_tokenizer = pre_tokenizers.Split(T.Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), behavior="isolated")
-    ends = [decoders.Replace(MARK, " ")] + [decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse()]
-    if model.dummy_prefix:
-        ends.append(decoders.Strip(" ", 1, 0))
-    out.decoder = decoders.Sequence(ends)
+    out.decoder = decoder(model)
     return out
 
 
+def decoder(model: Model, strip: bool = True):
+    """Markers to spaces, byte pieces to bytes, and the dummy prefix taken off again."""
+    from tokenizers import decoders
+
+    steps = [decoders.Replace(MARK, " ")] + [decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse()]
+    return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * (model.dummy_prefix and strip))
+
+
 def verify(data: bytes, texts: Iterable[str]) -> list[str]:
     """Texts whose ids or decoded form differ from the sentencepiece library's; empty if none."""
     import sentencepiece
 
-    theirs, ours = sentencepiece.SentencePieceProcessor(model_proto=data), tokenizer(parse(data))
-    bad = []
-    for text in texts:
-        ids = ours.encode(text, add_special_tokens=False).ids
-        if ids != theirs.encode(text) or ours.decode(ids, skip_special_tokens=False) != theirs.decode(ids):
-            bad.append(text)
-    return bad
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_proto=data), Backend(data)
+    texts = list(texts)
+    ids, ends, back = ours.run(texts)
+    theirs_ids = theirs.encode(texts)
+    return [t for k, t in enumerate(texts) if ids[ends[k] : ends[k + 1]].tolist() != theirs_ids[k] or back[k] != theirs.decode(theirs_ids[k])]
 
 
 #: Texts that parity is verified on before every run.
 PROBES = ("", " ", "  two  spaces ", "Hello world", "a\nb\tc\r\n", "Ünïcödé ßtraße niño", "日本語 テキスト", "🙂🙃 emoji", "<s></s><unk>", "<0x0A>", "x" * 300, "12345.678", "▁marks▁▁", "é", "\x00\x01")
 
 
-def _pieces_of(text_slices: list[str], tok) -> tuple[list[list[int]], list[str]]:
-    ids = [e.ids for e in tok.encode_batch_fast(text_slices, add_special_tokens=False)]
-    return ids, tok.decode_batch(ids, skip_special_tokens=False)
-
-
-_LOADED: dict[str, object] = {}
-
-
-def _tokenizer(data: bytes, threads: int):
-    """One tokenizer per worker process."""
+#: Distinct segments that a worker remembers before it starts anew.
+CACHE = 700_000
+
+
+class Backend:
+    """The tokenizer of one worker process.
+
+    Where texts may be cut before runs of markers, a segment's pieces and its decoded text
+    don't depend on what stands around it, so each distinct segment of a batch is encoded and
+    decoded once; texts are put together from the segments' numbers.
+    """
+
+    def __init__(self, data: bytes):
+        model = parse(data)
+        self.whole = tokenizer(model)
+        self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if splits_at_marks(model) else None
+        self.core = tokenizer(model)
+        self.core.normalizer = self.core.pre_tokenizer = None
+        self.core.decoder = decoder(model, strip=False)
+        #: With no character map and no trimming the normaliser only marks spaces.
+        plain = not model.charsmap and not model.trim_spaces and model.escape_spaces
+        prefix = MARK if model.dummy_prefix else ""
+        self.normalise = (lambda t: prefix + t.replace(" ", MARK) if t else "") if plain else self.whole.normalizer.normalize_str
+        self.lead = len(prefix)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.back: list[str] = []
+        self.flat, self.edge = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        ids = [e.ids for e in self.core.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.back += self.core.decode_batch(ids, skip_special_tokens=False)
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        lengths = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32)))
+        self.edge = np.concatenate((self.edge, self.edge[-1] + lengths))
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(ids of all texts, where each text starts and the last ends, decoded texts)."""
+        if self.segments is None:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)]), self.whole.decode_batch(ids, skip_special_tokens=False)
+        if len(self.number) > CACHE:
+            self.forget()
+        cut = [self.segments.findall(self.normalise(t)) for t in texts]
+        self.learn(list(set().union(*cut).difference(self.number)))
+        which = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
+        length = self.edge[which + 1] - self.edge[which]
+        total = np.concatenate(([0], np.cumsum(length)))
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.edge[which] - total[:-1], length)]
+        ends = np.cumsum([0, *map(len, cut)])
+        back, names = self.back, which.tolist()
+        decoded = ["".join([back[k] for k in names[a:b]]) for a, b in itertools.pairwise(ends.tolist())]
+        return ids, total[ends], [d[1:] if self.lead and d[:1] == " " else d for d in decoded]
+
+
+_LOADED: dict[str, Backend] = {}
+
+
+def backend(data: bytes, threads: int) -> Backend:
+    """One backend per worker process; batches run on ``threads`` threads."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        _LOADED[key] = tokenizer(parse(data))
+        _LOADED[key] = Backend(data)
     return _LOADED[key]
 
 
 def encoder(data: bytes, threads: int, columns: tuple[str, ...], slice_chars: int = 1 << 20):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(data, threads)
+        tok = backend(data, threads)
         for batch in source:
             texts = batch.column("text").to_pylist()
             i = 0
@@ -203,13 +261,10 @@ def encoder(data: bytes, threads: int, columns: tuple[str, ...], slice_chars: in
                 while j < len(texts) and (j == i or chars + len(texts[j]) <= slice_chars):
                     chars += len(texts[j])
                     j += 1
-                ids, back = _pieces_of(texts[i:j], tok)
-                lengths = np.array([len(x) for x in ids])
-                flat = np.fromiter((t for x in ids for t in x), dtype=np.int32, count=int(lengths.sum()))
-                ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+                ids, ends, back = tok.run(texts[i:j])
                 same = [a == b for a, b in zip(texts[i:j], back)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in columns] + [pa.array(lengths, pa.int64()), lists, pa.array(same)], names=[*columns, "n_tokens", "ids", "round_trip"])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in columns] + [pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same)], names=[*columns, "n_tokens", "ids", "round_trip"])
                 i = j
 
     return run
