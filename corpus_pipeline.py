@@ -1,12 +1,79 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``.
+
+Five stages, each on all that its predecessor kept: language identification (texts without
+a letter or without a clear language go), exact dedup, near dedup by the n-gram Jaccard join
+(the smallest id of each component stays), mixing of sources to target weights by Poisson
+replication, and SentencePiece encoding. Each stage's rows are written as Parquet and reread.
+
+Stages before the last return the columns of ``documents``. Rows that share an id are kept
+apart by their texts: a component keeps one row, the one with the least (id, hash of text).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexiloom.llm import exact, jaccard, langid, mixing, pieces, scratch
+
+#: The least calibrated probability of the best language that a text is kept with.
+MIN_LANGUAGE_SCORE = 0.3
 
+#: Models and hashes have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is identified."""
+    found = langid.identified(docs, carry=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    kept = exact.groups(docs).where("kept")
+    # repeated rows of one winner are all marked kept: one of them stays
+    order = Window.partitionBy("text_sha256", "keep_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    several = kept.where("group_size > 1").withColumn("k_", F.row_number().over(order)).where("k_ = 1")
+    return kept.where("group_size = 1").select(docs.columns).unionByName(several.select(docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of the n-gram Jaccard join."""
+    found = jaccard.joined(docs)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "rk")
+    alone = found.where("n_shingles = 0").select("rk")
+    heads = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(key).alias("head")).select(F.col("head.rk").alias("rk"))
+    keep = scratch.keep(heads.unionByName(alone).distinct(), "near-dedup")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("rk_", F.xxhash64(F.col("doc_id").cast("long"), text))
+    return keyed.join(keep.hint("merge"), F.col("rk_") == F.col("rk"), "left_semi").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated to the sources' target weights, in a global random order."""
+    return mixing.replicate(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each text."""
+    out = pieces.encoded(docs)
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", digest.alias("ids_sha256"), "round_trip")
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to ``documents``; each result is written and reread."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
