@@ -2,18 +2,20 @@
 
 A document's set has its distinct ``width``-word shingles, lower-cased; two link when 100 *
 intersection >= ``percent`` * union. Documents with equal sets form a class and are handled
-once. Of two linked sets each must share a shingle among its first
-``n - ceil(percent * n / 100) + 1`` in any fixed order of all shingles. The order is by a
-fixed-size count sketch of the whole corpus, rare first, so frequent shingles (shared lines,
-licences) end up in those prefixes only where documents consist of them. Prefix shingles
-deal the classes: all classes with one prefix shingle meet in the group of its least class.
+once. Two linked sets share at least ``k`` shingles among the first
+``n - ceil(percent * n / 100) + k`` of each, in any fixed order of all shingles. The order
+is by a fixed-size count sketch of the whole corpus, rare first, so frequent shingles (shared
+lines, licences) are in those prefixes only where documents consist of them. Classes that
+don't share ``k`` of their prefix's shingles with others, counted exactly, are linked with
+nothing. The one-shingle prefixes of those that are left deal them: all classes with one
+prefix shingle meet in the group of its least class.
 
 In a group, inverted lists are searched per set with DivideSkip: short lists are merged with
 a heap, the longest ones are only probed by binary search for what the merge brought up, and
-sets that reach the required overlap are retained. The search goes down to the similarity
-``2p - 1``: by the triangle inequality a set that is linked to the searched one can only
-link to what was found, so in a clique one search covers all, without all pairs. Groups over
-:data:`GROUP_SHINGLES` are split into pairs of blocks, so no task holds an unbounded group.
+sets that reach the required overlap are retained. Searches stop once every set outside the
+largest component has been searched: any further link would have shown. Only links that
+join components go out. Groups over :data:`GROUP_SHINGLES` are split into pairs of blocks,
+so no task holds an unbounded group.
 
 Defined cases. Null or blank text: an empty set, linked with nothing, its own component.
 Fewer words than ``width``: the whole sequence is the only shingle. A null id takes part;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ from . import components, kernels, scratch
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 16
+SKETCH_BITS = 22
 GROUP_SHINGLES = 2_000_000
+#: Percent of a set's shingles that have to be shared inside its longer prefix.
+SHARED_PERCENT = 10
 #: Classes that met others are broadcast up to so many bytes, checked; beyond, a shuffle join.
 BROADCAST_BYTES = 32 << 20
 
@@ -67,79 +72,122 @@ def class_of(s: np.ndarray) -> int:
     return int(kernels.mix(both).view(np.int64)[0])
 
 
-_BLOCK = 1 << 12
+_BLOCK = 1 << 16
 
 
 def describe(width: int, bits: int):
-    """Per row (doc_id, n, cls); per task the sketch of shingle counts, as blocks of counters."""
+    """Per row (doc_id, n, cls); per task the sketch of shingle counts, as packed blocks of counters."""
     schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("counters", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, mask = np.zeros(1 << bits, dtype=np.int64), np.uint64((1 << bits) - 1)
+        counts, mask = np.zeros(1 << bits, dtype=np.uint32), np.uint64((1 << bits) - 1)
         for rows, data, at in kernels.batches(source, "text"):
             sizes, classes, slots = [], [], []
             for s in sets_of(data, at, width):
                 sizes.append(len(s))
                 classes.append(class_of(s))
                 slots.append(s & mask)
-            sketch += np.bincount(np.concatenate(slots).astype(np.int64), minlength=1 << bits)
+            np.add.at(counts, np.concatenate(slots).astype(np.int64), 1)
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rk"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, pa.nulls(len(sizes), pa.binary())], schema=schema)
-        if sketch.any():
-            parts = [sketch[i : i + _BLOCK].tobytes() for i in range(0, len(sketch), _BLOCK)]
+        if counts.any():
+            parts = [zlib.compress(counts[i : i + _BLOCK].astype(np.int64).tobytes(), 1) for i in range(0, len(counts), _BLOCK)]
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
+def _added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums packed counter blocks by number inside one task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in source:
+        for k, b in zip(batch.column("block").to_pylist(), batch.column("counters")):
+            part = np.frombuffer(zlib.decompress(b.as_buffer()), dtype=np.int64)
+            total[k] = total[k] + part if k in total else part
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "counters"])
+
+
 def sketch(blocks: DataFrame, bits: int) -> np.ndarray:
-    """The corpus sketch: fixed size, whatever the corpus."""
-    summed = scratch.arrow(blocks.repartition(F.col("block")), scratch.added, "block int, counters binary")
-    out = np.zeros(1 << bits, dtype=np.int64)
+    """The corpus sketch: fixed size, whatever the corpus. Counts are for ordering only."""
+    summed = scratch.arrow(blocks.repartition(F.col("block")), _added, "block int, counters binary")
+    out = np.zeros(1 << bits, dtype=np.uint32)
     for block, counters in summed.toLocalIterator():
-        out[block * _BLOCK : block * _BLOCK + len(counters) // 8] += np.frombuffer(counters, dtype=np.int64)
+        part = np.frombuffer(zlib.decompress(counters), dtype=np.int64)
+        out[block * _BLOCK : block * _BLOCK + len(part)] = np.minimum(part, 0xFFFFFFFF)
     return out
 
 
-def prefixes(width: int, percent: int, order):
-    """(token, n, cls) of the prefix shingles of each row's set."""
+def least_shared(n: int, shared_percent: int) -> int:
+    """``k``: how many prefix shingles two linked sets share at least, as the set of ``n`` sees it."""
+    return max(1, shared_percent * n // 100)
+
+
+def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int, k: int) -> np.ndarray:
+    """The first ``n - ceil(percent * n / 100) + k`` shingles, rare ones first, then by hash."""
+    p = len(s) - -(-percent * len(s) // 100) + k
+    if p >= len(s):
+        return s
+    rank = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
+    border = np.partition(rank, p - 1)[p - 1]
+    sure = np.flatnonzero(rank < border)
+    return s[np.concatenate((sure, np.flatnonzero(rank == border)[: p - len(sure)]))]
+
+
+def _postings(tokens: list[np.ndarray], sizes: list[int], classes: list[int]) -> pa.RecordBatch:
+    lengths = [len(t) for t in tokens]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.repeat(np.array(classes, np.int64), lengths))],
+        names=["token", "n", "cls"],
+    )
+
+
+_POSTINGS = "token long, n long, cls long"
+
+
+def prefixes(width: int, percent: int, order, shared_percent: int):
+    """(token, n, cls) of the longer prefix of each text's set."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
-        mask = np.uint64(len(counts) - 1)
         for _, data, at in kernels.batches(source, "text"):
-            tokens, sizes, classes, lengths = [], [], [], []
-            for s in sets_of(data, at, width):
-                if not len(s):
-                    continue
-                p = len(s) - -(-percent * len(s) // 100) + 1
-                rank = counts[(s & mask).astype(np.int64)]
-                best = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                if p < len(s):  # ties at the border go by hash
-                    border = rank[best].max()
-                    sure = np.flatnonzero(rank < border)
-                    best = np.concatenate((sure, np.flatnonzero(rank == border)[: p - len(sure)]))
-                tokens.append(s[best])
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                lengths.append(p)
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sizes), lengths)), pa.array(np.repeat(np.array(classes, np.int64), lengths))],
-                    names=["token", "n", "cls"],
-                )
+            sets = [s for s in sets_of(data, at, width) if len(s)]
+            if sets:
+                yield _postings([prefix_of(s, order.value, percent, least_shared(len(s), shared_percent)) for s in sets], [len(s) for s in sets], [class_of(s) for s in sets])
 
     return run
 
 
-def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by (token, n, cls) -> distinct (pivot, member) of each token with several classes."""
-    last: tuple | None = None  # token and pivot that the batch before ended with
+def prefixes_of_sets(percent: int, order):
+    """The same for stored sets."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column("shingles")]
+                yield _postings([prefix_of(s, order.value, percent, 1) for s in sets], batch.column("n").to_pylist(), batch.column("member").to_pylist())
+
+    return run
+
+
+def _grouped_by_token(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows ordered by (token, n, cls) -> per batch (cls, the token's least class, whether that is another).
+
+    Of equal rows the first counts.
+    """
+    last: tuple | None = None
+    row: tuple | None = None
     for batch in source:
         if not batch.num_rows:
             continue
         token, _, cls = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        once = np.ones(len(token), bool)
+        once[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        once[0] = row != (token[0], cls[0])
+        row = token[-1], cls[-1]
+        token, cls = token[once], cls[once]
+        if not len(token):
+            continue
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         if last is not None and last[0] == token[0]:
@@ -147,7 +195,57 @@ def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
         pivot = np.where(head >= 0, cls[np.maximum(head, 0)], last[1] if last else 0)
         last = token[-1], pivot[-1]
-        other = pivot != cls
+        yield cls, pivot, pivot != cls
+
+
+def shared_counts(buckets: int):
+    """How many of its tokens each class shares with another; rows are ordered by (token, n, cls).
+
+    Goes out as a few rows per task: for each bucket of classes, their numbers side by side.
+    """
+
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cls, n = np.unique(np.concatenate(parts), return_counts=True)
+        bucket = (kernels.mix(cls.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        offsets = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[order])) for x in (cls, n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists], names=["bucket", "cls", "shared"]).filter(pa.array(np.diff(offsets) > 0))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, before = [], 0, False
+        for cls, pivot, other in _grouped_by_token(source):
+            # a token's least class has company as soon as its second row comes
+            follows = np.concatenate(([before], other[:-1]))
+            parts += [cls[other], pivot[other & ~follows]]
+            before = bool(other[-1])
+            held += len(cls)
+            if held > 2_000_000:
+                yield packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    return run
+
+
+def summed_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, shared) of whole buckets of classes."""
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        cls, n = (np.concatenate((x, batch.column(c).flatten().to_numpy(zero_copy_only=False))) for x, c in ((keys, "cls"), (sums, "shared")))
+        order = np.argsort(cls, kind="stable")
+        cls, n = cls[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
+        keys, sums = cls[first], np.add.reduceat(n, first)
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["cls", "shared"])
+
+
+def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by (token, n, cls) -> (pivot, member) of each token with several classes."""
+    for cls, pivot, other in _grouped_by_token(source):
         if other.any():
             pair = np.unique(np.stack((pivot[other], cls[other]), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["pivot", "member"])
@@ -188,12 +286,8 @@ def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.01) -> dict[i
     return dict(zip(who[keep].tolist(), total[keep].tolist()))
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) that join the sets as all their links do.
-
-    ``side`` 0 or 1 tells which of two blocks each set is from; links inside a block are then
-    left to the task that has that block alone.
-    """
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the sets as all their links do, at most one less than sets."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     if m == 2:
@@ -206,28 +300,36 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
     head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     tail = np.append(head[1:], len(tokens))
     keys = tokens[head]
-    wide = max(2 * percent - 100, 1)
-    covered, out = np.zeros(m, bool), []
-    for q in range(m):
-        if covered[q]:
-            continue
-        at = np.searchsorted(keys, sets[q])
-        at = at[tail[at] - head[at] > 1]
-        n = int(sizes[q])
-        got = divide_skip([member[head[i] : tail[i]] for i in at], -(-wide * n // 100))
-        got.pop(q, None)
-        border, near = 2.0, []
-        for j, inter in got.items():
-            union = n + int(sizes[j]) - inter
-            if 100 * inter >= percent * union:
-                near.append((j, 1 - inter / union))
-                out.append((q, j))
-            else:
-                border = min(border, 1 - inter / union)
-        reach = 1 - percent / 100
-        for j, d in near:
-            if d + reach < border - 1e-9:
-                covered[j] = True
+    parent, size = list(range(m)), [1] * m
+    largest = 0
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    waiting, again = list(range(m)), True
+    while again:
+        again, left = False, []
+        for q in waiting:
+            if again and find(q) == find(largest):  # a link to it from outside shows from outside
+                left.append(q)
+                continue
+            again = True
+            at = np.searchsorted(keys, sets[q])
+            at = at[tail[at] - head[at] > 1]
+            n = int(sizes[q])
+            for j, inter in divide_skip([member[head[i] : tail[i]] for i in at], -(-percent * n // 100)).items():
+                if j != q and 100 * inter >= percent * (n + int(sizes[j]) - inter) and (a := find(q)) != (b := find(j)):
+                    out.append((q, j))
+                    parent[b] = a
+                    size[a] += size[b]
+                    if size[a] > size[find(largest)]:
+                        largest = a
+        waiting = [q for q in left if find(q) != find(largest)]
+        again = again and bool(waiting)
     return out
 
 
@@ -282,6 +384,17 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _by_token(postings: DataFrame) -> DataFrame:
+    return postings.repartition(F.col("token")).sortWithinPartitions("token", "n", "cls")
+
+
+def _texts(slim: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of one document of each class; a checked size decides how they are fetched."""
+    side = classes.select("rk")
+    side = F.broadcast(side) if classes.count() * 16 <= BROADCAST_BYTES else side.hint("merge")
+    return slim.join(side, "rk", "left_semi").select("text")
+
+
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id) of every row; rk stands for id and text."""
     spark = docs.sparkSession
@@ -293,17 +406,19 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_sh
     order = spark.sparkContext.broadcast(sketch(told.where("block is not null").select("block", "counters"), SKETCH_BITS))
     classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("n").alias("n")), "classes")
 
-    tokens = scratch.arrow(slim.select("text"), prefixes(width, percent, order), "token long, n long, cls long")
-    dealt = tokens.repartition(F.col("token")).sortWithinPartitions("token", "n", "cls")
-    pairs = scratch.keep(scratch.arrow(dealt, meet, "pivot long, member long").distinct(), "met")
+    tokens = scratch.arrow(slim.select("text"), prefixes(width, percent, order, SHARED_PERCENT), _POSTINGS)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = scratch.arrow(_by_token(tokens), shared_counts(buckets), "bucket int, cls array<long>, shared array<long>")
+    counts = scratch.arrow(counts.repartition(F.col("bucket")), summed_counts, "cls long, shared long")
+    least_shared_ = F.greatest(F.lit(1), F.floor(F.col("n") * SHARED_PERCENT / 100))
+    left = scratch.keep(classes.join(counts, "cls").where(F.col("shared") >= least_shared_).select("cls", "rk", "n"), "left")
+
+    sets = scratch.arrow(_texts(slim, left), _flat_sets(width), "member long, n long, shingles array<long>")
+    sets = scratch.keep(sets.dropDuplicates(["member"]), "sets")
+    own = scratch.arrow(sets, prefixes_of_sets(percent, order), _POSTINGS)
+    pairs = scratch.keep(scratch.arrow(_by_token(own), meet, "pivot long, member long").distinct(), "met")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("member")).distinct())
-    needed = members.select(F.col("member").alias("cls")).distinct().join(classes, "cls").select("cls", "rk", "n")
-    needed = scratch.keep(needed, "needed")
-    side = needed.select("rk")
-    side = F.broadcast(side) if needed.count() * 16 <= BROADCAST_BYTES else side.hint("merge")
-    sets = scratch.keep(scratch.arrow(slim.join(side, "rk", "left_semi").select("text"), _flat_sets(width), "member long, n long, shingles array<long>").dropDuplicates(["member"]), "sets")
-
-    sized = members.join(needed.select(F.col("cls").alias("member"), "n"), "member")
+    sized = members.join(sets.select("member", "n"), "member")
     large = scratch.keep(sized.groupBy("pivot").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("blocks")).where("blocks > 1"), "large-groups")
     split = members.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
