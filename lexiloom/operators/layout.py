@@ -77,6 +77,11 @@ def lines(toks: DataFrame) -> DataFrame:
     return toks.groupBy("corpus", "page", "line_idx").agg(ws.alias("ws"))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation, null where a side doesn't vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def corr_last_vs_rest(line_rows: DataFrame, by: tuple[str, ...] = BY, at: int = -1, least_words: int = 4, least_rows: int = 30) -> DataFrame:
     """Correlation of a word's length with the rest of its line, within lines of equal word counts. A66.
 
@@ -87,8 +92,8 @@ def corr_last_vs_rest(line_rows: DataFrame, by: tuple[str, ...] = BY, at: int =
     total = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
     x = F.length(F.element_at("ws", -1)) if at == -1 else F.length(F.get("ws", F.floor(n / 2).cast("int") if at is None else F.lit(at)))
     each = line_rows.where(n >= least_words).select(*by, n.alias("n_words"), x.cast("double").alias("x"), (total - x).cast("double").alias("y"))
-    group = each.groupBy(*by, "n_words").agg(F.count("*").alias("n"), F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("r"))
-    group = group.withColumn("r", F.when(F.isnan("r"), 0.0).otherwise(F.col("r"))).withColumn("all_n", F.sum("n").over(Window.partitionBy(*by)))
+    group = each.groupBy(*by, "n_words").agg(F.count("*").alias("n"), F.coalesce(pearson(F.col("x"), F.col("y")), F.lit(0.0)).alias("r"))
+    group = group.withColumn("all_n", F.sum("n").over(Window.partitionBy(*by)))
     return group.where(F.col("n") >= least_rows).groupBy(*by).agg(F.sum(F.col("r") * F.col("n") / F.col("all_n")).alias("r"))
 
 

@@ -146,7 +146,8 @@ def lag_curve(toks: DataFrame, lags: int = 40, by: tuple[str, ...] = BY, scope:
     One sort serves all lags: a window over the next ``lags`` words, then one row per lag.
     """
     ahead = F.collect_list("w").over(Window.partitionBy(*scope).orderBy("pos").rowsBetween(1, lags))
-    each = toks.select(*by, "w", F.posexplode(F.transform(ahead, lambda v: (v == F.col("w")).cast("int"))).alias("i", "same"))
+    same = F.transform("ahead", lambda v: (v == F.col("w")).cast("int"))
+    each = toks.withColumn("ahead", ahead).select(*by, F.posexplode(same).alias("i", "same"))
     return each.groupBy(*by, (F.col("i") + 1).alias("lag")).agg(F.count("*").alias("n"), F.sum("same").alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexical, nulls
+from .layout import pearson
 
 BY = ("corpus",)
 
@@ -87,7 +88,7 @@ def attested(toks: DataFrame, rewrites: dict[str, Column], by: tuple[str, ...] =
     found = F.col("image_cnt").isNotNull()
     return j.groupBy(*by, "rule").agg(
         F.count("*").alias("n_types"), F.sum("cnt").alias("n_tokens"), F.avg(found.cast("double")).alias("type_share"), (F.sum(F.when(found, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("token_share"),
-        F.when(F.sum(found.cast("int")) > 10, F.corr(F.when(found, F.ln("cnt")), F.when(found, F.ln("image_cnt")))).alias("log_corr"),
+        F.when(F.sum(found.cast("int")) > 10, pearson(F.when(found, F.ln("cnt")), F.when(found, F.ln("image_cnt")))).alias("log_corr"),
     )
 
 

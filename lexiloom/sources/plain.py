@@ -60,7 +60,7 @@ def legal_lines(files: DataFrame, name: str, letters: str = fixed.POLYNESIAN_LET
     text = body(F.col("text"))
     text = words.fold_macrons(text) if macrons else text
     legal = lambda ws: F.filter(ws, lambda w: w.rlike(f"^[{letters}]+$"))
-    lines = F.transform(F.split(text, r"\r?\n"), words.latin_words)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda line: words.latin_words(line))
     kept = F.filter(lines, lambda ws: (F.size(ws) >= least) & (F.size(legal(ws)) >= F.lit(share) * F.size(ws)))
     return corpus(files, name, F.flatten(F.transform(kept, legal)))
 

@@ -17,7 +17,7 @@ def tokenise(df: DataFrame, text: Column, keys: dict[str, Column], ws=words.lati
 
     Positions come from array positions inside the row, so no shuffle orders the words.
     """
-    lines = F.transform(F.split(text, "\n"), ws)
+    lines = F.transform(F.split(text, "\n"), lambda line: ws(line))
     cells = F.flatten(
         F.transform(lines, lambda line, i: F.transform(line, lambda w, j: F.struct(i.alias("line_idx"), j.alias("word_idx"), F.size(line).alias("line_len"), w.alias("w"))))
     )

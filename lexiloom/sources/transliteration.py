@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, glyphs, words
 
-W = Window.partitionBy("file").orderBy("n")
-
-
 def read(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
     """Lines of transliteration files: (file, n, line)."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", charset).alias("text"))
@@ -28,6 +25,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 def parse(raw: DataFrame) -> DataFrame:
     """Loci: (file, page, page_seq, locus_seq, num, ltype, text, page_vars). S1, S2, S3."""
+    file = Window.partitionBy("file").orderBy("n")
     kept = raw.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
     is_header, is_locus = F.col("line").rlike(fixed.PAGE_HEADER), F.col("line").rlike(fixed.LOCUS)
     head = F.regexp_extract("line", fixed.PAGE_HEADER, 2)
@@ -38,9 +36,9 @@ def parse(raw: DataFrame) -> DataFrame:
         F.when(is_header, found).alias("vars"), F.when(is_header, F.regexp_extract("line", fixed.PAGE_HEADER, 1)).alias("head_page"),
     )
     marked = marked.withColumns({
-        "page_vars": F.last("vars", True).over(W),
-        "locus": F.sum(F.col("is_locus").cast("int")).over(W),
-        "page_seq": F.sum(F.col("is_header").cast("int")).over(W),
+        "page_vars": F.last("vars", True).over(file),
+        "locus": F.sum(F.col("is_locus").cast("int")).over(file),
+        "page_seq": F.sum(F.col("is_header").cast("int")).over(file),
     })
     body = marked.where(~F.col("is_header") & (F.col("locus") > 0))
     text = F.when(F.col("is_locus"), F.regexp_extract("line", fixed.LOCUS, 4)).otherwise(F.trim("line"))

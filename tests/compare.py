@@ -31,6 +31,7 @@ def compare(spark, sf_dir: str, query, sql: str) -> list[str]:
     df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     con = duckdb.connect()
+    con.execute("set memory_limit='5GB'")
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
             con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
