@@ -1,0 +1,200 @@
+"""Hand-derived answers on small made-up corpora."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.functions import fixed, glyphs, words
+from lexiloom.operators import generators, layout, lexical, nulls, pairs, phrases, signals, vectors
+from lexiloom.plans import other
+from lexiloom.sources import plain, transliteration
+
+PAGES = [[["ok", "dy", "ok", "dy"], ["dy", "qok"]], [["dy", "ok", "dy"], ["qok", "ok"], ["dy"]]]
+
+
+@pytest.fixture(scope="module")
+def toks(spark):
+    rows = []
+    for page, lines in enumerate(PAGES):
+        pos = 0
+        for li, line in enumerate(lines):
+            for wi, w in enumerate(line):
+                rows.append(("c", "s", page, li, wi, len(line), pos, w))
+                pos += 1
+    return spark.createDataFrame(rows, "corpus string, section string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
+
+
+def one(df, column):
+    return df.collect()[0][column]
+
+
+def test_vocabulary(toks):
+    assert {r.w: r.cnt for r in lexical.vocab(toks).collect()} == {"dy": 6, "ok": 4, "qok": 2}
+
+
+def test_mutual_information(toks):
+    assert one(pairs.mi_adjacent(toks), "mi") == pytest.approx(0.724511250, abs=1e-8)
+    assert one(pairs.mi_adjacent(toks, scope=("corpus", "page", "line_idx")), "mi") == pytest.approx(1.055260278, abs=1e-8)
+    assert one(pairs.mi_adjacent(toks, drop_diagonal=True), "mi") == pytest.approx(1.086048612, abs=1e-8)
+
+
+def test_repeats_and_similarity(toks):
+    assert one(pairs.repeat_rate(toks), "rate") == pytest.approx(0.1)
+    assert one(pairs.selfsim(toks, 2), "rate") == pytest.approx(0.4)
+    assert one(pairs.selfsim(toks, 20), "rate") == pytest.approx(0.6)
+    assert {r.lag: (r.hits, r.n) for r in pairs.lag_curve(toks, 3).collect()} == {1: (1, 10), 2: (3, 8), 3: (3, 6)}
+
+
+def test_phrases(toks):
+    assert [one(phrases.summary(toks, n), "events") for n in (2, 3, 4)] == [4, 1, 0]
+
+
+def test_entropies(toks):
+    assert one(lexical.char_h1(toks), "h1") == pytest.approx(2.450187208, abs=1e-8)
+    assert one(lexical.char_h2(toks), "h2") == pytest.approx(0.438585703, abs=1e-8)
+    h = lexical.word_entropy(toks).collect()[0]
+    assert h.h == pytest.approx(1.459147917, abs=1e-8)
+    assert h.h_mm == pytest.approx(1.579372504, abs=1e-8)
+    assert one(lexical.coincidence(toks), "ic") == pytest.approx(44 / 132)
+
+
+def test_gaps(toks):
+    cv = {r.w: r.cv for r in lexical.burstiness(toks, least=2).collect()}
+    assert cv["ok"] == pytest.approx(0.374165739, abs=1e-8)
+    assert cv["dy"] == pytest.approx(0.316227766, abs=1e-8)
+    assert cv["qok"] == 0
+
+
+def test_layout(toks):
+    tv = layout.positional_tv(toks).collect()[0]
+    assert tv.tv_start == pytest.approx(0.466666667, abs=1e-8)
+    assert tv.tv_end == pytest.approx(0.166666667, abs=1e-8)
+
+
+def test_merge(toks, spark):
+    candidates = spark.createDataFrame([("c", "ok", "dy"), ("c", "dy", "dy")], "corpus string, a string, b string")
+    got = pairs.merge(toks, candidates).orderBy("page", "pos").collect()
+    assert [[r.w for r in got if r.page == p] for p in (0, 1)] == [["okdy", "okdy", "dy", "qok"], ["dy", "okdy", "qok", "okdy"]]
+
+
+def test_rule_and_cosine(toks):
+    rule = pairs.conditional_rule(toks, {"y": F.col("w").endswith("y")}, F.col("w").startswith("qo"))
+    assert one(rule, "y") == pytest.approx(2 / 5)
+    vec = toks.groupBy("corpus", "page", "w").agg(F.count("*").alias("c"))
+    assert one(vectors.cosine(vec, "w", F.col("page") == 0), "cosine") == pytest.approx(1.0)
+
+
+def test_distance_and_binary_entropy(spark):
+    row = spark.range(1).select(words.edit_distance(F.lit("kitten"), F.lit("sitting")), words.edit_distance(F.lit("abc"), F.lit("abd")), words.binary_entropy(F.lit(0.5)), words.binary_entropy(F.lit(0.0))).first()
+    assert list(row) == [3, 1, 1.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    ("word", "expected", "cls", "v1", "v2"),
+    [
+        ("qokeedy", "q o k E d y", "QOKEDY", True, True), ("daiin", "d a In", "DAJ", True, True), ("chodaiin", "ch o d a In", "CODAJ", False, True),
+        ("okeeey", "o k E y", "OKEY", True, True), ("cthar", "cth a r", "GAR", True, True), ("otam", "o t a m", "OKAM", True, True),
+        ("aral", "a r a l", "ARAL", False, True), ("xar", "x a r", None, False, False), ("ii", "I-", "J", True, True),
+    ],
+)
+def test_grammar(spark, word, expected, cls, v1, v2):
+    w = F.lit(word)
+    row = spark.range(1).select(F.array_join(glyphs.normal_glyphs(w), " "), glyphs.class_string(w), glyphs.conforms(w, fixed.GRAMMAR_1), glyphs.conforms(w)).first()
+    assert list(row) == [expected, cls, v1, v2]
+
+
+def test_word_functions(spark):
+    w = F.col("w")
+    df = spark.createDataFrame([("daiim",), ("qokedy",), ("pchedy",), ("ytam",)], "w string")
+    got = df.select(words.m_to_ir(w).alias("m"), glyphs.word_class(w).alias("c"), glyphs.has_pf(w).alias("p"), words.alphagram(w).alias("a"), glyphs.stem(w)["final"].alias("f"), words.parts(w)["core"].alias("k")).collect()
+    assert [r.m for r in got] == ["daiir", "qokedy", "pchedy", "ytair"]
+    assert [r.c for r in got] == ["dslr-", "q-", "pf", "y-"]
+    assert got[0].a == "adiim" and got[1].f == "y" and got[1].k == "ke"
+    assert df.where(glyphs.first_cut(F.lit("daiindaiin")) == 2).count() == 4
+    assert df.select(glyphs.frame(w, ("k", "t")).alias("x")).collect()[1].x == "qo_edy"
+    assert {k for k, v in df.select(*[v.alias(k) for k, v in glyphs.features(w).items()]).collect()[1].asDict().items() if v} == {"starts-q", "ends-y"}
+    assert df.select(words.fold_accents(F.lit("éñÜç"))).first()[0] == "enUc"
+
+
+def test_transliteration(spark):
+    loci = other.sample(spark).orderBy("locus_seq").collect()
+    assert [r.ltype for r in loci] == ["@P0", "+P0", "=Pt", "@P0", "@Lz"]
+    assert loci[0].page_vars == {"Q": "A", "I": "T", "L": "A", "H": "1"} == loci[2].page_vars
+    kinds = transliteration.kind_lines(other.sample(spark)).orderBy("locus_seq").collect()
+    assert [r.kind for r in kinds] == ["par-first", "body", "title", "par-first"]
+    toks = transliteration.tokens(transliteration.running_lines(other.sample(spark)))
+    assert toks.count() == 11 and toks.where("page = 'f1r'").agg(F.max("pos")).first()[0] == 7
+    stream = transliteration.glyph_stream(toks)
+    assert stream.where("g = '.'").count() == 11
+    assert transliteration.channels(other.sample(spark)).where("channel = 'k/t'").count() >= 2
+    assert transliteration.skeleton(toks).where("bucket = 'first'").count() == 4
+
+
+def test_plain_sources(spark):
+    book = "x\n*** START\nHello world\n[note] Ka mate ka mate\n*** END\ntail"
+    files = spark.createDataFrame([("b", "Two hello"), ("a", book)], "file string, text string")
+    assert [r.w for r in plain.book(files, guarded=True).orderBy("gpos").collect()][:3] == ["start", "hello", "world"]
+    assert plain.book(files, limit=2, guarded=True).count() == 2
+    assert {r.w for r in plain.noted(files).collect()} >= {"mate"} and "note" not in {r.w for r in plain.noted(files).collect()}
+    assert [r.w for r in plain.legal_lines(files.where("file = 'a'"), "m", share=0.8).orderBy("gpos").collect()] == ["note", "ka", "mate", "ka", "mate"]
+    folded = spark.createDataFrame([("q", "the of Élen síla\nélen síla lúmenn")], "file string, text string")
+    assert [r.w for r in plain.folded(folded, "q").orderBy("gpos").collect()] == ["elen", "sila", "lumenn"]
+    assert plain.paginate(plain.code(files), 2).agg(F.max("pos")).first()[0] == 1
+
+
+def test_permutations_keep_what_they_should(toks):
+    p = nulls.shuffled(toks, 3)
+    real = sorted(r.w for r in toks.where("page = 0").collect())
+    for k in range(4):
+        assert sorted(r.w for r in p.where(f"page = 0 and round = {k}").collect()) == real
+    assert [r.w for r in p.where("page = 0 and round = 0").orderBy("pos").collect()] == [w for line in PAGES[0] for w in line]
+    refilled = nulls.refilled(toks, 2, ("corpus", "page"))
+    assert refilled.groupBy("round", "page", "line_idx").count().where("round = 1 and page = 0 and line_idx = 0").first()["count"] == 4
+    swapped = nulls.partner(toks.select("corpus", "page"), "corpus", "page").collect()
+    assert {(r.page, r.partner) for r in swapped} == {(0, 1), (1, 0)}
+    g = toks.select(nulls.glyphs_in_word(F.col("w"), F.split("w", ""), F.lit(1)).alias("x"), "w").collect()
+    assert all(sorted(r.x) == sorted(r.w) for r in g)
+
+
+def test_same_result_with_any_partitioning(spark, toks):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in (1, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append([(r["real"], r.null_mean) for r in pairs.excess(pairs.rounds_mi(nulls.shuffled(toks, 2)), "mi").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(a == pytest.approx(got[0][0]) for x in got for a in x)
+
+
+def test_generators_keep_the_skeleton(toks):
+    for made in (generators.iid(toks), generators.copyist(toks, recall=0.2, boost=0.5, split=0.5), generators.table_words(toks)):
+        rows = made.collect()
+        assert sorted((int(r.page), r.pos, r.line_len) for r in rows) == sorted((r.page, r.pos, r.line_len) for r in toks.collect())
+        assert all(r.w for r in rows)
+    again = [r.w for r in generators.copyist(toks).orderBy("page", "pos").collect()]
+    assert again == [r.w for r in generators.copyist(toks.repartition(7)).orderBy("page", "pos").collect()]
+    filled = generators.fill(toks, lambda page, rng: ["x"] * len(page))
+    assert {r.w for r in filled.collect()} == {"x"}
+    assert generators.mutate("daiin", random.Random(1), "ab") != ""
+
+
+def test_channels(spark):
+    rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
+    bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
+    assert one(signals.capacity(bits), "capacity_bits") == pytest.approx(36.0)
+    assert one(signals.stickiness(bits, ("seq",)), "same") == 0.0
+    assert one(signals.conditional_entropy(bits.withColumn("k", F.col("seq") % 2), ("page", "k")), "h") == 0.0
+    assert math.isclose(one(signals.overdispersion(bits), "vif"), 0.0)
+
+
+def test_streaming(spark, tmp_path):
+    from lexiloom.streaming import counts
+
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    stream = spark.readStream.schema(src.schema).parquet("/root/testdata/sf0.001/events*.parquet")
+    q = counts.windowed(stream, F.col("event_type")).writeStream.format("memory").queryName("win_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "a")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select sum(n) from win_counts").first()[0] == src.count()
