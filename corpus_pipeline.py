@@ -11,6 +11,8 @@ apart by their texts: a component keeps one row, the one with the least (id, has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,31 @@ MIN_LANGUAGE_SCORE = 0.3
 ORACLE_SQL = None
 
 
+#: Columns that stages read by name; others are renamed while a stage runs, so none can clash.
+READ = ("doc_id", "text", "lang", "source")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage on documents whose other columns can't clash with any that it adds."""
+
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in READ else f"column_{i}_" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run_apart
+
+
+@apart
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is identified."""
     found = langid.identified(docs, carry=tuple(docs.columns))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
+@apart
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     kept = exact.groups(docs).where("kept")
@@ -38,6 +59,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where("group_size = 1").select(docs.columns).unionByName(several.select(docs.columns))
 
 
+@apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram Jaccard join."""
     found = jaccard.joined(docs)
@@ -50,6 +72,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(keep.hint("merge"), F.col("rk_") == F.col("rk"), "left_semi").select(docs.columns)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated to the sources' target weights, in a global random order."""
     return mixing.replicate(docs).select(docs.columns)
@@ -57,7 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each text."""
-    out = pieces.encoded(docs)
+    out = pieces.encoded(docs.select("doc_id", "text"))
     digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
     return out.select("doc_id", "n_tokens", digest.alias("ids_sha256"), "round_trip")
 
