@@ -145,7 +145,7 @@ def tokenizer(model: Model):
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocab=vocab, merges=merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=1 << 17)
+        core = models.BPE(vocab=vocab, merges=merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         raise ValueError(f"model type {model.kind}")
     out = T.Tokenizer(core)
