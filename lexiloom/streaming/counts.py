@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def windowed(stream: DataFrame, key: Column, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts per key and event-time window; rows later than ``late`` behind are left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("win"), key.alias("key")).agg(F.count("*").alias("n")).select("win.start", "win.end", "key", "n")
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("win"), key.alias("key")).agg(F.count("*").alias("n")).select("win.start", "win.end", "key", "n")
 
 
 def first_seen(stream: DataFrame, key: str = "w") -> DataFrame:

@@ -198,3 +198,7 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from win_counts").first()[0] == src.count()
+    q = counts.first_seen(stream, "event_type").writeStream.format("memory").queryName("first_seen").outputMode("append").option("checkpointLocation", str(tmp_path / "b")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.key for r in spark.table("first_seen").collect()} == {r.event_type for r in src.select("event_type").distinct().collect()}
