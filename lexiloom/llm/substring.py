@@ -34,8 +34,8 @@ from . import kernels, scratch
 
 WIDTH = 50
 SEED = 25
-_FRAGMENT = "rk long, doc_id long, anchor long, cls long, lo int, n int"
-_SPAN = "rk long, doc_id long, start int, n int"
+_FRAGMENT = "rk long, doc_id long, anchor long, cls long, starts array<int>, n int"
+_SPAN = "rk long, doc_id long, starts array<int>, n int"
 
 
 def least_positions(g: np.ndarray, width: int) -> np.ndarray:
@@ -79,17 +79,21 @@ def fragments_of(h: np.ndarray, first: np.ndarray, width: int, seed: int) -> tup
 
 
 def fragments(width: int, seed: int):
-    """Map: fragments of each text."""
+    """Map: fragments of each text; one row for all places of a class in a text, since all share its fate."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in kernels.batches(source, "text"):
             words = kernels.Words(data, at)
             row, anchor, cls, lo, n = fragments_of(words.hashes(), words.first, width, seed)
             if len(row):
-                take = pa.array(row)
+                order = np.lexsort((lo, n, cls, anchor, row))
+                row, anchor, cls, lo, n = (x[order] for x in (row, anchor, cls, lo, n))
+                head = np.flatnonzero(_heads(row, anchor, cls, n))
+                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32)))
+                take = pa.array(row[head])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("rk").take(take), rows.column("doc_id").take(take), pa.array(anchor), pa.array(cls), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["rk", "doc_id", "anchor", "cls", "lo", "n"],
+                    [rows.column("rk").take(take), rows.column("doc_id").take(take), pa.array(anchor[head]), pa.array(cls[head]), starts, pa.array(n[head].astype(np.int32))],
+                    names=["rk", "doc_id", "anchor", "cls", "starts", "n"],
                 )
 
     return run
@@ -115,11 +119,11 @@ def parse_block(width: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # anchor, class, first id, whether the anchor has several classes
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
         for batch in source:
             if not batch.num_rows:
                 continue
-            rk, doc, anchor, cls, lo, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            doc, anchor, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "anchor", "cls"))
             new_class = _heads(anchor, cls)
             new_anchor = _heads(anchor)
             if last is not None and last[0] == anchor[0]:
@@ -133,29 +137,32 @@ def parse_block(width: int):
             if last is not None and last[3]:
                 several[0] = True
             own = doc == first
-            copied = ~own
-            yield _found(0, rk[copied], doc[copied], lo[copied], n[copied] - 1 + width)
+            yield _found(0, batch, ~own, width - 1)
             if held and several[0]:
-                for part in held:
-                    yield _found(1, *part)
+                yield from held
                 held = []
             if group[-1] > 0:  # another anchor began: the one before had a single class
                 held = []
-            ready = own & several[group]
-            yield _found(1, rk[ready], doc[ready], lo[ready], n[ready])
+            yield _found(1, batch, own & several[group], 0)
             tail = (group == group[-1]) & own & ~several[group]
             if tail.any():
-                held.append((rk[tail], doc[tail], lo[tail], n[tail]))
+                held.append(_found(1, batch, tail, 0))
             last = anchor[-1], cls[-1], first[-1], bool(several[group[-1]])
 
     return run
 
 
-def _found(kind: int, rk, doc, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(rk), kind, np.int32)), pa.array(rk), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-        names=["kind", "rk", "doc_id", "start", "n"],
-    )
+def _found(kind: int, batch: pa.RecordBatch, which: np.ndarray, more: int) -> pa.RecordBatch:
+    mask = pa.array(which)
+    rk, doc, starts, n = (batch.column(c).filter(mask) for c in ("rk", "doc_id", "starts", "n"))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rk), kind, np.int32)), rk, doc, starts, pa.array(n.to_numpy(zero_copy_only=False) + np.int32(more))], names=["kind", "rk", "doc_id", "starts", "n"])
+
+
+def _unpack(structs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all starts, where each struct's starts begin and the last end, n) of structs (starts, n)."""
+    lists = structs.field("starts")
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False).astype(np.int64), edge, structs.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def window_hashes(width: int):
@@ -167,15 +174,17 @@ def window_hashes(width: int):
             g = kernels.grams(words.hashes(), width)
             asked = rows.column("asked")
             row = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
-            flat = asked.flatten()
-            start, n = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            starts, edge, n = _unpack(asked.flatten())
             which = np.repeat(np.arange(len(n)), n)
-            pos = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            length = np.diff(edge)[which]
+            ends = np.cumsum(length)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(edge[:-1][which], length)
+            moved = (starts[place] + np.repeat(k, length)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(moved))
             take = pa.array(row[which])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g[words.first[row[which]] + pos].view(np.int64)), rows.column("rk").take(take), rows.column("doc_id").take(take), pa.array(pos.astype(np.int32))],
-                names=["window", "rk", "doc_id", "start"],
-            )
+            at_word = words.first[row[which]] + starts[edge[:-1]][which] + k
+            yield pa.RecordBatch.from_arrays([pa.array(g[at_word].view(np.int64)), rows.column("rk").take(take), rows.column("doc_id").take(take), lists], names=["window", "rk", "doc_id", "starts"])
 
     return run
 
@@ -188,16 +197,15 @@ def look_up(width: int):
         for batch in source:
             if not batch.num_rows:
                 continue
-            window, rk, doc, start = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            window, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "doc_id"))
             new = _heads(window)
             if last is not None and last[0] == window[0]:
                 new[0] = False
             head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
             first = np.where(head >= 0, doc[np.maximum(head, 0)], last[1] if last else 0)
-            hit = doc != first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rk[hit]), pa.array(doc[hit]), pa.array(start[hit]), pa.array(np.full(int(hit.sum()), width, np.int32))], names=["rk", "doc_id", "start", "n"]
-            )
+            hit = pa.array(doc != first)
+            rk, ids, starts = (batch.column(c).filter(hit) for c in ("rk", "doc_id", "starts"))
+            yield pa.RecordBatch.from_arrays([rk, ids, starts, pa.array(np.full(len(rk), width, np.int32))], names=["rk", "doc_id", "starts", "n"])
             last = window[-1], first[-1]
 
     return run
@@ -211,16 +219,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """Duplicate spans (rk, doc_id, start, n), in words; they may overlap."""
+    """Duplicate spans (rk, doc_id, starts, n), in words: each start begins one of ``n``; they may overlap."""
     known = keyed(docs).where("doc_id is not null")
     index = scratch.arrow(known, fragments(width, seed), _FRAGMENT)
     block = index.repartition(F.col("anchor")).sortWithinPartitions("anchor", "cls", "doc_id")
     parsed = scratch.keep(scratch.arrow(block, parse_block(width), "kind int, " + _SPAN), "rlz-parsed")
-    asked = parsed.where("kind = 1").distinct().groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    asked = parsed.where("kind = 1").distinct().groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("asked"))
     met = known.join(asked.hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "asked")
-    windows = scratch.arrow(met, window_hashes(width), "window long, rk long, doc_id long, start int")
+    windows = scratch.arrow(met, window_hashes(width), "window long, rk long, doc_id long, starts array<int>")
     dealt = windows.repartition(F.col("window")).sortWithinPartitions("window", "doc_id")
-    return parsed.where("kind = 0").select("rk", "doc_id", "start", "n").unionByName(scratch.arrow(dealt, look_up(width), _SPAN))
+    return parsed.where("kind = 0").select("rk", "doc_id", "starts", "n").unionByName(scratch.arrow(dealt, look_up(width), _SPAN))
 
 
 def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +236,11 @@ def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in kernels.batches(source, "text"):
         raw = data.tobytes()
         ids, found = rows.column("doc_id").to_pylist(), rows.column("found")
+        start, edge, n = _unpack(found.flatten())
+        n = np.repeat(n, np.diff(edge))
+        start = start[edge[0] : edge[-1]] if len(edge) else start
         offsets = found.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        flat = found.flatten()
-        start, n = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = (edge - edge[0])[offsets - offsets[0]]
         out = []
         for i, doc in enumerate(ids):
             words = raw[at[i] : at[i + 1]].split()
@@ -250,8 +259,8 @@ def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row."""
-    found = scratch.keep(spans(docs, width, seed).select("rk", "start", "n"), "rlz-spans")
-    found = found.groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    none = F.array().cast("array<struct<start:int,n:int>>")
+    found = scratch.keep(spans(docs, width, seed).select("rk", "starts", "n"), "rlz-spans")
+    found = found.groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("found"))
+    none = F.array().cast("array<struct<starts:array<int>,n:int>>")
     met = keyed(docs).join(found.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"))
     return scratch.arrow(met, _kept, "doc_id long, n_words long, n_removed long, kept_text string")
