@@ -163,3 +163,16 @@ def across_breaks(toks: DataFrame, condition: Column, outcome: Column, by: tuple
     each = toks.withColumns({"if_": condition, "then": F.lead(outcome.cast("double")).over(z), "next_line": F.lead("line_idx").over(z)})
     each = each.where(F.col("then").isNotNull() & (F.col("next_line") > F.col("line_idx")))
     return each.groupBy(*by).agg(F.avg("then").alias("base"), F.avg(F.when(F.col("if_"), F.col("then"))).alias("given"), F.count("*").alias("n"))
+
+
+def ladder(toks: DataFrame, strata: dict[str, tuple[str, ...]], n: int = 5, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
+    """MI excess over permutations inside ever finer strata of a page: (rung, by, real, null_mean, excess). A52, N4.
+
+    What a rung explains is the fall of the excess from the rung before.
+    """
+    from functools import reduce
+
+    from . import nulls
+
+    rungs = [excess(rounds_mi(nulls.refilled(toks, n, ("corpus", "page", *extra)), k, by), "mi", by).withColumn("rung", F.lit(name)) for name, extra in strata.items()]
+    return reduce(DataFrame.unionByName, rungs).select("rung", *by, "real", "null_mean", "excess")

@@ -156,6 +156,12 @@ def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return battery_.pivot(battery_.profile(t, rounds=1), values=["de", "en", "es", "fr"])
 
 
+@query()
+def generator_showdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = docs(spark, sf_dir).where("corpus = 'es'").drop("section")
+    return battery_.showdown(t, fits=F.length("w") >= 2)
+
+
 # ---- transliteration source ----
 
 SAMPLE = (

@@ -237,6 +237,29 @@ def prefix_rule_across_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.across_breaks(docs(spark, sf_dir), F.col("w").endswith("e"), F.col("w").startswith("th"))
 
 
+def _rung(name: str, extra: str) -> tuple[str, ...]:
+    part = f"partition by round, page{extra}"
+    return (
+        f"{name}_r as (select *, case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as role from tok, unnest(range(0, 4)) as u(round))",
+        f"{name}_s as (select * exclude (w), row_number() over ({part} order by pos) as slot from {name}_r)",
+        f"{name}_d as (select round, page, role, w, row_number() over ({part} order by case when round > 0 then md5(concat_ws('|', round, page, pos)) else '' end, pos) as slot from {name}_r)",
+        f"{name}_f as (select s.*, d.w from {name}_s s join {name}_d d on s.round = d.round and s.page = d.page and s.slot = d.slot" + (" and s.role = d.role)" if extra else ")"),
+        f"{name}_n as (select corpus, round, w as a, lead(w) over (partition by round, page order by pos) as b from {name}_f)",
+        f"{name}_p as (select corpus, round, a, b, count(*) as c from {name}_n where (corpus, a) in (select corpus, w from top) and (corpus, b) in (select corpus, w from top) group by all)",
+        mutual(f"{name}_p", "corpus, round").replace("m_ as", f"{name}_m as").replace("from m_ ", f"from {name}_m ").replace("mi_ as", f"{name}_i as"),
+    )
+
+
+def _ladder(name: str, rung: str) -> str:
+    return _excess(f"{name}_i", "mi").replace("select corpus,", f"select '{rung}' as rung, corpus,").rsplit(", round((max", 1)[0] + f" from {name}_i group by corpus"
+
+
+@query(sql(VOC, RANKED, TOP150, *_rung("x", ""), *_rung("y", ", role"), select=_ladder("x", "page") + " union all " + _ladder("y", "page+role")))
+def mi_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = docs(spark, sf_dir).withColumn("role", layout.role())
+    return pairs.ladder(t, {"page": (), "page+role": ("role",)}, 3)
+
+
 # ---- phrases ----
 
 
