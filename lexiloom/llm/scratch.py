@@ -92,9 +92,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Rows of text an Arrow batch holds, unless the session says otherwise: it bounds what a worker holds at once.
+BATCH_ROWS = 2000
+
+
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped first."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with the package shipped first, in batches of bounded rows."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
