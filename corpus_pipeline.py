@@ -52,7 +52,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @apart
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    kept = exact.groups(docs).where("kept")
+    # written first: the join can then split a hot text, which the window's partitioning forbids
+    kept = scratch.keep(exact.groups(docs).where("kept"), "exact-kept")
     # repeated rows of one winner are all marked kept: one of them stays
     order = Window.partitionBy("text_sha256", "keep_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     several = kept.where("group_size > 1").withColumn("k_", F.row_number().over(order)).where("k_ = 1")
