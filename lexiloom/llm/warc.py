@@ -23,6 +23,8 @@ from . import scratch
 
 CRLF = "\r\n"
 RECORDS_PER_FILE = 20_000
+#: Decisions (two record ids and a url each) are broadcast up to so many bytes, checked; beyond, a shuffle join.
+BROADCAST_BYTES = 32 << 20
 HEADERS = (
     "record_id string, record_type string, page_id long, target_uri string, warc_date string, "
     "payload_digest string, payload_length long, refers_to string, refers_to_uri string"
@@ -63,11 +65,12 @@ def records(df: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE, fast: bool = False) -> None:
     """Writes gzipped archive files of at most ``records_per_file`` records each."""
     (
         records(df)
         .write.option("compression", "gzip")
+        .option("zlib.compress.level", "BEST_SPEED" if fast else "DEFAULT_COMPRESSION")
         .option("lineSep", CRLF * 2)
         .option("maxRecordsPerFile", records_per_file)
         .mode("overwrite")
@@ -208,9 +211,15 @@ def revisits(headers: DataFrame, least: int = 100) -> DataFrame:
 
 
 def deduplicate(raw: DataFrame, headers: DataFrame, least: int = 100) -> DataFrame:
-    """Records with revisits resolved and fresh headers; payloads meet the decisions by record id."""
+    """Records with revisits resolved and fresh headers; payloads meet the decisions by record id.
+
+    Few decisions go to the payloads; many are shuffled with them, on an even key.
+    """
     again = F.col("response_id").isNotNull()
-    return raw.join(revisits(headers, least), "record_id", "left").select(
+    decided = scratch.keep(revisits(headers, least), "revisits")
+    size = decided.agg(F.sum(100 + F.octet_length("record_id") + F.octet_length("response_id") + F.coalesce(F.octet_length("response_uri"), F.lit(0)))).first()[0] or 0
+    decided = F.broadcast(decided) if size <= BROADCAST_BYTES else decided.hint("merge")
+    return raw.join(decided, "record_id", "left").select(
         "record_id",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "page_id", "target_uri", "warc_date", "payload_digest", "payload_length",
@@ -253,7 +262,7 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     fresh headers, reads it back and resolves each revisit to its response."""
     spark = pages.sparkSession
     first, second = scratch.path(spark, "warc"), scratch.path(spark, "warc-deduplicated")
-    write_archive(from_pages(pages), first)
+    write_archive(from_pages(pages), first, fast=True)  # read once and dropped
     headers = scratch.keep(read_archive(spark, first, payload=False), "headers")
     raw = read_archive(spark, first).withColumn("payload", F.col("payload").cast("string"))
     write_archive(deduplicate(raw, headers, least), second)
