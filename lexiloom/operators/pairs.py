@@ -27,10 +27,23 @@ def mutual_information(pair_counts: DataFrame, by: tuple[str, ...] = BY, name: s
     return marked.groupBy(*by).agg(F.sum("c").alias("n_pairs"), F.sum(c / F.col("n") * F.log2(c * F.col("n") / (F.col("la").cast("double") * F.col("rb")))).alias(name))
 
 
+#: A word table is broadcast up to so many rows, counted first; beyond, the planner's join.
+BROADCAST_ROWS = 100_000
+
+
+def checked(words: DataFrame) -> DataFrame:
+    """``words`` cached, with a broadcast hint if it is counted small enough.
+
+    Without the hint the token side would be shuffled before its size is known.
+    """
+    words = words.persist()
+    return F.broadcast(words) if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
+
+
 def mark_top(toks: DataFrame, k: int, by: tuple[str, ...] = BY) -> DataFrame:
     """Adds is_top: one join, and adjacency is formed before anything is filtered. J1, R2."""
     words = lexical.top(toks, k, by).select(*by, "w", F.lit(True).alias("is_top"))
-    return toks.join(words, [*by, "w"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
+    return toks.join(checked(words), [*by, "w"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
 
 
 def top_pairs(toks: DataFrame, k: int = 150, by: tuple[str, ...] = BY, scope: tuple[str, ...] = ("corpus", "page"), order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -50,7 +63,7 @@ def rounds_mi(permuted: DataFrame, k: int = 150, by: tuple[str, ...] = BY) -> Da
     """MI of each round (0 is the real order) of permuted tokens; the top words are the real ones'. A7."""
     keys = (*by, "round")
     words = lexical.top(permuted.where("round = 0"), k, by).select(*by, "w", F.lit(True).alias("is_top"))
-    marked = permuted.join(words, [*by, "w"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
+    marked = permuted.join(checked(words), [*by, "w"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
     z = within(("corpus", "page", "round"))
     both = marked.withColumns({"a": F.col("w"), "b": F.lead("w").over(z), "b_top": F.lead("is_top").over(z)}).where(F.col("is_top") & F.col("b_top"))
     return mutual_information(both.groupBy(*keys, "a", "b").agg(F.count("*").alias("c")), keys)
