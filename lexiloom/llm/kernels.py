@@ -133,9 +133,9 @@ def row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(source: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Splits batches into slices of bounded bytes: (rows, bytes, offsets)."""
     for batch in source:
         data, at = buffer(batch.column(column))
-        for i, j in slices(at):
+        for i, j in slices(at, most):
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
