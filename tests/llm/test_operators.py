@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiloom.llm import components, exact, jaccard, kernels, langid, mixing, pieces, quality, queries, substring, suffix_tree, toxicity, warc
+from lexiloom.llm import components, exact, jaccard, kernels, langid, mixing, pieces, quality, queries, scratch, substring, suffix_tree, toxicity, warc
 from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
@@ -385,6 +386,17 @@ def test_suffix_tree_states_and_probabilities():
     assert np.isclose((10.0 ** letters.within[rest]).sum(), 1) and len(set(letters.classes)) == suffix_tree.SYMBOLS - 1
 
 
+def test_suffix_tree_keeps_contexts_of_small_share(spark):
+    # 4 of about a million symbols: over the share of 3e-6, under 5e-6
+    docs = spark.createDataFrame([("a" * 999,)] * 1000 + [("qzxjkv",)] * 4, "text string")
+    letters = suffix_tree.alphabet(docs)
+    counts = scratch.arrow(docs, suffix_tree.count(letters.classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    tree = suffix_tree.learn(docs, counts, letters, cutoff=0.0)
+    past = letters.classes[np.frombuffer(b"vkjxzq", np.uint8)]
+    for k in range(1, suffix_tree.DEPTH + 1):
+        assert sum(int(c) << (suffix_tree.BITS * j) for j, c in enumerate(past[:k])) in tree.codes[k]
+
+
 def test_pipeline_keeps_columns_and_decides(spark, edges, nothing):
     for where in (edges, nothing):
         docs = spark.read.parquet(f"{where}/documents.parquet")
