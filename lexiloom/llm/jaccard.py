@@ -10,12 +10,12 @@ don't share ``k`` of their prefix's shingles with others, counted exactly, are l
 nothing. The one-shingle prefixes of those that are left deal them: all classes with one
 prefix shingle meet in the group of its least class.
 
-In a group, inverted lists are searched per set with DivideSkip: short lists are merged with
-a heap, the longest ones are only probed by binary search for what the merge brought up, and
-sets that reach the required overlap are retained. Searches stop once every set outside the
-largest component has been searched: any further link would have shown. Only links that
-join components go out. Groups over :data:`GROUP_SHINGLES` are split into pairs of blocks,
-so no task holds an unbounded group.
+In a group, inverted lists are searched per set with DivideSkip: short lists are merged by
+counting, the longest ones are only probed by binary search for what the merge brought up, and
+sets that reach the required overlap are retained. Every set is searched, and each link counts
+once: in the group of the least class that stands for a prefix shingle of both sets. Only links
+that join components go out, beside the number of links of each class. Groups over
+:data:`GROUP_SHINGLES` are split into pairs of blocks, so no task holds an unbounded group.
 
 Defined cases. Null or blank text: an empty set, linked with nothing, its own component.
 Fewer words than ``width``: the whole sequence is the only shingle. A null id takes part;
@@ -25,10 +25,9 @@ Empty table: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,85 +251,128 @@ def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.01) -> dict[int, int]:
-    """Members found in at least ``least`` of the sorted lists, with the number of lists.
+    """Members found in at least ``least`` of the sorted lists, with the number of lists."""
+    who, total = _found_often(lists, least, mu)
+    return dict(zip(who.tolist(), total.tolist()))
 
-    The longest lists are left out of the heap merge and probed by binary search for members
-    that the short ones bring up often enough.
+
+def _found_often(lists: list[np.ndarray], least: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """The same as arrays.
+
+    The longest lists are left out of the merge and probed by binary search for members that
+    the short ones bring up often enough; where those are most of a list, it is merged too.
     """
     lists = sorted(lists, key=len)
     if not lists or len(lists) < least:
-        return {}
-    long = min(len(lists) - 1, least - 1, int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    longest = len(lists[-1])
+    long = min(len(lists) - 1, least - 1, int(least / (mu * math.log2(longest + 1) + 1)))
     short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
-    need = least - long
-    found, times = [], []
-    before, run = None, 0
-    for member in heapq.merge(*[x.tolist() for x in short]):
-        if member == before:
-            run += 1
-            continue
-        if before is not None and run >= need:
-            found.append(before)
-            times.append(run)
-        before, run = member, 1
-    if before is not None and run >= need:
-        found.append(before)
-        times.append(run)
-    if not found:
-        return {}
-    who, total = np.array(found), np.array(times)
-    for x in rest:
-        at = np.minimum(np.searchsorted(x, who), len(x) - 1)
-        total += x[at] == who
+    who, total = _merged(short)
+    often = total >= least - long
+    who, total = who[often], total[often]
+    if len(who) and rest:
+        if len(who) * math.log2(longest + 1) > longest:
+            more, times = _merged(rest)
+            at = np.minimum(np.searchsorted(more, who), len(more) - 1)
+            total = total + np.where(more[at] == who, times[at], 0)
+        else:
+            for x in rest:
+                at = np.minimum(np.searchsorted(x, who), len(x) - 1)
+                total += x[at] == who
     keep = total >= least
-    return dict(zip(who[keep].tolist(), total[keep].tolist()))
+    return who[keep], total[keep]
 
 
-def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) that connect the sets as all their links do, at most one less than sets."""
+def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of the lists and how many lists have each."""
+    each = np.concatenate(lists)
+    if not len(each) or int(each.max()) > 4 * len(each):
+        return np.unique(each, return_counts=True)
+    total = np.bincount(each)
+    who = np.flatnonzero(total)
+    return who, total[who]
+
+
+def all_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None, skip: Callable[[int], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Every link once, as (i, the later sets linked with it).
+
+    With ``split``, only links between the sets before it and the others. ``skip(i)`` tells
+    which sets' links with ``i`` aren't wanted.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     if m == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * inter >= percent * (sizes.sum() - inter) else []
+        if 100 * inter >= percent * (sizes.sum() - inter) and (skip is None or not skip(0)[1]):
+            yield 0, np.array([1])
+        return
     tokens = np.concatenate(sets)
-    member = np.repeat(np.arange(m), sizes)
     order = np.argsort(tokens, kind="stable")
-    tokens, member = tokens[order], member[order]
+    tokens, member = tokens[order], np.repeat(np.arange(m, dtype=np.int32), sizes)[order]
     head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    tail = np.append(head[1:], len(tokens))
-    keys = tokens[head]
-    parent, size = list(range(m)), [1] * m
-    largest = 0
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out: list[tuple[int, int]] = []
-    waiting, again = list(range(m)), True
-    while again:
-        again, left = False, []
-        for q in waiting:
-            if again and find(q) == find(largest):  # a link to it from outside shows from outside
-                left.append(q)
-                continue
-            again = True
-            at = np.searchsorted(keys, sets[q])
-            at = at[tail[at] - head[at] > 1]
-            n = int(sizes[q])
-            for j, inter in divide_skip([member[head[i] : tail[i]] for i in at], -(-percent * n // 100)).items():
-                if j != q and 100 * inter >= percent * (n + int(sizes[j]) - inter) and (a := find(q)) != (b := find(j)):
-                    out.append((q, j))
-                    parent[b] = a
-                    size[a] += size[b]
-                    if size[a] > size[find(largest)]:
-                        largest = a
-        waiting = [q for q in left if find(q) != find(largest)]
-        again = again and bool(waiting)
-    return out
+    lengths = np.diff(np.append(head, len(tokens)))
+    # per shingle of a set: where the later members of its list start and end
+    start, stop = np.empty(len(tokens), np.int32), np.empty(len(tokens), np.int32)
+    start[order] = np.arange(1, len(tokens) + 1) if split is None else np.repeat(head + np.add.reduceat(member < split, head, dtype=np.int64), lengths)
+    stop[order] = np.repeat(head + lengths, lengths)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for q in range(m if split is None else split):
+        wanted = None if skip is None else ~skip(q)
+        if wanted is not None and not wanted[q + 1 if split is None else split :].any():
+            continue
+        lo, hi, n = start[at[q] : at[q + 1]], stop[at[q] : at[q + 1]], int(sizes[q])
+        some = hi > lo
+        j, inter = _found_often([member[x:y] for x, y in zip(lo[some].tolist(), hi[some].tolist())], -(-percent * n // 100))
+        ok = 100 * inter >= percent * (n + sizes[j] - inter)
+        if wanted is not None:
+            ok &= wanted[j]
+        if ok.any():
+            yield q, j[ok]
+
+
+class Forest:
+    """Components of sets; says which links join two of them."""
+
+    def __init__(self, m: int):
+        self.label = np.arange(m)
+        self.members: dict[int, list[int]] = {}
+
+    def joining(self, q: int, js: np.ndarray) -> list[tuple[int, int]]:
+        labels, first = np.unique(self.label[js], return_index=True)
+        out = []
+        for b, i in zip(labels.tolist(), first.tolist()):
+            a = int(self.label[q])
+            if a != b:
+                out.append((q, int(js[i])))
+                some, others = self.members.pop(a, [a]), self.members.pop(b, [b])
+                a, some, others = (a, some, others) if len(some) >= len(others) else (b, others, some)
+                self.label[others] = a
+                self.members[a] = some + others
+        return out
+
+
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the sets as all their links do, at most one less than sets."""
+    forest = Forest(len(sets))
+    return [x for q, js in all_links(sets, percent) for x in forest.joining(q, js)]
+
+
+def met_before(pivots: list[np.ndarray], pivot: int) -> Callable[[int], np.ndarray] | None:
+    """For a set's number, which sets share a lesser pivot with it: those links count there."""
+    lesser = [p[p < pivot] for p in pivots]
+    at = np.concatenate(([0], np.cumsum([len(p) for p in lesser])))
+    if not at[-1]:
+        return None
+    names, flat = np.unique(np.concatenate(lesser), return_inverse=True)
+
+    def skip(q: int) -> np.ndarray:
+        mark = np.zeros(len(names), bool)
+        mark[flat[at[q] : at[q + 1]]] = True
+        hits = np.concatenate(([0], np.cumsum(mark[flat])))
+        return hits[at[1:]] > hits[at[:-1]]
+
+    return skip
 
 
 def _flat_sets(width: int):
@@ -346,42 +388,51 @@ def _flat_sets(width: int):
 
 
 def search(percent: int):
-    """Rows ordered by (pivot, i, j): each run is a group, its links go out as class pairs."""
+    """Rows ordered by (pivot, i, j): each run is a group, or a block of it with another.
+
+    Links that join components go out as class pairs (a, b); all links are counted, each in
+    the group of the least pivot that both classes have: (a, the rows linked with it).
+    """
 
-    def emit(group: list[tuple]) -> list[tuple[int, int]]:
-        seen: dict[int, np.ndarray] = {}
-        for cls, shingles in group:
-            seen.setdefault(cls, shingles)
-        ids = list(seen)
-        if len(ids) < 2:
-            return []
-        return [(ids[a], ids[b]) for a, b in linked([seen[i] for i in ids], percent=percent)]
+    def emit(key: tuple | None, group: list[tuple]) -> Iterator[tuple]:
+        if len(group) < 2:
+            return
+        pivot, i, j = key
+        group = sorted(group, key=lambda x: x[1] == j) if i < j else group
+        ids, blocks, rows, pivots, sets = zip(*group)
+        split = blocks.index(j) if i < j and j in blocks else None
+        if i < j and not split:  # one block only: its own cell has it
+            return
+        rows, counts, forest = np.array(rows), np.zeros(len(ids), np.int64), Forest(len(ids))
+        for q, js in all_links(list(sets), percent, split, met_before(list(pivots), pivot)):
+            counts[q] += rows[js].sum()
+            counts[js] += rows[q]
+            yield from ((ids[a], ids[b], None) for a, b in forest.joining(q, js))
+        yield from ((ids[k], None, int(counts[k])) for k in np.flatnonzero(counts))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
         for batch in source:
-            names = [c.to_pylist() for c in (batch.column("pivot"), batch.column("i"), batch.column("j"), batch.column("member"))]
-            lists = batch.column("shingles")
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for r, (pivot, i, j, member) in enumerate(zip(*names)):
+            names = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "member", "mine", "rows")]
+            lists = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in ("pivots", "shingles")]
+            for r, (pivot, i, j, member, mine, rows) in enumerate(zip(*names)):
                 if (pivot, i, j) != key:
-                    out += emit(group)
+                    out += emit(key, group)
                     key, group = (pivot, i, j), []
-                group.append((member, flat[offsets[r] : offsets[r + 1]].copy()))
+                pivots, shingles = (flat[at[r] : at[r + 1]].copy() for at, flat in lists)
+                group.append((member, mine, rows, pivots, shingles.view(np.uint64)))
             if len(out) > 10_000:
-                yield _edges(out)
+                yield _links(out)
                 out = []
-        out += emit(group)
+        out += emit(key, group)
         if out:
-            yield _edges(out)
+            yield _links(out)
 
     return run
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["a", "b", "n"])
 
 
 def _by_token(postings: DataFrame) -> DataFrame:
@@ -396,7 +447,10 @@ def _texts(slim: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(doc_id, rk, n_shingles, component_id) of every row; rk stands for id and text."""
+    """(doc_id, rk, n_shingles, component_id, n_links) of every row; rk stands for id and text.
+
+    ``n_links`` is the number of other rows that the row links with; rows with equal sets link.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.col("doc_id").cast("long")
@@ -404,17 +458,17 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_sh
     told = scratch.keep(scratch.arrow(slim, describe(width, SKETCH_BITS), "doc_id long, rk long, n long, cls long, block int, counters binary"), "shingle-classes")
     rows = told.where("block is null").select("doc_id", "rk", "n", "cls")
     order = spark.sparkContext.broadcast(sketch(told.where("block is not null").select("block", "counters"), SKETCH_BITS))
-    classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("n").alias("n")), "classes")
+    classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.count("*").alias("rows")), "classes")
 
     tokens = scratch.arrow(slim.select("text"), prefixes(width, percent, order, SHARED_PERCENT), _POSTINGS)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = scratch.arrow(_by_token(tokens), shared_counts(buckets), "bucket int, cls array<long>, shared array<long>")
     counts = scratch.arrow(counts.repartition(F.col("bucket")), summed_counts, "cls long, shared long")
     least_shared_ = F.greatest(F.lit(1), F.floor(F.col("n") * SHARED_PERCENT / 100))
-    left = scratch.keep(classes.join(counts, "cls").where(F.col("shared") >= least_shared_).select("cls", "rk", "n"), "left")
+    left = scratch.keep(classes.join(counts, "cls").where(F.col("shared") >= least_shared_).select("cls", "rk", "n", "rows"), "left")
 
     sets = scratch.arrow(_texts(slim, left), _flat_sets(width), "member long, n long, shingles array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["member"]), "sets")
+    sets = scratch.keep(sets.dropDuplicates(["member"]).join(left.select(F.col("cls").alias("member"), "rows"), "member"), "sets")
     own = scratch.arrow(sets, prefixes_of_sets(percent, order), _POSTINGS)
     pairs = scratch.keep(scratch.arrow(_by_token(own), meet, "pivot long, member long").distinct(), "met")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("member")).distinct())
@@ -423,14 +477,18 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_sh
     split = members.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    split = split.withColumn("mine", mine).select("pivot", "member", F.inline(cells))
-    grouped = split.join(sets.select("member", "shingles"), "member").select("pivot", "i", "j", "member", "shingles")
-    found = scratch.arrow(grouped.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j"), search(percent), "a long, b long")
-    roots = components.label(scratch.keep(found, "links"))
-
-    known = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
+    split = split.withColumn("mine", mine).select("pivot", "member", "mine", F.inline(cells))
+    met = members.groupBy("member").agg(F.collect_list("pivot").alias("pivots"))
+    grouped = split.join(sets.select("member", "rows", "shingles").join(met, "member"), "member").select("pivot", "i", "j", "member", "mine", "rows", "pivots", "shingles")
+    found = scratch.arrow(grouped.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j"), search(percent), "a long, b long, n long")
+    found = scratch.keep(found, "links")
+    roots = components.label(found.where("b is not null").select("a", "b"))
+    links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+
+    known = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(links, "cls", "left")
+    known = known.select("cls", "least_id", F.coalesce("root", "cls").alias("root"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "class-roots")
     least = scratch.keep(known.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    named = scratch.keep(known.join(least, "root").select("cls", "component_id"), "class-components")
-    out = rows.where("n > 0").join(named, "cls").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = scratch.keep(known.join(least, "root").select("cls", "component_id", "n_links"), "class-components")
+    out = rows.where("n > 0").join(named, "cls").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))

@@ -111,6 +111,27 @@ def test_jaccard_by_brute_force(spark, edges):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_jaccard_counts_every_link(spark, edges):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = [r.text for r in spark.read.parquet(f"{edges}/documents.parquet").collect()]
+    for k in range(24):  # near copies that differ in up to two words each, some of them repeated
+        w = list(base)
+        for _ in range(k % 3):
+            w[rng.randrange(len(w))] = f"x{k % 7}"
+        texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words_of(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    want = [sum(bool(a and b) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert max(want) >= 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small in (40, 2_000_000):
+        got = {r.doc_id: r.n_links for r in jaccard.joined(docs, group_shingles=small).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_divide_skip_and_links():
     for seed in range(150):
         rng = random.Random(seed)
@@ -131,6 +152,7 @@ def test_divide_skip_and_links():
         brute = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
         assert parts(brute, len(sets)) == parts(jaccard.linked(sets), len(sets))
         assert len(jaccard.linked(sets)) < len(sets)
+        assert sorted((j, i) for i, js in jaccard.all_links(sets) for j in js.tolist()) == sorted(brute)
 
 
 def parts(edges, n):
