@@ -145,9 +145,9 @@ def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def battery_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).where("corpus = 'en'").persist()
-    big = t.groupBy("section").agg(F.count("*").alias("n")).where("n >= 2000").select("section")
-    return battery_.metrics(t.join(big, "section", "left_semi"), ("corpus", "section"), rounds=1, fits=F.length("w") >= 2)
+    t = docs(spark, sf_dir).persist()
+    big = t.groupBy("corpus", "section").agg(F.count("*").alias("n")).where("n >= 2000").select("corpus", "section")
+    return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), rounds=1, fits=F.length("w") >= 2)
 
 
 @query()
@@ -158,7 +158,7 @@ def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def generator_showdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).where("corpus = 'es'").drop("section")
+    t = docs(spark, sf_dir).drop("section")
     return battery_.showdown(t, fits=F.length("w") >= 2)
 
 
@@ -206,10 +206,20 @@ def legal_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(VOC, "o as (select corpus, floor(gpos / 170)::bigint as page_seq, count(*) as n, count(distinct w) as types from (select corpus, w, row_number() over (partition by corpus order by page, pos) - 1 as gpos from tok where corpus = 'es') group by all)", select="select corpus, page_seq, n, types from o"))
 def pseudo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = lexical.global_positions(docs(spark, sf_dir).where("corpus = 'es'")).select("corpus", "gpos", "w")
+    return _pseudo_pages(docs(spark, sf_dir).where("corpus = 'es'"))
+
+
+def _pseudo_pages(toks: DataFrame) -> DataFrame:
+    flat = lexical.global_positions(toks).select("corpus", "gpos", "w")
     return plain.paginate(flat).groupBy("corpus", F.col("page_seq").cast("long").alias("page_seq")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("types"))
 
 
+@query()
+def pseudo_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every corpus; ``pseudo_pages`` has the one of its SQL."""
+    return _pseudo_pages(docs(spark, sf_dir))
+
+
 @query(sql("g as (select *, md5(concat_ws('|', page, pos)) as k from tok)", "s as (select *, row_number() over (partition by corpus order by k) as i from g)", select="select corpus, w, count(*) as n from s where i <= 500 group by all"))
 def downsample_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls.first_by_md5(docs(spark, sf_dir), 500, ("corpus",), ("page", "pos")).groupBy("corpus", "w").agg(F.count("*").alias("n"))

@@ -2,14 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed, glyphs, words
 from lexiloom.operators import generators, layout, lexical, nulls, pairs, phrases, signals, vectors
-from lexiloom.plans import other
-from lexiloom.sources import plain, transliteration
+from lexiloom.plans import other, registry
+from lexiloom.sources import plain, tables, transliteration
 
 PAGES = [[["ok", "dy", "ok", "dy"], ["dy", "qok"]], [["dy", "ok", "dy"], ["qok", "ok"], ["dy"]]]
 
@@ -180,6 +181,34 @@ def test_generators_keep_the_skeleton(toks):
     assert generators.mutate("daiin", random.Random(1), "ab") != ""
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_corpus_takes_part(spark):
+    every = {r.corpus: [] for r in tables.documents(spark, SF).select("corpus").distinct().collect()}
+    assert len(every) == 4
+    for r in tables.documents(spark, SF).orderBy("page", "pos").collect():
+        every[r.corpus].append(r)
+    drift, pages = (registry.queries()[n](spark, SF).collect() for n in ("page_cosine_drift_all", "pseudo_pages_all"))
+    for corpus, rows in every.items():
+        count: dict[int, Counter] = {}
+        for r in rows:
+            count.setdefault(r.page, Counter())[r.w] += 1
+        seq = [c for _, c in sorted(count.items()) if sum(c.values()) >= 60]
+        norm = [math.sqrt(sum(n * n for n in c.values())) for c in seq]
+        near = [sum(n * b[w] for w, n in a.items()) / norm[i] / norm[i + 1] for i, (a, b) in enumerate(zip(seq, seq[1:]))]
+        got = next(r for r in drift if r.corpus == corpus and r.bin == "01")
+        assert got.n_pairs == len(near) and got.mean_cosine == pytest.approx(sum(near) / len(near), abs=1e-6)
+        words_ = [r.w for r in rows]
+        cut = [words_[i : i + 170] for i in range(0, len(words_), 170)]
+        assert sorted((r.page_seq, r.n, r.types) for r in pages if r.corpus == corpus) == [(i, len(c), len(set(c))) for i, c in enumerate(cut)]
+    big = Counter((r.corpus, r.section) for rows in every.values() for r in rows)
+    cells = {(r.corpus, r.section) for r in registry.queries()["battery_by_section"](spark, SF).select("corpus", "section").collect()}
+    assert cells == {k for k, n in big.items() if n >= 2000} and len({c for c, _ in cells}) > 1
+    shown = registry.queries()["generator_showdown"](spark, SF).where("metric = 'types'").collect()
+    assert {r.corpus: r.real for r in shown} == {c: len({r.w for r in rows}) for c, rows in every.items()}
+
+
 def test_channels(spark):
     rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
     bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
