@@ -147,13 +147,13 @@ def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def battery_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).persist()
     big = t.groupBy("corpus", "section").agg(F.count("*").alias("n")).where("n >= 2000").select("corpus", "section")
-    return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), rounds=1, fits=F.length("w") >= 2)
+    return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), fits=F.length("w") >= 2)
 
 
 @query()
 def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).drop("section").persist()
-    return battery_.pivot(battery_.profile(t, rounds=1), values=["de", "en", "es", "fr"])
+    return battery_.pivot(battery_.profile(t), values=["de", "en", "es", "fr"])
 
 
 @query()

@@ -334,11 +334,27 @@ def positional_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.positional_z(docs(spark, sf_dir), 5)
 
 
+@query()
+def positional_z_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's 10 rounds; ``positional_z`` has the 5 of its SQL."""
+    return layout.positional_z(docs(spark, sf_dir), 10)
+
+
 @query(sql(*_refill(5), _ROLE_RF, "ft as (select corpus, round, role as slot, f.feature, avg(f.hit) as rate from rl, unnest([{'feature': 'starts-t', 'hit': (left(w, 1) = 't')::int}, {'feature': 'ends-e', 'hit': (right(w, 1) = 'e')::int}, {'feature': 'long', 'hit': (length(w) > 6)::int}]) as u(f) group by all)", "q as (select corpus, slot, feature, max(case when round = 0 then rate end) as real, avg(case when round > 0 then rate end) as m, stddev_pop(case when round > 0 then rate end) as s from ft group by all)", select=f"select corpus, slot, feature, {r('real')} as real, {r('m')} as null_mean, {r('(real - m) / greatest(s, 1e-9)')} as z from q"))
 def feature_slot_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feature_slot_z(docs(spark, sf_dir), 5)
+
+
+def _feature_slot_z(toks: DataFrame, rounds: int) -> DataFrame:
     w = F.col("w")
     features = {"starts-t": w.startswith("t"), "ends-e": w.endswith("e"), "long": F.length(w) > 6}
-    return layout.feature_z(docs(spark, sf_dir), features, layout.role(), 5).select("corpus", "slot", "feature", "real", "null_mean", "z")
+    return layout.feature_z(toks, features, layout.role(), rounds).select("corpus", "slot", "feature", "real", "null_mean", "z")
+
+
+@query()
+def feature_slot_z_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's 20 rounds; ``feature_slot_z`` has the 5 of its SQL."""
+    return _feature_slot_z(docs(spark, sf_dir), 20)
 
 
 @query(sql("b as (select corpus, least(4, floor(word_idx::double / line_len * 5))::int as bin, left(w, 1) as cls, count(*) as n from tok where line_len >= 6 group by all)", select=f"select corpus, bin, cls, n, {r('n / sum(n) over (partition by corpus, bin)')} as share from b"))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed, glyphs, words
-from lexiloom.operators import generators, layout, lexical, nulls, pairs, phrases, signals, vectors
-from lexiloom.plans import other, registry
+from lexiloom.operators import battery, generators, layout, lexical, nulls, pairs, phrases, signals, vectors
+from lexiloom.plans import other, registry, text
 from lexiloom.sources import plain, tables, transliteration
 
 PAGES = [[["ok", "dy", "ok", "dy"], ["dy", "qok"]], [["dy", "ok", "dy"], ["qok", "ok"], ["dy"]]]
@@ -209,6 +209,23 @@ def test_every_corpus_takes_part(spark):
     assert {r.corpus: r.real for r in shown} == {c: len({r.w for r in rows}) for c, rows in every.items()}
 
 
+def test_rounds_of_the_nulls(spark, toks, monkeypatch):
+    asked = []
+    for name in ("shuffled", "refilled"):
+        real = getattr(nulls, name)
+        monkeypatch.setattr(nulls, name, lambda t, n, *a, name=name, real=real, **k: asked.append((name, n)) or real(t, n, *a, **k))
+    other.corpus_profile_pivot(spark, SF)
+    other.battery_by_section(spark, SF)
+    assert asked == [("shuffled", 3), ("refilled", 10)] * 2
+    z = battery.metrics(toks, fits=F.length("w") >= 2).where("metric = 'pos_z_start'").collect()
+    want = layout.positional_z(toks, 10).collect()[0].z_start
+    assert z[0].value == pytest.approx(want) and abs(want) < 1e3
+    asked.clear()
+    text.positional_z_10(spark, SF)
+    text.feature_slot_z_20(spark, SF)
+    assert asked == [("refilled", 10), ("refilled", 20)]
+
+
 def test_channels(spark):
     rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
     bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
