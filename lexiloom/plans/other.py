@@ -131,7 +131,7 @@ def solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = signals.word_trigrams(docs(spark, sf_dir))
     model = signals.trigram_model(t.where("corpus = 'en'").select("tri", "c"))
     shifted = t.where("corpus = 'fr'").select(F.translate("tri", "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza").alias("tri"), "c")
-    return generators.solve(spark, shifted, model, " abcdefghijklmnopqrstuvwxyz", iterations=3000)
+    return generators.solve(spark, shifted, model, " abcdefghijklmnopqrstuvwxyz")
 
 
 # ---- battery ----

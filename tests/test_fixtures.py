@@ -1,5 +1,6 @@
 """Hand-derived answers on small made-up corpora."""
 
+import inspect
 import math
 import random
 from collections import Counter
@@ -226,6 +227,13 @@ def test_rounds_of_the_nulls(spark, toks, monkeypatch):
     assert asked == [("refilled", 10), ("refilled", 20)]
 
 
+def test_solver_cools_down(spark, monkeypatch):
+    real, asked = generators.solve, {}
+    monkeypatch.setattr(generators, "solve", lambda *a, **k: asked.update(inspect.signature(real).bind(*a, **k).arguments) or real(*a, **k))
+    assert other.solver(spark, SF).count() == 3
+    assert asked.get("iterations", 12_000) == 12_000 == inspect.signature(real).parameters["iterations"].default
+
+
 def test_channels(spark):
     rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
     bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
