@@ -234,6 +234,18 @@ def test_solver_cools_down(spark, monkeypatch):
     assert asked.get("iterations", 12_000) == 12_000 == inspect.signature(real).parameters["iterations"].default
 
 
+def test_generators_use_the_whole_vocabulary(spark):
+    # 3000 words once each, as first words of lines; 200 endings three times each
+    rows = [("c", "s", p, i, 0, 1, i, f"w{p * 100 + i:04d}") for p in range(30) for i in range(100)]
+    toks = spark.createDataFrame(rows, "corpus string, section string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
+    words_ = {r[-1] for r in rows}
+    drawn = {r.w for r in generators.copyist(toks, copy=0.0).collect()}
+    assert drawn <= words_ and any(w >= "w2000" for w in drawn) and drawn == {r.w for r in generators.iid(toks, 2).collect()}
+    rows = [("c", "s", 0, i, 0, 1, i, "k" + "e" * (1 + i // 3)) for i in range(240)]
+    made = generators.table_words(spark.createDataFrame(rows, toks.schema), jump=0.05)
+    assert max(len(r.w) for r in made.collect()) > 66
+
+
 def test_channels(spark):
     rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
     bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
