@@ -101,14 +101,8 @@ def gen_alphagram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gen_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).where("corpus = 'es'")
-    text = docs(spark, sf_dir).where("corpus = 'fr'").withColumn("page", F.col("page"))
-    # letters in order, numbered by the words before them
-    sized = lexical.global_positions(text)
-    letters = sized.select(F.lit("es").alias("corpus"), F.col("gpos"), F.substring("w", 1, 1).alias("letter"))
-    voc = lexical.ranked(lexical.vocab(t)).where("rank <= 1500").select("corpus", (F.col("rank") - 1).alias("k0"), "w")
-    alphabet = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
-    homophones = voc.select("corpus", F.get(alphabet, (F.col("k0") % 26).cast("int")).alias("letter"), F.floor(F.col("k0") / 26).alias("k"), "w")
-    return generators.cipher(t, letters, homophones).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
+    letters = generators.letter_stream(docs(spark, sf_dir).where("corpus = 'fr'")).withColumn("corpus", F.lit("es"))
+    return generators.cipher(t, letters, generators.homophones(t, letters)).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
 
 
 @query()

@@ -246,6 +246,19 @@ def test_generators_use_the_whole_vocabulary(spark):
     assert max(len(r.w) for r in made.collect()) > 66
 
 
+def test_cipher_writes_every_letter(spark, toks):
+    letters = generators.letter_stream(toks.withColumn("corpus", F.lit("c")))
+    stream = [r.letter for r in letters.orderBy("gpos").collect()]
+    assert stream == list("".join(w for page in PAGES for line in page for w in line))
+    assert [r.gpos for r in letters.orderBy("gpos").collect()] == list(range(len(stream)))
+    # k 6, o 6, d 6, y 6, q 2 of 26: two words for d and one for k, then none is left
+    got = {(r.letter, r.k): r.w for r in generators.homophones(toks, letters, n=9).collect()}
+    assert got == {("d", 0): "dy", ("d", 1): "ok", ("k", 0): "qok", ("o", 0): "dy", ("y", 0): "dy", ("q", 0): "dy"}
+    few = toks.where("page = 1 and pos < 2")  # two words have four letters: enough for three places
+    made = generators.cipher(toks.where("page = 0 and pos < 3"), generators.letter_stream(few), generators.homophones(toks, letters, n=9)).collect()
+    assert len(made) == 3
+
+
 def test_channels(spark):
     rows = [("a", p, i, (i + p) % 2) for p in range(3) for i in range(12)]
     bits = spark.createDataFrame(rows, "channel string, page int, seq int, bit int")
