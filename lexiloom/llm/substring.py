@@ -1,6 +1,6 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup against indexed reference blocks, by classes of fragments and window lookup.
 
-A window is ``width`` consecutive words. Each document is parsed against the reference: the
+A window is ``width`` consecutive words. Each document is compared with the reference: the
 text of all documents with smaller ids. The reference is indexed by anchors, which are
 chosen by content so that each window of any document holds one: of the ``seed``-word
 sequences inside a window, the one with the least hash. Hashes of anchors deal the index to
@@ -9,12 +9,10 @@ no document is compared with blocks that can't hold a factor of it.
 
 In its block each anchor occurrence is a fragment: the words that all windows with that
 anchor cover. Fragments that are equal belong to one class, of which the smallest id is the
-reference copy; a fragment of an existing class is one whole factor. Fragments of different
-classes of one anchor are factored greedily: the longest match of a fragment from its left
-end against reference copies with smaller ids is a factor, the next starts behind it. A
-window that occurs in the reference lies inside one factor or straddles one factor boundary
-(from a boundary inside it, the next factor reaches its end), so windows are looked up at
-factor boundaries, and factors and looked-up windows of ``width`` words become spans.
+reference copy; a fragment of an existing class is one whole factor. Where an anchor has
+several classes, all windows of their fragments are hashed and looked up. That replaces the
+greedy longest-match parsing of relative Lempel-Ziv: spans are unions of repeated windows of
+``width`` words, which the lookup decides exactly, whatever factors a parse would choose.
 
 Defined cases. Null text: no words. Null ids: such rows neither lose words nor are a
 reference. Repeated ids are one document for the comparison of ids and separate rows in the
