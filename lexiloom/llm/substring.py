@@ -1,22 +1,31 @@
-"""Substring dedup against indexed reference blocks, by classes of fragments and window lookup.
-
-A window is ``width`` consecutive words. Each document is compared with the reference: the
-text of all documents with smaller ids. The reference is indexed by anchors, which are
-chosen by content so that each window of any document holds one: of the ``seed``-word
-sequences inside a window, the one with the least hash. Hashes of anchors deal the index to
-reference blocks; a document meets a block only through anchors that it shares with it, so
-no document is compared with blocks that can't hold a factor of it.
-
-In its block each anchor occurrence is a fragment: the words that all windows with that
-anchor cover. Fragments that are equal belong to one class, of which the smallest id is the
-reference copy; a fragment of an existing class is one whole factor. Where an anchor has
-several classes, all windows of their fragments are hashed and looked up. That replaces the
-greedy longest-match parsing of relative Lempel-Ziv: spans are unions of repeated windows of
-``width`` words, which the lookup decides exactly, whatever factors a parse would choose.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+
+A window is ``width`` consecutive words. The reference of a document is the text of all
+documents with smaller ids. It is indexed by anchors, which are chosen by content so that each
+window of any document holds one: of the ``seed``-word sequences inside a window, the one with
+the least hash. Anchors deal the index to reference blocks, and a document meets every block
+that holds a window of it, through the anchors that it shares with the block, and no other.
+
+In its block each anchor occurrence is a fragment: the words that all windows with that anchor
+cover. A fragment that a smaller id has as a whole is one factor; equal fragments are known by
+two 64-bit hashes, the anchor's and the fragment's. Where an anchor has several different
+fragments, the words of each (of its smallest id) are sent to the block and parsed greedily:
+a suffix array over the words of the block's fragments, ranked by doubling, gives each place
+its longest match in a smaller id, which is the common prefix with the nearest suffix of a
+smaller id on either side. From the left end a factor is the longest match, or one word where
+there is none. Factors of ``width`` words or more are duplicate spans; the windows that lie
+across the boundaries of factors are checked by the longest match at their first word. Words
+are compared as words here: a block numbers its distinct words.
+
+An anchor whose fragments have more than :data:`BLOCK_WORDS` words can't be one block. The
+windows of its fragments are dealt by anchor and window hash instead and looked up, so no task
+holds an unbounded group, and no window is left out.
 
 Defined cases. Null text: no words. Null ids: such rows neither lose words nor are a
 reference. Repeated ids are one document for the comparison of ids and separate rows in the
-result. Empty table: no rows. Extra columns are ignored.
+result; repeated rows are parsed once and all lose the same words. Ties (a word sequence found
+twice in one document): a document is never its own reference. A very long text is handled
+alone, whole. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +41,8 @@ from . import kernels, scratch
 
 WIDTH = 50
 SEED = 25
+#: Words that one suffix array is built over; anchors with more are dealt by window.
+BLOCK_WORDS = 1 << 19
 _FRAGMENT = "rk long, doc_id long, anchor long, cls long, starts array<int>, n int"
 _SPAN = "rk long, doc_id long, starts array<int>, n int"
 
@@ -107,26 +118,28 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 
 def parse_block(width: int):
-    """One block of the index, ordered by anchor, class and id, read as a stream.
+    """One block of the index, ordered by anchor, class, id and row, read as a stream.
 
     kind 0: a fragment of a class that a smaller id has: one whole factor. kind 1: a
     fragment of the smallest id of its class whose anchor has other classes too, so its
-    windows have to be looked up. State across batches: the current anchor and class, and
+    words have to be parsed. State across batches: the current anchor, class and row, and
     the reference rows of the anchor's first class until a second class is seen.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # anchor, class, first id, whether the anchor has several classes
+        last: tuple | None = None  # anchor, class, first id, whether the anchor has several classes, row
         held: list[pa.RecordBatch] = []
         for batch in source:
             if not batch.num_rows:
                 continue
-            doc, anchor, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "anchor", "cls"))
+            doc, anchor, cls, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "anchor", "cls", "rk"))
             new_class = _heads(anchor, cls)
             new_anchor = _heads(anchor)
+            once = _heads(anchor, cls, rk)
             if last is not None and last[0] == anchor[0]:
                 new_anchor[0] = False
                 new_class[0] = last[1] != cls[0]
+                once[0] = (last[1], last[4]) != (cls[0], rk[0])
             head = np.maximum.accumulate(np.where(new_class, np.arange(len(doc)), -1))
             first = np.where(head >= 0, doc[np.maximum(head, 0)], last[2] if last else 0)
             # an anchor has several classes if a class starts in it that isn't its first
@@ -135,80 +148,256 @@ def parse_block(width: int):
             if last is not None and last[3]:
                 several[0] = True
             own = doc == first
-            yield _found(0, batch, ~own, width - 1)
+            yield _found(0, batch, ~own & once, width - 1)
             if held and several[0]:
                 yield from held
                 held = []
             if group[-1] > 0:  # another anchor began: the one before had a single class
                 held = []
-            yield _found(1, batch, own & several[group], 0)
-            tail = (group == group[-1]) & own & ~several[group]
+            yield _found(1, batch, own & once & several[group], 0)
+            tail = (group == group[-1]) & own & once & ~several[group]
             if tail.any():
                 held.append(_found(1, batch, tail, 0))
-            last = anchor[-1], cls[-1], first[-1], bool(several[group[-1]])
+            last = anchor[-1], cls[-1], first[-1], bool(several[group[-1]]), rk[-1]
 
     return run
 
 
 def _found(kind: int, batch: pa.RecordBatch, which: np.ndarray, more: int) -> pa.RecordBatch:
     mask = pa.array(which)
-    rk, doc, starts, n = (batch.column(c).filter(mask) for c in ("rk", "doc_id", "starts", "n"))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rk), kind, np.int32)), rk, doc, starts, pa.array(n.to_numpy(zero_copy_only=False) + np.int32(more))], names=["kind", "rk", "doc_id", "starts", "n"])
+    rk, doc, anchor, starts, n = (batch.column(c).filter(mask) for c in ("rk", "doc_id", "anchor", "starts", "n"))
+    columns = [pa.array(np.full(len(rk), kind, np.int32)), rk, doc, anchor, starts, pa.array(n.to_numpy(zero_copy_only=False) + np.int32(more))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "rk", "doc_id", "anchor", "starts", "n"])
 
 
-def _unpack(structs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all starts, where each struct's starts begin and the last end, n) of structs (starts, n)."""
-    lists = structs.field("starts")
-    edge = lists.offsets.to_numpy().astype(np.int64)
-    return lists.values.to_numpy(zero_copy_only=False).astype(np.int64), edge, structs.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-
+def cut(width: int):
+    """The words of the asked fragments of each text, joined by single spaces."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    names = ["anchor", "rk", "doc_id", "starts", "n", "words"]
 
-def window_hashes(width: int):
-    """Hashes of the windows that start in the asked word ranges of each text."""
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in kernels.batches(source, "text"):
-            words = kernels.Words(data, at)
-            g = kernels.grams(words.hashes(), width)
-            asked = rows.column("asked")
-            row = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
-            starts, edge, n = _unpack(asked.flatten())
-            which = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            length = np.diff(edge)[which]
-            ends = np.cumsum(length)
-            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(edge[:-1][which], length)
-            moved = (starts[place] + np.repeat(k, length)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(moved))
-            take = pa.array(row[which])
-            at_word = words.first[row[which]] + starts[edge[:-1]][which] + k
-            yield pa.RecordBatch.from_arrays([pa.array(g[at_word].view(np.int64)), rows.column("rk").take(take), rows.column("doc_id").take(take), lists], names=["window", "rk", "doc_id", "starts"])
+            words, raw, out = kernels.Words(data, at), data.tobytes(), []
+            for i, (rk, doc, asked) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("rk", "doc_id", "asked")))):
+                first = int(words.first[i])
+                for f in asked:
+                    lo = first + f["starts"][0]
+                    part = raw[words.start[lo] : words.end[lo + f["n"] + width - 2]]
+                    out.append((f["anchor"], rk, doc, f["starts"], f["n"], b" ".join(part.split())))
+                if len(out) > 5000:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
 
     return run
 
 
-def look_up(width: int):
-    """Windows ordered by hash and id: those that a smaller id has become spans."""
+def suffix_ranks(w: np.ndarray, longest: int) -> list[np.ndarray]:
+    """``out[j][i]``: the rank of the ``2**j`` numbers from place ``i`` on, among all places.
+
+    Places beyond the end count as less than any number.
+    """
+    out = [np.unique(w, return_inverse=True)[1].astype(np.int64) + 1]
+    h = 1
+    while h < longest:
+        rank = out[-1]
+        after = np.zeros_like(rank)
+        after[:-h] = rank[h:]
+        out.append(np.unique(rank * (len(w) + 1) + after, return_inverse=True)[1] + 1)
+        h *= 2
+    return out
+
+
+def nearest_less(v: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a lesser value, or -1."""
+    out = np.arange(-1, len(v) - 1)
+    open_ = np.flatnonzero((out >= 0) & (v[out] >= v))
+    while len(open_):  # what lies between a place and its candidate is no less, so jumps are safe
+        out[open_] = out[out[open_]]
+        at = out[open_]
+        open_ = open_[(at >= 0) & (v[at] >= v[open_])]
+    return out
+
+
+def common_prefix(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many numbers the suffixes at ``a`` and ``b`` share from their starts on."""
+    a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    last = len(ranks[0]) - 1
+    for j in range(len(ranks) - 1, -1, -1):
+        fits = np.maximum(a, b) + (1 << j) <= last + 1
+        same = np.flatnonzero(fits & (ranks[j][np.minimum(a, last)] == ranks[j][np.minimum(b, last)]))
+        for x in (a, b, total):
+            x[same] += 1 << j
+    return total
+
+
+def longest_matches(w: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the fragments (numbers ``w``, starts ``first``) the length of its longest
+    match in a fragment of a smaller id, and where one is (-1: none).
+
+    In suffix order the longest match of a place is at the nearest suffix of a smaller id
+    before or after it.
+    """
+    size = np.diff(first)
+    fragment = np.repeat(np.arange(len(size)), size)
+    # a number of its own ends each fragment, so no match runs into the next
+    at = np.arange(len(w)) + fragment
+    text = np.empty(len(w) + len(size), np.int64)
+    text[at] = w
+    stop = first[1:] + np.arange(len(size))
+    text[stop] = -1 - np.arange(len(size))
+    owner = np.empty(len(text), np.int64)
+    owner[at], owner[stop] = doc[fragment], np.iinfo(np.int64).max
+    ranks = suffix_ranks(text, int(size.max()) + 1)
+    order = np.argsort(ranks[-1], kind="stable")
+    value = owner[order]
+    before = nearest_less(value)
+    after = len(value) - 1 - nearest_less(value[::-1])[::-1]
+    place = np.empty(len(text), np.int64)
+    place[order] = np.arange(len(order))
+    best, source = np.zeros(len(w), np.int64), np.full(len(w), -1)
+    for near in (before, after):
+        j = near[place[at]]
+        some = np.flatnonzero((j >= 0) & (j < len(order)))
+        there = order[j[some]]
+        got = common_prefix(ranks, at[some], there)
+        longer = got > best[some]
+        best[some[longer]], source[some[longer]] = got[longer], there[longer]
+    back = np.full(len(text), -1)
+    back[at] = np.arange(len(w))
+    return best, np.where(source >= 0, back[source], -1)
+
+
+def factors(length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse of each fragment: (first word, words) of its factors; a word without a
+    match is a factor of one."""
+    at, parts = first[:-1][np.diff(first) > 0], []
+    end = first[1:][np.diff(first) > 0]
+    while len(at):
+        n = np.maximum(length[at], 1)
+        parts.append((at, n))
+        more = at + n < end
+        at, end = (at + n)[more], end[more]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+
+
+def spans_of(length: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Duplicate spans (first word, words): the long factors, and the windows across the
+    boundaries of factors whose longest match has them whole."""
+    start, n = factors(length, first)
+    long = n >= width
+    inside = np.zeros(len(length) + 1, np.int64)  # windows inside a long factor
+    np.add.at(inside, start[long], 1)
+    np.add.at(inside, start[long] + n[long] - width + 1, -1)
+    across = np.flatnonzero((np.cumsum(inside)[:-1] == 0) & (length >= width))
+    return np.concatenate((start[long], across)), np.concatenate((n[long], np.full(len(across), width)))
+
+
+def numbered(words: kernels.Words) -> np.ndarray:
+    """Each word's number among the distinct ones, compared by bytes."""
+    lengths = words.end - words.start
+    edge = np.concatenate(([0], np.cumsum(lengths)))
+    solid = words.data[np.arange(edge[-1]) + np.repeat(words.start - edge[:-1], lengths)]
+    column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(solid))])
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def parse_fragments(width: int, block_words: int):
+    """Fragments ordered by anchor -> kind 0: spans of whole blocks parsed one after another;
+    kind 1: windows (hash in ``key``) of anchors that are larger than a block."""
+
+    def parsed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, at = kernels.buffer(rows["words"])
+        words = kernels.Words(data, at)
+        length, _ = longest_matches(numbered(words), words.first, rows["doc_id"].to_numpy())
+        start, n = spans_of(length, words.first, width)
+        if len(start):
+            row = np.searchsorted(words.first, start, "right") - 1
+            yield _moved(rows, row, start - words.first[row], n, 0, None)
+
+    def windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, at = kernels.buffer(rows["words"])
+        words = kernels.Words(data, at)
+        g = kernels.grams(words.hashes(), width)
+        n = rows["n"].to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        yield _moved(rows, row, k, np.full(len(row), width), 1, g[words.first[row] + k].view(np.int64))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        whole, held = [], 0  # complete anchors
+        group, size, anchor, large = [], 0, None, False  # the current one
         for batch in source:
             if not batch.num_rows:
                 continue
-            window, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "doc_id"))
-            new = _heads(window)
-            if last is not None and last[0] == window[0]:
-                new[0] = False
-            head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
-            first = np.where(head >= 0, doc[np.maximum(head, 0)], last[1] if last else 0)
-            hit = pa.array(doc != first)
-            rk, ids, starts = (batch.column(c).filter(hit) for c in ("rk", "doc_id", "starts"))
-            yield pa.RecordBatch.from_arrays([rk, ids, starts, pa.array(np.full(len(rk), width, np.int32))], names=["rk", "doc_id", "starts", "n"])
-            last = window[-1], first[-1]
+            key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n"))
+            head = np.flatnonzero(_heads(key))
+            for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(key)]):
+                if key[lo] != anchor:
+                    whole += group
+                    held += size
+                    group, size, anchor, large = [], 0, key[lo], False
+                part = batch.slice(lo, hi - lo)
+                more = int(n[lo:hi].sum()) + (width - 1) * (hi - lo)
+                if held and held + size + more > block_words:
+                    yield from parsed(pa.Table.from_batches(whole))
+                    whole, held = [], 0
+                if size + more > block_words or large:
+                    large = True
+                    yield from windows(pa.Table.from_batches([*group, part]))
+                    group, size = [], 0
+                else:
+                    group, size = [*group, part], size + more
+        if whole or group:
+            yield from parsed(pa.Table.from_batches(whole + group))
 
     return run
 
 
+def _moved(rows: pa.Table, row: np.ndarray, offset: np.ndarray, n: np.ndarray, kind: int, key: np.ndarray | None) -> pa.RecordBatch:
+    """Spans at ``offset`` in the fragments ``row``, at all places that each fragment has in its text."""
+    lists = rows["starts"].combine_chunks()
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    length = np.diff(edge)[row]
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.arange(total) - np.repeat(ends - length, length) + np.repeat(edge[:-1][row], length)
+    moved = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array((flat[place] + np.repeat(offset, length)).astype(np.int32)))
+    take = pa.array(row)
+    columns = [rows[c].combine_chunks().take(take) for c in ("anchor", "rk", "doc_id")]
+    keys = pa.nulls(len(row), pa.int64()) if key is None else pa.array(key)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), keys, *columns, moved, pa.array(n.astype(np.int32))], names=["kind", "key", "anchor", "rk", "doc_id", "starts", "n"])
+
+
+def _unpack(structs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all starts, where each struct's starts begin and the last end, n) of structs (starts, n)."""
+    lists = structs.field("starts")
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False).astype(np.int64), edge, structs.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def look_up(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows ordered by anchor, hash and id: those that a smaller id has become spans."""
+    last: tuple | None = None
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        anchor, key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "key", "doc_id"))
+        new = _heads(anchor, key)
+        if last is not None and last[:2] == (anchor[0], key[0]):
+            new[0] = False
+        head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+        first = np.where(head >= 0, doc[np.maximum(head, 0)], last[2] if last else 0)
+        hit = pa.array(doc != first)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("rk", "doc_id", "starts", "n")], names=["rk", "doc_id", "starts", "n"])
+        last = anchor[-1], key[-1], first[-1]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(rk, doc_id, text): rk stands for id and text, so repeated ids stay apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -216,17 +405,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("rk"), doc.alias("doc_id"), text.alias("text"))
 
 
-def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Duplicate spans (rk, doc_id, starts, n), in words: each start begins one of ``n``; they may overlap."""
     known = keyed(docs).where("doc_id is not null")
     index = scratch.arrow(known, fragments(width, seed), _FRAGMENT)
-    block = index.repartition(F.col("anchor")).sortWithinPartitions("anchor", "cls", "doc_id")
-    parsed = scratch.keep(scratch.arrow(block, parse_block(width), "kind int, " + _SPAN), "rlz-parsed")
-    asked = parsed.where("kind = 1").distinct().groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("asked"))
-    met = known.join(asked.hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "asked")
-    windows = scratch.arrow(met, window_hashes(width), "window long, rk long, doc_id long, starts array<int>")
-    dealt = windows.repartition(F.col("window")).sortWithinPartitions("window", "doc_id")
-    return parsed.where("kind = 0").select("rk", "doc_id", "starts", "n").unionByName(scratch.arrow(dealt, look_up(width), _SPAN))
+    block = index.repartition(F.col("anchor")).sortWithinPartitions("anchor", "cls", "doc_id", "rk")
+    told = scratch.keep(scratch.arrow(block, parse_block(width), "kind int, rk long, doc_id long, anchor long, starts array<int>, n int"), "rlz-classes")
+    asked = told.where("kind = 1").groupBy("rk").agg(F.collect_list(F.struct("anchor", "starts", "n")).alias("asked"))
+    met = known.join(asked.hint("merge"), "rk").select("rk", "doc_id", "text", "asked")
+    words = scratch.arrow(met, cut(width), "anchor long, rk long, doc_id long, starts array<int>, n int, words binary")
+    dealt = words.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id")
+    parsed = scratch.keep(scratch.arrow(dealt, parse_fragments(width, block_words), "kind int, key long, anchor long, " + _SPAN), "rlz-parsed")
+    large = parsed.where("kind = 1").repartition("anchor", "key").sortWithinPartitions("anchor", "key", "doc_id")
+    out = told.where("kind = 0").select("rk", "doc_id", "starts", "n").unionByName(parsed.where("kind = 0").select("rk", "doc_id", "starts", "n"))
+    return out.unionByName(scratch.arrow(large.select("anchor", "key", "rk", "doc_id", "starts", "n"), look_up, _SPAN))
 
 
 def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +447,9 @@ def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns[:3], schema)] + [text], schema=schema)
 
 
-def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row."""
-    found = scratch.keep(spans(docs, width, seed).select("rk", "starts", "n"), "rlz-spans")
-    found = found.groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("found"))
+    found = spans(docs, width, seed, block_words).select("rk", "starts", "n").groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("found"))
     none = F.array().cast("array<struct<starts:array<int>,n:int>>")
-    met = keyed(docs).join(found.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"))
+    met = keyed(docs).join(found.hint("merge"), "rk", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"))
     return scratch.arrow(met, _kept, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -210,6 +210,8 @@ def test_substring_spans_on_random_copies(spark):
     docs = [" ".join(rng.choice(pool) if rng.random() < 0.6 else str(rng.randint(0, 9)) for _ in range(rng.randint(1, 9))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(df).collect()}
+    by_window = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(df, block_words=60).collect()}
+    assert by_window == got
     seen: dict[tuple, int] = {}
     words = [d.split() for d in docs]
     for i, w in enumerate(words):
@@ -220,6 +222,42 @@ def test_substring_spans_on_random_copies(spark):
         assert got[i] == (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
 
 
+def test_factors_by_brute_force():
+    for seed in range(120):
+        rng = random.Random(seed)
+        size = [rng.randint(0, 14) for _ in range(rng.randint(1, 9))]
+        first = np.concatenate(([0], np.cumsum(size)))
+        w = np.array([rng.randint(0, 2) for _ in range(first[-1])], np.int64)
+        doc = np.array([rng.randint(0, 4) for _ in size], np.int64)
+        if not len(w):
+            continue
+        length, source = substring.longest_matches(w, first, doc)
+        row = np.repeat(np.arange(len(size)), size)
+        for p in range(len(w)):
+            best = 0
+            for q in range(len(w)):
+                if doc[row[q]] < doc[row[p]]:
+                    n = 0
+                    while p + n < first[row[p] + 1] and q + n < first[row[q] + 1] and w[p + n] == w[q + n]:
+                        n += 1
+                    best = max(best, n)
+            assert length[p] == best
+            if best:
+                q = source[p]
+                assert doc[row[q]] < doc[row[p]] and (w[p : p + best] == w[q : q + best]).all()
+        want = []
+        for i in range(len(size)):
+            p = first[i]
+            while p < first[i + 1]:
+                want.append((p, max(1, length[p])))
+                p += max(1, length[p])
+        start, n = substring.factors(length, first)
+        assert sorted(zip(start.tolist(), n.tolist())) == want
+        start, n = substring.spans_of(length, first, 4)
+        covered = {p + k for p, m in zip(start.tolist(), n.tolist()) for k in range(m)}
+        assert covered == {p + k for p in range(len(w)) if length[p] >= 4 for k in range(4)}
+
+
 def test_trie_spills_and_merges():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(600)]
