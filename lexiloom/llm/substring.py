@@ -43,7 +43,7 @@ WIDTH = 50
 SEED = 25
 #: Words that one suffix array is built over; anchors with more are dealt by window.
 BLOCK_WORDS = 1 << 19
-_FRAGMENT = "rk long, doc_id long, anchor long, cls long, starts array<int>, n int"
+_FRAGMENT = "kind int, rk long, doc_id long, anchor long, cls long, starts array<int>, n int"
 _SPAN = "rk long, doc_id long, starts array<int>, n int"
 
 
@@ -88,22 +88,34 @@ def fragments_of(h: np.ndarray, first: np.ndarray, width: int, seed: int) -> tup
 
 
 def fragments(width: int, seed: int):
-    """Map: fragments of each text; one row for all places of a class in a text, since all share its fate."""
+    """Map: fragments of each text; one row for all places of a class in a text, since all share its fate.
+
+    Of one class in a slice of rows only the smallest id has to meet the index (``kind`` 1);
+    the others are whole factors already (``kind`` 0), so a class with a third of all rows
+    sends few of them.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in kernels.batches(source, "text"):
             words = kernels.Words(data, at)
             row, anchor, cls, lo, n = fragments_of(words.hashes(), words.first, width, seed)
-            if len(row):
-                order = np.lexsort((lo, n, cls, anchor, row))
-                row, anchor, cls, lo, n = (x[order] for x in (row, anchor, cls, lo, n))
-                head = np.flatnonzero(_heads(row, anchor, cls, n))
-                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32)))
-                take = pa.array(row[head])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("rk").take(take), rows.column("doc_id").take(take), pa.array(anchor[head]), pa.array(cls[head]), starts, pa.array(n[head].astype(np.int32))],
-                    names=["rk", "doc_id", "anchor", "cls", "starts", "n"],
-                )
+            if not len(row):
+                continue
+            order = np.lexsort((lo, n, cls, anchor, row))
+            row, anchor, cls, lo, n = (x[order] for x in (row, anchor, cls, lo, n))
+            head = np.flatnonzero(_heads(row, anchor, cls, n))
+            starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32)))
+            row, anchor, cls, n = row[head], anchor[head], cls[head], n[head]
+            doc = rows.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((doc, cls, anchor))
+            lead = np.maximum.accumulate(np.where(_heads(anchor[order], cls[order]), np.arange(len(order)), 0))
+            meets = np.empty(len(order), np.int32)
+            meets[order] = doc[order] == doc[order[lead]]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(meets), rows.column("rk").take(take), pa.array(doc), pa.array(anchor), pa.array(cls), starts, pa.array(n.astype(np.int32))],
+                names=["kind", "rk", "doc_id", "anchor", "cls", "starts", "n"],
+            )
 
     return run
 
@@ -118,7 +130,8 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 
 def parse_block(width: int):
-    """One block of the index, ordered by anchor, class, id and row, read as a stream.
+    """One block of the index, ordered by anchor, class, id and row, read as a stream; rows of
+    kind 0 are factors already and come first.
 
     kind 0: a fragment of a class that a smaller id has: one whole factor. kind 1: a
     fragment of the smallest id of its class whose anchor has other classes too, so its
@@ -130,6 +143,10 @@ def parse_block(width: int):
         last: tuple | None = None  # anchor, class, first id, whether the anchor has several classes, row
         held: list[pa.RecordBatch] = []
         for batch in source:
+            known = batch.column("kind").to_numpy(zero_copy_only=False) == 0
+            if known.any():  # only passing through
+                yield _found(0, batch, known, width - 1)
+                batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
             doc, anchor, cls, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "anchor", "cls", "rk"))
@@ -409,7 +426,8 @@ def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: in
     """Duplicate spans (rk, doc_id, starts, n), in words: each start begins one of ``n``; they may overlap."""
     known = keyed(docs).where("doc_id is not null")
     index = scratch.arrow(known, fragments(width, seed), _FRAGMENT)
-    block = index.repartition(F.col("anchor")).sortWithinPartitions("anchor", "cls", "doc_id", "rk")
+    dealt = F.when(F.col("kind") == 0, F.col("rk")).otherwise(F.col("anchor"))
+    block = index.repartition(dealt).sortWithinPartitions("kind", "anchor", "cls", "doc_id", "rk")
     told = scratch.keep(scratch.arrow(block, parse_block(width), "kind int, rk long, doc_id long, anchor long, starts array<int>, n int"), "rlz-classes")
     asked = told.where("kind = 1").groupBy("rk").agg(F.collect_list(F.struct("anchor", "starts", "n")).alias("asked"))
     met = known.join(asked.hint("merge"), "rk").select("rk", "doc_id", "text", "asked")
