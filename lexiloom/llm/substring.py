@@ -17,9 +17,9 @@ there is none. Factors of ``width`` words or more are duplicate spans; the windo
 across the boundaries of factors are checked by the longest match at their first word. Words
 are compared as words here: a block numbers its distinct words.
 
-An anchor whose fragments have more than :data:`BLOCK_WORDS` words can't be one block. The
-windows of its fragments are dealt by anchor and window hash instead and looked up, so no task
-holds an unbounded group, and no window is left out.
+An anchor with more than :data:`ANCHOR_FRAGMENTS` different fragments isn't parsed in one
+block. All windows of its fragments are dealt by anchor and window hash instead and looked up,
+so no task holds an unbounded group, and no window is left out.
 
 Defined cases. Null text: no words. Null ids: such rows neither lose words nor are a
 reference. Repeated ids are one document for the comparison of ids and separate rows in the
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,12 @@ from . import kernels, scratch
 
 WIDTH = 50
 SEED = 25
-#: Words that one suffix array is built over; anchors with more are dealt by window.
+#: Words that one suffix array is built over, at least one anchor's.
 BLOCK_WORDS = 1 << 19
+#: Anchors with more different fragments are dealt by window.
+ANCHOR_FRAGMENTS = 500
+#: Tasks that such an anchor's fragments are dealt to.
+PIECES = 64
 _FRAGMENT = "kind int, rk long, doc_id long, anchor long, cls long, starts array<int>, n int"
 _SPAN = "rk long, doc_id long, starts array<int>, n int"
 
@@ -189,8 +194,8 @@ def _found(kind: int, batch: pa.RecordBatch, which: np.ndarray, more: int) -> pa
 
 def cut(width: int):
     """The words of the asked fragments of each text, joined by single spaces."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-    names = ["anchor", "rk", "doc_id", "starts", "n", "words"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    names = ["anchor", "large", "rk", "doc_id", "starts", "n", "words"]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -203,7 +208,7 @@ def cut(width: int):
                 for f in asked:
                     lo = first + f["starts"][0]
                     part = raw[words.start[lo] : words.end[lo + f["n"] + width - 2]]
-                    out.append((f["anchor"], rk, doc, f["starts"], f["n"], b" ".join(part.split())))
+                    out.append((f["anchor"], f["large"], rk, doc, f["starts"], f["n"], b" ".join(part.split())))
                 if len(out) > 5000:
                     yield batch_of(out)
                     out = []
@@ -325,7 +330,7 @@ def numbered(words: kernels.Words) -> np.ndarray:
 
 def parse_fragments(width: int, block_words: int):
     """Fragments ordered by anchor -> kind 0: spans of whole blocks parsed one after another;
-    kind 1: windows (hash in ``key``) of anchors that are larger than a block."""
+    kind 1: windows (hash in ``key``) of ``large`` anchors."""
 
     def parsed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         data, at = kernels.buffer(rows["words"])
@@ -336,41 +341,38 @@ def parse_fragments(width: int, block_words: int):
             row = np.searchsorted(words.first, start, "right") - 1
             yield _moved(rows, row, start - words.first[row], n, 0, None)
 
-    def windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def windows(rows: pa.Table) -> pa.RecordBatch:
         data, at = kernels.buffer(rows["words"])
         words = kernels.Words(data, at)
         g = kernels.grams(words.hashes(), width)
         n = rows["n"].to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        yield _moved(rows, row, k, np.full(len(row), width), 1, g[words.first[row] + k].view(np.int64))
+        return _moved(rows, row, k, np.full(len(row), width), 1, g[words.first[row] + k].view(np.int64))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, held = [], 0  # complete anchors
-        group, size, anchor, large = [], 0, None, False  # the current one
+        held, size, last = [], 0, None
         for batch in source:
             if not batch.num_rows:
                 continue
+            large = batch.column("large")
+            if pa.compute.any(large).as_py():
+                yield windows(pa.Table.from_batches([batch.filter(large)]))
+                batch = batch.filter(pa.compute.invert(large))
+                if not batch.num_rows:
+                    continue
             key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n"))
-            head = np.flatnonzero(_heads(key))
-            for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(key)]):
-                if key[lo] != anchor:
-                    whole += group
-                    held += size
-                    group, size, anchor, large = [], 0, key[lo], False
-                part = batch.slice(lo, hi - lo)
-                more = int(n[lo:hi].sum()) + (width - 1) * (hi - lo)
-                if held and held + size + more > block_words:
-                    yield from parsed(pa.Table.from_batches(whole))
-                    whole, held = [], 0
-                if size + more > block_words or large:
-                    large = True
-                    yield from windows(pa.Table.from_batches([*group, part]))
-                    group, size = [], 0
-                else:
-                    group, size = [*group, part], size + more
-        if whole or group:
-            yield from parsed(pa.Table.from_batches(whole + group))
+            total = size + np.cumsum(n.astype(np.int64) + width - 1)
+            done = 0
+            for at in np.flatnonzero(_heads(key)).tolist():  # a block ends where an anchor starts
+                before = size if at == 0 else int(total[at - 1])
+                if before >= block_words and (at or key[0] != last):
+                    yield from parsed(pa.Table.from_batches([*held, batch.slice(done, at - done)]))
+                    held, size, done, total = [], 0, at, total - before
+            held.append(batch.slice(done))
+            size, last = int(total[-1]), key[-1]
+        if held:
+            yield from parsed(pa.Table.from_batches(held))
 
     return run
 
@@ -422,17 +424,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("rk"), doc.alias("doc_id"), text.alias("text"))
 
 
-def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+def spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS, anchor_fragments: int = ANCHOR_FRAGMENTS) -> DataFrame:
     """Duplicate spans (rk, doc_id, starts, n), in words: each start begins one of ``n``; they may overlap."""
     known = keyed(docs).where("doc_id is not null")
     index = scratch.arrow(known, fragments(width, seed), _FRAGMENT)
     dealt = F.when(F.col("kind") == 0, F.col("rk")).otherwise(F.col("anchor"))
     block = index.repartition(dealt).sortWithinPartitions("kind", "anchor", "cls", "doc_id", "rk")
     told = scratch.keep(scratch.arrow(block, parse_block(width), "kind int, rk long, doc_id long, anchor long, starts array<int>, n int"), "rlz-classes")
-    asked = told.where("kind = 1").groupBy("rk").agg(F.collect_list(F.struct("anchor", "starts", "n")).alias("asked"))
+    several = told.where("kind = 1").select("rk", "anchor", "starts", "n")
+    many = scratch.keep(several.groupBy("anchor").count().where(F.col("count") > anchor_fragments).select("anchor", F.lit(True).alias("large")), "rlz-large")
+    several = several.join(many, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    asked = several.groupBy("rk").agg(F.collect_list(F.struct("anchor", "large", "starts", "n")).alias("asked"))
     met = known.join(asked.hint("merge"), "rk").select("rk", "doc_id", "text", "asked")
-    words = scratch.arrow(met, cut(width), "anchor long, rk long, doc_id long, starts array<int>, n int, words binary")
-    dealt = words.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id")
+    words = scratch.arrow(met, cut(width), "anchor long, large boolean, rk long, doc_id long, starts array<int>, n int, words binary")
+    piece = F.when(F.col("large"), F.pmod("rk", F.lit(PIECES)))
+    dealt = words.repartition(F.col("anchor"), piece).sortWithinPartitions("anchor", "doc_id")
     parsed = scratch.keep(scratch.arrow(dealt, parse_fragments(width, block_words), "kind int, key long, anchor long, " + _SPAN), "rlz-parsed")
     large = parsed.where("kind = 1").repartition("anchor", "key").sortWithinPartitions("anchor", "key", "doc_id")
     out = told.where("kind = 0").select("rk", "doc_id", "starts", "n").unionByName(parsed.where("kind = 0").select("rk", "doc_id", "starts", "n"))
@@ -465,9 +471,9 @@ def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns[:3], schema)] + [text], schema=schema)
 
 
-def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS, anchor_fragments: int = ANCHOR_FRAGMENTS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row."""
-    found = spans(docs, width, seed, block_words).select("rk", "starts", "n").groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("found"))
+    found = spans(docs, width, seed, block_words, anchor_fragments).select("rk", "starts", "n").groupBy("rk").agg(F.collect_list(F.struct("starts", "n")).alias("found"))
     none = F.array().cast("array<struct<starts:array<int>,n:int>>")
     met = keyed(docs).join(found.hint("merge"), "rk", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"))
     return scratch.arrow(met, _kept, "doc_id long, n_words long, n_removed long, kept_text string")

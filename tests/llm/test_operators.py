@@ -210,8 +210,8 @@ def test_substring_spans_on_random_copies(spark):
     docs = [" ".join(rng.choice(pool) if rng.random() < 0.6 else str(rng.randint(0, 9)) for _ in range(rng.randint(1, 9))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(df).collect()}
-    by_window = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(df, block_words=60).collect()}
-    assert by_window == got
+    for small in ({"block_words": 60}, {"anchor_fragments": 1}):  # a block an anchor; anchors dealt by window
+        assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(df, **small).collect()} == got
     seen: dict[tuple, int] = {}
     words = [d.split() for d in docs]
     for i, w in enumerate(words):
