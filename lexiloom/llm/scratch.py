@@ -70,6 +70,11 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(where)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver forget finished plans, whose shuffle files executors then delete."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

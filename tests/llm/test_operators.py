@@ -468,7 +468,8 @@ def test_suffix_tree_distributions_sum_to_one():
     root = suffix_tree.Root(np.arange(5, dtype=np.uint64), np.array([9, 7, 5, 3, 2]), 30, 8)
     assert np.isclose(root.p[:-1].sum() + root.p[-1] * 4, 1)  # three rarer words and the unseen
     n = rng.integers(1, 9, 5)
-    log = suffix_tree.retained(np.zeros(5, np.uint64), np.arange(5), n, root.p[:5], -1e9, 8.0)
+    at, log = suffix_tree.retained(np.arange(5, dtype=np.uint64), n, root, -1e9, 8.0)
+    assert at.tolist() == [0, 1, 2, 3, 4]
     unseen = 8.0 * root.p[-1] * 4 / (n.sum() + 8.0)
     assert np.isclose(np.exp(log).sum() + unseen, 1)
 
