@@ -468,8 +468,11 @@ def test_suffix_tree_distributions_sum_to_one():
     root = suffix_tree.Root(np.arange(5, dtype=np.uint64), np.array([9, 7, 5, 3, 2]), 30, 8)
     assert np.isclose(root.p[:-1].sum() + root.p[-1] * 4, 1)  # three rarer words and the unseen
     n = rng.integers(1, 9, 5)
-    at, log = suffix_tree.retained(np.arange(5, dtype=np.uint64), n, root, -1e9, 8.0)
-    assert at.tolist() == [0, 1, 2, 3, 4]
+    at, c, t = suffix_tree.retained(np.arange(5, dtype=np.uint64), n, root, -1e9, 8.0)
+    assert at.tolist() == [0, 1, 2, 3, 4] and (c == n).all() and (t == n.sum()).all()
+    log = np.log((c + 8.0 * root.p[:5]) / (t + 8.0))
+    for x in (n, np.zeros(0, np.int32), rng.integers(0, 1 << 62, 999).astype(np.uint64)):
+        assert (suffix_tree.unpacked(suffix_tree.packed(x), len(x), x.dtype) == x).all()
     unseen = 8.0 * root.p[-1] * 4 / (n.sum() + 8.0)
     assert np.isclose(np.exp(log).sum() + unseen, 1)
 
