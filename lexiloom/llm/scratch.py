@@ -8,8 +8,10 @@ survive lost executors: a later stage rereads them instead of recomputing.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -71,8 +73,14 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets the driver forget finished plans, whose shuffle files executors then delete."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver forget finished plans, whose shuffle files executors then delete.
+
+    A plan's last references go between the first collection and the second.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 _SHIPPED: set[str] = set()
