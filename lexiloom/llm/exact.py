@@ -4,12 +4,17 @@ Texts are compared as the full UTF-8 bytes left after deleting ``[\\x20\\x09-\\x
 map task inserts its texts into local tries first, so a text with a third of all rows leaves
 one row per task. Length-and-content-hash partitions then merge those rows in owner tries;
 a terminal node stores the winner (most code points of the original, then smallest id) and
-the number of rows. A trie over its memory bound spills its largest subtree to a file, and
-later strings of that subtree go straight there; each spill file is then a trie of its own.
+the number of rows. A trie over its memory bound follows the edges that hold more than half of
+it, so a prefix that all strings share is passed in one step, and spills the largest subtree
+below to a file; later strings that reach that node go straight there. Each spill file is then
+a trie of its own, one after another.
 
 Defined cases. Null text counts as empty. A null id comes after every other id. All texts
 without a word are equal to each other. Repeated rows count one each; of those that carry
-the winner's id and length, every one is marked kept. Empty table: no rows.
+the winner's id and length, every one is marked kept, since nothing tells them apart (the
+pipeline's stage keeps one). Ties go to the smallest id. A very long text is one string,
+whole, and may exceed the bound by itself. Extra columns are carried along; those named like
+a new one are replaced. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,6 @@ from pyspark.sql import functions as F
 from . import kernels, scratch
 
 TRIE_BYTES = 32 << 20
-NO_ID = (1 << 63) - 1
 _NODE_BYTES = 400
 
 
@@ -46,49 +50,82 @@ def common(a: bytes, b: bytes, start: int) -> int:
     return low
 
 
+class Spill:
+    """Strings of one subtree in a file, appended in pieces."""
+
+    def __init__(self, folder: str):
+        fd, self.name = tempfile.mkstemp(dir=folder)
+        os.close(fd)
+        self.rows: list[tuple[bytes, tuple]] = []
+        self.held = 0
+        self.below: list[Spill] = []  # subtrees that were in files before
+
+    def add(self, text: bytes, owner: tuple) -> None:
+        self.rows.append((text, owner))
+        self.held += len(text) + 64
+        if self.held > 1 << 18:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.name, "ab") as f:
+            pickle.dump(self.rows, f)
+        self.rows, self.held = [], 0
+
+    def read(self) -> Iterator[tuple[bytes, tuple]]:
+        """All strings; the files are gone after that."""
+        left = [self]
+        while left:
+            part = left.pop()
+            part.flush()
+            with open(part.name, "rb") as f:
+                while True:
+                    try:
+                        yield from pickle.load(f)
+                    except EOFError:
+                        break
+            os.remove(part.name)
+            left += part.below
+
+
 class Node:
-    __slots__ = ("label", "kids", "owner")
+    __slots__ = ("label", "kids", "owner", "spill")
 
     def __init__(self, label: bytes, owner: tuple | None = None):
-        self.label, self.kids, self.owner = label, {}, owner
+        self.label, self.kids, self.owner, self.spill = label, {}, owner, None
 
 
 def merge(a: tuple | None, b: tuple) -> tuple:
-    """Owners are (-code points, id, rows): the smaller of the first two wins, rows add up."""
-    return b if a is None else (*min(a[:2], b[:2]), a[2] + b[2])
+    """Owners are (-code points, id is null, id, rows): the smaller of the first three wins, rows add up."""
+    return b if a is None else (*min(a[:3], b[:3]), a[3] + b[3])
 
 
 class Trie:
     """A compressed radix trie of byte strings with owners at terminal nodes."""
 
-    def __init__(self, most: int = TRIE_BYTES, folder: str | None = None, depth: int = 0):
-        self.root, self.held, self.most, self.folder, self.depth = Node(b""), 0, most, folder, depth
-        self.by_branch: dict[int, int] = {}  # bytes below each first byte of the root
-        self.spilled: dict[int, str] = {}
+    def __init__(self, most: int = TRIE_BYTES, folder: str | None = None):
+        self.root, self.held, self.most, self.folder = Node(b""), 0, most, folder
+        self.spills: list[Spill] = []
 
     def add(self, text: bytes, owner: tuple) -> None:
-        branch = text[self.depth] if len(text) > self.depth else -1
-        if branch in self.spilled:
-            with open(self.spilled[branch], "ab") as f:
-                pickle.dump((text, owner), f)
-            return
-        grown = self._insert(text, owner)
-        self.held += grown
-        self.by_branch[branch] = self.by_branch.get(branch, 0) + grown
-        if self.held > self.most and max(self.by_branch) >= 0:
+        self._insert(text, owner)
+        if self.held > self.most and self.folder is not None:
             self._spill()
 
-    def _insert(self, text: bytes, owner: tuple) -> int:
+    def _insert(self, text: bytes, owner: tuple) -> None:
         node, at = self.root, 0
         while True:
+            if node.spill is not None:
+                node.spill.add(text, owner)
+                return
             if at == len(text):
-                new = node.owner is None
+                self.held += 64 if node.owner is None else 0
                 node.owner = merge(node.owner, owner)
-                return 64 if new else 0
+                return
             kid = node.kids.get(text[at])
             if kid is None:
                 node.kids[text[at]] = Node(text[at:], owner)
-                return len(text) - at + _NODE_BYTES
+                self.held += len(text) - at + _NODE_BYTES
+                return
             same = common(kid.label, text, at)
             if same < len(kid.label):  # the edge forks
                 fork = Node(kid.label[:same])
@@ -99,22 +136,42 @@ class Trie:
             node, at = kid, at + same
 
     def _spill(self) -> None:
-        """Moves the largest subtree, by first byte after the shared prefix, to a file."""
-        branch = max((b for b in self.by_branch if b >= 0), key=self.by_branch.__getitem__)
-        if self.folder is None:
-            self.folder = tempfile.mkdtemp(prefix="trie-")
-        fd, name = tempfile.mkstemp(dir=self.folder)
-        keep: list[tuple[bytes, tuple]] = []
-        with os.fdopen(fd, "wb") as f:
-            for text, owner in self._walk(self.root, b""):
-                if len(text) > self.depth and text[self.depth] == branch:
-                    pickle.dump((text, owner), f)
-                else:
-                    keep.append((text, owner))
-        self.spilled[branch] = name
-        self.root, self.held, self.by_branch = Node(b""), 0, {}
-        for text, owner in keep:
-            self.add(text, owner)
+        """Moves the largest subtree below the heavy path to a file."""
+        node, prefix, whole = self.root, b"", self.held
+        while True:
+            sizes = {k: self._size(kid) for k, kid in node.kids.items() if kid.spill is None}
+            if not sizes:
+                self.most = max(self.most, 2 * self.held)  # one string holds it all
+                return
+            heaviest = max(sizes, key=sizes.__getitem__)
+            kid = node.kids[heaviest]
+            if 2 * sizes[heaviest] <= whole or not any(x.spill is None for x in kid.kids.values()):
+                break
+            node, prefix = kid, prefix + kid.label
+        if sizes[heaviest] * 1024 < whole:
+            self.most = max(self.most, 2 * self.held)  # what is left are paths to spilled subtrees
+            return
+        spill = Spill(self.folder)
+        for text, owner in self._walk(kid, prefix):
+            spill.add(text, owner)
+        stack = [kid]
+        while stack:
+            x = stack.pop()
+            stack += x.kids.values()
+            if x.spill is not None:
+                spill.below.append(x.spill)
+        self.spills = [x for x in self.spills if x not in spill.below] + [spill]
+        kid.kids, kid.owner, kid.spill = {}, None, spill
+        self.held = max(0, self.held - sizes[heaviest] + len(kid.label) + _NODE_BYTES)
+
+    @staticmethod
+    def _size(node: Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += len(node.label) + _NODE_BYTES
+            stack += node.kids.values()
+        return total
 
     @staticmethod
     def _walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, tuple]]:
@@ -124,25 +181,18 @@ class Trie:
             text = prefix + node.label
             if node.owner is not None:
                 yield text, node.owner
-            stack += [(kid, text) for kid in node.kids.values()]
+            stack += [(kid, text) for kid in node.kids.values() if kid.spill is None]
 
     def items(self) -> Iterator[tuple[bytes, tuple]]:
         """(text, owner) of every terminal node, spilled subtrees last."""
         yield from self._walk(self.root, b"")
-        self.root = Node(b"")
-        for name in list(self.spilled.values()):
-            below = Trie(self.most, self.folder, self.depth + 1)
-            with open(name, "rb") as f:
-                while True:
-                    try:
-                        below.add(*pickle.load(f))
-                    except EOFError:
-                        break
-            os.remove(name)
-            yield from below.items()
-        if self.depth == 0 and self.folder is not None:
-            os.rmdir(self.folder)
-            self.folder = None
+        self.root, left = Node(b""), self.spills
+        while left:
+            below = Trie(self.most, self.folder)
+            for text, owner in left.pop().read():
+                below.add(text, owner)
+            yield from self._walk(below.root, b"")
+            left += below.spills
 
 
 def _codepoints(data, at) -> list[int]:
@@ -158,9 +208,9 @@ _OUT_SQL = "n_bytes long, bucket long, norm binary, points long, doc_id long, n
 
 def _emit(items: Iterator[tuple[bytes, tuple]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    for text, (points, doc, n) in items:
+    for text, (points, late, doc, n) in items:
         bucket = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-        rows.append((len(text), bucket, text, -points, doc, n))
+        rows.append((len(text), bucket, text, -points, None if late else doc, n))
         held += len(text) + 64
         if held > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
@@ -179,7 +229,7 @@ def local_tries(most: int = TRIE_BYTES):
             raw = data.tobytes()
             ids = rows.column("doc_id").to_pylist()
             for i, (doc, n) in enumerate(zip(ids, points)):
-                trie.add(raw[at[i] : at[i + 1]].translate(None, kernels.SPACE), (-n, NO_ID if doc is None else doc, 1))
+                trie.add(raw[at[i] : at[i + 1]].translate(None, kernels.SPACE), (-n, doc is None, doc or 0, 1))
                 if trie.held > most:
                     yield from _emit(trie.items())
                     trie = Trie(1 << 62)
@@ -192,21 +242,26 @@ def owner_tries(most: int = TRIE_BYTES):
     """Reduce side: one task's length-and-hash partition; spills by subtree."""
     schema = pa.schema([("text_sha256", pa.string()), ("keep_points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(most)
+    def merged(source: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+        trie = Trie(most, folder)
         for batch in source:
-            columns = [batch.column(c).to_pylist() for c in ("norm", "points", "doc_id", "n")]
-            for text, points, doc, n in zip(*columns):
-                trie.add(text, (-points, doc, n))
+            for text, points, doc, n in zip(*(batch.column(c) for c in ("norm", "points", "doc_id", "n"))):
+                trie.add(text.as_py(), (-points.as_py(), not doc.is_valid, doc.as_py() or 0, n.as_py()))
         rows = []
-        for text, (points, doc, n) in trie.items():
-            rows.append((hashlib.sha256(text).hexdigest(), -points, None if doc == NO_ID else doc, n))
+        for text, (points, late, doc, n) in trie.items():
+            rows.append((hashlib.sha256(text).hexdigest(), -points, None if late else doc, n))
             if len(rows) == 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the executor's own scratch space, as Spark's spills; gone with the task
+        local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryDirectory(prefix="trie-", dir=local or None) as folder:
+            yield from merged(source, folder)
+
     return run
 
 

@@ -258,18 +258,20 @@ def test_factors_by_brute_force():
         assert covered == {p + k for p in range(len(w)) if length[p] >= 4 for k in range(4)}
 
 
-def test_trie_spills_and_merges():
+@pytest.mark.parametrize("prefix", [0, 1, 1200, 100_000])
+def test_trie_spills_and_merges(tmp_path, prefix):
+    """Strings with a long shared prefix spill behind it, however long it is."""
     rng = random.Random(2)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    texts = [b"p" * prefix + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(600)] + [b"p" * (prefix // 2) + b"q", b"", b"zz"]
     want: dict[bytes, tuple] = {}
-    trie = exact.Trie(most=6000)
+    trie = exact.Trie(most=prefix + 6000, folder=str(tmp_path))
     for i, t in enumerate(texts):
-        owner = (-(i % 3), i, 1)
+        owner = (-(i % 3), i % 5 == 0, i, 1)
         trie.add(t, owner)
         want[t] = exact.merge(want.get(t), owner)
-    assert trie.spilled
+    assert trie.spills
     got = list(trie.items())
-    assert len(got) == len(want) and dict(got) == want
+    assert len(got) == len(want) and dict(got) == want and not list(tmp_path.iterdir())
 
 
 def test_warc_parse_and_deduplicated_archive(spark, tmp_path, edges):
