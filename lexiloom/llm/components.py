@@ -17,7 +17,7 @@ def label(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the least node it reaches."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.keep(both, "edges")
-    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    labels = kept = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
@@ -25,6 +25,8 @@ def label(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
         moved = lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
         moved = scratch.keep(moved, "labels")
-        labels = moved.select("node", "root")
+        for done in (kept, lower):
+            scratch.release(done)
+        kept, labels = moved, moved.select("node", "root")
         if moved.where("root <> was").limit(1).count() == 0:
             return labels

@@ -1,8 +1,9 @@
 """Tables that cut lineage, written to the folder that all executors share.
 
-The folder comes from ``spark.checkpoint.dir``. Only where that is unset (unit tests on
-one machine) a temporary folder is set as the session's checkpoint folder. Written tables
-survive lost executors: a later stage rereads them instead of recomputing.
+The folder comes from ``spark.checkpoint.dir``. Only where that is unset, in sessions on one
+machine (unit tests), a temporary folder is set as the session's checkpoint folder; a cluster
+without the setting is an error. Written tables survive lost executors: a later stage rereads
+them instead of recomputing.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, list[str]] = {}
 
@@ -30,6 +32,8 @@ def root(spark: SparkSession) -> str:
     if not where:
         where = sc.getCheckpointDir()
         if where is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
             sc.setCheckpointDir(where)
             where = sc.getCheckpointDir()
@@ -69,7 +73,29 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.scratch_path = where
+    return out
+
+
+def release(kept: DataFrame) -> None:
+    """Deletes a table of :func:`keep` that nothing will read again."""
+    drop(kept.sparkSession, kept.scratch_path)
+
+
+def sampled(rows: DataFrame, label: str, seed: str, per_label: int, most_bytes: int) -> list[Row]:
+    """A sample of bounded rows and bytes of (doc_id, text, label): of each label about
+    ``per_label`` different rows with the least hashes, and of all these, in the order of the
+    hash, the first with ``most_bytes`` of text."""
+    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # a row for each class of a model
+    hashed = rows.withColumn("at_", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", label), F.lit(1 << 40)))
+    below = F.lit(0)
+    for value, n in sizes.items():
+        below = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(int(min(1.0, per_label / n) * (1 << 40)))).otherwise(below)
+    few = hashed.where(F.col("at_") < below).dropDuplicates(["at_", label])
+    before = Window.orderBy("at_", label).rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("bytes_", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    return few.where(F.col("bytes_") < most_bytes).orderBy("doc_id", "text", label).select("doc_id", "text", label).collect()
 
 
 def tidy(spark: SparkSession) -> None:
