@@ -3,13 +3,17 @@
 Letters are lower-cased and everything else is a boundary; n-grams of one to three characters
 are hashed into :data:`DIM` features. Term frequency is a share of the text's n-grams, inverse
 document frequency is counted over all training rows. Weights are fitted by
-follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on at most about
-``train_rows`` labelled rows, chosen by a hash of the id; a fifth of them calibrates the
-temperature. The tables that are broadcast have a fixed size per language.
+follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded sample:
+about ``train_rows`` different labelled rows of each language, chosen by a hash of id and text,
+and of these, in the hash's order, as many as have ``train_bytes`` of text, so a rare language
+is learned beside a common one. A fifth of the sample calibrates the temperature. The tables
+that are broadcast have a fixed size per language.
 
 Defined cases. Null text or a text without a letter: ``und``, score 0. Rows without a label
-never train. Repeated rows train and are scored one by one. No training rows: every row is
-``und``. Empty table: no rows. Extra columns are ignored.
+never train. Repeated rows count one by one in document frequencies, train once and are scored
+one by one. Ties between languages go to the first in the alphabet. A very long text is scored
+alone, whole. No training rows: every row is ``und``. Empty table: no rows. Carried columns
+that have the name of a new one are replaced; other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from . import kernels, scratch
 
 BITS = 15
 DIM = 1 << BITS
-TRAIN_ROWS = 3000
+#: Of each language.
+TRAIN_ROWS = 750
+#: Of all languages.
+TRAIN_BYTES = 32 << 20
 UNKNOWN = "und"
 SCALE = 8.0
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
@@ -208,7 +215,7 @@ def predict(model, columns: tuple[str, ...]):
     return run
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """The model of the labelled rows among those whose crc32(doc_id) mod 4 isn't 2."""
     rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(0))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -220,16 +227,16 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     n = int(totals[DIM])
     if not n:
         return Model([], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), 1.0)
-    share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, train_rows / n) * (1 << 30)))
-    sample = train.where(share).orderBy("doc_id", "text").collect()
-    if not sample:
-        sample = train.limit(train_rows).collect()
+    sample = scratch.sampled(train, "lang", "language", train_rows, train_bytes)
     return fit([r.text for r in sample], [r.lang for r in sample], totals[:DIM], n)
 
 
 def identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with lang_pred and score of every row."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, train_rows))
-    slim = docs.select(*[F.col(f"`{c}`") for c in carry if c != "text"], F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in slim.select(*carry).dtypes)
-    return scratch.arrow(slim, predict(model, carry), f"{kinds}, lang_pred string, score double")
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
+    names = tuple(f"c{i}" for i in range(len(carry)))
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], F.col("text").cast("string").alias("text"))
+    kinds = "".join(f"{c} {t}, " for c, t in slim.dtypes if c != "text")
+    out = scratch.arrow(slim, predict(model, names), f"{kinds}lang_pred string, score double")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "lang_pred", "score")
