@@ -6,13 +6,16 @@ whole text; two gated recurrent passes, one from each end, give a state per word
 weights pool them, and a logistic unit scores the window. A text's score is its highest
 window's, shifted so that 0.5 separates the classes with the fewest errors on held-back training rows.
 
-Trained on at most about ``train_rows`` labelled rows per class, chosen by a hash of the id,
-whole texts with all their windows. After the first epoch, windows of positive texts that
+Trained on a bounded sample: about ``train_rows`` labelled ids of each class, chosen by a hash
+of the id, of their different rows at most about twice as many, and of these, in the order of a
+hash, as many as have ``train_bytes`` of text, whole texts with all their windows. After the first epoch, windows of positive texts that
 the network finds clean are left out: the label says that a text is toxic somewhere.
 
 Defined cases. Null or blank text: one empty window. Rows without a label never train.
-Repeated rows are scored one by one. No training rows of both classes: every score is 0.
-Empty table: no rows. Extra columns are ignored.
+Repeated rows train once and are scored one by one; an id with both labels trains with both.
+A score of exactly 0.5 is predicted 1. A very long text is scored alone, in all its windows. No
+training rows of both classes: every score is 0. Empty table: no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from . import kernels, scratch
 
 TRAIN_ROWS = 1500
+TRAIN_BYTES = 32 << 20
 LENGTH, STRIDE = 48, 36
 HIDDEN, DIM, ATTEND = 8, 8, 8
 CHAR_BITS = 13
@@ -286,7 +290,7 @@ def scorer(model):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net | None:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Net | None:
     """The network of labelled rows whose crc32(doc_id) mod 5 isn't 0, about ``train_rows`` per class."""
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (rest != 0)).distinct()
@@ -295,7 +299,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> N
     for value, n in sizes.items():
         pick |= (F.col("toxic") == value) & (F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, train_rows / n) * (1 << 30))))
     chosen = F.broadcast(known.where(pick))  # about two times train_rows
-    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").orderBy("doc_id", "text").collect()
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    sample = scratch.sampled(found, "toxic", "toxicity", 2 * train_rows, train_bytes)  # ids may have several texts
     return train([r.text for r in sample], [r.toxic for r in sample])
 
 
