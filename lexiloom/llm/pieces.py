@@ -271,11 +271,17 @@ def encoder(data: bytes, threads: int, columns: tuple[str, ...], slice_chars: in
 
 
 def encoded(docs: DataFrame, path: str = MODEL, threads: int = THREADS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with n_tokens, ids and round_trip of every row."""
+    """The carried columns with n_tokens, ids and round_trip of every row.
+
+    A carried column that has the name of a new one is replaced; a carried text stays as it is, null or not.
+    """
     with open(path, "rb") as f:
         data = f.read()
     if bad := verify(data, PROBES):
         raise ValueError(f"the rebuilt tokenizer differs on {bad[:3]!r}")
-    slim = docs.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text" if "text" not in carry else "_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes)
-    return scratch.arrow(slim, encoder(data, threads, carry), f"{kinds}, n_tokens long, ids array<int>, round_trip boolean")
+    carry = tuple(c for c in carry if c not in ("n_tokens", "ids", "round_trip"))
+    names = tuple(f"c{i}" for i in range(len(carry)))
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = "".join(f"{c} {t}, " for c, t in slim.dtypes if c != "text")
+    out = scratch.arrow(slim, encoder(data, threads, names), f"{kinds}n_tokens long, ids array<int>, round_trip boolean")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "n_tokens", "ids", "round_trip")
