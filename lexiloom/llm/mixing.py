@@ -6,9 +6,12 @@ uniform that is a hash of seed and id, so it doesn't depend on partitioning, ret
 order. Copies are then shuffled globally by a hash key.
 
 Defined cases. A null source is a source of its own. A null id hashes as the word ``null``;
-repeated ids get equal counts, whatever their texts. Null or empty text counts as one
-character, so no source has size zero. Sources without a weight aren't drawn. Empty table:
-no rows. Extra columns are carried along; the new ones are ``copy`` and ``n_copies``.
+repeated ids get equal counts, whatever their texts (so ties and repeated rows are drawn
+alike). Null or empty text counts as one character, so no source has size zero; a very long
+text is a row like any other. Sources without a weight aren't drawn. Empty table: no rows.
+Extra columns are carried along, whatever their names; the new ones, ``copy`` and
+``n_copies``, replace columns of these names. The counts don't depend on the partitioning,
+the order of the output does.
 """
 
 from __future__ import annotations
@@ -74,18 +77,23 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, exponent: float
     table = scratch.keep(quantiles(rates(sizes, tempered(sizes, exponent) if weights is None else weights, epochs)), "rates")
     bound = table.agg(F.sum(F.size("cdf") * 8 + F.octet_length(F.coalesce("mix_source", F.lit(""))) + 64)).first()[0] or 0
     side = F.broadcast(table) if bound <= BROADCAST_BYTES else table
-    drawn = docs.drop("copy", "n_copies").join(side, F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
-    u = uniform(seed, F.col("doc_id"))
+    # other columns go along under names that nothing here has
+    carried = [c for c in docs.columns if c not in ("copy", "n_copies")]
+    names = [f"mix_c{i}" for i in range(len(carried))]
+    drawn = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_own"))
+    drawn = drawn.join(side.select("mix_source", "cdf"), F.col("mix_own").eqNullSafe(F.col("mix_source")))
+    u = uniform(seed, F.col("mix_id"))
     count = F.size(F.filter("cdf", lambda p: p <= F.col("mix_u")))
-    drawn = drawn.withColumn("mix_u", u).withColumn("n_copies", count.cast("long")).drop("cdf", "rate", "mix_u", "mix_source").where("n_copies > 0")
+    drawn = drawn.withColumn("mix_u", u).withColumn("n_copies", count.cast("long")).drop("cdf", "mix_u", "mix_source", "mix_own").where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    return shuffled(copies, seed)
+    return shuffled(copies, seed).select(*[F.col(n).alias(c) for c, n in zip(carried, names)], "n_copies", "copy")
 
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    """A global shuffle: a hash key of seed, id and copy deals rows to tasks and orders them there.
+    """A global shuffle: a hash key of seed, id, copy and place in the input deals rows to tasks and orders them there.
 
-    A hash of a random key is as even as a range of it and needs no sampling pass.
+    A hash of a random key is as even as a range of it and needs no sampling pass. The place
+    keeps rows without an id, or with the same one, from meeting in one task.
     """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"))
-    return df.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").drop("mix_key")
+    key = F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("copy"), F.monotonically_increasing_id())
+    return df.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").drop("mix_key", "mix_id")
