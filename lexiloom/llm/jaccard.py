@@ -19,8 +19,9 @@ that join components go out, beside the number of links of each class. Groups ov
 
 Defined cases. Null or blank text: an empty set, linked with nothing, its own component.
 Fewer words than ``width``: the whole sequence is the only shingle. A null id takes part;
-it is a component's id only if all ids are null. Repeated rows: equal sets, one class.
-Empty table: no rows. Extra columns are ignored.
+it is a component's id only if all ids are null. Repeated rows: equal sets, one class. Ties in
+the order of shingles go by hash. A very long text is one set, whole, read alone. Empty table:
+no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from . import components, kernels, scratch
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 22
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 500_000
 #: Percent of a set's shingles that have to be shared inside its longer prefix.
 SHARED_PERCENT = 10
 #: Classes that met others are broadcast up to so many bytes, checked; beyond, a shuffle join.
@@ -302,11 +303,6 @@ def all_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    if m == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if 100 * inter >= percent * (sizes.sum() - inter) and (skip is None or not skip(0)[1]):
-            yield 0, np.array([1])
-        return
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     tokens, member = tokens[order], np.repeat(np.arange(m, dtype=np.int32), sizes)[order]

@@ -153,7 +153,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP7_SQL = rf"""
@@ -175,7 +175,8 @@ with recursive d as (
 ), m as (
   select doc_id, min(reached) as component_id from r group by doc_id
 )
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id from d left join n using (doc_id) join m using (doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, coalesce(k.n_links, 0)::bigint as n_links
+from d left join n using (doc_id) join m using (doc_id) left join (select a as doc_id, count(*) as n_links from e group by a) k using (doc_id)
 """
 
 
