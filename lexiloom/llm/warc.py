@@ -7,7 +7,9 @@ parses ``Content-Length`` framing in Arrow batches. Only headers are shuffled by
 Defined cases. Null payload: an empty payload. Payloads shorter than ``least`` bytes are
 always responses. Of rows with equal payloads, the one with the smallest id is the response
 (null ids come last); of repeated rows with that same id one is the response and the others
-revisit that id. Null url: the record has no target header. Empty table: an empty archive.
+revisit that id, ties by record id. Null url: the record has no target header. A very long
+payload (up to the 2 GiB that a value may have) is one record, alone in its file if need be.
+Extra columns are ignored, whatever their names. Empty table: an empty archive.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import scratch
 
 CRLF = "\r\n"
 RECORDS_PER_FILE = 20_000
+#: Payload bytes that a file may have, unless one record has more: a file is read as one value.
+FILE_BYTES = 1 << 30
 #: Decisions (two record ids and a url each) are broadcast up to so many bytes, checked; beyond, a shuffle join.
 BROADCAST_BYTES = 32 << 20
 HEADERS = (
@@ -65,8 +69,15 @@ def records(df: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE, fast: bool = False) -> None:
-    """Writes gzipped archive files of at most ``records_per_file`` records each."""
+def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE, fast: bool = False, largest: int | None = None) -> None:
+    """Writes gzipped archive files of at most ``records_per_file`` records each.
+
+    A file is one gzip stream, read from its start. Its records are few enough that even the
+    largest payload in all of them stays within :data:`FILE_BYTES`.
+    """
+    if largest is None:
+        largest = df.agg(F.max("payload_length")).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, FILE_BYTES // max(largest, 1)))
     (
         records(df)
         .write.option("compression", "gzip")
@@ -262,10 +273,11 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     fresh headers, reads it back and resolves each revisit to its response."""
     spark = pages.sparkSession
     first, second = scratch.path(spark, "warc"), scratch.path(spark, "warc-deduplicated")
-    write_archive(from_pages(pages), first, fast=True)  # read once and dropped
+    largest = from_pages(pages).agg(F.max("payload_length")).first()[0] or 0
+    write_archive(from_pages(pages), first, fast=True, largest=largest)  # read once and dropped
     headers = scratch.keep(read_archive(spark, first, payload=False), "headers")
     raw = read_archive(spark, first).withColumn("payload", F.col("payload").cast("string"))
-    write_archive(deduplicate(raw, headers, least), second)
+    write_archive(deduplicate(raw, headers, least), second, largest=largest)
     scratch.drop(spark, first)
     again = scratch.keep(read_archive(spark, second, payload=False), "headers-deduplicated")
     return resolve(again)
