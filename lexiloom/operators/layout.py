@@ -26,21 +26,33 @@ def tv_distance(counts: DataFrame, key: str, side: Column, by: tuple[str, ...] =
     return share.groupBy(*by).agg((F.sum(F.abs(F.col("l") / F.col("ls") - F.col("r") / F.col("rs"))) / 2).alias("tv"))
 
 
+def _edge_tv(toks: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, side, tv) of line starts (first characters) and line ends (last ones), counted in one pass."""
+    ends = F.array(
+        F.struct(F.lit("start").alias("side_of"), F.substring("w", 1, 1).alias("c1"), F.when(role() != "last", role() == "first").alias("at_edge")),
+        F.struct(F.lit("end").alias("side_of"), F.substring("w", -1, 1).alias("c1"), F.when(role() != "first", role() == "last").alias("at_edge")),
+    )
+    counts = toks.select(*by, F.inline(ends)).groupBy(*by, "side_of", "c1", "at_edge").agg(F.count("*").alias("c"))
+    return tv_distance(counts, "c1", F.col("at_edge"), (*by, "side_of"))
+
+
+def _wide(rows: DataFrame, by: tuple[str, ...], names: dict[str, str]) -> DataFrame:
+    """start and end side by side: columns ``{new}_start`` and ``{new}_end`` of each named column."""
+    cells = [F.max(F.when(F.col("side_of") == k, F.col(c))).alias(f"{new}_{k}") for c, new in names.items() for k in ("start", "end")]
+    return rows.groupBy(*by).agg(*cells)
+
+
 def positional_tv(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """How line starts and line ends differ from mid-line: first and last characters. A32."""
-    r = toks.withColumns({"role": role(), "first_c": F.substring("w", 1, 1), "last_c": F.substring("w", -1, 1)})
-    start = tv_distance(r.groupBy(*by, "role", "first_c").agg(F.count("*").alias("c")), "first_c", F.when(F.col("role") != "last", F.col("role") == "first"), by)
-    end = tv_distance(r.groupBy(*by, "role", "last_c").agg(F.count("*").alias("c")), "last_c", F.when(F.col("role") != "first", F.col("role") == "last"), by)
-    return start.withColumnRenamed("tv", "tv_start").join(end.withColumnRenamed("tv", "tv_end"), list(by))
+    return _wide(_edge_tv(toks, by), by, {"tv": "tv"})
 
 
 def positional_z(toks: DataFrame, n: int = 10, by: tuple[str, ...] = BY, within: tuple[str, ...] = ("corpus", "page")) -> DataFrame:
     """The same against permutations that keep the layout. A33."""
     from .pairs import excess
 
-    each = positional_tv(nulls.refilled(toks, n, within), (*by, "round"))
-    start, end = (excess(each, f"tv_{k}", by).select(*by, F.col("real").alias(f"tv_{k}"), F.col("z").alias(f"z_{k}")) for k in ("start", "end"))
-    return start.join(end, list(by))
+    each = _edge_tv(nulls.refilled(toks, n, within), (*by, "round"))
+    return _wide(excess(each, "tv", (*by, "side_of")), by, {"real": "tv", "z": "z"}).select(*by, "tv_start", "z_start", "tv_end", "z_end")
 
 
 def feature_rates(toks: DataFrame, features: dict[str, Column], slot: Column, by: tuple[str, ...] = BY) -> DataFrame:
@@ -101,10 +113,17 @@ def tercile_rates(line_rows: DataFrame, hit: Column, by: tuple[str, ...] = BY, l
     """Rate of a line feature by fullness tercile among lines of equal word counts; the last tercile takes what is left over. A67."""
     n, size = F.size("ws"), F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
     each = line_rows.select(*by, "page", "line_idx", n.alias("n_words"), size.alias("size"), hit.cast("double").alias("hit"))
-    w = Window.partitionBy(*by, "n_words")
-    each = each.withColumns({"rn": F.row_number().over(w.orderBy("size", "page", "line_idx")), "n": F.count("*").over(w)}).where(F.col("n") >= least)
-    tercile = F.least(F.lit(2), F.floor((F.col("rn") - 1) / F.floor(F.col("n") / 3))).cast("int")
-    return each.groupBy(*by, tercile.alias("tercile")).agg(F.count("*").alias("n"), F.avg("hit").alias("rate"))
+    # a size between the cuts of its group needs no ranks; only the two that a cut goes through do
+    sizes = each.groupBy(*by, "n_words", "size").agg(F.count("*").alias("c"), F.sum("hit").alias("hits"))
+    group = Window.partitionBy(*by, "n_words")
+    sizes = sizes.withColumns({"before": F.sum("c").over(group.orderBy("size")) - F.col("c"), "n": F.sum("c").over(group)}).where(F.col("n") >= least)
+    of = lambda place: F.least(F.lit(2), F.floor(place / F.floor(F.col("n") / 3))).cast("int")
+    sizes = sizes.withColumns({"low": of(F.col("before")), "high": of(F.col("before") + F.col("c") - 1)})
+    whole = sizes.where("low = high").select(*by, F.col("low").alias("tercile"), F.col("c").alias("n"), "hits")
+    rank = F.row_number().over(Window.partitionBy(*by, "n_words", "size").orderBy("page", "line_idx"))
+    torn = each.join(sizes.where("low < high").select(*by, "n_words", "size", "before", "n"), [*by, "n_words", "size"]).withColumn("place", F.col("before") + rank - 1)
+    torn = torn.select(*by, of(F.col("place")).alias("tercile"), F.lit(1).cast("long").alias("n"), F.col("hit").alias("hits"))
+    return whole.unionByName(torn).groupBy(*by, "tercile").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("rate"))
 
 
 def share_by(toks: DataFrame, hit: Column, by: tuple[str, ...]) -> DataFrame:

@@ -104,11 +104,47 @@ def zipf(toks: DataFrame, by: tuple[str, ...] = BY, k: int = 1000) -> DataFrame:
     return top(toks, k, by).groupBy(*by).agg(F.regr_slope(F.ln(F.col("cnt").cast("double")), F.ln(F.col("rank").cast("double"))).alias("zipf_slope"))
 
 
+#: Ranges of pages that running sums are split into.
+RANGES = 200
+
+
+def page_starts(sizes: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, page, range_, start): the sum of ``n`` over the group's lesser pages, of (by, page, n).
+
+    Two levels, so no task sums up all pages: pages are dealt to ranges between :data:`RANGES`
+    of them that have the least hashes, sums go over ranges and over the pages in each.
+    """
+    lot = Window.partitionBy(*by).orderBy(F.xxhash64("page"), "page")
+    chosen = sizes.select(*by, "page", F.row_number().over(lot).alias("k_")).where(F.col("k_") <= RANGES)
+    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list("page")).alias("cuts_"))
+    each = joined_by(sizes.select(*by, "page", "n"), cuts, by)
+    each = each.withColumn("range_", F.size(F.filter("cuts_", lambda c: c <= F.col("page")))).drop("cuts_")
+    before = lambda *k, order: F.coalesce(F.sum("n").over(Window.partitionBy(*k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = each.groupBy(*by, "range_").agg(F.sum("n").alias("n")).select(*by, "range_", before(*by, order="range_").alias("lower_"))
+    inside = each.withColumn("inside_", before(*by, "range_", order="page"))
+    return joined_by(inside, ranges, (*by, "range_")).select(*by, "page", "range_", (F.col("lower_") + F.col("inside_")).alias("start"))
+
+
+def joined_by(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Join on columns that may be null; adaptive execution broadcasts a side that turns out small."""
+    renamed = right.withColumnsRenamed({c: f"{c}_r" for c in by})
+    condition = F.lit(True)
+    for c in by:
+        condition &= F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    return left.join(renamed, condition).drop(*[f"{c}_r" for c in by])
+
+
 def global_positions(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Adds gpos: pages before plus position. The running sum is over pages, not words."""
-    sizes = toks.groupBy(*by, "page").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return toks.join(sizes.select(*by, "page", before.alias("start_")), [*by, "page"]).withColumn("gpos", F.col("start_") + F.col("pos")).drop("start_")
+    """Adds gpos: pages before plus position. Running sums are over pages, not words, in two levels."""
+    starts = page_starts(toks.groupBy(*by, "page").agg(F.count("*").alias("n")), by)
+    return toks.join(starts.select(*by, "page", F.col("start").alias("start_")), [*by, "page"]).withColumn("gpos", F.col("start_") + F.col("pos")).drop("start_")
+
+
+def numbered(toks: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds i: the row's number in its group, by page and position; counted per page first."""
+    starts = page_starts(toks.groupBy(*by, "page").agg(F.count("*").alias("n")), by)
+    rank = F.row_number().over(Window.partitionBy(*by, "page").orderBy("pos")) - 1
+    return toks.withColumn("rank_", rank).join(starts.select(*by, "page", "start"), [*by, "page"]).withColumn("i", F.col("start") + F.col("rank_")).drop("rank_", "start")
 
 
 def heaps(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 256) -> DataFrame:
@@ -129,10 +165,23 @@ def heaps(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 256) -> DataFr
 
 
 def burstiness(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 15) -> DataFrame:
-    """(by, w, n, cv): deviation over mean of the gaps between occurrences. A19."""
-    g = global_positions(toks, by)
-    gap = F.col("gpos") - F.lag("gpos").over(Window.partitionBy(*by, "w").orderBy("gpos"))
-    return g.withColumn("gap", gap).groupBy(*by, "w").agg(F.count("*").alias("n"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv")).where(F.col("n") >= least)
+    """(by, w, n, cv): deviation over mean of the gaps between occurrences. A19.
+
+    Gaps are summed inside pages, then between the pages of a range, then between ranges, so a
+    frequent word is never one task's window.
+    """
+    starts = page_starts(toks.groupBy(*by, "page").agg(F.count("*").alias("n")), by)
+    g = toks.select(*by, "page", "pos", "w").join(starts, [*by, "page"]).select(*by, "range_", "page", "w", (F.col("start") + F.col("pos")).alias("first"))
+    each = g.withColumns({"last": F.col("first"), "n": F.lit(1).cast("long"), "squares": F.lit(0.0)})
+    for level in ((*by, "range_", "page"), (*by, "range_"), by):
+        gap = (F.col("first") - F.lag("last").over(Window.partitionBy(*level, "w").orderBy("first"))).cast("double")
+        each = each.withColumn("gap", F.coalesce(gap, F.lit(0.0))).groupBy(*level, "w").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum(F.col("squares") + F.col("gap") * F.col("gap")).alias("squares")
+        )
+    gaps = F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
+    mean = (F.col("last") - F.col("first")) / gaps
+    variance = F.greatest(F.col("squares") / gaps - mean * mean, F.lit(0.0))
+    return each.select(*by, "w", "n", (F.sqrt(variance) / mean).alias("cv")).where(F.col("n") >= least)
 
 
 def upper_median(x: Column) -> Column:

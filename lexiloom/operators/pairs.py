@@ -59,10 +59,11 @@ def mi_adjacent(toks: DataFrame, k: int = 150, by: tuple[str, ...] = BY, scope:
     return mutual_information(p.where("a <> b") if drop_diagonal else p, by)
 
 
-def rounds_mi(permuted: DataFrame, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
-    """MI of each round (0 is the real order) of permuted tokens; the top words are the real ones'. A7."""
+def rounds_mi(permuted: DataFrame, k: int = 150, by: tuple[str, ...] = BY, toks: DataFrame | None = None) -> DataFrame:
+    """MI of each round (0 is the real order) of permuted tokens; the top words are the real ones',
+    counted on the tokens before they were permuted (``toks``) where those are at hand. A7."""
     keys = (*by, "round")
-    words = lexical.top(permuted.where("round = 0"), k, by).select(*by, "w", F.lit(True).alias("is_top"))
+    words = lexical.top(permuted.where("round = 0") if toks is None else toks, k, by).select(*by, "w", F.lit(True).alias("is_top"))
     marked = permuted.join(checked(words), [*by, "w"], "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
     z = within(("corpus", "page", "round"))
     both = marked.withColumns({"a": F.col("w"), "b": F.lead("w").over(z), "b_top": F.lead("is_top").over(z)}).where(F.col("is_top") & F.col("b_top"))
@@ -97,10 +98,11 @@ def transitions(toks: DataFrame, cls: Column, by: tuple[str, ...] = BY, scope: t
 
 def pmi_shared(toks: DataFrame, least: int = 15, by: tuple[str, ...] = BY) -> DataFrame:
     """PMI with one unigram table fed from both places of each pair, about two bits low. A12, first form."""
-    p = pairs(toks, F.col("w"), F.col("w")).groupBy(*by, "a", "b").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    p = pairs(toks, F.col("w"), F.col("w")).groupBy(*by, "a", "b").agg(F.count("*").alias("c"))
     uni = p.select(*by, F.explode(F.array("a", "b")).alias("w"), "c").groupBy(*by, "w").agg(F.sum("c").alias("u"))
     frequent = p.where(F.col("c") >= least)
-    j = frequent.join(uni.withColumnsRenamed({"w": "a", "u": "ua"}), [*by, "a"]).join(uni.withColumnsRenamed({"w": "b", "u": "ub"}), [*by, "b"])
+    total = p.groupBy(*by).agg(F.sum("c").alias("n"))
+    j = frequent.join(uni.withColumnsRenamed({"w": "a", "u": "ua"}), [*by, "a"]).join(uni.withColumnsRenamed({"w": "b", "u": "ub"}), [*by, "b"]).join(total, list(by))
     return j.select(*by, "a", "b", "c", F.log2(F.col("c") * F.col("n") / (F.col("ua").cast("double") * F.col("ub"))).alias("pmi"))
 
 

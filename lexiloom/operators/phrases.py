@@ -33,9 +33,10 @@ def summary(toks: DataFrame, n: int, by: tuple[str, ...] = BY) -> DataFrame:
 
 def autopsy(toks: DataFrame, n: int = 3, by: tuple[str, ...] = BY) -> DataFrame:
     """What repeat events consist of: all words in the top 20, in the top 100, or some rare one. A57."""
-    from .lexical import ranked, vocab
+    from .lexical import top, vocab
 
-    ranks = ranked(vocab(toks, by), by).select(*by, F.col("w").alias("part"), "rank", "cnt")
+    voc = vocab(toks, by).select(*by, F.col("w").alias("part"), "cnt")
+    ranks = voc.join(top(toks, 100, by).select(*by, F.col("w").alias("part"), "rank"), [*by, "part"], "left").withColumn("rank", F.coalesce("rank", F.lit(101)))
     r = repeats(toks, n, by).where("events > 0")
     parts = r.select(*by, "gram", "events", F.explode(F.split("gram", " ")).alias("part")).join(ranks, [*by, "part"])
     each = parts.groupBy(*by, "gram").agg(F.first("events").alias("events"), F.max("rank").alias("worst"), F.min("cnt").alias("rarest"))

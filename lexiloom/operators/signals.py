@@ -31,10 +31,12 @@ def overdispersion(bits: DataFrame, by: tuple[str, ...] = BY, least: int = 10) -
 def stickiness(bits: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = BY) -> DataFrame:
     """Chance that a bit equals the one before in its page, against independence. A60."""
     prev = F.lag("bit").over(Window.partitionBy(*by, "page").orderBy(*order))
-    each = bits.withColumns({"prev_bit": prev, "p": F.avg(F.col("bit").cast("double")).over(Window.partitionBy(*by))}).where("prev_bit is not null")
-    same, p = F.avg((F.col("bit") == F.col("prev_bit")).cast("double")), F.first("p")
-    expected = p * p + (1 - p) * (1 - p)
-    return each.groupBy(*by).agg(F.count("*").alias("n"), same.alias("same"), expected.alias("expected"), ((same - expected) / F.nullif(F.sqrt(expected * (1 - expected) / F.count("*")), F.lit(0.0))).alias("z"))
+    each = bits.withColumn("prev_bit", prev).groupBy(*by).agg(
+        F.count("prev_bit").alias("n"), F.avg(F.col("bit").cast("double")).alias("p"), F.avg((F.col("bit") == F.col("prev_bit")).cast("double")).alias("same")
+    )
+    each = each.where("n > 0").withColumn("expected", F.col("p") * F.col("p") + (1 - F.col("p")) * (1 - F.col("p")))
+    spread = F.sqrt(F.col("expected") * (1 - F.col("expected")) / F.col("n"))
+    return each.select(*by, "n", "same", "expected", ((F.col("same") - F.col("expected")) / F.nullif(spread, F.lit(0.0))).alias("z"))
 
 
 def conditional_entropy(bits: DataFrame, given: tuple[str, ...], by: tuple[str, ...] = BY, least: int = 5) -> DataFrame:

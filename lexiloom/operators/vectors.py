@@ -34,26 +34,46 @@ def all_cosines(vec: DataFrame, ident: str, key: str = "w", n: str = "c", by: tu
     return out.select(*by, "a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
-def distance_bin(d: Column) -> Column:
-    return F.when(d <= 1, "01").when(d <= 3, "02-03").when(d <= 7, "04-07").when(d <= 15, "08-15").when(d <= 31, "16-31").otherwise("32+")
+#: Bins of distances in the page order; the last one is open.
+BINS = {"01": (1, 1), "02-03": (2, 3), "04-07": (4, 7), "08-15": (8, 15), "16-31": (16, 31)}
+FAR = "32+"
+#: Pages that one task compares at once.
+BLOCK = 4096
 
 
 def drift(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 60) -> DataFrame:
     """Mean cosine of page vocabularies by distance in the page order. A54, F3.
 
-    Norms and dot products come from (page, word) counts; the number of pairs of each distance
-    is arithmetic, so pairs that share nothing count as 0 without a row.
+    Norms and dot products come from (page, word) counts. A word's products with the pages
+    behind it are sums over ranges of the page order, in blocks of pages with the few that
+    follow; those far apart are what the square of the word's whole sum has left, so no word
+    is paired with itself page by page. The number of pairs of each distance is arithmetic, so
+    pairs that share nothing count as 0 without a row.
     """
+    from .lexical import joined_by, page_starts
+
     vec = toks.groupBy(*by, "page", "w").agg(F.count("*").alias("c"))
-    pages = vec.groupBy(*by, "page").agg(F.sum("c").alias("n"), F.sqrt(F.sum(F.col("c").cast("double") * F.col("c"))).alias("norm")).where(F.col("n") >= least)
-    w = Window.partitionBy(*by)
-    pages = pages.withColumns({"seq": F.row_number().over(w.orderBy("page")) - 1, "n_pages": F.count("*").over(w)})
-    unit = vec.join(pages, [*by, "page"]).select(*by, "w", "seq", (F.col("c") / F.col("norm")).alias("x"))
-    left, right = unit.select(*by, "w", F.col("seq").alias("i"), F.col("x").alias("xi")), unit.select(*by, "w", F.col("seq").alias("j"), F.col("x").alias("xj"))
-    dots = left.join(right, [*by, "w"]).where("j > i").groupBy(*by, distance_bin(F.col("j") - F.col("i")).alias("bin")).agg(F.sum(F.col("xi") * F.col("xj")).alias("total"))
-    sizes = pages.select(*by, "n_pages").distinct().where("n_pages > 1").select(*by, "n_pages", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_pages") - 1)).alias("d"))
-    sizes = sizes.groupBy(*by, distance_bin(F.col("d")).alias("bin")).agg(F.sum(F.col("n_pages") - F.col("d")).alias("n_pairs"))
-    return sizes.join(dots, [*by, "bin"], "left").select(*by, "bin", "n_pairs", (F.coalesce("total", F.lit(0.0)) / F.col("n_pairs")).alias("mean_cosine"))
+    pages = vec.groupBy(*by, "page").agg(F.sum("c").alias("m"), F.sqrt(F.sum(F.col("c").cast("double") * F.col("c"))).alias("norm")).where(F.col("m") >= least)
+    seq = page_starts(pages.select(*by, "page", F.lit(1).cast("long").alias("n")), by).select(*by, "page", F.col("start").alias("seq"))
+    unit = vec.join(pages, [*by, "page"]).join(seq, [*by, "page"]).select(*by, "w", "seq", (F.col("c") / F.col("norm")).alias("x"))
+    halo = max(hi for _, hi in BINS.values())
+    mine = F.floor(F.col("seq") / BLOCK)
+    dealt = F.when((F.col("seq") % BLOCK < halo) & (mine > 0), F.array(mine, mine - 1)).otherwise(F.array(mine))
+    each = unit.withColumn("own", mine).withColumn("block", F.explode(dealt))
+    z = Window.partitionBy(*by, "w", "block").orderBy("seq")
+    near = each.select(*by, "own", "block", "x", *[F.sum("x").over(z.rangeBetween(lo, hi)).alias(f"s{lo}") for lo, hi in BINS.values()]).where("own = block")
+    sums = near.groupBy(*by).agg(*[F.sum(F.col("x") * F.col(f"s{lo}")).alias(f"s{lo}") for lo, _ in BINS.values()])
+    whole = unit.groupBy(*by, "w").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).groupBy(*by).agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("all"))
+    zero = F.lit(0.0)
+    sums = joined_by(sums, whole, by).withColumn("far", F.col("all") - sum((F.coalesce(f"s{lo}", zero) for lo, _ in BINS.values()), zero))
+    cells = [F.struct(F.lit(k).alias("bin"), F.coalesce(c, zero).alias("total")) for k, c in {**{k: f"s{lo}" for k, (lo, _) in BINS.items()}, FAR: "far"}.items()]
+    dots = sums.select(*by, F.inline(F.array(*cells)))
+    n = F.col("n_pages")
+    # pairs at distances lo to hi: the sum of n - d
+    pairs = lambda lo, hi: (2 * n - lo - hi) * (hi - lo + 1) / 2
+    counts = [F.struct(F.lit(k).alias("bin"), F.when(n > lo, pairs(F.lit(lo), F.least(n - 1, F.lit(hi)))).otherwise(0).cast("long").alias("n_pairs")) for k, (lo, hi) in {**BINS, FAR: (halo + 1, 1 << 40)}.items()]
+    sizes = pages.groupBy(*by).agg(F.count("*").alias("n_pages")).select(*by, F.inline(F.array(*counts))).where("n_pairs > 0")
+    return joined_by(sizes, dots, (*by, "bin")).select(*by, "bin", "n_pairs", (F.greatest("total", zero) / F.col("n_pairs")).alias("mean_cosine"))
 
 
 def split_half(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:

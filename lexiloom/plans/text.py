@@ -145,7 +145,7 @@ _FOUR = ("corpus", "real", "null_mean", "excess", "ratio")
 
 @query(sql(VOC, RANKED, TOP150, _rounds(3), _NX, "p as (select corpus, round, a, b, count(*) as c from nx where (corpus, a) in (select corpus, w from top) and (corpus, b) in (select corpus, w from top) group by all)", mutual("p", "corpus, round"), select=_excess("mi_", "mi")))
 def mi_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.excess(pairs.rounds_mi(nulls.shuffled(docs(spark, sf_dir), 3)), "mi").select(*_FOUR)
+    return pairs.excess(pairs.rounds_mi(nulls.shuffled(docs(spark, sf_dir), 3), toks=docs(spark, sf_dir)), "mi").select(*_FOUR)
 
 
 @query(sql(_LEAD, select=f"select corpus, {r('avg((a = b)::int)')} as rate from nx where b is not null group by corpus"))

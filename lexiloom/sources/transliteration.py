@@ -132,6 +132,6 @@ def channel_bits(ws: DataFrame, first: Column) -> DataFrame:
 def skeleton(toks: DataFrame) -> DataFrame:
     """Tokens with their layout bucket and dense number in it, for generators. S23."""
     from ..operators.layout import role
+    from ..operators.lexical import numbered
 
-    order = Window.partitionBy("corpus", "bucket").orderBy("page", "pos")
-    return toks.withColumn("bucket", role()).withColumn("bucket_idx", F.row_number().over(order) - 1)
+    return numbered(toks.withColumn("bucket", role()), ("corpus", "bucket")).withColumnRenamed("i", "bucket_idx")
