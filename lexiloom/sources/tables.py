@@ -25,9 +25,17 @@ def tokenise(df: DataFrame, text: Column, keys: dict[str, Column], ws=words.lati
     return each.select(*keys, "t.line_idx", "t.word_idx", "t.line_len", "pos", "t.w")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt to all of them: a file may be one row group,
+    and so one task. Tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents``: corpus is the language, page the document, section the source."""
-    return tokenise(table(spark, sf_dir, "documents"), F.col("text"), {"corpus": F.col("lang"), "section": F.col("source"), "page": F.col("doc_id")})
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    return tokenise(docs, F.col("text"), {"corpus": F.col("lang"), "section": F.col("source"), "page": F.col("doc_id")})
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
