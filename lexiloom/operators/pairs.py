@@ -79,11 +79,11 @@ def excess(rounds: DataFrame, value: str, by: tuple[str, ...] = BY) -> DataFrame
     )
 
 
-def boundary_mi(toks: DataFrame, by: tuple[str, ...] = BY, qo: bool = False) -> DataFrame:
+def boundary_mi(toks: DataFrame, by: tuple[str, ...] = BY, qo: bool = False, scope: tuple[str, ...] = ("corpus", "page")) -> DataFrame:
     """MI of a word's last character with the next one's first (or ``qo``). A8, A9."""
     first = F.substring("w", 1, 1)
     first = F.when(F.col("w").startswith("qo"), "qo").otherwise(first) if qo else first
-    p = pairs(toks, F.substring("w", -1, 1), first).groupBy(*by, "a", "b").agg(F.count("*").alias("c"))
+    p = pairs(toks, F.substring("w", -1, 1), first, scope).groupBy(*by, "a", "b").agg(F.count("*").alias("c"))
     return mutual_information(p, by)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, other, text  # noqa: F401  importing registers
+from . import base, glyph, other, text  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, base.Query]:
