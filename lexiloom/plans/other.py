@@ -12,6 +12,7 @@ from ..operators import battery as battery_
 from ..operators import generators, lexical, nulls, pairs, signals
 from ..sources import plain, tables, transliteration
 from .base import VOC, mutual, query, r, sql
+from .text import _CV_GRAMMAR, _cv
 
 docs = tables.documents
 
@@ -83,7 +84,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- generators ----
 
-_PLACES = "pl as (select corpus, page::varchar as page, line_idx::int as line_idx, word_idx::int as word_idx, line_len::int as line_len, pos::int as pos, w, case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as bucket from tok)"
+_PLACES = "pl as materialized (select corpus, page::varchar as page, line_idx::int as line_idx, word_idx::int as word_idx, line_len::int as line_len, pos::int as pos, w, case when line_idx = 0 then 'pf-' else 'ot-' end || case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as bucket from tok)"
 
 
 @query(sql(_PLACES, "nb as (select *, row_number() over (partition by corpus, bucket order by page, pos) - 1 as i, count(*) over (partition by corpus, bucket) as n from pl)", "dr as (select * exclude (w, i), ('0x' || substr(md5(concat_ws('|', 1, page, pos)), 1, 12))::bigint % n as i from nb)", select="select dr.corpus, dr.page, dr.line_idx, dr.word_idx, dr.line_len, dr.pos, nb.w from dr join nb on nb.corpus = dr.corpus and nb.bucket = dr.bucket and nb.i = dr.i"))
@@ -91,18 +92,59 @@ def gen_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.iid(docs(spark, sf_dir)).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
 
 
-@query(sql(_PLACES, "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)", "s as (select row_number() over (order by page, pos) - 1 as gpos, array_to_string(list_sort(string_split(w, '')), '') as w from tok where corpus = 'fr')", select="select g.corpus, g.page, g.line_idx, g.word_idx, g.line_len, g.pos, s.w from g join s using (gpos) where g.corpus = 'es'"))
+_FR = "select row_number() over (order by page::varchar, pos) - 1 as gpos, {} as w from tok where corpus = 'fr'"
+
+
+@query(
+    sql(
+        _PLACES,
+        "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)",
+        f"s as ({_FR.format("array_to_string(list_sort(string_split(w, '')), '')")})",
+        select="select g.corpus, g.page, g.line_idx, g.word_idx, g.line_len, g.pos, s.w from g join s on s.gpos = g.gpos % (select count(*) from s)",
+    )
+)
 def gen_alphagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir)
-    source = lexical.global_positions(t.where("corpus = 'fr'")).select(F.lit("es").alias("corpus"), "gpos", "w")
-    return generators.alphagrams(t.where("corpus = 'es'"), source).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
+    return generators.alphagrams(docs(spark, sf_dir), for_all(spark, sf_dir, _french(spark, sf_dir), "gpos", "w")).select(_GEN)
 
 
-@query()
+_GEN = ["corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w"]
+
+
+def for_all(spark: SparkSession, sf_dir: str, rows: DataFrame, *columns: str) -> DataFrame:
+    """The same rows for every corpus."""
+    corpora = F.broadcast(docs(spark, sf_dir).select("corpus").distinct())
+    return corpora.join(rows.select(F.lit(1).alias("one_"), *columns), F.lit(1) == F.col("one_")).drop("one_")
+
+
+def _french(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = docs(spark, sf_dir).where("corpus = 'fr'").withColumn("page", F.col("page").cast("string"))
+    return lexical.global_positions(t)
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = docs(spark, sf_dir).where("corpus = 'fr'").withColumn("page", F.col("page").cast("string"))
+    return for_all(spark, sf_dir, generators.letter_stream(t), "gpos", "letter")
+
+
+@query(
+    sql(
+        _PLACES, VOC,
+        "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)",
+        "s as (select letter, row_number() over (order by page, pos, i) - 1 as gpos from (select page::varchar as page, pos, unnest(range(1, length(w) + 1)) as i, unnest(string_split(w, '')) as letter from tok where corpus = 'fr'))",
+        "f as (select letter, count(*) as c from s group by letter)",
+        "m as (select letter, c, greatest(1, round_even(c / sum(c) over () * 1500, 0)::int) as many from f)",
+        "b as (select letter, many, sum(many) over (order by c desc, letter) - many as start from m)",
+        "v as (select corpus, w, row_number() over (partition by corpus order by cnt desc, w) - 1 as k0, count(*) over (partition by corpus) as types from voc)",
+        "h as (select corpus, letter, greatest(0, k0 - start)::bigint as k, w from v, b where (k0 >= start and k0 < start + many) or (start >= types and k0 = 0))",
+        "n as (select corpus, letter, count(*) as n from h group by all)",
+        "p as (select g.*, s.letter, ('0x' || substr(md5(concat_ws('|', 4, page, pos)), 1, 12))::bigint as draw from g join s on s.gpos = g.gpos % (select count(*) from s))",
+        select="select p.corpus, p.page, p.line_idx, p.word_idx, p.line_len, p.pos, h.w from p join n using (corpus, letter) join h on h.corpus = p.corpus and h.letter = p.letter and h.k = p.draw % n.n",
+    )
+)
 def gen_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).where("corpus = 'es'")
-    letters = generators.letter_stream(docs(spark, sf_dir).where("corpus = 'fr'")).withColumn("corpus", F.lit("es"))
-    return generators.cipher(t, letters, generators.homophones(t, letters)).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
+    letters = _letters(spark, sf_dir)
+    t = docs(spark, sf_dir)
+    return generators.cipher(t, letters, generators.homophones(t, letters)).select(_GEN)
 
 
 @query()
@@ -110,9 +152,14 @@ def gen_copyist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.copyist(docs(spark, sf_dir))
 
 
+@query()
+def gen_copyist_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.copyist(docs(spark, sf_dir), generators.FLOW, seed=6)
+
+
 @query()
 def gen_copyist_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.copyist(docs(spark, sf_dir), seed=3, recall=0.25, boost=0.5, split=0.05)
+    return generators.copyist(docs(spark, sf_dir), generators.MEMORY, seed=8)
 
 
 @query()
@@ -134,14 +181,14 @@ def solver(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).drop("section").persist()
-    return battery_.metrics(t, fits=F.length("w") >= 2)
+    return battery_.metrics(t, fits=_cv().rlike(_CV_GRAMMAR))
 
 
 @query()
 def battery_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).persist()
     big = t.groupBy("corpus", "section").agg(F.count("*").alias("n")).where("n >= 2000").select("corpus", "section")
-    return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), fits=F.length("w") >= 2)
+    return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), fits=_cv().rlike(_CV_GRAMMAR))
 
 
 @query()
@@ -153,7 +200,8 @@ def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generator_showdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).drop("section")
-    return battery_.showdown(t, fits=F.length("w") >= 2)
+    french = for_all(spark, sf_dir, t.where("corpus = 'fr'").withColumn("page", F.col("page").cast("string")), "page", "pos", "w")
+    return battery_.showdown(t, fits=_cv().rlike(_CV_GRAMMAR), text=french)
 
 
 # ---- transliteration source ----

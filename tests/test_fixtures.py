@@ -171,7 +171,8 @@ def test_same_result_with_any_partitioning(spark, toks):
 
 
 def test_generators_keep_the_skeleton(toks):
-    for made in (generators.iid(toks), generators.copyist(toks, recall=0.2, boost=0.5, split=0.5), generators.table_words(toks)):
+    busy = generators.Habits(reuse=0.2, pull=0.5, avoid=0.7, split=0.5, pull_draws=3, avoid_draws=2)
+    for made in (generators.iid(toks), generators.copyist(toks, busy), generators.table_words(toks)):
         rows = made.collect()
         assert sorted((int(r.page), r.pos, r.line_len) for r in rows) == sorted((r.page, r.pos, r.line_len) for r in toks.collect())
         assert all(r.w for r in rows)
@@ -179,7 +180,58 @@ def test_generators_keep_the_skeleton(toks):
     assert again == [r.w for r in generators.copyist(toks.repartition(7)).orderBy("page", "pos").collect()]
     filled = generators.fill(toks, lambda page, rng: ["x"] * len(page))
     assert {r.w for r in filled.collect()} == {"x"}
-    assert generators.mutate("daiin", random.Random(1), "ab") != ""
+
+
+def test_slips_by_brute_force():
+    """Every slip is one of the five kinds, two at most, and each kind occurs."""
+    ends = generators.fixed.ENDINGS
+
+    def one(w, stem):
+        out = {w[1:]} if stem["q"] and w else {"q" + w} if stem["o"] else set()
+        for x, y in stem["pairs"]:
+            out.add(w.replace(x, y, 1))
+        return out | {stem["w"] + e for e in ends if stem["w"] is not None}
+
+    for w in ("qokeedy", "okaiin", "chedy", "shor", "daiin", "s", "", "qotchy", "xyz"):
+        end = next((e for e in ends if w.endswith(e) and len(w) > len(e)), None)
+        stem = {"q": w.startswith("qo"), "o": w.startswith("o"), "w": w[: -len(end)] if end else None}
+        ways = [("ch", "sh"), ("sh", "ch")], [("k", "t"), ("t", "k")], [("ee", "e"), ("e", "ee")]
+        stem["pairs"] = [p for p in (next((p for p in way if p[0] in w), None) for way in ways) if p]
+        single = one(w, stem)
+        double = single | {z for x in single for z in one(x, stem)}
+        rng = random.Random(4)
+        got = {generators.mutate(w, rng) for _ in range(2000)}
+        assert got <= (double or {w}) and (not single or single - {w} <= got)
+
+
+def test_copyist_habits():
+    rng = random.Random(3)
+    draws = [[f"w{i}y" if i % 2 else f"qo{i}n", "qokal", "dal", "qodal"] for i in range(200)]
+    first = [d[0] for d in draws]
+    nothing = generators.Habits(exact=0, copy=0, slip=0)
+    assert generators.write_page(draws, [0.5] * 200, nothing, set(), rng) == first
+    copies = generators.write_page(draws, [0.5] * 200, generators.Habits(exact=1.0, copy=1.0, slip=0, exact_reach=3), set(), rng)
+    assert copies[0] == first[0] and all(w in copies[max(0, i - 3) : i] for i, w in enumerate(copies) if i)
+    pulled = generators.write_page([["dary", "dal", "qokal"]] * 50, [0.0] * 50, generators.replace(nothing, pull=1.0), set(), rng)
+    assert pulled[:2] == ["dary", "qokal"] and set(pulled) == {"dary", "qokal"}
+    kept_off = generators.write_page([["qokal", "qodal", "dar"]] * 50, [0.0] * 50, generators.replace(nothing, avoid=1.0), set(), rng)
+    assert kept_off == ["qokal"] + ["dar"] * 49
+    split = generators.write_page([["darchol"]] * 6, [0.0] * 6, generators.replace(nothing, split=1.0), {"dar", "chol", "da"}, rng)
+    assert split == ["dar", "chol"] * 3
+    reused = generators.write_page(draws, [0.5] * 200, generators.Habits(exact=0, copy=0, slip=0, reuse=1.0, reuse_slip=0), set(), rng)
+    assert set(reused) == {first[0]}
+    shares = generators.write_page([["fresh"]] * 20000, [0.9] * 20000, generators.Habits(exact=0.2, copy=0.5, slip=0.0), set(), random.Random(1))
+    assert len(shares) == 20000
+
+
+def test_table_drifts_by_steps():
+    columns = [["a", "b", "c", "d", "e"], [""], ["1", "2", "3"]]
+    steps = generators.write_table(columns, 4000, random.Random(2), again=0.0)
+    at = [("abcde".index(w[0]), int(w[1])) for w in steps]
+    assert all(abs(x[0] - y[0]) <= 1 and abs(x[1] - y[1]) <= 1 for x, y in zip(at, at[1:]))
+    anew = [w[0] for w in generators.write_table(columns, 20000, random.Random(2), again=1.0)]
+    assert abs(anew.count("a") / 20000 - 0.12) < 0.02 and abs(anew.count("b") / 20000 - 0.88 * 0.12) < 0.02
+    assert generators.write_table([[""], [""], [""]], 2, random.Random(1)) == ["ol", "ol"]
 
 
 SF = "/root/testdata/sf0.001"
@@ -239,11 +291,12 @@ def test_generators_use_the_whole_vocabulary(spark):
     rows = [("c", "s", p, i, 0, 1, i, f"w{p * 100 + i:04d}") for p in range(30) for i in range(100)]
     toks = spark.createDataFrame(rows, "corpus string, section string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
     words_ = {r[-1] for r in rows}
-    drawn = {r.w for r in generators.copyist(toks, copy=0.0).collect()}
-    assert drawn <= words_ and any(w >= "w2000" for w in drawn) and drawn == {r.w for r in generators.iid(toks, 2).collect()}
+    plain = generators.Habits(exact=0, copy=0, slip=0)
+    drawn = {r.w for r in generators.copyist(toks, plain).collect()}
+    assert drawn <= words_ and any(w >= "w2000" for w in drawn)
     rows = [("c", "s", 0, i, 0, 1, i, "k" + "e" * (1 + i // 3)) for i in range(240)]
-    made = generators.table_words(spark.createDataFrame(rows, toks.schema), jump=0.05)
-    assert max(len(r.w) for r in made.collect()) > 66
+    table = generators.part_table(spark.createDataFrame(rows, toks.schema))["c"]
+    assert len(table[1]) == 80 and max(map(len, table[1])) == 81
 
 
 def test_cipher_writes_every_letter(spark, toks):
