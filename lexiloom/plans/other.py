@@ -99,8 +99,9 @@ _FR = "select row_number() over (order by page::varchar, pos) - 1 as gpos, {} as
     sql(
         _PLACES,
         "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)",
-        f"s as ({_FR.format("array_to_string(list_sort(string_split(w, '')), '')")})",
-        select="select g.corpus, g.page, g.line_idx, g.word_idx, g.line_len, g.pos, s.w from g join s on s.gpos = g.gpos % (select count(*) from s)",
+        f"s as materialized ({_FR.format("array_to_string(list_sort(string_split(w, '')), '')")})",
+        "a as (select g.*, g.gpos % k.n as at from g, (select count(*) as n from s) k)",
+        select="select a.corpus, a.page, a.line_idx, a.word_idx, a.line_len, a.pos, s.w from a join s on s.gpos = a.at",
     )
 )
 def gen_alphagram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +131,15 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         _PLACES, VOC,
         "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)",
-        "s as (select letter, row_number() over (order by page, pos, i) - 1 as gpos from (select page::varchar as page, pos, unnest(range(1, length(w) + 1)) as i, unnest(string_split(w, '')) as letter from tok where corpus = 'fr'))",
+        "s as materialized (select letter, row_number() over (order by page, pos, i) - 1 as gpos from (select page::varchar as page, pos, unnest(range(1, length(w) + 1)) as i, unnest(string_split(w, '')) as letter from tok where corpus = 'fr'))",
         "f as (select letter, count(*) as c from s group by letter)",
         "m as (select letter, c, greatest(1, round_even(c / sum(c) over () * 1500, 0)::int) as many from f)",
         "b as (select letter, many, sum(many) over (order by c desc, letter) - many as start from m)",
         "v as (select corpus, w, row_number() over (partition by corpus order by cnt desc, w) - 1 as k0, count(*) over (partition by corpus) as types from voc)",
         "h as (select corpus, letter, greatest(0, k0 - start)::bigint as k, w from v, b where (k0 >= start and k0 < start + many) or (start >= types and k0 = 0))",
         "n as (select corpus, letter, count(*) as n from h group by all)",
-        "p as (select g.*, s.letter, ('0x' || substr(md5(concat_ws('|', 4, page, pos)), 1, 12))::bigint as draw from g join s on s.gpos = g.gpos % (select count(*) from s))",
+        "a as (select g.*, g.gpos % k.n as at from g, (select count(*) as n from s) k)",
+        "p as (select a.*, s.letter, ('0x' || substr(md5(concat_ws('|', 4, page, pos)), 1, 12))::bigint as draw from a join s on s.gpos = a.at)",
         select="select p.corpus, p.page, p.line_idx, p.word_idx, p.line_len, p.pos, h.w from p join n using (corpus, letter) join h on h.corpus = p.corpus and h.letter = p.letter and h.k = p.draw % n.n",
     )
 )
