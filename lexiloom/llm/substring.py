@@ -329,8 +329,9 @@ def numbered(words: kernels.Words) -> np.ndarray:
 
 
 def parse_fragments(width: int, block_words: int):
-    """Fragments ordered by anchor -> kind 0: spans of whole blocks parsed one after another;
-    kind 1: windows (hash in ``key``) of ``large`` anchors."""
+    """Fragments ordered by anchor -> kind 0: spans of whole blocks parsed one after another, and
+    windows of ``large`` anchors that a smaller id among the same rows has; kind 1: their other
+    windows (hash in ``key``), to be looked up."""
 
     def parsed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         data, at = kernels.buffer(rows["words"])
@@ -348,7 +349,13 @@ def parse_fragments(width: int, block_words: int):
         n = rows["n"].to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        return _moved(rows, row, k, np.full(len(row), width), 1, g[words.first[row] + k].view(np.int64))
+        key, anchor, doc = g[words.first[row] + k].view(np.int64), rows["anchor"].to_numpy()[row], rows["doc_id"].to_numpy()[row]
+        # of one window in these rows only the smallest id has to meet the others
+        order = np.lexsort((doc, key, anchor))
+        lead = np.maximum.accumulate(np.where(_heads(anchor[order], key[order]), np.arange(len(order)), 0))
+        meets = np.empty(len(order), np.int32)
+        meets[order] = doc[order] == doc[order[lead]]
+        return _moved(rows, row, k, np.full(len(row), width), meets, key)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -377,7 +384,7 @@ def parse_fragments(width: int, block_words: int):
     return run
 
 
-def _moved(rows: pa.Table, row: np.ndarray, offset: np.ndarray, n: np.ndarray, kind: int, key: np.ndarray | None) -> pa.RecordBatch:
+def _moved(rows: pa.Table, row: np.ndarray, offset: np.ndarray, n: np.ndarray, kind: int | np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
     """Spans at ``offset`` in the fragments ``row``, at all places that each fragment has in its text."""
     lists = rows["starts"].combine_chunks()
     edge = lists.offsets.to_numpy().astype(np.int64)
@@ -390,7 +397,7 @@ def _moved(rows: pa.Table, row: np.ndarray, offset: np.ndarray, n: np.ndarray, k
     take = pa.array(row)
     columns = [rows[c].combine_chunks().take(take) for c in ("anchor", "rk", "doc_id")]
     keys = pa.nulls(len(row), pa.int64()) if key is None else pa.array(key)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), keys, *columns, moved, pa.array(n.astype(np.int32))], names=["kind", "key", "anchor", "rk", "doc_id", "starts", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(row)).astype(np.int32)), keys, *columns, moved, pa.array(n.astype(np.int32))], names=["kind", "key", "anchor", "rk", "doc_id", "starts", "n"])
 
 
 def _unpack(structs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
