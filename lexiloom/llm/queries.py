@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, mixing, pieces, quality, substring, suffix_tree, toxicity, warc
+from . import audit, exact, extract, jaccard, langid, mixing, pieces, prefixes, quality, substring, suffix_tree, toxicity, warc
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -194,7 +194,94 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a decimal id, bit by bit.
+_CRC = """xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda a, b: xor(a >> 8, list_reduce(list_concat([xor(a, b) & 255], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda p, q: case when p & 1 = 1 then xor(3988292384::bigint, p >> 1) else p >> 1 end))))"""
+
+OP11_SQL = f"""
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as pos
+  from conversations where conv_id is not null
+), s as (
+  select c, c - c % 100 as g, max(pos) as n, {_CRC} % 6 as h from t group by c
+), r as (
+  select s.c, t.pos as d, role, text from s join t on t.c = s.g where t.pos <= s.h
+  union all
+  select s.c, t.pos - s.h + least(s.h, coalesce(z.n, 0)), role, text
+  from s join t on t.c = s.c left join s z on z.c = s.g where t.pos > s.h
+), p as (
+  select c, d, text, md5(string_agg(md5(role) || md5(text), '') over (partition by c order by d)) as k from r
+  union all select c, 0, '', '' from s
+), q as (
+  select *, lag(k) over (partition by c order by d) as up, max(d) over (partition by c) as len from p
+), n as (
+  select d, k, any_value(up) as up, count(*) as n_convs, min(c) as conv_id, max(length(text)) as points,
+         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = len), '')) as ends_sha256
+  from q group by d, k
+), m as (
+  select n.*, coalesce(ch.n_children, 0) as n_children, x.conv_id as parent_conv_id
+  from n left join (select d - 1 as d, up as k, count(*) as n_children from n where d > 0 group by 1, 2) ch on ch.d = n.d and ch.k = n.k
+  left join n x on x.d = n.d - 1 and x.k = n.up
+), b as (
+  select q.d, q.k, sum((m.n_children = 0)::bigint) as n_leaves, sum((m.n_convs - 1) * m.points) as saved_tokens
+  from m join q on q.c = m.conv_id and q.d <= m.d group by q.d, q.k
+)
+select m.conv_id, m.d::bigint as depth, m.parent_conv_id, m.n_convs, m.n_children, b.n_leaves::bigint as n_leaves, b.saved_tokens::bigint as saved_tokens, m.ends_sha256
+from m join b on b.d = m.d and b.k = m.k
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = rf"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws,
+         min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents
+), l as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), x as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int
+         + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::int
+         + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > first_id, false)::int as mask
+  from d left join l using (doc_id)
+), c as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from x group by part, mask
+), f as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit
+), o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from f a, f b, f c, f d, f e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), s as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, unnest([1, 2, 3, 4, 5]) as u(step)
+)
+select part, filter_order, step,
+       coalesce(sum(n) filter (where mask & before = 0 and mask & bit = 0), 0)::bigint as kept,
+       coalesce(sum(n) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as removed,
+       coalesce(sum(n) filter (where mask & before > 0 and mask & bit > 0), 0)::bigint as redundant,
+       coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+       coalesce(sum(good) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost,
+       coalesce(sum(toxic) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost,
+       coalesce(sum(n * 120 // bit_count(mask)) filter (where mask & bit > 0), 0)::bigint as shapley
+from c, s group by part, filter_order, step
+"""
+
+
+def op13_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op6_language_id, op7_jaccard_join, op8_toxicity, op9_sentencepiece, op10_suffix_tree)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_revisits, op2_rlz_substrings, op3_quality_cascade, op4_poisson_mixing, op5_patricia_dedup, op6_language_id, op7_jaccard_join, op8_toxicity, op9_sentencepiece, op10_suffix_tree, op11_prefix_trie, op12_filter_audit, op13_line_blocks)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op2_rlz_substrings": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op5_patricia_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_audit": OP12_SQL}
