@@ -49,9 +49,13 @@ def positional_tv(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
 
 def positional_z(toks: DataFrame, n: int = 10, by: tuple[str, ...] = BY, within: tuple[str, ...] = ("corpus", "page")) -> DataFrame:
     """The same against permutations that keep the layout. A33."""
+    return edge_z(_edge_tv(nulls.refilled(toks, n, within), (*by, "round")), by)
+
+
+def edge_z(each: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """z of the distances (by, round, side_of, tv), start and end side by side."""
     from .pairs import excess
 
-    each = _edge_tv(nulls.refilled(toks, n, within), (*by, "round"))
     return _wide(excess(each, "tv", (*by, "side_of")), by, {"real": "tv", "z": "z"}).select(*by, "tv_start", "z_start", "tv_end", "z_end")
 
 
@@ -100,15 +104,45 @@ def corr_last_vs_rest(line_rows: DataFrame, by: tuple[str, ...] = BY, at: int =
     Groups under ``least_rows`` are skipped but stay in the total that weights are shares of.
     ``at`` is the word's place: -1 for the last, 0-based otherwise (null: the middle one).
     """
+    return _weighted_corr(_line_lengths(line_rows, at, least_words), by, least_rows)
+
+
+def _line_lengths(line_rows: DataFrame, at: int | None, least_words: int) -> DataFrame:
+    """The lines with x, the length of the word at a place, and y, that of the other words."""
     n = F.size("ws")
     total = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
     x = F.length(F.element_at("ws", -1)) if at == -1 else F.length(F.get("ws", F.floor(n / 2).cast("int") if at is None else F.lit(at)))
-    each = line_rows.where(n >= least_words).select(*by, n.alias("n_words"), x.cast("double").alias("x"), (total - x).cast("double").alias("y"))
+    return line_rows.where(n >= least_words).withColumns({"n_words": n, "x": x.cast("double"), "y": (total - x).cast("double")}).drop("ws")
+
+
+def _weighted_corr(each: DataFrame, by: tuple[str, ...], least_rows: int) -> DataFrame:
     group = each.groupBy(*by, "n_words").agg(F.count("*").alias("n"), F.coalesce(pearson(F.col("x"), F.col("y")), F.lit(0.0)).alias("r"))
     group = group.withColumn("all_n", F.sum("n").over(Window.partitionBy(*by)))
     return group.where(F.col("n") >= least_rows).groupBy(*by).agg(F.sum(F.col("r") * F.col("n") / F.col("all_n")).alias("r"))
 
 
+def corr_z(line_rows: DataFrame, rounds: int = 10, by: tuple[str, ...] = BY, least_words: int = 4, least_rows: int = 30) -> DataFrame:
+    """The last word's correlation against rounds that deal last words anew among lines of equal
+    word counts, and the middle word's as a control: (by, r_last, null_mean, z, r_mid). A66, N7.
+
+    Lines and last words are numbered by md5 in two orders, densely in each group, and meet on
+    the number: groups may be as large as a corpus.
+    """
+    from .lexical import joined_by
+    from .order import dense
+    from .pairs import excess
+
+    group = (*by, "n_words")
+    each = _line_lengths(line_rows, -1, least_words)
+    slots = dense(each.select(*group, "page", "line_idx", "y"), group, nulls.key(F.lit(0), "page", "line_idx"), ("page", "line_idx"))
+    drawn = dense(nulls.rounds(each.select(*group, "page", "line_idx", "x"), rounds, False), (*group, "round"), nulls.key("round", "page", "line_idx"), ("page", "line_idx"))
+    dealt = nulls.rounds(slots.select(*group, "i", "y"), rounds, False).join(drawn.select(*group, "round", "i", "x"), [*group, "round", "i"])
+    real = each.select(*group, F.lit(0).alias("round"), "x", "y")
+    rates = _weighted_corr(real.unionByName(dealt.select(*group, "round", "x", "y")), (*by, "round"), least_rows)
+    mid = corr_last_vs_rest(line_rows, by, None, least_words, least_rows).select(*by, F.col("r").alias("r_mid"))
+    return joined_by(excess(rates, "r", by), mid, by).select(*by, F.col("real").alias("r_last"), "null_mean", "z", "r_mid")
+
+
 def tercile_rates(line_rows: DataFrame, hit: Column, by: tuple[str, ...] = BY, least: int = 30) -> DataFrame:
     """Rate of a line feature by fullness tercile among lines of equal word counts; the last tercile takes what is left over. A67."""
     n, size = F.size("ws"), F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))

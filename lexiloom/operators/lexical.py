@@ -13,7 +13,9 @@ BY = ("corpus",)
 
 
 def vocab(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """(by, w, cnt)."""
+    """(by, w, cnt); a vocabulary with counts stands for its tokens."""
+    if "cnt" in toks.columns:
+        return toks.groupBy(*by, "w").agg(F.sum("cnt").alias("cnt"))
     return toks.groupBy(*by, "w").agg(F.count("*").alias("cnt"))
 
 
@@ -67,7 +69,7 @@ def edges(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] = ("
     return toks.groupBy(*by).agg(F.min(at)["w"].alias("first_w"), F.max(at)["w"].alias("last_w"))
 
 
-def char_bigrams(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] = ("page", "pos")) -> DataFrame:
+def char_bigrams(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] = ("page", "pos"), voc: DataFrame | None = None) -> DataFrame:
     """(by, a, b, cnt) of characters of the words joined by dots.
 
     Counted on the vocabulary: bigrams of ``.w.`` weighted by count, less the two that the
@@ -75,7 +77,7 @@ def char_bigrams(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ..
     """
     dotted = F.concat(F.lit("."), F.col("w"), F.lit("."))
     pairs = F.transform(F.sequence(F.lit(1), F.length(dotted) - 1), lambda i: F.struct(F.substring(dotted, i, F.lit(1)).alias("a"), F.substring(dotted, i + 1, F.lit(1)).alias("b")))
-    inner = vocab(toks, by).select(*by, "cnt", F.explode(pairs).alias("p")).select(*by, "p.a", "p.b", "cnt")
+    inner = vocab(toks if voc is None else voc, by).select(*by, "cnt", F.explode(pairs).alias("p")).select(*by, "p.a", "p.b", "cnt")
     e = edges(toks, by, order)
     less = e.select(*by, F.inline(F.array(
         F.struct(F.lit(".").alias("a"), F.substring("first_w", 1, 1).alias("b")), F.struct(F.substring("last_w", -1, 1).alias("a"), F.lit(".").alias("b"))
@@ -91,10 +93,10 @@ def char_h1(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return entropy_of(n, by).select(*by, F.col("h").alias("h1"))
 
 
-def char_h2(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] = ("page", "pos")) -> DataFrame:
+def char_h2(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] = ("page", "pos"), voc: DataFrame | None = None) -> DataFrame:
     """Entropy of a character given the one before. A5."""
     c = F.col("cnt").cast("double")
-    firsts = char_bigrams(toks, by, order).groupBy(*by, "a").agg(F.sum("cnt").alias("n"), F.sum(c * F.log2(c)).alias("s"))
+    firsts = char_bigrams(toks, by, order, voc).groupBy(*by, "a").agg(F.sum("cnt").alias("n"), F.sum(c * F.log2(c)).alias("s"))
     n = F.col("n").cast("double")
     return firsts.groupBy(*by).agg(((F.sum(n * F.log2(n)) - F.sum("s")) / F.sum("n")).alias("h2"))
 
@@ -135,7 +137,12 @@ def joined_by(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFra
 
 
 def global_positions(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Adds gpos: pages before plus position. Running sums are over pages, not words, in two levels."""
+    """Adds gpos: pages before plus position. Running sums are over pages, not words, in two levels.
+
+    Tokens that were placed before their pages came apart (``tables.placed``) have it already.
+    """
+    if "gpos" in toks.columns:
+        return toks
     starts = page_starts(toks.groupBy(*by, "page").agg(F.count("*").alias("n")), by)
     return toks.join(starts.select(*by, "page", F.col("start").alias("start_")), [*by, "page"]).withColumn("gpos", F.col("start_") + F.col("pos")).drop("start_")
 
@@ -164,34 +171,59 @@ def heaps(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 256) -> DataFr
     return points.groupBy(*by).agg(F.regr_slope(F.ln(F.col("v").cast("double")), F.ln(F.pow(F.lit(2.0), "k"))).alias("heaps_beta"))
 
 
-def burstiness(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 15) -> DataFrame:
-    """(by, w, n, cv): deviation over mean of the gaps between occurrences. A19.
+#: Bits of a position that the levels of :func:`gaps` leave out: the most words between two of a level's rows.
+LEVELS = (14, 28)
+
 
-    Gaps are summed inside pages, then between the pages of a range, then between ranges, so a
-    frequent word is never one task's window.
+def gaps(placed: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, w, n, first, last, squares) of (by, w, gpos): the squares of the gaps between occurrences, summed.
+
+    Gaps are summed inside ranges of positions, then between them, then between ranges of ranges,
+    so a frequent word is never one task's window.
     """
-    starts = page_starts(toks.groupBy(*by, "page").agg(F.count("*").alias("n")), by)
-    g = toks.select(*by, "page", "pos", "w").join(starts, [*by, "page"]).select(*by, "range_", "page", "w", (F.col("start") + F.col("pos")).alias("first"))
-    each = g.withColumns({"last": F.col("first"), "n": F.lit(1).cast("long"), "squares": F.lit(0.0)})
-    for level in ((*by, "range_", "page"), (*by, "range_"), by):
+    each = placed.select(*by, "w", F.col("gpos").alias("first"), F.col("gpos").alias("last"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("squares"))
+    for bits in (*LEVELS, None):
+        level = by if bits is None else (*by, "cell_")
+        each = each if bits is None else each.withColumn("cell_", F.shiftright("first", bits))
         gap = (F.col("first") - F.lag("last").over(Window.partitionBy(*level, "w").orderBy("first"))).cast("double")
         each = each.withColumn("gap", F.coalesce(gap, F.lit(0.0))).groupBy(*level, "w").agg(
             F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum(F.col("squares") + F.col("gap") * F.col("gap")).alias("squares")
         )
-    gaps = F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
-    mean = (F.col("last") - F.col("first")) / gaps
-    variance = F.greatest(F.col("squares") / gaps - mean * mean, F.lit(0.0))
-    return each.select(*by, "w", "n", (F.sqrt(variance) / mean).alias("cv")).where(F.col("n") >= least)
+    return each
 
 
-def upper_median(x: Column) -> Column:
-    """The element at n // 2 of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+def variation(placed: DataFrame, by: tuple[str, ...] = BY, least: int = 15) -> DataFrame:
+    """(by, w, n, cv) of (by, w, gpos): deviation over mean of the gaps. A19."""
+    between = F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
+    mean = (F.col("last") - F.col("first")) / between
+    variance = F.greatest(F.col("squares") / between - mean * mean, F.lit(0.0))
+    return gaps(placed, by).where(F.col("n") >= least).select(*by, "w", "n", (F.sqrt(variance) / mean).alias("cv"))
+
+
+def burstiness(toks: DataFrame, by: tuple[str, ...] = BY, least: int = 15) -> DataFrame:
+    """(by, w, n, cv): deviation over mean of the gaps between occurrences. A19."""
+    return variation(global_positions(toks, by), by, least)
 
 
 def burstiness_summary(cv: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Upper median and share over 1.3 of the words' variation. A20."""
-    return cv.groupBy(*by).agg(F.count("*").alias("n_words"), upper_median(F.col("cv")).alias("median_cv"), F.avg((F.col("cv") > 1.3).cast("double")).alias("share_over_1_3"))
+    from .. import stage
+    from . import order
+
+    cv = stage.written(cv, "variation")
+    median = order.upper_median(cv, by, "cv").select(*by, F.col("value").alias("median_cv"))
+    counted = cv.groupBy(*by).agg(F.count("*").alias("n_words"), F.avg((F.col("cv") > 1.3).cast("double")).alias("share_over_1_3"))
+    return joined_by(counted, median, by).select(*by, "n_words", "median_cv", "share_over_1_3")
+
+
+def shuffled_medians(toks: DataFrame, rounds: int = 10, by: tuple[str, ...] = BY, least: int = 15) -> DataFrame:
+    """The upper median of A20 beside its mean, least and greatest over corpora shuffled as a whole. A20, N5."""
+    from . import nulls, order
+
+    placed = nulls.permuted(global_positions(toks, by), rounds, by)
+    medians = order.upper_median(variation(placed, (*by, "round"), least), (*by, "round"), "cv")
+    null = F.when(F.col("round") > 0, F.col("value"))
+    return medians.groupBy(*by).agg(F.max(F.when(F.col("round") == 0, F.col("value"))).alias("median_cv"), F.avg(null).alias("null_mean"), F.min(null).alias("null_least"), F.max(null).alias("null_most"))
 
 
 def burstiness_bands(cv: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:

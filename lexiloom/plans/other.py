@@ -7,11 +7,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import words
+from ..functions import fixed, words
 from ..operators import battery as battery_
 from ..operators import generators, lexical, nulls, pairs, signals
 from ..sources import plain, tables, transliteration
-from .base import VOC, mutual, query, r, sql
+from . import glyph  # noqa: F401  profiles are composed of its SQL too
+from .base import ORACLES, TOK, VOC, mutual, query, r, sql
 from .text import _CV_GRAMMAR, _cv
 
 docs = tables.documents
@@ -164,9 +165,24 @@ def gen_copyist_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.copyist(docs(spark, sf_dir), generators.MEMORY, seed=8)
 
 
-@query()
+_WALK = (
+    _PLACES, VOC,
+    "g as (select *, row_number() over (partition by corpus order by page, pos) - 1 as gpos from pl)",
+    f"q as (select corpus, cnt, unnest([0, 1, 2]) as k, unnest([regexp_extract(w, '{fixed.PARTS}', 1), regexp_extract(w, '{fixed.PARTS}', 2), regexp_extract(w, '{fixed.PARTS}', 3)]) as part from voc where regexp_matches(w, '{fixed.PARTS}'))",
+    "tb as (select corpus, k, part, row_number() over (partition by corpus, k order by sum(cnt) desc, part) - 1 as i from q group by corpus, k, part having sum(cnt) >= 3)",
+    "ls as (select c.corpus, c.k, coalesce(max(i), 0) as last from (select distinct corpus, unnest([0, 1, 2]) as k from voc) c left join tb on tb.corpus = c.corpus and tb.k = c.k group by all)",
+    "dr as (select g.corpus, g.gpos, ls.k, ls.last, md5(concat_ws('|', 3, page, pos, ls.k)) as m from g join ls using (corpus))",
+    f"st as (select corpus, gpos, k, last, ('0x' || m[1:8])::bigint < {int(generators.ANEW * 16**8)} as anew, least(floor(ln((('0x' || m[9:20])::bigint + 1) / pow(16.0, 12)) / ln({generators.ONWARD})), last)::bigint as chosen, [-1, 0, 0, 1][('0x' || m[21:21])::int % 4 + 1]::bigint as drift from dr)",
+    "sg as (select *, sum(anew::int) over (partition by corpus, k order by gpos) as seg from st)",
+    "ps as (select corpus, gpos, k, last, list_concat([0::bigint], list(case when anew then chosen else drift end) over (partition by corpus, k, seg order by gpos)) as moves from sg)",
+    "wk as (select corpus, gpos, k, list_reduce(moves, lambda a, b: least(greatest(a + b, 0), last)) as at from ps)",
+    "wd as (select wk.corpus, gpos, string_agg(coalesce(part, ''), '' order by wk.k) as w from wk left join tb on tb.corpus = wk.corpus and tb.k = wk.k and tb.i = wk.at group by all)",
+)
+
+
+@query(sql(*_WALK, select="select corpus, g.page, g.line_idx, g.word_idx, g.line_len, g.pos, case when wd.w = '' then 'ol' else wd.w end as w from g join wd using (corpus, gpos)"))
 def gen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.table_words(docs(spark, sf_dir))
+    return generators.table_words(docs(spark, sf_dir)).select(_GEN)
 
 
 @query()
@@ -180,22 +196,40 @@ def solver(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- battery ----
 
 
-@query()
+def _metric(name: str, column: str, metric: str, by: str = "corpus") -> str:
+    return f"select {by}, '{metric}' as metric, {column}::double as value from ({ORACLES[name]})"
+
+
+_BATTERY = [
+    ("token_counts", "n_types", "types"), ("token_counts", "hapax_share", "hapax"), ("token_counts", "top1_share", "top1"), ("zipf_slope", "zipf_slope", "zipf"),
+    ("mi_excess", "excess", "mi_excess"), ("repeat_ratio", "ratio", "repeat_ratio"), ("selfsim_ratio", "ratio", "selfsim_ratio"),
+    ("positional_z", "z_start", "pos_z_start"), ("positional_z", "z_end", "pos_z_end"), ("char_h2", "h2", "h2"), ("slot_coverage", "token_share", "grammar"),
+]
+_PROFILE = [
+    *_BATTERY[:-1], ("heaps_beta", "heaps_beta", "heaps"), ("burstiness_summary", "median_cv", "median_cv"), ("monotone_share", "share", "monotone"),
+    ("cross_boundary_mi", "mi", "boundary_mi"), ("ngram_repeats_3", "events", "grams_3"), ("ngram_repeats_4", "events", "grams_4"),
+]
+_UNION = " union all "
+_SECTIONS = _UNION.join(_metric(*m) for m in _BATTERY).replace("lang as corpus, source as section", "lang || '|' || source as corpus, source as section")
+_GRAMMAR = f"select corpus, 'grammar' as metric, {r('sum(case when fits then n_tokens else 0 end) / sum(n_tokens)')} as value from ({ORACLES['class_strings']}) group by corpus"
+_TOP_CV = f"select corpus, 'top_cv' as metric, median_cv::double as value from ({ORACLES['burstiness_summary'].replace('having count(*) >= 15', 'having count(*) > 100')})"
+
+
+@query(_UNION.join(_metric(*m) for m in _BATTERY))
 def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).drop("section").persist()
-    return battery_.metrics(t, fits=_cv().rlike(_CV_GRAMMAR))
+    return battery_.metrics(docs(spark, sf_dir).drop("section"), fits=_cv().rlike(_CV_GRAMMAR))
 
 
-@query()
+@query(f"with {TOK}, big as (select corpus, section from tok group by all having count(*) >= 2000) select big.corpus, section, metric, value from big join ({_SECTIONS}) m on m.corpus = big.corpus || '|' || section")
 def battery_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).persist()
+    t = docs(spark, sf_dir)
     big = t.groupBy("corpus", "section").agg(F.count("*").alias("n")).where("n >= 2000").select("corpus", "section")
     return battery_.metrics(t.join(big, ["corpus", "section"], "left_semi"), ("corpus", "section"), fits=_cv().rlike(_CV_GRAMMAR))
 
 
-@query()
+@query(f"with m as ({_UNION.join([*(_metric(*m) for m in _PROFILE), _GRAMMAR, _TOP_CV])}) select metric, " + ", ".join(f"max(case when corpus = '{c}' then value end) as {c}" for c in ("de", "en", "es", "fr")) + " from m group by metric")
 def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).drop("section").persist()
+    t = tables.placed(spark, sf_dir).drop("section")
     return battery_.pivot(battery_.profile(t), values=["de", "en", "es", "fr"])
 
 

@@ -80,7 +80,7 @@ _GPOS = "g as (select *, row_number() over (partition by corpus order by page, p
 
 @query(sql(_GPOS, "f as (select corpus, w, min(gpos) as g from g group by all)", "n as (select corpus, count(*) as t from g group by all)", "p as (select corpus, pow(2, k) as n from n, unnest(range(8, 40)) as u(k) where pow(2, k) <= t)", "v as (select p.corpus, n, count(*) as v from p join f on f.corpus = p.corpus and f.g < p.n group by all)", select=f"select corpus, {r('regr_slope(ln(v), ln(n))')} as heaps_beta from v group by corpus"))
 def heaps_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.heaps(docs(spark, sf_dir))
+    return lexical.heaps(tables.placed(spark, sf_dir))
 
 
 _CV = (_GPOS, "gaps as (select corpus, w, gpos - lag(gpos) over (partition by corpus, w order by gpos) as gap from g)", "cv as (select corpus, w, count(*) as n, stddev_pop(gap) / avg(gap) as cv from gaps group by all having count(*) >= 15)")
@@ -88,7 +88,21 @@ _CV = (_GPOS, "gaps as (select corpus, w, gpos - lag(gpos) over (partition by co
 
 @query(sql(*_CV, select=f"select corpus, w, n, {r('cv')} as cv from cv"))
 def burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.burstiness(docs(spark, sf_dir))
+    return lexical.burstiness(tables.placed(spark, sf_dir))
+
+
+_NULL_CV = (
+    _GPOS,
+    "rd as (select corpus, w, gpos, 0 as round from g union all select corpus, w, row_number() over (partition by corpus, round order by md5(concat_ws('|', round, page, pos)), page, pos) - 1, round from tok, unnest(range(1, 11)) as u(round))",
+    "gaps as (select corpus, round, w, gpos - lag(gpos) over (partition by corpus, round, w order by gpos) as gap from rd)",
+    "cv as (select corpus, round, w, stddev_pop(gap) / avg(gap) as cv from gaps group by all having count(*) >= 15)",
+    "md as (select corpus, round, list_sort(list(cv))[len(list(cv)) // 2 + 1] as m from cv group by all)",
+)
+
+
+@query(sql(*_NULL_CV, select=f"select corpus, {r('max(case when round = 0 then m end)')} as median_cv, {r('avg(case when round > 0 then m end)')} as null_mean, {r('min(case when round > 0 then m end)')} as null_least, {r('max(case when round > 0 then m end)')} as null_most from md group by corpus"))
+def burstiness_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.shuffled_medians(tables.placed(spark, sf_dir), 10)
 
 
 _SUMMARY = f"count(*) as n_words, {r('list_sort(list(cv))[len(list(cv)) // 2 + 1]')} as median_cv, {r('avg((cv > 1.3)::int)')} as share_over_1_3"
@@ -96,12 +110,12 @@ _SUMMARY = f"count(*) as n_words, {r('list_sort(list(cv))[len(list(cv)) // 2 + 1
 
 @query(sql(*_CV, select=f"select corpus, {_SUMMARY} from cv group by corpus"))
 def burstiness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.burstiness_summary(lexical.burstiness(docs(spark, sf_dir)))
+    return lexical.burstiness_summary(lexical.burstiness(tables.placed(spark, sf_dir)))
 
 
 @query(sql(*_CV, select=f"select corpus, case when n <= 30 then '15-30' when n <= 100 then '31-100' else '100+' end as band, {_SUMMARY} from cv group by corpus, band"))
 def burstiness_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.burstiness_bands(lexical.burstiness(docs(spark, sf_dir)))
+    return lexical.burstiness_bands(lexical.burstiness(tables.placed(spark, sf_dir)))
 
 
 @query(sql(VOC, "s as (select corpus, cnt::double as c, sum(cnt) over (partition by corpus)::double as n from voc)", select=f"select corpus, {r('sum(c * (c - 1)) / (any_value(n) * (any_value(n) - 1))')} as ic, {r('sum(c * c) / (any_value(n) * any_value(n))')} as sum_p2 from s group by corpus"))
@@ -329,20 +343,26 @@ def _z(table: str, value: str, name: str) -> str:
     return f"{name} as (select corpus, max(case when round = 0 then {value} end) as x, (max(case when round = 0 then {value} end) - avg(case when round > 0 then {value} end)) / greatest(stddev_pop(case when round > 0 then {value} end), 1e-9) as z from {table} group by corpus)"
 
 
-@query(sql(*_refill(5), _ROLE_RF, _tv_round("left(w, 1)", "first", "last", "s"), _tv_round("right(w, 1)", "last", "first", "e"), _z("s", "tv", "zs"), _z("e", "tv", "ze"), select=f"select zs.corpus, {r('zs.x')} as tv_start, {r('zs.z')} as z_start, {r('ze.x')} as tv_end, {r('ze.z')} as z_end from zs join ze on zs.corpus = ze.corpus"))
+_POSITIONAL = sql(*_refill(10), _ROLE_RF, _tv_round("left(w, 1)", "first", "last", "s"), _tv_round("right(w, 1)", "last", "first", "e"), _z("s", "tv", "zs"), _z("e", "tv", "ze"), select=f"select zs.corpus, {r('zs.x')} as tv_start, {r('zs.z')} as z_start, {r('ze.x')} as tv_end, {r('ze.z')} as z_end from zs join ze on zs.corpus = ze.corpus")
+
+
+@query(_POSITIONAL)
 def positional_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.positional_z(docs(spark, sf_dir), 5)
+    return layout.positional_z(docs(spark, sf_dir), 10)
 
 
-@query()
+@query(_POSITIONAL)
 def positional_z_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the reference's 10 rounds; ``positional_z`` has the 5 of its SQL."""
+    """An earlier name of ``positional_z``, which has its 10 rounds now."""
     return layout.positional_z(docs(spark, sf_dir), 10)
 
 
-@query(sql(*_refill(5), _ROLE_RF, "ft as (select corpus, round, role as slot, f.feature, avg(f.hit) as rate from rl, unnest([{'feature': 'starts-t', 'hit': (left(w, 1) = 't')::int}, {'feature': 'ends-e', 'hit': (right(w, 1) = 'e')::int}, {'feature': 'long', 'hit': (length(w) > 6)::int}]) as u(f) group by all)", "q as (select corpus, slot, feature, max(case when round = 0 then rate end) as real, avg(case when round > 0 then rate end) as m, stddev_pop(case when round > 0 then rate end) as s from ft group by all)", select=f"select corpus, slot, feature, {r('real')} as real, {r('m')} as null_mean, {r('(real - m) / greatest(s, 1e-9)')} as z from q"))
+_FEATURES = sql(*_refill(20), _ROLE_RF, "ft as (select corpus, round, role as slot, f.feature, avg(f.hit) as rate from rl, unnest([{'feature': 'starts-t', 'hit': (left(w, 1) = 't')::int}, {'feature': 'ends-e', 'hit': (right(w, 1) = 'e')::int}, {'feature': 'long', 'hit': (length(w) > 6)::int}]) as u(f) group by all)", "q as (select corpus, slot, feature, max(case when round = 0 then rate end) as real, avg(case when round > 0 then rate end) as m, stddev_pop(case when round > 0 then rate end) as s from ft group by all)", select=f"select corpus, slot, feature, {r('real')} as real, {r('m')} as null_mean, {r('(real - m) / greatest(s, 1e-9)')} as z from q")
+
+
+@query(_FEATURES)
 def feature_slot_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feature_slot_z(docs(spark, sf_dir), 5)
+    return _feature_slot_z(docs(spark, sf_dir), 20)
 
 
 def _feature_slot_z(toks: DataFrame, rounds: int) -> DataFrame:
@@ -351,9 +371,9 @@ def _feature_slot_z(toks: DataFrame, rounds: int) -> DataFrame:
     return layout.feature_z(toks, features, layout.role(), rounds).select("corpus", "slot", "feature", "real", "null_mean", "z")
 
 
-@query()
+@query(_FEATURES)
 def feature_slot_z_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the reference's 20 rounds; ``feature_slot_z`` has the 5 of its SQL."""
+    """An earlier name of ``feature_slot_z``, which has its 20 rounds now."""
     return _feature_slot_z(docs(spark, sf_dir), 20)
 
 
@@ -375,6 +395,25 @@ def corr_last_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.corr_last_vs_rest(layout.lines(docs(spark, sf_dir)))
 
 
+_CORR = "coalesce(case when isnan(corr(x, y)) then 0 else corr(x, y) end, 0)"
+
+
+@query(sql(
+    _LINES,
+    "e as (select corpus, page, line_idx, n_words, length(ws[-1])::double as x, (total - length(ws[-1]))::double as y, length(ws[n_words // 2 + 1])::double as mx, (total - length(ws[n_words // 2 + 1]))::double as my from ln where n_words >= 4)",
+    "sl as (select *, row_number() over (partition by corpus, n_words order by md5(concat_ws('|', 0, page, line_idx)), page, line_idx) as i from e)",
+    "dw as (select e.*, round, row_number() over (partition by corpus, n_words, round order by md5(concat_ws('|', round, page, line_idx)), page, line_idx) as i from e, unnest(range(1, 11)) as u(round))",
+    "al as (select corpus, n_words, 0 as round, x, y from e union all select corpus, n_words, -1, mx, my from e union all select sl.corpus, sl.n_words, dw.round, dw.x, sl.y from sl join dw on dw.corpus = sl.corpus and dw.n_words = sl.n_words and dw.i = sl.i)",
+    f"gr as (select corpus, round, n_words, count(*) as n, {_CORR} as r from al group by all)",
+    "wt as (select *, sum(n) over (partition by corpus, round) as all_n from gr)",
+    "rr as (select corpus, round, sum(r * n / all_n) as r from wt where n >= 30 group by all)",
+    "real as (select corpus, max(case when round = 0 then r end) as r_last, avg(case when round > 0 then r end) as m, stddev_pop(case when round > 0 then r end) as s, max(case when round = -1 then r end) as r_mid from rr group by corpus)",
+    select=f"select corpus, {r('r_last')} as r_last, {r('m')} as null_mean, {r('(r_last - m) / greatest(s, 1e-9)')} as z, {r('r_mid')} as r_mid from real",
+))
+def corr_last_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.corr_z(layout.lines(docs(spark, sf_dir)))
+
+
 @query(sql(_LINES, "x as (select corpus, (right(ws[-1], 1) = 'e')::int as hit, row_number() over (partition by corpus, n_words order by total, page, line_idx) as rn, count(*) over (partition by corpus, n_words) as n from ln)", select=f"select corpus, least(2, floor((rn - 1) / (n // 3)))::int as tercile, count(*) as n, {r('avg(hit)')} as rate from x where n >= 30 group by all"))
 def tercile_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.tercile_rates(layout.lines(docs(spark, sf_dir)), F.element_at("ws", -1).endswith("e"))

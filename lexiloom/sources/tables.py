@@ -32,6 +32,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of ``documents`` with gpos, their place in the corpus in the order of pages.
+
+    Pages get their starts before they come apart: a row a page is joined, not a row a word.
+    """
+    from ..operators.lexical import joined_by, page_starts
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    keys = {"corpus": F.col("lang"), "section": F.col("source"), "page": F.col("doc_id")}
+    size = F.size(words.latin_words(F.col("text")))
+    sizes = docs.select(F.col("lang").alias("corpus"), F.col("doc_id").alias("page"), size.cast("long").alias("n")).where("n > 0")
+    starts = page_starts(sizes.groupBy("corpus", "page").agg(F.sum("n").alias("n")))
+    starts = starts.select(F.col("corpus").alias("lang"), F.col("page").alias("doc_id"), "start")
+    return tokenise(joined_by(docs, starts, ("lang", "doc_id")), F.col("text"), {**keys, "start": F.col("start")}).withColumn("gpos", F.col("start") + F.col("pos")).drop("start")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents``: corpus is the language, page the document, section the source."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
