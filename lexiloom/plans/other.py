@@ -88,7 +88,15 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACES = "pl as materialized (select corpus, page::varchar as page, line_idx::int as line_idx, word_idx::int as word_idx, line_len::int as line_len, pos::int as pos, w, case when line_idx = 0 then 'pf-' else 'ot-' end || case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as bucket from tok)"
 
 
-@query(sql(_PLACES, "nb as (select *, row_number() over (partition by corpus, bucket order by page, pos) - 1 as i, count(*) over (partition by corpus, bucket) as n from pl)", "dr as (select * exclude (w, i), ('0x' || substr(md5(concat_ws('|', 1, page, pos)), 1, 12))::bigint % n as i from nb)", select="select dr.corpus, dr.page, dr.line_idx, dr.word_idx, dr.line_len, dr.pos, nb.w from dr join nb on nb.corpus = dr.corpus and nb.bucket = dr.bucket and nb.i = dr.i"))
+@query(
+    sql(
+        _PLACES,
+        "ids as materialized (select corpus, bucket, row_number() over (order by corpus, bucket) as b, count(*) as n from pl group by corpus, bucket)",
+        "nb as materialized (select ids.b * 1000000000000 + row_number() over (partition by ids.b order by page, pos) - 1 as k, w from pl join ids using (corpus, bucket))",
+        "dr as materialized (select pl.* exclude (w), ids.b * 1000000000000 + ('0x' || substr(md5(concat_ws('|', 1, page, pos)), 1, 12))::bigint % ids.n as k from pl join ids using (corpus, bucket))",
+        select="select dr.corpus, dr.page, dr.line_idx, dr.word_idx, dr.line_len, dr.pos, nb.w from dr join nb using (k)",
+    )
+)
 def gen_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.iid(docs(spark, sf_dir)).select("corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w")
 
@@ -150,6 +158,24 @@ def gen_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.cipher(t, letters, generators.homophones(t, letters)).select(_GEN)
 
 
+def _way(old: str, new: str) -> str:
+    return f"when regexp_matches(w, '{old}') then regexp_replace(w, '{old}', '\\1{new}')"
+
+
+_FORMS = ", ".join(f"case {' '.join(_way(*way) for way in ways)} end" for ways in generators.KINDS)
+_STEM = "case " + " ".join(f"when suffix(w, '{e}') and length(w) > {len(e)} then left(w, length(w) - {len(e)})" for e in fixed.ENDINGS) + " end"
+
+
+@query(sql(VOC, f"f as (select corpus, w, list_filter([{_FORMS}, {', '.join(f'st || {chr(39)}{e}{chr(39)}' for e in fixed.ENDINGS)}], lambda x: x is not null) as forms from (select *, {_STEM} as st from voc))", "e as (select corpus, unnest(forms) as form, w from f)", select="select e.corpus, e.w, count(*) as n_forms, count(v.w) as n_attested from e left join voc v on v.corpus = e.corpus and v.w = form group by e.corpus, e.w"))
+def slip_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many forms one slip can make of each word, and how many of them are words too."""
+    voc = lexical.vocab(docs(spark, sf_dir)).select("corpus", "w")
+    each = voc.select("corpus", "w", F.explode(generators.forms(F.col("w"))).alias("form"))
+    known = voc.select(F.col("corpus").alias("corpus_"), F.col("w").alias("known"))
+    both = each.join(known, (F.col("corpus") == F.col("corpus_")) & (F.col("form") == F.col("known")), "left")
+    return both.groupBy("corpus", "w").agg(F.count("*").alias("n_forms"), F.count("known").alias("n_attested"))
+
+
 @query()
 def gen_copyist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.copyist(docs(spark, sf_dir))
