@@ -34,6 +34,28 @@ def latin_words(text: Column, pattern: str = "[a-z]+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def fold_marks(text: Column) -> Column:
+    """Letters of any script without their combining marks: decomposed, marks taken out. P24, S13.
+
+    Decomposition isn't among the built-in functions, so this one is an Arrow batch function; plain
+    ASCII batches pass through as they are.
+    """
+
+    @F.arrow_udf("string")
+    def unmarked(texts):
+        import unicodedata
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+            return texts
+        plain = ("".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M")) if t is not None and not t.isascii() else t for t in texts.to_pylist())
+        return pa.array(list(plain), pa.string())
+
+    return unmarked(text)
+
+
 def fold_accents(text: Column) -> Column:
     """Latin letters without their diacritics. P24."""
     return F.translate(text, fixed.ACCENTED, fixed.BASE)

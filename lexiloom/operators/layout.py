@@ -174,6 +174,28 @@ def cross_line_sharing(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return per.groupBy(*by).agg(F.sum("n").alias("n_tokens"), (F.sum(F.when(F.col("n_lines") >= 2, F.col("n")).otherwise(0)) / F.sum("n")).alias("shared"))
 
 
+def sampled_sharing(line_rows: DataFrame, kind: Column, rounds: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
+    """Mean and deviation, over rounds, of the share of words that another line of the same kind has,
+    in samples of as many lines of each kind as the rarest kind has. A45, N8.
+
+    Samples are the lines with the least hashes, taken by counts of hash ranges: only the one
+    range that a sample's end falls into is ranked. Words come apart after lines are chosen.
+    """
+    from .lexical import joined_by
+    from .order import least
+
+    lines_ = line_rows.withColumn("kind", kind).where("kind is not null")
+    sizes = lines_.groupBy(*by, "kind").agg(F.count("*").alias("n")).groupBy(*by).agg(F.min("n").alias("size_"))
+    keys = joined_by(lines_.select(*by, "kind", "page", "line_idx"), sizes, by)
+    chosen = least(nulls.rounds(keys, rounds, False), (*by, "kind", "round"), nulls.key("round", "page", "line_idx"), ("page", "line_idx"), F.col("size_"))
+    each = chosen.join(lines_.select("page", "line_idx", "kind", "ws"), ["page", "line_idx", "kind"])
+    words = each.select(*by, "kind", "round", "page", "line_idx", F.explode("ws").alias("w"))
+    per = words.groupBy(*by, "kind", "round", "w", "page", "line_idx").agg(F.count("*").alias("c")).groupBy(*by, "kind", "round", "w").agg(F.sum("c").alias("n"), F.count("*").alias("n_lines"))
+    shares = per.groupBy(*by, "kind", "round").agg((F.sum(F.when(F.col("n_lines") >= 2, F.col("n")).otherwise(0)) / F.sum("n").cast("double")).alias("shared"))
+    out = shares.groupBy(*by, "kind").agg(F.avg("shared").alias("shared"), F.stddev_pop("shared").alias("deviation"))
+    return joined_by(out, sizes, by).select(*by, "kind", F.col("size_").alias("n_lines"), "shared", "deviation")
+
+
 def cohesion(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Share of words of a page's first line that its other lines have, and that a partner page's have. A46, A50, J12."""
     first = toks.where("line_idx = 0").select(*by, "page", "w")

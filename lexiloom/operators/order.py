@@ -49,11 +49,29 @@ def upper_median(values: DataFrame, by: tuple[str, ...], x: str) -> DataFrame:
     return at_rank(values, by, x, lambda n: F.floor(n / 2))
 
 
-def dense(rows: DataFrame, within: tuple[str, ...], key: Column, ties: tuple[str, ...], name: str = "i") -> DataFrame:
-    """Adds each row's number from 0 in its group in the order of ``key``, a hash in hex, then ``ties``."""
+def _cells(rows: DataFrame, within: tuple[str, ...], key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows with their key's range, and how many rows of the group the lesser ranges have."""
     cut = rows.withColumn("key_", key).withColumn("cell_", F.substring("key_", 1, 4))
     sizes = cut.groupBy(*within, "cell_").agg(F.count("*").alias("n_"))
     before = F.sum("n_").over(Window.partitionBy(*within).orderBy("cell_")) - F.col("n_")  # 65,536 cells at most
-    starts = sizes.select(*within, "cell_", before.alias("before_"))
+    return cut, sizes.select(*within, "cell_", before.alias("before_"), "n_")
+
+
+def least(rows: DataFrame, within: tuple[str, ...], key: Column, ties: tuple[str, ...], size: Column) -> DataFrame:
+    """The ``size`` rows of each group with the least ``key``, a hash in hex, then ``ties``.
+
+    Ranges before the one that holds the last of them are taken whole; that one alone is ranked.
+    """
+    cut, starts = _cells(rows, within, key)
+    each = joined_by(cut, starts, (*within, "cell_")).where(F.col("before_") < size)
+    inside = F.row_number().over(Window.partitionBy(*within, "cell_").orderBy("key_", *ties))
+    whole = each.where(F.col("before_") + F.col("n_") <= size)
+    torn = each.where(F.col("before_") + F.col("n_") > size).withColumn("inside_", inside).where(F.col("before_") + F.col("inside_") <= size).drop("inside_")
+    return whole.unionByName(torn).drop("key_", "cell_", "before_", "n_")
+
+
+def dense(rows: DataFrame, within: tuple[str, ...], key: Column, ties: tuple[str, ...], name: str = "i") -> DataFrame:
+    """Adds each row's number from 0 in its group in the order of ``key``, a hash in hex, then ``ties``."""
+    cut, starts = _cells(rows, within, key)
     inside = F.row_number().over(Window.partitionBy(*within, "cell_").orderBy("key_", *ties)) - 1
-    return joined_by(cut.withColumn("inside_", inside), starts, (*within, "cell_")).withColumn(name, F.col("before_") + F.col("inside_")).drop("key_", "cell_", "before_", "inside_")
+    return joined_by(cut.withColumn("inside_", inside), starts, (*within, "cell_")).withColumn(name, F.col("before_") + F.col("inside_")).drop("key_", "cell_", "before_", "n_", "inside_")

@@ -146,6 +146,24 @@ def selfsim(toks: DataFrame, window: int = 20, by: tuple[str, ...] = BY, scope:
     return each.where("pos > 0").groupBy(*by).agg(F.avg(F.coalesce(F.col("seen").cast("double"), F.lit(0.0))).alias("rate"))
 
 
+def recoded(toks: DataFrame, glyphs: Column, by: tuple[str, ...] = BY) -> DataFrame:
+    """The tokens with each glyph as one private-use character, so that edits count glyphs. P26.
+
+    The dictionary numbers the distinct glyphs of the vocabulary; a word is recoded once a type.
+    """
+    from .. import stage
+
+    voc = stage.written(toks.select("w").distinct().withColumn("glyphs_", glyphs), "glyphs")
+    found = voc.select(F.explode("glyphs_").alias("g")).distinct()
+    first = 0xF0000  # 65,534 characters of plane 15
+    codes = found.withColumn("k_", F.row_number().over(Window.orderBy("g")) - 1)  # an alphabet, not a text
+    char = F.decode(F.unhex(F.lpad(F.hex(F.lit(first) + F.col("k_")), 8, "0")), "UTF-32")
+    table = codes.agg(F.map_from_entries(F.collect_list(F.struct("g", char.alias("char")))).alias("codes_"))
+    code = F.array_join(F.transform("glyphs_", lambda g: F.element_at("codes_", g)), "")
+    words = voc.join(F.broadcast(table), F.lit(True)).select("w", code.alias("code_"))
+    return toks.join(words, "w").withColumn("w", F.col("code_")).drop("code_").select(toks.columns)
+
+
 def selfsim_edit(toks: DataFrame, window: int = 20, by: tuple[str, ...] = BY, scope: tuple[str, ...] = ("corpus", "page")) -> DataFrame:
     """Shares with a copy, and with a word at most one edit away, in the window before. A15."""
     z = Window.partitionBy(*scope).orderBy("pos").rowsBetween(-window, -1)
@@ -180,14 +198,43 @@ def across_breaks(toks: DataFrame, condition: Column, outcome: Column, by: tuple
     return each.groupBy(*by).agg(F.avg("then").alias("base"), F.avg(F.when(F.col("if_"), F.col("then"))).alias("given"), F.count("*").alias("n"))
 
 
-def ladder(toks: DataFrame, strata: dict[str, tuple[str, ...]], n: int = 5, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
+def ladder(toks: DataFrame, strata: dict[str, tuple[str, ...]], n: int = 5, k: int = 150, by: tuple[str, ...] = BY, diagonal: str | None = None) -> DataFrame:
     """MI excess over permutations inside ever finer strata of a page: (rung, by, real, null_mean, excess). A52, N4.
 
-    What a rung explains is the fall of the excess from the rung before.
+    What a rung explains is the fall of the excess from the rung before. The rung ``diagonal`` gets a
+    second row, ``... without repeats``, from the same pair counts.
     """
     from functools import reduce
 
     from . import nulls
 
-    rungs = [excess(rounds_mi(nulls.refilled(toks, n, ("corpus", "page", *extra)), k, by), "mi", by).withColumn("rung", F.lit(name)) for name, extra in strata.items()]
+    words = lexical.top(toks, k, by).select(*by, "w", F.lit(True).alias("is_top"))
+    marked = toks.join(checked(words), [*by, "w"], "left").withColumn("w", F.struct("w", F.coalesce("is_top", F.lit(False)).alias("top"))).drop("is_top")
+    keys = (*by, "round")
+    rungs = []
+    for name, extra in strata.items():
+        filled = nulls.refilled(marked, n, ("corpus", "page", *extra))
+        z = within(("corpus", "page", "round"))
+        both = filled.withColumns({"a": F.col("w.w"), "a_top": F.col("w.top"), "b": F.lead("w.w").over(z), "b_top": F.lead("w.top").over(z)}).where("a_top and b_top")
+        counts = both.groupBy(*keys, "a", "b").agg(F.count("*").alias("c"))
+        rungs.append(excess(mutual_information(counts, keys), "mi", by).withColumn("rung", F.lit(name)))
+        if name == diagonal:
+            rungs.append(excess(mutual_information(counts.where("a <> b"), keys), "mi", by).withColumn("rung", F.lit(f"{name} without repeats")))
     return reduce(DataFrame.unionByName, rungs).select("rung", *by, "real", "null_mean", "excess")
+
+
+def residual(toks: DataFrame, role: Column, cls: Column, n: int = 5, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
+    """The ladder of the text as it is, and of the text with split words merged: what page, layout,
+    word class, repeats and splits explain of the information between neighbours. A52, J15, W13.
+
+    Merged words stand where their first half stood; candidates, ranks and classes are the merged
+    text's own.
+    """
+    from .. import stage
+
+    raw = stage.written(toks.select(*by, "page", "pos", "w", role.alias("role")), "raw")
+    merged = stage.written(merge(raw, pmi_candidates(raw, 5, 1.0, by), by), "merged")
+    strata = {"page": (), "layout": ("role",), "class": ("role", "cls")}
+    first = ladder(raw.withColumn("cls", cls), strata, n, k, by, "page")
+    second = ladder(merged.withColumn("cls", cls), strata, n, k, by)
+    return first.unionByName(second.withColumn("rung", F.concat(F.lit("merged "), "rung")))

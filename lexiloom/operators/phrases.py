@@ -45,3 +45,48 @@ def autopsy(toks: DataFrame, n: int = 3, by: tuple[str, ...] = BY) -> DataFrame:
         total.alias("events"), (F.sum(F.when(F.col("worst") <= 20, F.col("events")).otherwise(0)) / total).alias("top20"),
         (F.sum(F.when(F.col("worst") <= 100, F.col("events")).otherwise(0)) / total).alias("top100"), (F.sum(F.when(F.col("rarest") <= 5, F.col("events")).otherwise(0)) / total).alias("rare"),
     )
+
+
+def events_of(toks: DataFrame, n: int, rounds: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """Repeat events of each round: (by, round, events); round 0 is the real order. A57.
+
+    Phrases are 128-bit hashes formed in the pages' arrays, so a round explodes no words.
+    """
+    from . import nulls
+
+    pages = nulls.by_page(toks.select(*by, "page", "pos", "w"), rounds, (*by, "page"))
+    words = F.transform("drawn", lambda d: d["w"])
+    pages = pages.withColumn("ws", words).where(F.size("ws") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: _hashes(F.slice("ws", i, F.lit(n))))
+    each = pages.select(*by, "round", "page", F.inline(grams)).groupBy(*by, "round", "h1", "h2", "page").agg(F.count("*").alias("c"))
+    first = each.groupBy(*by, "round", "h1", "h2").agg(F.sum("c").alias("n"), F.min(F.struct("page", "c")).alias("f"))
+    return first.groupBy(*by, "round").agg(F.sum(F.col("n") - F.col("f.c")).cast("double").alias("events"))
+
+
+def _hashes(ws):
+    return F.struct(F.xxhash64(F.lit(1), ws).alias("h1"), F.xxhash64(F.lit(2), ws).alias("h2"))
+
+
+def null_ratio(toks: DataFrame, n: int = 3, rounds: int = 5, by: tuple[str, ...] = BY) -> DataFrame:
+    """Repeat events against words shuffled inside their pages, and how often phrases repeat:
+    (by, events, null_mean, ratio, n_repeated, n_often), often being three times or more. A57."""
+    from .lexical import joined_by
+    from .pairs import excess
+
+    null = excess(events_of(toks, n, rounds, by), "events", by)
+    r = repeats(toks, n, by).groupBy(*by).agg(F.sum((F.col("events") > 0).cast("long")).alias("n_repeated"), F.sum((F.col("events") > 1).cast("long")).alias("n_often"))
+    return joined_by(null, r, by).select(*by, F.col("real").cast("long").alias("events"), "null_mean", "ratio", "n_repeated", "n_often")
+
+
+def by_section(toks: DataFrame, n: int = 3, by: tuple[str, ...] = BY) -> DataFrame:
+    """Repeat events a thousand words, by the section of the later page: (by, section, events, n_words, rate). A57.
+
+    Sections are a dimension of pages, joined to phrases' counts a page.
+    """
+    each = ngrams(toks, n).groupBy(*by, "gram", "page").agg(F.count("*").alias("c"), F.min("section").alias("section"))
+    first = each.groupBy(*by, "gram").agg(F.min("page").alias("first_page"), F.count("*").alias("n_pages")).where("n_pages > 1")
+    later = each.join(first, [*by, "gram"]).where("page > first_page").groupBy(*by, "section").agg(F.sum("c").alias("events"))
+    size = toks.groupBy(*by, "section").agg(F.count("*").alias("n_words"))
+    both = size.join(later.withColumnsRenamed({c: f"{c}_" for c in (*by, "section")}), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*by, "section")], "left")
+    events = F.coalesce("events", F.lit(0))
+    return both.select(*by, "section", events.alias("events"), "n_words", (1000 * events / F.col("n_words")).alias("rate"))

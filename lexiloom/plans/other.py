@@ -308,9 +308,9 @@ def legal_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("n_legal"))
 
 
-@query(sql(VOC, "o as (select corpus, floor(gpos / 170)::bigint as page_seq, count(*) as n, count(distinct w) as types from (select corpus, w, row_number() over (partition by corpus order by page, pos) - 1 as gpos from tok where corpus = 'es') group by all)", select="select corpus, page_seq, n, types from o"))
+@query(sql(VOC, "o as (select corpus, floor(gpos / 170)::bigint as page_seq, count(*) as n, count(distinct w) as types from (select corpus, w, row_number() over (partition by corpus order by page, pos) - 1 as gpos from tok) group by all)", select="select corpus, page_seq, n, types from o"))
 def pseudo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pseudo_pages(docs(spark, sf_dir).where("corpus = 'es'"))
+    return _pseudo_pages(tables.placed(spark, sf_dir))
 
 
 def _pseudo_pages(toks: DataFrame) -> DataFrame:
@@ -318,10 +318,10 @@ def _pseudo_pages(toks: DataFrame) -> DataFrame:
     return plain.paginate(flat).groupBy("corpus", F.col("page_seq").cast("long").alias("page_seq")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("types"))
 
 
-@query()
+@query(ORACLES["pseudo_pages"])
 def pseudo_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every corpus; ``pseudo_pages`` has the one of its SQL."""
-    return _pseudo_pages(docs(spark, sf_dir))
+    """An earlier name of ``pseudo_pages``, which has every corpus now."""
+    return _pseudo_pages(tables.placed(spark, sf_dir))
 
 
 @query(sql("g as (select *, md5(concat_ws('|', page, pos)) as k from tok)", "s as (select *, row_number() over (partition by corpus order by k) as i from g)", select="select corpus, w, count(*) as n from s where i <= 500 group by all"))

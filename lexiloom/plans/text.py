@@ -274,6 +274,53 @@ def mi_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.ladder(t, {"page": (), "page+role": ("role",)}, 3)
 
 
+def _stratum(name: str, base: str, tops: str, extra: str) -> list[str]:
+    part = f"partition by round, corpus, page{''.join(', ' + c for c in extra.split())}"
+    same = "".join(f" and s.{c} = d.{c}" for c in extra.split())
+    return [
+        f"{name}_r as (select * from {base}, unnest(range(0, 6)) as u(round))",
+        f"{name}_s as (select * exclude (w), row_number() over ({part} order by pos) as slot from {name}_r)",
+        f"{name}_d as (select round, corpus, page, role, cls, w, row_number() over ({part} order by case when round > 0 then md5(concat_ws('|', round, page, pos)) else '' end, pos) as slot from {name}_r)",
+        f"{name}_f as (select s.*, d.w from {name}_s s join {name}_d d on s.round = d.round and s.corpus = d.corpus and s.page = d.page and s.slot = d.slot{same})",
+        f"{name}_n as (select corpus, round, w as a, lead(w) over (partition by round, corpus, page order by pos) as b from {name}_f)",
+        f"{name}_p as (select corpus, round, a, b, count(*) as c from {name}_n where (corpus, a) in (select corpus, w from {tops}) and (corpus, b) in (select corpus, w from {tops}) group by all)",
+    ]
+
+
+def _information(name: str, pairs_: str) -> str:
+    return mutual(pairs_, "corpus, round").replace("m_ as", f"{name}_m as").replace("from m_ ", f"from {name}_m ").replace("mi_ as", f"{name}_i as")
+
+
+_RAW = [
+    VOC, RANKED, TOP150, _LEAD,
+    "raw as materialized (select corpus, page, pos, w, case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as role, left(w, 1) as cls from tok)",
+    *[c.replace("{bits}", "1") for c in _CAND if c.startswith(("n as", "p as", "cand as"))],
+    "k as (select raw.*, lead(raw.w) over (partition by raw.corpus, raw.page order by pos) as b from raw)",
+    "kh as (select k.*, (cand.a is not null)::int as hit from k left join cand on cand.corpus = k.corpus and cand.a = k.w and cand.b = k.b)",
+    "isl as (select *, sum(1 - hit) over (partition by corpus, page order by pos) as island from kh)",
+    "tk as (select *, hit = 1 and sum(hit) over (partition by corpus, page, island order by pos) % 2 = 1 as takes from isl)",
+    "dr as (select *, coalesce(lag(takes) over (partition by corpus, page order by pos), false) as gone from tk)",
+    "mg as materialized (select corpus, page, row_number() over (partition by corpus, page order by pos) - 1 as pos, case when takes then w || b else w end as w, role, left(w, 1) as cls from dr where not gone)",
+    "mtop as (select corpus, w from (select corpus, w, row_number() over (partition by corpus order by count(*) desc, w) as rank from mg group by corpus, w) where rank <= 150)",
+]
+_RUNGS = [("r1", "raw", "top", "", "page"), ("r2", "raw", "top", "role", "layout"), ("r3", "raw", "top", "role cls", "class"), ("g1", "mg", "mtop", "", "merged page"), ("g2", "mg", "mtop", "role", "merged layout"), ("g3", "mg", "mtop", "role cls", "merged class")]
+
+
+def _rung_rows(name: str, rung: str) -> str:
+    real, mean = "max(case when round = 0 then mi end)", "avg(case when round > 0 then mi end)"
+    return f"select '{rung}' as rung, corpus, {r(real)} as real, {r(mean)} as null_mean, {r(f'{real} - {mean}')} as excess from {name}_i group by corpus"
+
+
+@query(sql(
+    *_RAW, *[c for name, base, tops, extra, _ in _RUNGS for c in (*_stratum(name, base, tops, extra), _information(name, f"{name}_p"))],
+    "r0_p as (select * from r1_p where a <> b)", _information("r0", "r0_p"),
+    select=" union all ".join([*(_rung_rows(name, rung) for name, _, _, _, rung in _RUNGS), _rung_rows("r0", "page without repeats")]),
+))
+def mi_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven rungs with the reference's five rounds: page, layout, class, repeats, and the merged text's."""
+    return pairs.residual(docs(spark, sf_dir), layout.role(), F.substring("w", 1, 1))
+
+
 # ---- phrases ----
 
 
@@ -305,6 +352,23 @@ def trigram_autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.autopsy(docs(spark, sf_dir), 3)
 
 
+@query(sql(
+    "rd as (select corpus, page, round, w, row_number() over (partition by round, corpus, page order by case when round > 0 then md5(concat_ws('|', round, page, pos)) else '' end, pos) as pos from tok, unnest(range(0, 6)) as u(round))",
+    "l as (select corpus, page, round, w || ' ' || lead(w, 1) over z || ' ' || lead(w, 2) over z as gram from rd window z as (partition by round, corpus, page order by pos))",
+    "x as (select *, min(page) over (partition by corpus, round, gram) as f from l where gram is not null)",
+    "g as (select corpus, round, gram, sum((page > f)::int)::bigint as events from x group by all)",
+    "s as (select corpus, round, sum(events)::bigint as events, sum((events > 0)::int)::bigint as n_repeated, sum((events > 1)::int)::bigint as n_often from g group by all)",
+    select=f"select corpus, max(case when round = 0 then events end) as events, {r('avg(case when round > 0 then events end)')} as null_mean, {r('max(case when round = 0 then events end) / nullif(avg(case when round > 0 then events end), 0)')} as ratio, max(case when round = 0 then n_repeated end) as n_repeated, max(case when round = 0 then n_often end) as n_often from s group by corpus",
+))
+def trigram_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.null_ratio(docs(spark, sf_dir), 3, 5)
+
+
+@query(sql(*_grams(3), "k as (select corpus, section, sum((page > f)::int)::bigint as events from (select x.*, d.source as section from x join documents d on d.doc_id = x.page) group by all)", "z as (select corpus, section, count(*) as n_words from tok group by all)", select=f"select z.corpus, z.section, coalesce(events, 0)::bigint as events, n_words, {r('1000 * coalesce(events, 0) / n_words')} as rate from z left join k on k.corpus = z.corpus and k.section is not distinct from z.section"))
+def trigram_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.by_section(docs(spark, sf_dir), 3)
+
+
 # ---- layout ----
 
 _ROLE = "rl as (select *, case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as role from tok)"
@@ -424,6 +488,20 @@ def cross_line_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cross_line_sharing(docs(spark, sf_dir))
 
 
+@query(sql(
+    "ln as (select corpus, page, line_idx, ws, case when line_idx = 0 then 'first' else 'body' end as kind from lines_ where len(ws) > 0)",
+    "sz as (select corpus, min(n) as size from (select corpus, kind, count(*) as n from ln group by all) group by corpus)",
+    "rk as (select ln.*, round, row_number() over (partition by corpus, kind, round order by md5(concat_ws('|', round, page, line_idx)), page, line_idx) as i from ln, unnest(range(1, 31)) as u(round))",
+    "ex as (select rk.corpus, kind, round, page, line_idx, unnest(ws) as w from rk join sz on sz.corpus = rk.corpus where i <= size)",
+    "pw as (select corpus, kind, round, w, count(*) as n, count(distinct (page, line_idx)) as k from ex group by all)",
+    "sh as (select corpus, kind, round, sum(case when k >= 2 then n else 0 end) / sum(n) as shared from pw group by all)",
+    select=f"select sh.corpus, kind, any_value(size) as n_lines, {r('avg(shared)')} as shared, {r('stddev_pop(shared)')} as deviation from sh join sz on sz.corpus = sh.corpus group by sh.corpus, kind",
+))
+def line_sharing_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of pages against the others, in 30 samples of equal size."""
+    return layout.sampled_sharing(layout.lines(docs(spark, sf_dir)), F.when(F.col("line_idx") == 0, "first").otherwise("body"))
+
+
 _PARTNER = (
     "pg as (select distinct corpus, page from tok)",
     "nm as (select *, row_number() over (partition by corpus order by page) - 1 as i, count(*) over (partition by corpus) as n from pg)",
@@ -524,14 +602,17 @@ def rewrite_attested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.attested(docs(spark, sf_dir), {"th>t": F.replace(w, F.lit("th"), F.lit("t")), "e>": F.replace(w, F.lit("e"), F.lit(""))})
 
 
-@query(sql("t as (select * from tok where corpus = 'es')", "v as (select corpus, page, w, count(*) as c from t group by all)", "p as (select corpus, page, sum(c) as n, sqrt(sum(c * c)) as norm from v group by all having sum(c) >= 60)", "s as (select *, row_number() over (partition by corpus order by page) as seq from p)", "u as (select v.corpus, v.w, s.seq, v.c / s.norm as x from v join s on s.page = v.page)", "d as (select a.corpus, a.seq as i, b.seq as j, sum(a.x * b.x) as x from u a join u b on a.w = b.w and a.seq < b.seq group by all)", "g as (select a.corpus, a.seq as i, b.seq as j, coalesce(d.x, 0) as x from s a join s b on a.seq < b.seq left join d on d.i = a.seq and d.j = b.seq)", "b as (select corpus, case when j - i <= 1 then '01' when j - i <= 3 then '02-03' when j - i <= 7 then '04-07' when j - i <= 15 then '08-15' when j - i <= 31 then '16-31' else '32+' end as bin, x from g)", select=f"select corpus, bin, count(*) as n_pairs, {r('avg(x)')} as mean_cosine from b group by all"))
+_DRIFT = sql("v as (select corpus, page, w, count(*) as c from tok group by all)", "p as (select corpus, page, sum(c) as n, sqrt(sum(c * c)) as norm from v group by all having sum(c) >= 60)", "s as (select *, row_number() over (partition by corpus order by page) as seq from p)", "u as (select v.corpus, v.w, s.seq, v.c / s.norm as x from v join s on s.corpus = v.corpus and s.page = v.page)", "d as (select a.corpus, a.seq as i, b.seq as j, sum(a.x * b.x) as x from u a join u b on a.corpus = b.corpus and a.w = b.w and a.seq < b.seq group by all)", "g as (select a.corpus, a.seq as i, b.seq as j, coalesce(d.x, 0) as x from s a join s b on a.corpus = b.corpus and a.seq < b.seq left join d on d.corpus = a.corpus and d.i = a.seq and d.j = b.seq)", "b as (select corpus, case when j - i <= 1 then '01' when j - i <= 3 then '02-03' when j - i <= 7 then '04-07' when j - i <= 15 then '08-15' when j - i <= 31 then '16-31' else '32+' end as bin, x from g)", select=f"select corpus, bin, count(*) as n_pairs, {r('avg(x)')} as mean_cosine from b group by all")
+
+
+@query(_DRIFT)
 def page_cosine_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.drift(docs(spark, sf_dir).where("corpus = 'es'"))
+    return vectors.drift(docs(spark, sf_dir))
 
 
-@query()
+@query(_DRIFT)
 def page_cosine_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every corpus; ``page_cosine_drift`` has the one of its SQL."""
+    """An earlier name of ``page_cosine_drift``, which has every corpus now."""
     return vectors.drift(docs(spark, sf_dir))
 
 
@@ -571,3 +652,11 @@ def trigram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = signals.word_trigrams(docs(spark, sf_dir))
     model = signals.trigram_model(t.where("corpus = 'en'").select("tri", "c"))
     return signals.score_trigrams(t, model, -20.0, ("corpus",))
+
+
+@query("with d as (select lang as corpus, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z]+')) as w from documents) select corpus, w, count(*) as n from d group by all having count(*) >= 20")
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts whose letters lost their marks, in any script."""
+    texts = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", words.fold_marks(F.col("text")).alias("text"))
+    each = tables.tokenise(texts, F.col("text"), {"corpus": F.col("lang"), "page": F.col("doc_id")})
+    return each.groupBy("corpus", "w").agg(F.count("*").alias("n")).where("n >= 20")
