@@ -274,9 +274,9 @@ _PERMUTED = (
 )
 
 
-def _boundary_sql(first: str) -> str:
+def _boundary_sql(first: str, rounds: int = 3) -> str:
     return sql(
-        _ROUNDS, _PERMUTED,
+        _ROUNDS.replace("range(0, 4)", f"range(0, {rounds + 1})"), _PERMUTED,
         f"ab as (select corpus, round, right(w, 1) as a, lead({first}) over (partition by corpus, page, round order by p) as b from pm)",
         "pr as (select corpus, round, a, b, count(*) as c from ab where b is not null group by all)", mutual("pr", "corpus, round"),
         select=f"select corpus, {r('max(case when round = 0 then mi end)')} as real, {r('avg(case when round > 0 then mi end)')} as null_mean, "
@@ -284,8 +284,8 @@ def _boundary_sql(first: str) -> str:
     )
 
 
-def _boundary(spark: SparkSession, sf_dir: str, qo: bool) -> DataFrame:
-    permuted = nulls.shuffled(docs(spark, sf_dir), 3)
+def _boundary(spark: SparkSession, sf_dir: str, qo: bool, rounds: int = 3) -> DataFrame:
+    permuted = nulls.shuffled(docs(spark, sf_dir), rounds)
     return pairs.excess(pairs.boundary_mi(permuted, ("corpus", "round"), qo, ("corpus", "page", "round")), "mi").select("corpus", "real", "null_mean", "excess")
 
 
@@ -295,7 +295,20 @@ def boundary_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boundary(spark, sf_dir, False)
 
 
-@query(_boundary_sql("case when w like 'qo%' then 'qo' else left(w, 1) end"))
+@query(_boundary_sql("case when w like 'qo%' then 'qo' else left(w, 1) end", 5))
 def boundary_excess_qo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8."""
-    return _boundary(spark, sf_dir, True)
+    return _boundary(spark, sf_dir, True, 5)
+
+
+@query(sql(
+    VOC, GLYPHS,
+    "ds as (select g, chr((33 + row_number() over (order by g))::int) as c from (select distinct unnest(gs) as g from gl))",
+    "cd as (select w, string_agg(c, '' order by i) as code from (select w, unnest(gs) as g, unnest(range(1, len(gs) + 1)) as i from (select distinct w, gs from gl)) join ds using (g) group by w)",
+    "tc as (select tok.corpus, page, pos, code as w from tok join cd on cd.w = tok.w)",
+    "q as (select corpus, w, pos, list_distinct(list(w) over (partition by corpus, page order by pos rows between 20 preceding and 1 preceding)) as ws from tc)",
+    select=f"select corpus, {r('avg(list_contains(ws, w)::int)')} as exact, {r('avg((len(list_filter(ws, lambda v: levenshtein(v, w) <= 1)) > 0)::int)')} as within_1 from q where pos > 0 group by corpus",
+))
+def selfsim_glyph_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P26, A15: edits of whole glyphs."""
+    return pairs.selfsim_edit(pairs.recoded(docs(spark, sf_dir), glyphs.glyphs(F.col("w"))))

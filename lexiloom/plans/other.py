@@ -11,6 +11,7 @@ from ..functions import fixed, words
 from ..operators import battery as battery_
 from ..operators import generators, lexical, nulls, pairs, signals
 from ..sources import plain, tables, transliteration
+from ..streaming import counts
 from . import glyph  # noqa: F401  profiles are composed of its SQL too
 from .base import ORACLES, TOK, VOC, mutual, query, r, sql
 from .text import _CV_GRAMMAR, _cv
@@ -83,6 +84,26 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_overall(tables.pages(spark, sf_dir), 25)
 
 
+# ---- events as a stream ----
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stream of files, a few in each batch."""
+    kinds = tables.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events*.parquet")
+
+
+@query("select epoch_us(time_bucket(interval '1 hour', ts))::bigint as started, event_type as key, count(*) as n from events group by all")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = counts.drained(spark, counts.windowed(event_stream(spark, sf_dir), F.col("event_type")), "complete")
+    return out.select(F.unix_micros("start").alias("started"), "key", "n")
+
+
+@query("with g as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events) select user_id::varchar as key, epoch_us(ts)::bigint as started from g where p is null or ts - p > interval '6 hours'")
+def event_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.drained(spark, counts.starts(event_stream(spark, sf_dir), "user_id"))
+
+
 # ---- generators ----
 
 _PLACES = "pl as materialized (select corpus, page::varchar as page, line_idx::int as line_idx, word_idx::int as word_idx, line_len::int as line_len, pos::int as pos, w, case when line_idx = 0 then 'pf-' else 'ot-' end || case when word_idx = 0 then 'first' when word_idx = line_len - 1 then 'last' else 'mid' end as bucket from tok)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words
-from ..operators import grammar, layout, lexical, nulls, pairs, phrases, signals, vectors
+from ..operators import grammar, layout, lexical, nulls, pairs, phrases, signals, sketches, vectors
 from ..sources import tables
 from .base import RANKED, TOP150, VOC, mutual, query, r, sql
 
@@ -123,6 +123,30 @@ def index_of_coincidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.coincidence(docs(spark, sf_dir))
 
 
+@query(sql(VOC, "s as (select distinct corpus, section, w from tok)", *["g as (select corpus, w || ' ' || lead(w, 1) over z || ' ' || lead(w, 2) over z as gram from tok window z as (partition by corpus, page order by pos))"], select="select corpus, 'words' as kind, count(distinct w) as n, true as near, true as near_by_section from s group by corpus union all select corpus, 'trigrams', count(distinct gram), true, true from g where gram is not null group by corpus"))
+def sketched_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by sketches of sections, united for corpora, beside exact counts: is the estimate within its error?"""
+    out = None
+    for kind, rows, item in (("words", docs(spark, sf_dir), "w"), ("trigrams", phrases.ngrams(docs(spark, sf_dir), 3), "gram")):
+        made = sketches.sketched(rows, ("corpus", "section"), F.col(item))
+        exact = rows.groupBy("corpus").agg(F.countDistinct(item).alias("n"))
+        parts = rows.groupBy("corpus", "section").agg(F.countDistinct(item).alias("n_"))
+        near = lambda e, n: F.abs(F.col(e) - F.col(n)) <= sketches.ERROR * F.col(n) + 1
+        each = lexical.joined_by(sketches.distinct(made, ("corpus", "section")), parts, ("corpus", "section")).groupBy("corpus").agg((F.sum(near("estimate", "n_").cast("int")) >= 0.99 * F.count("*")).alias("near_by_section"))
+        both = lexical.joined_by(lexical.joined_by(exact, sketches.distinct(made, ("corpus",)), ("corpus",)), each, ("corpus",))
+        both = both.select("corpus", F.lit(kind).alias("kind"), "n", near("estimate", "n").alias("near"), "near_by_section")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query(sql(VOC, RANKED, select="select corpus, w, cnt as n from ranked where rank <= 10"))
+def sketched_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent words by sketches of sections, united for corpora."""
+    made = sketches.sketched(docs(spark, sf_dir), ("corpus", "section"), F.col("w"))
+    each = sketches.frequent(made, ("corpus",), 50).select("corpus", F.col("item").alias("w"), F.col("n").alias("cnt"))
+    return lexical.ranked(each).where("rank <= 10").select("corpus", "w", F.col("cnt").alias("n"))
+
+
 # ---- pairs ----
 
 _LEAD = "nx as (select *, w as a, lead(w) over (partition by page order by pos) as b from tok)"
