@@ -32,11 +32,13 @@ BROADCAST_ROWS = 100_000
 
 
 def checked(words: DataFrame) -> DataFrame:
-    """``words`` cached, with a broadcast hint if it is counted small enough.
+    """``words`` written as a table, with a broadcast hint if it is counted small enough.
 
     Without the hint the token side would be shuffled before its size is known.
     """
-    words = words.persist()
+    from .. import stage
+
+    words = stage.written(words, "words")
     return F.broadcast(words) if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
 
 

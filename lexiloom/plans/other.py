@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, words
@@ -59,6 +59,13 @@ def channel_cond_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.conditional_entropy(bits(spark, sf_dir), ("corpus", "prev"))
 
 
+@query(sql(_BITS, "b as (select *, coalesce(lag(bit) over (partition by channel, page order by pos, i), -1) as pb from ch)", "g as (select channel, corpus, prev, pb, count(*) as m, sum(bit)::double as ones from b group by all)", "o as (select *, sum(ones) over (partition by channel) / sum(m) over (partition by channel) as p from g)", f"h as (select channel, m, case when m < 5 then {_hb('p')} else {_hb('(ones / m)')} end as h from o)", select=f"select channel, sum(m)::bigint as n, {r('sum(m * h) / sum(m)')} as h from h group by channel"))
+def channel_memory_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy given the writer's language, the letter before and the choice before."""
+    before = F.lag("bit").over(Window.partitionBy("channel", "page").orderBy("pos", "gi"))
+    return signals.conditional_entropy(bits(spark, sf_dir).withColumn("prev_bit", F.coalesce(before, F.lit(-1))), ("corpus", "prev", "prev_bit"))
+
+
 # ---- events and conversations as sequences ----
 
 
@@ -135,26 +142,21 @@ _FR = "select row_number() over (order by page::varchar, pos) - 1 as gpos, {} as
     )
 )
 def gen_alphagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.alphagrams(docs(spark, sf_dir), for_all(spark, sf_dir, _french(spark, sf_dir), "gpos", "w")).select(_GEN)
+    return generators.alphagrams(docs(spark, sf_dir), _french(spark, sf_dir)).select(_GEN)
 
 
 _GEN = ["corpus", "page", "line_idx", "word_idx", "line_len", "pos", "w"]
 
 
-def for_all(spark: SparkSession, sf_dir: str, rows: DataFrame, *columns: str) -> DataFrame:
-    """The same rows for every corpus."""
-    corpora = F.broadcast(docs(spark, sf_dir).select("corpus").distinct())
-    return corpora.join(rows.select(F.lit(1).alias("one_"), *columns), F.lit(1) == F.col("one_")).drop("one_")
-
-
 def _french(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text that fills all corpora: (page, pos, gpos, w)."""
     t = docs(spark, sf_dir).where("corpus = 'fr'").withColumn("page", F.col("page").cast("string"))
-    return lexical.global_positions(t)
+    return lexical.global_positions(t).select("page", "pos", "gpos", "w")
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).where("corpus = 'fr'").withColumn("page", F.col("page").cast("string"))
-    return for_all(spark, sf_dir, generators.letter_stream(t), "gpos", "letter")
+    return generators.letter_stream(t).select("gpos", "letter")
 
 
 @query(
@@ -283,7 +285,7 @@ def corpus_profile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generator_showdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs(spark, sf_dir).drop("section")
-    french = for_all(spark, sf_dir, t.where("corpus = 'fr'").withColumn("page", F.col("page").cast("string")), "page", "pos", "w")
+    french = t.where("corpus = 'fr'").withColumn("page", F.col("page").cast("string"))
     return battery_.showdown(t, fits=_cv().rlike(_CV_GRAMMAR), text=french)
 
 

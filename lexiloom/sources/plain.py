@@ -29,14 +29,14 @@ def body(text: Column, guarded: bool = True) -> Column:
 def corpus(files: DataFrame, name: str, ws: Column, limit: int | None = None) -> DataFrame:
     """(corpus, file, gpos, w): the words of files in file order, up to ``limit``.
 
-    Global positions are file offsets plus positions, so no single-task window runs over words.
+    Global positions are file offsets, summed in two levels, plus positions; words come apart last.
     """
-    each = files.select("file", ws.alias("ws")).withColumn("n", F.size("ws"))
-    from pyspark.sql import Window
+    from ..operators.lexical import page_starts
 
-    start = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = each.select("file", start.alias("start"))  # one row per file
-    out = each.select("file", F.posexplode("ws").alias("i", "w")).join(offsets, "file").select(F.lit(name).alias("corpus"), "file", (F.col("start") + F.col("i")).alias("gpos"), "w")
+    each = files.select("file", ws.alias("ws"))
+    sizes = each.groupBy(F.lit(name).alias("corpus"), F.col("file").alias("page")).agg(F.sum(F.size("ws").cast("long")).alias("n")).where("n > 0")
+    offsets = page_starts(sizes).select(F.col("page").alias("file"), "start")
+    out = each.join(offsets, "file").select("file", "start", F.posexplode("ws").alias("i", "w")).select(F.lit(name).alias("corpus"), "file", (F.col("start") + F.col("i")).alias("gpos"), "w")
     return out if limit is None else out.where(F.col("gpos") < limit)
 
 

@@ -26,10 +26,10 @@ def tokenise(df: DataFrame, text: Column, keys: dict[str, Column], ws=words.lati
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt to all of them: a file may be one row group,
-    and so one task. Tables of many files stay as they are read."""
+    """Rows of fewer splits than there are cores, dealt to all of them: a file may be one row group,
+    and so one task. Tables of many splits stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,8 +412,8 @@ def test_showdown_by_brute_force(spark):
     rows = [(c, p, i // 7, i % 7, 7, i, rng.choice(words_[: 6 + p])) for c in ("x", "y") for p in range(0 if c == "x" else 5, 5 if c == "x" else 8) for i in range(70)]
     toks = spark.createDataFrame(rows, "corpus string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
     source = toks.where("corpus = 'x'").withColumn("page", F.col("page").cast("string"))
-    french = source.drop("corpus").crossJoin(toks.select("corpus").distinct()).select("corpus", "page", "pos", "w")
-    got = {(r.corpus, r.metric): r.asDict() for r in battery.showdown(toks, fits=F.length("w") >= 4, text=french).collect()}
+    got = {(r.corpus, r.metric): r.asDict() for r in battery.showdown(toks, fits=F.length("w") >= 4, text=source).collect()}
+    french = source.drop("corpus").crossJoin(toks.select("corpus").distinct()).select("corpus", "page", "pos", "w")  # a text for each corpus gives the same
     letters = generators.letter_stream(french)
     made = {
         "real": toks, "iid": generators.iid(toks), "copyist": generators.copyist(toks), "flow": generators.copyist(toks, generators.FLOW, 6), "memory": generators.copyist(toks, generators.MEMORY, 8),
