@@ -27,6 +27,8 @@ CRLF = "\r\n"
 RECORDS_PER_FILE = 20_000
 #: Payload bytes that a file may have, unless one record has more: a file is read as one value.
 FILE_BYTES = 1 << 30
+#: Classes of payload sizes are so many times apart: a full file of any but the least has a sixteenth of the bytes or more.
+CLASS_STEP = 16
 #: Decisions (two record ids and a url each) are broadcast up to so many bytes, checked; beyond, a shuffle join.
 BROADCAST_BYTES = 32 << 20
 HEADERS = (
@@ -69,24 +71,38 @@ def records(df: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE, fast: bool = False, largest: int | None = None) -> None:
+def size_classes(df: DataFrame) -> list[int]:
+    """The classes of payload sizes (:func:`_class_of`) that occur."""
+    return sorted(r[0] for r in df.select(_class_of()).distinct().collect())  # at most five
+
+
+def _class_of() -> Column:
+    """How often :data:`CLASS_STEP` the even share of a file's bytes has to grow to hold the payload."""
+    out, limit = F.lit(0), FILE_BYTES // RECORDS_PER_FILE
+    for k in range(1, 5):
+        out, limit = F.when(F.col("payload_length") > limit, k).otherwise(out), limit * CLASS_STEP
+    return out
+
+
+def write_archive(df: DataFrame, where: str, records_per_file: int = RECORDS_PER_FILE, fast: bool = False, classes: list[int] | None = None) -> None:
     """Writes gzipped archive files of at most ``records_per_file`` records each.
 
-    A file is one gzip stream, read from its start. Its records are few enough that even the
-    largest payload in all of them stays within :data:`FILE_BYTES`.
+    A file is one gzip stream, read from its start. Records of a like size share files: those of
+    each class are as many a file as stay within :data:`FILE_BYTES` at the class's largest, so a
+    large payload changes no other class's files. Each class that occurs is a pass over ``df``.
     """
-    if largest is None:
-        largest = df.agg(F.max("payload_length")).first()[0] or 0
-    records_per_file = max(1, min(records_per_file, FILE_BYTES // max(largest, 1)))
-    (
-        records(df)
-        .write.option("compression", "gzip")
-        .option("zlib.compress.level", "BEST_SPEED" if fast else "DEFAULT_COMPRESSION")
-        .option("lineSep", CRLF * 2)
-        .option("maxRecordsPerFile", records_per_file)
-        .mode("overwrite")
-        .text(where)
-    )
+    classes = size_classes(df) if classes is None else classes
+    for k, n in enumerate(classes or [0]):
+        most = max(1, min(records_per_file, RECORDS_PER_FILE // CLASS_STEP**n))
+        (
+            records(df.where(_class_of() == n))
+            .write.option("compression", "gzip")
+            .option("zlib.compress.level", "BEST_SPEED" if fast else "DEFAULT_COMPRESSION")
+            .option("lineSep", CRLF * 2)
+            .option("maxRecordsPerFile", most)
+            .mode("append" if k else "overwrite")
+            .text(where)
+        )
 
 
 class _Inflater:
@@ -273,11 +289,11 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     fresh headers, reads it back and resolves each revisit to its response."""
     spark = pages.sparkSession
     first, second = scratch.path(spark, "warc"), scratch.path(spark, "warc-deduplicated")
-    largest = from_pages(pages).agg(F.max("payload_length")).first()[0] or 0
-    write_archive(from_pages(pages), first, fast=True, largest=largest)  # read once and dropped
+    classes = size_classes(from_pages(pages))
+    write_archive(from_pages(pages), first, fast=True, classes=classes)  # read once and dropped
     headers = scratch.keep(read_archive(spark, first, payload=False), "headers")
     raw = read_archive(spark, first).withColumn("payload", F.col("payload").cast("string"))
-    write_archive(deduplicate(raw, headers, least), second, largest=largest)
+    write_archive(deduplicate(raw, headers, least), second, classes=classes)
     scratch.drop(spark, first)
     again = scratch.keep(read_archive(spark, second, payload=False), "headers-deduplicated")
     return resolve(again)
