@@ -20,7 +20,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -29,6 +29,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SAMPLE_ROWS = 2000
+#: Text that a sample may have, but for its last row.
+SAMPLE_BYTES = 32 << 20
 #: Copies of each sampled row that a rule is timed on, and runs of which the fastest counts.
 TIMED_COPIES, TIMED_RUNS = 8, 3
 
@@ -83,8 +85,9 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts (:data:`COUNTS`)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     solid = without(t, SPACES)
-    w, lines = "_words", "_lines"
-    out = docs.drop(*COUNTS, w, lines).withColumns({w: words(t), lines: solid_lines(t)})
+    # names that no column has: carried columns may be called anything
+    w, lines = (next(n for n in (name, *(f"{name}{k}" for k in range(len(docs.columns) + 1))) if n not in docs.columns) for name in ("_words", "_lines"))
+    out = docs.drop(*COUNTS).withColumns({w: words(t), lines: solid_lines(t)})
     return out.select(
         "*",
         F.size(w).cast("long").alias("n_words"),
@@ -167,12 +170,18 @@ def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
     return [e.rule for e in sorted(estimates, key=lambda e: -e.worth)]
 
 
-def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` rows by a hash of the id: the sample that costs are estimated on."""
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``rows`` rows and about ``most_bytes`` of text, the ones with the least hashes of id
+    and place in the table, so that rows without an id or with a shared one count like others."""
+    text = F.col("text").cast("string")
+    hashed = docs.withColumn("at_", F.xxhash64(F.lit("cascade"), "doc_id", F.monotonically_increasing_id()))
     n = docs.count()
-    if n <= rows:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(F.lit("cascade"), "doc_id"), F.lit(1 << 30)) < F.lit(int(rows / n * (1 << 30))))
+    near = hashed if n <= rows else hashed.where(F.pmod("at_", F.lit(1 << 30)) < F.lit(int(min(1.0, 2 * rows / n) * (1 << 30))))
+    # sizes first: a window over bounded rows, no texts in it
+    few = near.select("at_", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes_")).orderBy("at_").limit(rows)
+    before = F.sum("bytes_").over(Window.orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = scratch.keep(few.withColumn("before_", F.coalesce(before, F.lit(0))).where(F.col("before_") < most_bytes).select("at_"), "cascade-chosen")
+    return near.join(F.broadcast(chosen), "at_", "left_semi").drop("at_")
 
 
 def first_rejection(rules: Sequence[Rule]) -> Column:
