@@ -16,7 +16,9 @@ the order of the output does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -53,22 +55,39 @@ def rates(sizes: DataFrame, weights: DataFrame, epochs: float = 1.0) -> DataFram
 
 
 def quantiles(rate: DataFrame) -> DataFrame:
-    """Cumulative Poisson probabilities per source, far enough for any 52-bit uniform."""
-    top = (F.ceil(F.col("rate") + 12 * F.sqrt("rate")) + 40).cast("int")
-    log_rate = F.ln("rate")
-    steps = F.aggregate(
-        F.sequence(F.lit(0), F.col("top")),
-        F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf")),
-        lambda s, k: _step(s, k, log_rate),
-        lambda s: s["cdf"],
-    )
-    return rate.withColumn("top", top).select("mix_source", "rate", steps.alias("cdf"))
-
+    """(mix_source, rate, least, cdf): cumulative Poisson probabilities of each source, from the count
+    ``least`` on, far enough for any 52-bit uniform.
 
-def _step(s: Column, k: Column, log_rate: Column) -> Column:
-    log_p = F.when(k == 0, -F.exp(log_rate)).otherwise(s["log_p"] + log_rate - F.ln(k.cast("double")))
-    total = s["total"] + F.exp(log_p)
-    return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(s["cdf"], F.array(total)).alias("cdf"))
+    Counts twelve deviations below a large mean have less than 2**-60 together and are left
+    out, so a table is as long as the distribution is wide, not as its mean.
+    """
+    wide = 12 * F.sqrt("rate")
+    least = F.when(F.col("rate") > 400, F.floor(F.col("rate") - wide)).otherwise(0).cast("int")
+    top = (F.ceil(F.col("rate") + wide) + 40).cast("int")
+    bounds = rate.withColumns({"least": least, "top": top})
+    terms = bounds.select("mix_source", "rate", "least", F.explode(F.sequence("least", "top")).alias("k"))
+    # the first term of a table that begins late comes from Stirling's series
+    k, log_rate = F.col("k").cast("double"), F.ln("rate")
+    stirling = k * F.ln(k) - k + F.ln(2 * F.lit(math.pi) * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+    first = F.when(F.col("k") == 0, -F.exp(log_rate)).otherwise(-F.exp(log_rate) + k * log_rate - stirling)
+    step = F.when(F.col("k") == F.col("least"), first).otherwise(log_rate - F.ln(k))
+    own = Window.partitionBy("mix_source").orderBy("k")  # as many rows as the table is long
+    p = terms.withColumn("p", F.exp(F.sum(step).over(own)))
+    cdf = p.withColumn("total", F.sum("p").over(own))
+    return cdf.groupBy("mix_source", "rate", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda s: s["total"]).alias("cdf"))
+
+
+def drawn_count(u: Column) -> Column:
+    """How many of ``cdf`` are at most ``u``, by halving, from ``least`` on."""
+    size = F.size("cdf")
+    bits = F.sequence(F.floor(F.log2(size.cast("double"))).cast("int"), F.lit(0), F.lit(-1))
+    # the greatest n with cdf[n - 1] <= u, its bits from the highest on
+    found = F.aggregate(bits, F.lit(0), lambda n, b: _further(n, n + F.pow(F.lit(2), b).cast("int"), u, size))
+    return (F.col("least") + found).cast("long")
+
+
+def _further(n: Column, m: Column, u: Column, size: Column) -> Column:
+    return F.when((m > 0) & (m <= size) & (F.get("cdf", m - 1) <= u), m).otherwise(n)
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, exponent: float = 0.7, epochs: float = 1.0, seed: int = 11) -> DataFrame:
@@ -80,11 +99,10 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, exponent: float
     # other columns go along under names that nothing here has
     carried = [c for c in docs.columns if c not in ("copy", "n_copies")]
     names = [f"mix_c{i}" for i in range(len(carried))]
-    drawn = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_own"))
-    drawn = drawn.join(side.select("mix_source", "cdf"), F.col("mix_own").eqNullSafe(F.col("mix_source")))
+    drawn = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_own"), F.monotonically_increasing_id().alias("mix_place"))
+    drawn = drawn.join(side.select("mix_source", "least", "cdf"), F.col("mix_own").eqNullSafe(F.col("mix_source")))
     u = uniform(seed, F.col("mix_id"))
-    count = F.size(F.filter("cdf", lambda p: p <= F.col("mix_u")))
-    drawn = drawn.withColumn("mix_u", u).withColumn("n_copies", count.cast("long")).drop("cdf", "mix_u", "mix_source", "mix_own").where("n_copies > 0")
+    drawn = drawn.withColumn("mix_u", u).withColumn("n_copies", drawn_count(F.col("mix_u"))).drop("cdf", "least", "mix_u", "mix_source", "mix_own").where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     return shuffled(copies, seed).select(*[F.col(n).alias(c) for c, n in zip(carried, names)], "n_copies", "copy")
 
@@ -93,7 +111,8 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """A global shuffle: a hash key of seed, id, copy and place in the input deals rows to tasks and orders them there.
 
     A hash of a random key is as even as a range of it and needs no sampling pass. The place
-    keeps rows without an id, or with the same one, from meeting in one task.
+    keeps rows without an id, or with the same one, from meeting in one task; it is the one that
+    the row was read at, so a task that runs again deals its rows as before.
     """
-    key = F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("copy"), F.monotonically_increasing_id())
-    return df.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").drop("mix_key", "mix_id")
+    key = F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("copy"), F.col("mix_place"))
+    return df.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").drop("mix_key", "mix_id", "mix_place")
