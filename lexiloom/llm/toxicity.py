@@ -11,6 +11,9 @@ of the id, of their different rows at most about twice as many, and of these, in
 hash, as many as have ``train_bytes`` of text, whole texts with all their windows. After the first epoch, windows of positive texts that
 the network finds clean are left out: the label says that a text is toxic somewhere.
 
+Inputs are words only: digits and punctuation part words and are left out, and a word that
+follows itself at once counts once, in training and in scoring alike, before windows are cut.
+
 Defined cases. Null or blank text: one empty window. Rows without a label never train.
 Repeated rows train once and are scored one by one; an id with both labels trains with both.
 A score of exactly 0.5 is predicted 1. A very long text is scored alone, in all its windows. No

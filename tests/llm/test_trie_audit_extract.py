@@ -188,3 +188,53 @@ def test_long_page_is_linear():
     began = time.time()
     extract.main_text(source)
     assert time.time() - began < 20
+
+
+def test_archives_of_mixed_sizes(spark, tmp_path, monkeypatch):
+    """A large page takes a file of its own; the small ones still share theirs."""
+    from lexiloom.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 21)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 256)
+    rows = [(i, f"http://x/{i}", f"page {i} " * 20) for i in range(600)] + [(1000, None, "é" * 2_000_000), (1001, "u", "é" * 2_000_000), (1002, "u", "m" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    where = str(tmp_path / "a")
+    warc.write_archive(warc.from_pages(pages), where)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(where).select("content").collect()
+    many = sorted(sum(1 for _ in warc.parse(f.content)) for f in files)
+    assert sum(many) == 603 and many == [1, 1, 1, 88, 256, 256]
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == 603 and got[1001].refers_to == 1000 and got[1001].record_type == "revisit" and got[1000].payload_bytes == 4_000_000
+    assert {r.record_type for i, r in got.items() if i != 1001} == {"response"}
+
+
+def test_cascade_samples_rows_without_ids(spark):
+    from lexiloom.llm import quality
+
+    docs = spark.range(0, 20_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert quality.sampled(docs, 500).count() == 500
+    assert quality.sampled(docs.withColumn("doc_id", F.lit(7)), 500).count() == 500
+    assert 0 < quality.sampled(docs, 500, 1000).count() < 130
+    assert quality.sampled(docs, 30_000).count() == 20_000 and quality.sampled(docs.limit(0), 500).count() == 0
+    named = spark.createDataFrame([(1, "a b c", 5, 6)], "doc_id long, text string, _words int, _lines int")
+    row = quality.counted(named).collect()[0]
+    assert (row["_words"], row["_lines"], row["n_words"], row["n_lines"]) == (5, 6, 3, 1)
+
+
+def test_poisson_tables_by_the_sum(spark):
+    """Tables that begin late agree with the whole sum, and the search by halves with counting."""
+    import math
+
+    from lexiloom.llm import mixing
+
+    rates = [0.3, 1.0, 17.5, 399.0, 401.0, 5000.0, 250_000.0]
+    table = mixing.quantiles(spark.createDataFrame([(str(r), r) for r in rates], "mix_source string, rate double"))
+    for r in table.collect():
+        assert len(r.cdf) < 25 * math.sqrt(r.rate) + 480 and abs(r.cdf[-1] - 1) < 1e-6
+        k = r.least + len(r.cdf) // 2
+        log_p = lambda i, m=r.rate: -m + i * math.log(m) - math.lgamma(i + 1)
+        assert r.cdf[k - r.least] == pytest.approx(math.fsum(math.exp(log_p(i)) for i in range(max(0, int(r.rate - 15 * math.sqrt(r.rate)) - 5), k + 1)), rel=1e-6)
+    us = [0.0, 1e-12, 0.1, 0.5, 0.73, 0.999999, 1 - 2**-52]
+    both = table.crossJoin(spark.createDataFrame([(u,) for u in us], "u double"))
+    for r in both.withColumn("n", mixing.drawn_count(F.col("u"))).collect():
+        assert r.n == r.least + sum(p <= r.u for p in r.cdf)
