@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import exact, jaccard, langid, mixing, pieces, scratch
@@ -52,12 +52,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @apart
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    # written first: the join can then split a hot text, which the window's partitioning forbids
     kept = scratch.keep(exact.groups(docs).where("kept"), "exact-kept")
-    # repeated rows of one winner are all marked kept: one of them stays
-    order = Window.partitionBy("text_sha256", "keep_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    several = kept.where("group_size > 1").withColumn("k_", F.row_number().over(order)).where("k_ = 1")
-    return kept.where("group_size = 1").select(docs.columns).unionByName(several.select(docs.columns))
+    # repeated rows of one winner are all marked kept: one of them stays, by a partial aggregate,
+    # so that a row repeated in a third of the table is one row a task before anything is shuffled
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = kept.where("group_size > 1").groupBy("text_sha256", "keep_id").agg(F.min_by(row, F.xxhash64(row)).alias("row_"))
+    return kept.where("group_size = 1").select(docs.columns).unionByName(several.select("row_.*").select(docs.columns))
 
 
 @apart
@@ -65,12 +65,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram Jaccard join."""
     found = jaccard.joined(docs)
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "rk")
-    alone = found.where("n_shingles = 0").select("rk")
-    heads = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(key).alias("head")).select(F.col("head.rk").alias("rk"))
+    alone = found.where("n_shingles = 0").select("rk", F.col("doc_id").alias("id_"))
+    heads = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(key).alias("head")).select("head.rk", F.col("head.doc_id").alias("id_"))
     keep = scratch.keep(heads.unionByName(alone).distinct(), "near-dedup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("rk_", F.xxhash64(F.col("doc_id").cast("long"), text))
-    return keyed.join(keep.hint("merge"), F.col("rk_") == F.col("rk"), "left_semi").select(docs.columns)
+    same = (F.col("rk_") == F.col("rk")) & F.col("doc_id").cast("long").eqNullSafe(F.col("id_"))
+    return keyed.join(keep.hint("merge"), same, "left_semi").select(docs.columns)
 
 
 @apart
