@@ -101,6 +101,28 @@ def char_h2(toks: DataFrame, by: tuple[str, ...] = BY, order: tuple[str, ...] =
     return firsts.groupBy(*by).agg(((F.sum(n * F.log2(n)) - F.sum("s")) / F.sum("n")).alias("h2"))
 
 
+def normalisation(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """The text as it is and normalised (m as ir, a line's first y off where the rest is a word):
+    (by, form, n_types, hapax_share, h_words, h2, n_merged). A42, P15, P16.
+
+    ``n_merged`` counts types that the normalised text doesn't have any more.
+    """
+    from ..functions import words
+
+    known = vocab(toks, by).select(*by, F.col("w").alias("rest"), F.lit(True).alias("known"))
+    each = toks.withColumn("rest", F.expr("substring(w, 2)")).join(known, [*by, "rest"], "left")
+    stripped = words.strip_initial_y(F.col("w"), F.col("word_idx") == 0, F.coalesce("known", F.lit(False)))
+    slim = [*by, "page", "pos"]
+    both = each.select(*slim, F.inline(F.array(F.struct(F.lit("raw").alias("form"), F.col("w")), F.struct(F.lit("normalised").alias("form"), words.m_to_ir(stripped).alias("w")))))
+    keys = (*by, "form")
+    voc = vocab(both, keys)
+    types = counts(voc, keys).select(*keys, "n_types", "hapax_share")
+    entropy = entropy_of(voc, keys).select(*keys, F.col("h").alias("h_words"))
+    lost = voc.where("form = 'raw'").join(voc.where("form = 'normalised'").select(*by, "w"), [*by, "w"], "left_anti").groupBy(*by).agg(F.count("*").alias("lost")).withColumn("form", F.lit("normalised"))
+    out = joined_by(joined_by(types, entropy, keys), char_h2(both, keys, voc=voc), keys)
+    return out.join(lost, list(keys), "left").select(*keys, "n_types", "hapax_share", "h_words", "h2", F.coalesce("lost", F.lit(0)).alias("n_merged"))
+
+
 def zipf(toks: DataFrame, by: tuple[str, ...] = BY, k: int = 1000) -> DataFrame:
     """Slope of log count on log rank over the ``k`` most frequent words. A17."""
     return top(toks, k, by).groupBy(*by).agg(F.regr_slope(F.ln(F.col("cnt").cast("double")), F.ln(F.col("rank").cast("double"))).alias("zipf_slope"))

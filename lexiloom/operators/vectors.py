@@ -21,17 +21,101 @@ def cosine(vec: DataFrame, key: str, side: Column, by: tuple[str, ...] = BY, n:
     return each.groupBy(*by).agg((F.sum(F.col("l") * F.col("r")) / F.nullif(norm, F.lit(0.0))).alias("cosine"), overlap.alias("shared_keys"))
 
 
-def all_cosines(vec: DataFrame, ident: str, key: str = "w", n: str = "c", by: tuple[str, ...] = BY, near: Column | None = None) -> DataFrame:
-    """Cosines of all pairs ident_a < ident_b of a group that share a key. J7, J8.
+#: Pages of a block that :func:`near_pages` compares with another, and words it takes at once.
+NEAR_BLOCK, NEAR_WORDS = 1024, 2048
 
-    An equi join on the key; pairs that share nothing have cosine 0 and no row.
+
+def near_pages(toks: DataFrame, least: float = 0.8, by: tuple[str, ...] = BY, block: int | None = None) -> DataFrame:
+    """(by, page, n_near, cosine, nearest): how many pages of its corpus each page is at least as near
+    to as a cosine of ``least`` of their word counts, and the nearest of them (of equals the first). J7.
+
+    Pages go in blocks of the page order, and a task compares two blocks: words in the order of
+    their share of the norms, some at a time, until what is left of the norms can't lift any pair
+    to ``least``. A task holds two blocks and the matrix of their pairs; no pair leaves it, only
+    each page's count and best. The work grows with the square of a corpus's pages, as the links do.
+    Cosines are rounded to nine digits, so that orders of summing don't decide.
     """
-    a = vec.select(*by, key, F.col(ident).alias("a"), F.col(n).cast("double").alias("ca"))
-    b = vec.select(*by, key, F.col(ident).alias("b"), F.col(n).cast("double").alias("cb"))
-    dot = a.join(b, [*by, key]).where("a < b" if near is None else near).groupBy(*by, "a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
-    norm = vec.groupBy(*by, ident).agg(F.sqrt(F.sum(F.col(n).cast("double") * F.col(n))).alias("norm"))
-    out = dot.join(norm.select(*by, F.col(ident).alias("a"), F.col("norm").alias("na")), [*by, "a"]).join(norm.select(*by, F.col(ident).alias("b"), F.col("norm").alias("nb")), [*by, "b"])
-    return out.select(*by, "a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    import numpy as np
+    import pyarrow as pa
+
+    from .lexical import joined_by, page_starts
+
+    block = block or NEAR_BLOCK
+    vec = toks.groupBy(*by, "page", "w").agg(F.count("*").cast("double").alias("c"))
+    pages = vec.groupBy(*by, "page").agg(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "c")).alias("cells"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    seq = page_starts(pages.select(*by, "page", F.lit(1).cast("long").alias("n")), by).select(*by, "page", F.col("start").alias("seq"))
+    size = seq.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
+    each = joined_by(joined_by(pages, seq, (*by, "page")), size, by).withColumn("own", F.floor(F.col("seq") / block).cast("long"))
+    dealt = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        *by, "page", "seq", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+        F.transform("cells", lambda c: c["h"]).alias("h"), F.transform("cells", lambda c: c["c"] / F.col("norm")).alias("x"),
+    )
+    kind = toks.schema["page"].dataType.simpleString()
+    out = ", ".join(f"`{c}` {toks.schema[c].dataType.simpleString()}" for c in by) + f", page {kind}, n_near bigint, cosine double, nearest_seq bigint, nearest {kind}"
+    width = NEAR_WORDS
+
+    def side(rows: pa.Table) -> tuple:
+        lists = rows["h"].combine_chunks()
+        first = np.asarray(lists.offsets)
+        return np.repeat(np.arange(len(rows)), np.diff(first)), np.asarray(lists.flatten()), np.asarray(rows["x"].combine_chunks().flatten())
+
+    def products(left: pa.Table, right: pa.Table) -> np.ndarray:
+        sides = [side(left), side(right)]
+        words = np.intersect1d(sides[0][1], sides[1][1])
+        total = np.zeros((len(left), len(right)))
+        if not len(words):
+            return total
+        placed = []
+        for row, h, x in sides:
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            known = words[at] == h
+            placed.append((row[known], at[known], x[known]))
+        mass = sum(np.bincount(at, weights=x * x, minlength=len(words)) for _, at, x in placed)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-mass, kind="stable")] = np.arange(len(words))
+        placed = [(row, rank[at], x) for row, at, x in placed]
+        left_over = [np.bincount(row, weights=x * x, minlength=n) for (row, _, x), n in zip(placed, total.shape)]
+        for lo in range(0, len(words), width):
+            dense = []
+            for k, (row, at, x) in enumerate(placed):
+                now = (at >= lo) & (at < lo + width)
+                part = np.zeros((total.shape[k], min(width, len(words) - lo)))
+                part[row[now], at[now] - lo] = x[now]
+                left_over[k] -= np.bincount(row[now], weights=x[now] ** 2, minlength=total.shape[k])
+                dense.append(part)
+            total += dense[0] @ dense[1].T
+            rest = [np.sqrt(np.maximum(m, 0.0)) for m in left_over]
+            if not (total + np.outer(*rest) >= least - 1e-6).any():
+                return np.zeros_like(total)
+        return total
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        a, b = group["a"][0].as_py(), group["b"][0].as_py()
+        own = np.asarray(group["own"])
+        left, right = group.filter(pa.array(own == a)), group.filter(pa.array(own == b))
+        parts = []
+        if len(left) and len(right):
+            cosine = np.round(products(left, right), 9)
+            if a == b:
+                np.fill_diagonal(cosine, -1.0)
+            ways = [(left, right, cosine)] + ([(right, left, cosine.T)] if a != b else [])
+        else:
+            ways = [(group, group.slice(0, 0), np.zeros((len(group), 0)))]
+        for mine, others, c in ways:
+            near = c >= least
+            n = near.sum(axis=1)
+            best = c.argmax(axis=1) if c.shape[1] else np.zeros(len(mine), np.int64)
+            none = n == 0
+            value = c[np.arange(len(mine)), best] if c.shape[1] else np.zeros(len(mine))
+            picked = pa.array(best, mask=none)
+            parts.append(pa.table({**{k: mine[k] for k in by}, "page": mine["page"], "n_near": pa.array(n, pa.int64()), "cosine": pa.array(value, pa.float64(), mask=none), "nearest_seq": others["seq"].take(picked), "nearest": others["page"].take(picked)}))
+        return pa.concat_tables(parts)
+
+    found = dealt.groupBy(*by, "a", "b").applyInArrow(compared, out)
+    best = F.max(F.when(F.col("cosine").isNotNull(), F.struct("cosine", (-F.col("nearest_seq")).alias("k"), "nearest")))
+    return found.groupBy(*by, "page").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select(*by, "page", "n_near", F.col("best.cosine").alias("cosine"), F.col("best.nearest").alias("nearest"))
 
 
 #: Bins of distances in the page order; the last one is open.

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, words
@@ -289,36 +287,97 @@ def generator_showdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return battery_.showdown(t, fits=_cv().rlike(_CV_GRAMMAR), text=french)
 
 
-# ---- transliteration source ----
-
-SAMPLE = (
-    "#=IVTFF Eva- 2.0\n<f1r>      <! $Q=A $I=T $L=A $H=1>\n<f1r.1,@P0>       <%>fa[ch:sh:x]ys.ykal,ar<->ol{ch}.sh'ol\n"
-    "<f1r.2,+P0>       da?in.qo@192;kedy.cthy=!/\n/chol.dair\n# comment\n<f1r.3,=Pt>       <!note>okaiin.-m%\n"
-    "<f2v>      <! $Q=A $I=H $L=B $H=2>\n<f2v.1,@P0>       <%>daiin.otar.y\n<f2v.2,@Lz>       okary.dal\n"
+# ---- transliteration source: documents written as files of that form, then read ----
+
+
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as transliteration files (file, text): two pages a document, their lines as loci.
+
+    Lines take turns with what the format has: notes, alternate readings, uncertain spaces and
+    words, ligature braces, fillers, lines continued on the next, comments, paragraph marks, labels.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line: words.latin_words(line)), lambda ws: F.size(ws) > 0)
+    doc = F.col("doc_id").cast("string")
+    sides = [(0, "r", F.lit(0)), (10, "v", F.lit(3))]
+
+    def header(side: str, shift: Column) -> Column:
+        code = F.substring(F.lit("HAZBCPST"), ((F.col("doc_id") + shift) % 8 + 1).cast("int"), F.lit(1))
+        lang = F.when((F.col("doc_id") + shift) % 2 == 0, "A").otherwise("B")
+        hand = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit(" $H="), (F.col("doc_id") % 3 + 1).cast("string"))).otherwise("")
+        return F.concat(F.lit("<f"), doc, F.lit(f"{side}>      <! $Q=A $I="), code, F.lit(" $L="), lang, hand, F.lit(">\n# a comment\n"))
+
+    def locus(ws: Column, k: Column) -> Column:
+        first, rest = F.get(ws, 0), F.when(F.size(ws) > 1, F.concat(F.lit("."), F.array_join(F.slice(ws, 2, 1 << 30), "."))).otherwise("")
+        plain = F.when((k % 11 == 10) & (F.size(ws) > 1), F.concat(first, F.lit(".") , F.lit("/\n/"), F.array_join(F.slice(ws, 2, 1 << 30), "."))).otherwise(F.array_join(ws, "."))
+        text = F.when(k % 6 == 1, F.concat(first, F.lit("<!a note>"), rest)).when(k % 6 == 2, F.concat(F.lit("["), first, F.lit(":xx]"), rest)).when(k % 6 == 3, F.array_join(ws, ","))
+        text = text.when(k % 6 == 4, F.concat(first, F.lit("?x"), rest)).when(k % 6 == 5, F.concat(F.lit("{"), first, F.lit("}'"), rest, F.lit("-%="))).otherwise(plain)
+        label = k % 7 == 6
+        body = F.when(label, F.array_join(F.slice(ws, 1, 2), ".")).otherwise(F.concat(F.when(k % 5 == 0, "<%>").otherwise(""), text))
+        kind = F.when(label, "@Lz").when((k == 0) | (k == 10), "@P0").when(k % 13 == 12, "=Pt").otherwise("+P0")
+        side = F.when(k < 10, "r").otherwise("v")
+        top = F.lit("")
+        for at, name, shift in sides:
+            top = F.when(k == at, header(name, shift)).otherwise(top)
+        return F.concat(top, F.lit("<f"), doc, side, F.lit("."), (k + 1).cast("string"), F.lit(","), kind, F.lit(">      "), body)
+
+    docs_ = tables.spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs_.select(doc.alias("file"), F.concat(F.lit("#=IVTFF Eva- 2.0\n"), F.array_join(F.transform(lines, locus), "\n")).alias("text"))
+
+
+def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transliteration.parse(transliteration.lines(written(spark, sf_dir)))
+
+
+_WRITTEN = (
+    "k as (select page as d, row_number() over (partition by page order by line_idx) - 1 as k, ws from lines_ where len(ws) > 0)",
+    "pg as (select *, 'f' || d || case when k < 10 then 'r' else 'v' end as pn, k % 7 = 6 as label, d + case when k < 10 then 0 else 3 end as dd from k)",
+    "lc as (select *, case when label then '@Lz' when k in (0, 10) then '@P0' when k % 13 = 12 then '=Pt' else '+P0' end as ltype, "
+    "case when label then ws[1:2] when k % 6 = 4 then list_concat([ws[1] || '?x'], ws[2:]) else ws end as cs, "
+    "case when label then ws[1:2] when k % 6 = 4 then ws[2:] else ws end as kept, "
+    "substr('HAZBCPST', (dd % 8 + 1)::int, 1) as code, case when dd % 2 = 0 then 'A' else 'B' end as lang, case when d % 4 > 0 then (d % 3 + 1)::varchar else '?' end as hand from pg)",
+    "sn as (select *, map {" + ", ".join(f"'{k}': '{v}'" for k, v in fixed.SECTIONS.items()) + "}[code] as section from lc)",
+    "ru as (select *, (k % 5 = 0 or row_number() over (partition by d, pn order by k) = 1)::int as opens from sn where not label)",
+    "rn as (select *, greatest(sum(opens) over (partition by d, pn order by k), 1) - 1 as par_idx from ru where len(kept) > 0)",
+    "rl as (select *, row_number() over (partition by d, pn, par_idx order by k) - 1 as line_idx from rn)",
 )
 
 
-def sample(spark: SparkSession) -> DataFrame:
-    """Loci of a small made-up file."""
-    name = hashlib.md5(SAMPLE.encode()).hexdigest()
-    return transliteration.parse(transliteration.lines(spark.createDataFrame([(name, SAMPLE)], "file string, text string")))
-
-
-@query("select * from (values ('f1r', 'fachys.ykal.arolch.shol', 4), ('f1r', 'da?in.qo?kedy.cthychol.dair', 2), ('f1r', 'okaiin.m', 2), ('f2v', 'daiin.otar.y', 3), ('f2v', 'okary.dal', 2)) as t(page, clean, n_words)")
+@query(sql(*_WRITTEN, select="select pn as page, (k + 1)::varchar as num, ltype, array_to_string(cs, '.') as clean, len(kept) as n_words from lc"))
 def ivtff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = words.clean(F.col("text"))
-    return sample(spark).select("page", c.alias("clean"), F.size(words.words(c)).alias("n_words"))
+    return loci(spark, sf_dir).select("page", "num", "ltype", c.alias("clean"), F.size(words.words(c)).cast("long").alias("n_words"))
 
 
-@query("select * from (values ('f1r', 'text-only', 'A', '1', 0::bigint, 4), ('f1r', 'text-only', 'A', '1', 0, 2), ('f1r', 'text-only', 'A', '1', 0, 2), ('f2v', 'herbal', 'B', '2', 0, 3)) as t(page, section, lang, hand, par_idx, n_words)")
+@query(sql(*_WRITTEN, select="select pn as page, section, lang, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as n_words from rl"))
 def running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = transliteration.running_lines(sample(spark))
-    return lines.select("page", "section", "lang", "hand", "par_idx", F.size("ws").alias("n_words"))
+    lines = transliteration.running_lines(loci(spark, sf_dir))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return lines.select("page", "section", "lang", "hand", number("par_idx"), number("line_idx"), F.size("ws").cast("long").alias("n_words"))
 
 
-@query("select * from (values ('f2v', 'herbal', 'z', 'okary'), ('f2v', 'herbal', 'z', 'dal')) as t(page, section, subtype, w)")
+@query(sql(*_WRITTEN, select="select pn as page, section, 'z' as subtype, unnest(kept) as w from sn where label"))
 def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transliteration.labels(sample(spark))
+    return transliteration.labels(loci(spark, sf_dir))
+
+
+@query(sql(*_WRITTEN, select="select section, case when ltype = '=Pt' then 'title' when k % 5 = 0 then 'par-first' else 'body' end as kind, count(*) as n_lines, sum(len(kept))::bigint as n_words from sn where not label and len(kept) > 0 group by all"))
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transliteration.kind_lines(loci(spark, sf_dir))
+    return lines.groupBy("section", "kind").agg(F.count("*").alias("n_lines"), F.sum(F.size("ws")).alias("n_words"))
+
+
+@query(sql(*_WRITTEN, "tk as (select pn as page, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as line_len, k, unnest(kept) as w, unnest(range(0, len(kept))) as word_idx from rl)", select="select page, hand, par_idx, line_idx, word_idx, line_len, row_number() over (partition by page order by k, word_idx) - 1 as pos, w from tk"))
+def transliterated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = transliteration.tokens(transliteration.running_lines(loci(spark, sf_dir)))
+    number = [F.col(c).cast("long").alias(c) for c in ("par_idx", "line_idx", "word_idx", "line_len", "pos")]
+    return toks.select("page", "hand", *number, "w")
+
+
+@query(sql(*_WRITTEN, "jn as (select section, list_concat(case when k % 6 = 3 then [array_to_string(kept, '')] else kept end, []) as ws from rl)", select="select section, count(*) as n_lines, sum(len(ws))::bigint as n_words from jn group by all"))
+def joined_commas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running text where uncertain spaces join words instead of parting them. S18, P3, A48."""
+    lines = transliteration.running_lines(loci(spark, sf_dir), "")
+    return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.sum(F.size("ws")).alias("n_words"))
 
 
 # ---- plain-text sources over documents as files ----

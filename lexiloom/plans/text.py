@@ -640,6 +640,20 @@ def page_cosine_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.drift(docs(spark, sf_dir))
 
 
+@query(sql(
+    "v as (select corpus, page, w, count(*)::double as c from tok group by all)", "p as (select corpus, page, sqrt(sum(c * c)) as norm from v group by all)",
+    "d as (select a.corpus, a.page as a, b.page as b, sum(a.c * b.c) as x from v a join v b on a.corpus = b.corpus and a.w = b.w and a.page < b.page group by all)",
+    "e as (select d.corpus, a, b, round(x / (p.norm * q.norm), 9) as cosine from d join p on p.corpus = d.corpus and p.page = a join p q on q.corpus = d.corpus and q.page = b)",
+    "n as (select corpus, a as page, b as other, cosine from e where cosine >= 0.8 union all select corpus, b, a, cosine from e where cosine >= 0.8)",
+    "m as (select corpus, page, count(*) as n_near, max(cosine) as cosine from n group by all)",
+    "k as (select n.corpus, n.page, min(other) as nearest from n join m on m.corpus = n.corpus and m.page = n.page and m.cosine = n.cosine group by all)",
+    select=f"select p.corpus, p.page, coalesce(n_near, 0)::bigint as n_near, {r('m.cosine')} as cosine, nearest from p left join m on m.corpus = p.corpus and m.page = p.page left join k on k.corpus = p.corpus and k.page = p.page",
+))
+def near_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages over a cosine of 0.8 of each other, counted, and the nearest one."""
+    return vectors.near_pages(docs(spark, sf_dir))
+
+
 @query(sql("h as (select corpus, page, w, ('0x' || left(md5(concat_ws('|', page, pos)), 1))::int % 2 as half, count(*) as c from tok group by all)", "q as (select corpus, page, w, sum(case when half = 0 then c else 0 end)::double as l, sum(case when half = 1 then c else 0 end)::double as r from h group by all)", "s as (select corpus, page, sum(l * r) / nullif(sqrt(sum(l * l)) * sqrt(sum(r * r)), 0) as cosine from q group by all)", select=f"select corpus, count(*) as n_pages, {r('avg(cosine)')} as mean_cosine from s group by corpus"))
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.split_half(docs(spark, sf_dir))
@@ -668,6 +682,35 @@ def normalised_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.counts(t).select("corpus", "n_types", "hapax_share")
 
 
+@query(sql(
+    VOC,
+    "s as (select tok.corpus, page, pos, case when tok.word_idx = 0 and tok.w like 'y%' and length(tok.w) > 2 and v.w is not null then tok.w[2:] else tok.w end as y from tok left join voc v on v.corpus = tok.corpus and v.w = tok.w[2:])",
+    "f as (select corpus, 'raw' as form, page, pos, w from tok union all select corpus, 'normalised', page, pos, replace(replace(y, 'im', 'ir'), 'm', 'ir') from s)",
+    "v2 as (select corpus, form, w, count(*) as c from f group by all)",
+    "h as (select corpus, form, count(*) as n_types, avg((c = 1)::int) as hapax, -sum(c / t * log2(c / t)) as h_words from (select *, sum(c) over (partition by corpus, form) as t from v2) group by all)",
+    "g as (select corpus, form, unnest(string_split(string_agg(w, '.' order by page, pos), '')) as a, generate_subscripts(string_split(string_agg(w, '.' order by page, pos), ''), 1) as i from f group by corpus, form)",
+    "l as (select corpus, form, a, lead(a) over (partition by corpus, form order by i) as b from g)",
+    "b as (select corpus, form, a, b, count(*) as n from l where b is not null group by all)",
+    "h2 as (select corpus, form, -sum(n / t * log2(n / na)) as h2 from (select *, sum(n) over (partition by corpus, form, a) as na, sum(n) over (partition by corpus, form) as t from b) group by all)",
+    "x as (select r.corpus, count(*) as gone from v2 r left join v2 n on n.corpus = r.corpus and n.w = r.w and n.form = 'normalised' where r.form = 'raw' and n.w is null group by r.corpus)",
+    select=f"select h.corpus, h.form, n_types, {r('hapax')} as hapax_share, {r('h_words')} as h_words, {r('h2')} as h2, case when h.form = 'normalised' then coalesce(gone, 0) else 0 end as n_merged from h join h2 on h2.corpus = h.corpus and h2.form = h.form left join x on x.corpus = h.corpus",
+))
+def normalisation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, hapaxes and entropies of the words as they are and normalised, and how many types merge away."""
+    return lexical.normalisation(docs(spark, sf_dir))
+
+
+@query(sql(VOC, f"f as (select corpus, w, cnt, row_number() over (partition by corpus order by cnt desc, w) as rank from voc where not regexp_matches({_CV_CLASS}, '{_CV_GRAMMAR}'))", select="select corpus, w, cnt, rank from f where rank <= 20"))
+def slot_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.misses(docs(spark, sf_dir), _cv().rlike(_CV_GRAMMAR))
+
+
+@query(sql("l as (select corpus, i, w[i] as g, case when i = 1 then '<s>' else w[i - 1] end as before, case when i = length(w) then '</s>' else w[i + 1] end as after from tok, unnest(range(1, length(w) + 1)) as u(i))", "c as (select corpus, g, place, neighbour, count(*)::double as c from (select corpus, g, 'before' as place, before as neighbour from l union all select corpus, g, 'after', after from l) where g in ('t', 'k') group by all)", "q as (select corpus, place, neighbour, sum(case when g = 't' then c else 0 end) as l, sum(case when g = 'k' then c else 0 end) as r from c group by all)", select=f"select corpus, place, {r('sum(l * r) / nullif(sqrt(sum(l * l)) * sqrt(sum(r * r)), 0)')} as cosine, sum((l > 0 and r > 0)::int)::bigint as shared_keys from q group by all"))
+def context_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = docs(spark, sf_dir).select("corpus", "page", "pos", F.posexplode(F.split("w", "")).alias("gi", "g"))
+    return vectors.context_cosine(vectors.contexts(g), "t", "k")
+
+
 # ---- language model over trigrams ----
 
 

@@ -34,7 +34,9 @@ def corpus(files: DataFrame, name: str, ws: Column, limit: int | None = None) ->
     from ..operators.lexical import page_starts
 
     each = files.select("file", ws.alias("ws"))
-    sizes = each.groupBy(F.lit(name).alias("corpus"), F.col("file").alias("page")).agg(F.sum(F.size("ws").cast("long")).alias("n")).where("n > 0")
+    # a column instead of a constant: joins on a constant would become products
+    own = F.when(F.col("file").isNotNull(), name).alias("corpus")
+    sizes = each.groupBy(own, F.col("file").alias("page")).agg(F.sum(F.size("ws").cast("long")).alias("n")).where("n > 0")
     offsets = page_starts(sizes).select(F.col("page").alias("file"), "start")
     out = each.join(offsets, "file").select("file", "start", F.posexplode("ws").alias("i", "w")).select(F.lit(name).alias("corpus"), "file", (F.col("start") + F.col("i")).alias("gpos"), "w")
     return out if limit is None else out.where(F.col("gpos") < limit)

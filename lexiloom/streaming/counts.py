@@ -17,7 +17,8 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 
 
 def windowed(stream: DataFrame, key: Column, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts per key and event-time window; rows later than ``late`` behind are left out."""
+    """Counts per key and event-time window; rows later than ``late`` behind are left out, but for
+    complete results, which keep every window."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("win"), key.alias("key")).agg(F.count("*").alias("n")).select("win.start", "win.end", "key", "n")
 
 
@@ -63,7 +64,9 @@ def starts(stream: DataFrame, key: str, ts: str = "ts", late: str = "10 minutes"
             self.last.update((last,))
             self.handle.registerTimer(last // 1000 + rest + 1)
             began = at[gap > rest * 1000]
-            yield pd.DataFrame({"key": [str(key[0])] * len(began), "started": began.astype("int64").tolist()})
+            if len(began):
+                # plain objects: the worker joins the frames of several keys, and their types have to agree
+                yield pd.DataFrame({"key": pd.Series([str(key[0])] * len(began), dtype=object), "started": began.astype("int64").tolist()})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             self.last.clear()

@@ -17,6 +17,19 @@ from lexiloom.sources import plain, tables, transliteration
 PAGES = [[["ok", "dy", "ok", "dy"], ["dy", "qok"]], [["dy", "ok", "dy"], ["qok", "ok"], ["dy"]]]
 
 
+SAMPLE = (
+    "#=IVTFF Eva- 2.0\n<f1r>      <! $Q=A $I=T $L=A $H=1>\n<f1r.1,@P0>       <%>fa[ch:sh:x]ys.ykal,ar<->ol{ch}.sh'ol\n"
+    "<f1r.2,+P0>       da?in.qo@192;kedy.cthy=!/\n/chol.dair\n# comment\n<f1r.3,=Pt>       <!note>okaiin.-m%\n"
+    "<f2v>      <! $Q=A $I=H $L=B $H=2>\n<f2v.1,@P0>       <%>daiin.otar.y\n<f2v.2,@Lz>       okary.dal\n"
+)
+
+
+def sample(spark):
+    """Loci of a small made-up file."""
+    name = hashlib.md5(SAMPLE.encode()).hexdigest()
+    return transliteration.parse(transliteration.lines(spark.createDataFrame([(name, SAMPLE)], "file string, text string")))
+
+
 @pytest.fixture(scope="module")
 def toks(spark):
     rows = []
@@ -122,16 +135,16 @@ def test_word_functions(spark):
 
 
 def test_transliteration(spark):
-    loci = other.sample(spark).orderBy("locus_seq").collect()
+    loci = sample(spark).orderBy("locus_seq").collect()
     assert [r.ltype for r in loci] == ["@P0", "+P0", "=Pt", "@P0", "@Lz"]
     assert loci[0].page_vars == {"Q": "A", "I": "T", "L": "A", "H": "1"} == loci[2].page_vars
-    kinds = transliteration.kind_lines(other.sample(spark)).orderBy("locus_seq").collect()
+    kinds = transliteration.kind_lines(sample(spark)).orderBy("locus_seq").collect()
     assert [r.kind for r in kinds] == ["par-first", "body", "title", "par-first"]
-    toks = transliteration.tokens(transliteration.running_lines(other.sample(spark)))
+    toks = transliteration.tokens(transliteration.running_lines(sample(spark)))
     assert toks.count() == 11 and toks.where("page = 'f1r'").agg(F.max("pos")).first()[0] == 7
     stream = transliteration.glyph_stream(toks)
     assert stream.where("g = '.'").count() == 11
-    assert transliteration.channels(other.sample(spark)).where("channel = 'k/t'").count() >= 2
+    assert transliteration.channels(sample(spark)).where("channel = 'k/t'").count() >= 2
     assert transliteration.skeleton(toks).where("bucket = 'first'").count() == 4
 
 
@@ -483,3 +496,98 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.key for r in spark.table("first_seen").collect()} == {r.event_type for r in src.select("event_type").distinct().collect()}
+
+
+def test_starts_over_batches(spark, tmp_path):
+    """Rows in several files, one a batch: a key's gaps count over batches, quiet keys begin anew, a row behind the watermark is left out."""
+    from datetime import datetime, timedelta
+
+    from lexiloom.streaming import counts
+
+    day = datetime(2024, 1, 1)
+    hours = {"a": [0, 1, 2, 10, 11, 30], "b": [0, 5.9, 11.8, 40], "c": [12]}
+    for k, (lo, hi) in enumerate(((0, 6), (6, 12), (12, 48))):
+        rows = [(key, day + timedelta(hours=h)) for key, hs in hours.items() for h in hs if lo <= h < hi]
+        spark.createDataFrame(rows, "user string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    late = spark.createDataFrame([("d", day)], "user string, ts timestamp")
+    late.coalesce(1).write.parquet(str(tmp_path / "in" / "3"))
+    stream = lambda: spark.readStream.schema("user string, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+    before = spark.conf.get(counts.STORE[0], None)
+    got = sorted((r.key, r.started) for r in counts.drained(spark, counts.starts(stream(), "user")).collect())
+    micros = lambda h: int((day + timedelta(hours=h) - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    want = sorted([("a", micros(0)), ("a", micros(10)), ("a", micros(30)), ("b", micros(0)), ("b", micros(40)), ("c", micros(12))])
+    assert got == want and spark.conf.get(counts.STORE[0], None) == before
+    windows = counts.drained(spark, counts.windowed(stream(), F.col("user")), "complete").collect()
+    assert sum(r.n for r in windows) == 12  # a complete result keeps all windows, late rows in them
+
+
+def test_sketches_unite(spark):
+    from lexiloom.operators import sketches
+
+    rows = spark.range(60_000).select((F.col("id") % 7).alias("page"), F.concat(F.lit("w"), (F.col("id") % 20_011).cast("string")).alias("w"))
+    rows = rows.unionByName(spark.range(300).select(F.col("id") % 7, F.lit("often")).toDF("page", "w"))
+    made = sketches.sketched(rows, ("page",), F.col("w"))
+    assert made.count() == 7
+    whole = sketches.distinct(made.withColumn("all", F.lit(1)), ("all",)).collect()[0].estimate
+    assert abs(whole - 20_012) <= sketches.ERROR * 20_012
+    exact = {r.page: r.n for r in rows.groupBy("page").agg(F.countDistinct("w").alias("n")).collect()}
+    assert all(abs(r.estimate - exact[r.page]) <= sketches.ERROR * exact[r.page] for r in sketches.distinct(made, ("page",)).collect())
+    top = sketches.frequent(made.withColumn("all", F.lit(1)), ("all",), 3).collect()
+    assert ("often", 300) in [(r.item, r.n) for r in top]
+
+
+def test_marks_of_any_script(spark):
+    import unicodedata
+
+    texts = ["Élen síla", "ελληνικά ΐ", "йога ёж", "नमस्ते", "Việt Nam", "ỗǖ", "한글", "plain", "", None, "e\u0301"]
+    plain_ = [None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M")) for t in texts]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", words.fold_marks(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [None if r.t is None else unicodedata.normalize("NFD", r.t) for r in got] == plain_
+
+
+def test_glyphs_recoded(spark):
+    rows = [("c", "s", 0, i, w) for i, w in enumerate(["chedy", "shedy", "cheedy", "qokeey", "qokey", "daiin", "dain", "dar"])]
+    toks = spark.createDataFrame(rows, "corpus string, section string, page int, pos int, w string")
+    coded = {r.pos: r.w for r in pairs.recoded(toks, glyphs.glyphs(F.col("w"))).collect()}
+    count = {r.pos: r.n for r in toks.select("pos", F.size(glyphs.glyphs(F.col("w"))).alias("n")).collect()}
+    assert {p: len(w) for p, w in coded.items()} == count and len(set(coded.values())) == 8
+    away = lambda a, b: sum(x != y for x, y in zip(coded[a], coded[b])) + abs(len(coded[a]) - len(coded[b]))
+    assert away(0, 1) == 1 and away(0, 2) == 1 and away(3, 4) == 1  # a bench and an e-run are one glyph each
+
+
+def test_near_pages_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(vectors, "NEAR_WORDS", 3)
+    pages = {("a" if p % 4 else "b", p): Counter(rng.choice("uvwxyz") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 14))) for p in range(50)}
+    pages["a", 51] = Counter(pages["a", 1])
+    pages["c", 99] = Counter(["alone"])
+    rows = [(c, p, i, w) for (c, p), n in pages.items() for i, w in enumerate(n.elements())]
+    toks = spark.createDataFrame(rows, "corpus string, page int, pos int, w string")
+    norm = {k: math.sqrt(sum(n * n for n in v.values())) for k, v in pages.items()}
+    want = {}
+    for k, v in pages.items():
+        near = sorted((-round(sum(n * x[w] for w, n in v.items()) / norm[k] / norm[o], 9), o[1]) for o, x in pages.items() if o != k and o[0] == k[0])
+        near = [(c, p) for c, p in near if c <= -0.8]
+        want[k] = (len(near), -near[0][0] if near else None, near[0][1] if near else None)
+    for block in (5, 1024):
+        got = {(r.corpus, r.page): (r.n_near, r.cosine, r.nearest) for r in vectors.near_pages(toks, block=block).collect()}
+        assert got == want
+    assert want["a", 51][1] == 1.0 and want["c", 99] == (0, None, None)
+
+
+def test_no_task_holds_a_corpus(spark):
+    """Plans without an exchange to one task or a nested loop."""
+    for name in ("legal_line_words", "gen_alphagram", "slot_templates", "own_vs_other_page", "heaps_beta", "burstiness", "corr_last_z", "line_sharing_30", "gen_iid", "tercile_rate", "transliterated_tokens", "near_pages"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_sampled_lines(spark):
+    from lexiloom.operators import order
+
+    rows = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
+    got = order.least(rows, ("g",), F.md5(F.col("id").cast("string").cast("binary")), ("id",), F.lit(100) + F.col("g")).collect()
+    hashed = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    for g in range(3):
+        want = sorted((i for i in range(5000) if i % 3 == g), key=hashed)[: 100 + g]
+        assert sorted(r.id for r in got if r.g == g) == sorted(want)
