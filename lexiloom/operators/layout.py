@@ -196,8 +196,14 @@ def sampled_sharing(line_rows: DataFrame, kind: Column, rounds: int = 30, by: tu
     return joined_by(out, sizes, by).select(*by, "kind", F.col("size_").alias("n_lines"), "shared", "deviation")
 
 
-def cohesion(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Share of words of a page's first line that its other lines have, and that a partner page's have. A46, A50, J12."""
+def cohesion(toks: DataFrame, by: tuple[str, ...] = BY, least_body: int = 0) -> DataFrame:
+    """Share of words of a page's first line that its other lines have, and that a partner page's have. A46, A50, J12.
+
+    ``least_body`` words a page needs in its other lines to take part, as itself or as a partner. F8.
+    """
+    if least_body:
+        long = toks.where("line_idx > 0").groupBy(*by, "page").agg(F.count("*").alias("n")).where(F.col("n") >= least_body)
+        toks = toks.join(long.select(*by, "page"), [*by, "page"], "left_semi")
     first = toks.where("line_idx = 0").select(*by, "page", "w")
     body = toks.where("line_idx > 0").select(*by, "page", "w").distinct()
     partner = nulls.partner(toks.select(by[0], "page"), by[0], "page")

@@ -61,6 +61,21 @@ def mi_adjacent(toks: DataFrame, k: int = 150, by: tuple[str, ...] = BY, scope:
     return mutual_information(p.where("a <> b") if drop_diagonal else p, by)
 
 
+def mi_floored(toks: DataFrame, least: int = 3000, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, n_words, mi) of every group; null under ``least`` words, where it would measure the sample's size. F9."""
+    sizes = toks.groupBy(*by).agg(F.count("*").alias("n_words"))
+    enough = toks.join(sizes.where(F.col("n_words") >= least).select(*by), list(by), "left_semi")
+    return sizes.join(mi_adjacent(enough, k, by).select(*by, "mi"), list(by), "left")
+
+
+def top_pmi(toks: DataFrame, least: int = 12, k: int = 150, by: tuple[str, ...] = BY) -> DataFrame:
+    """PMI of frequent pairs of top words, with the marginals of the pair table. A12, third form."""
+    p = top_pairs(toks, k, by)
+    w = lambda *keys: Window.partitionBy(*by, *keys)
+    m = p.withColumns({"n": F.sum("c").over(w()), "la": F.sum("c").over(w("a")), "rb": F.sum("c").over(w("b"))}).where(F.col("c") >= least)
+    return m.select(*by, "a", "b", "c", F.log2(F.col("c") * F.col("n") / (F.col("la").cast("double") * F.col("rb"))).alias("pmi"))
+
+
 def rounds_mi(permuted: DataFrame, k: int = 150, by: tuple[str, ...] = BY, toks: DataFrame | None = None) -> DataFrame:
     """MI of each round (0 is the real order) of permuted tokens; the top words are the real ones',
     counted on the tokens before they were permuted (``toks``) where those are at hand. A7."""
@@ -186,6 +201,12 @@ def lag_curve(toks: DataFrame, lags: int = 40, by: tuple[str, ...] = BY, scope:
     return each.groupBy(*by, (F.col("i") + 1).alias("lag")).agg(F.count("*").alias("n"), F.sum("same").alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
 
 
+def far_baseline(curve: DataFrame, low: int = 30, high: int = 40, by: tuple[str, ...] = BY) -> DataFrame:
+    """The lag curve beside the mean of its far lags: (by, lag, rate, baseline, ratio). A16."""
+    far = curve.where(F.col("lag").between(low, high)).groupBy(*by).agg(F.avg("rate").alias("baseline"))
+    return lexical.joined_by(curve, far, by).select(*by, "lag", "rate", "baseline", (F.col("rate") / F.nullif(F.col("baseline"), F.lit(0.0))).alias("ratio"))
+
+
 def conditional_rule(toks: DataFrame, condition: dict[str, Column], outcome: Column, by: tuple[str, ...] = BY, scope: tuple[str, ...] = ("corpus", "page"), order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Chance of an outcome of the next word, overall and given each condition of this word. A53."""
     each = toks.withColumns({**{f"if_{k}": v for k, v in condition.items()}, "then": F.lead(outcome.cast("double")).over(within(scope, order))}).where("then is not null")

@@ -312,3 +312,43 @@ def boundary_excess_qo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selfsim_glyph_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P26, A15: edits of whole glyphs."""
     return pairs.selfsim_edit(pairs.recoded(docs(spark, sf_dir), glyphs.glyphs(F.col("w"))))
+
+
+_PF = "len(list_filter(gs, lambda g: g in ('p', 'f', 'cph', 'cfh')))"
+_TK = "len(list_filter(gs, lambda g: g in ('k', 't', 'ckh', 'cth')))"
+
+
+@query(sql(
+    VOC, GLYPHS, f"k as (select corpus, w, cnt, case when {_PF} > 0 then 'p/f' when {_TK} > 0 then 't/k' else 'other' end as cls from gl)",
+    "x as (select * from k union all select corpus, w, cnt, 'all' from k)",
+    select=f"select corpus, cls, {_COUNTED}, {r('avg((cnt = 1)::int)')} as hapax_share from x group by all",
+))
+def gallows_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A43: hapaxes of words with p or f, of those with t or k, and of all."""
+    tk = F.arrays_overlap(glyphs.glyphs(F.col("w")), F.array(*[F.lit(x) for x in fixed.GALLOWS_KT]))
+    own = F.when(glyphs.has_pf(F.col("w")), "p/f").when(tk, "t/k").otherwise("other")
+    each = voc(spark, sf_dir).select("corpus", "cnt", F.explode(F.array(own, F.lit("all"))).alias("cls"))
+    return each.groupBy("corpus", "cls").agg(F.sum("cnt").alias("n_tokens"), F.count("*").alias("n_types"), F.avg((F.col("cnt") == 1).cast("double")).alias("hapax_share"))
+
+
+@query(sql(
+    VOC, GLYPHS, "k as (select corpus, cnt, list_position(list_transform(gs, lambda g: g in ('p', 'f', 'cph', 'cfh')), true) as i from gl)",
+    select=f"select corpus, case when i = 1 then 'initial' when i = 2 then 'after 1 glyph' else 'deeper' end as place, {_COUNTED} from k where i > 0 group by all",
+))
+def gallows_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A43: where in the word its first p or f stands."""
+    at = F.array_position(F.transform(glyphs.glyphs(F.col("w")), lambda g: g.isin(*fixed.PF)), True)
+    place = F.when(F.col("at") == 1, "initial").when(F.col("at") == 2, "after 1 glyph").otherwise("deeper")
+    return counted(voc(spark, sf_dir).withColumn("at", at).where("at > 0").withColumn("place", place), "corpus", "place")
+
+
+@query(sql(
+    VOC, GLYPHS, f"k as (select corpus, w, cnt, row_number() over (partition by corpus order by cnt desc, w) as rank from gl where {_PF} > 0)",
+    select="select k.corpus, k.w, k.cnt, replace(replace(k.w, 'p', 't'), 'f', 'k') as twin, coalesce(v.cnt, 0)::bigint as twin_cnt from k left join voc v on v.corpus = k.corpus and v.w = replace(replace(k.w, 'p', 't'), 'f', 'k') where rank <= 10",
+))
+def gallows_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A43: the most frequent words with p or f, and the words with t and k in their place."""
+    v = voc(spark, sf_dir)
+    top = lexical.ranked(v.where(glyphs.has_pf(F.col("w")))).where("rank <= 10").withColumn("twin", F.translate("w", "pf", "tk"))
+    known = v.select("corpus", F.col("w").alias("twin"), F.col("cnt").alias("twin_cnt"))
+    return top.join(known, ["corpus", "twin"], "left").select("corpus", "w", "cnt", "twin", F.coalesce("twin_cnt", F.lit(0)).alias("twin_cnt"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, words
 from ..operators import battery as battery_
-from ..operators import generators, lexical, nulls, pairs, signals
+from ..operators import generators, layout, lexical, nulls, pairs, signals
 from ..sources import plain, tables, transliteration
 from ..streaming import counts
 from . import glyph  # noqa: F401  profiles are composed of its SQL too
 from .base import ORACLES, TOK, VOC, mutual, query, r, sql
-from .text import _CV_GRAMMAR, _cv
+from .text import _CV_CLASS, _CV_GRAMMAR, _ROLE_RF, _cv, _tv_round, _z
 
 docs = tables.documents
 
@@ -338,7 +338,7 @@ _WRITTEN = (
     "sn as (select *, map {" + ", ".join(f"'{k}': '{v}'" for k, v in fixed.SECTIONS.items()) + "}[code] as section from lc)",
     "ru as (select *, (k % 5 = 0 or row_number() over (partition by d, pn order by k) = 1)::int as opens from sn where not label)",
     "rn as (select *, greatest(sum(opens) over (partition by d, pn order by k), 1) - 1 as par_idx from ru where len(kept) > 0)",
-    "rl as (select *, row_number() over (partition by d, pn, par_idx order by k) - 1 as line_idx from rn)",
+    "wl as (select *, row_number() over (partition by d, pn, par_idx order by k) - 1 as line_idx from rn)",
 )
 
 
@@ -348,7 +348,7 @@ def ivtff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loci(spark, sf_dir).select("page", "num", "ltype", c.alias("clean"), F.size(words.words(c)).cast("long").alias("n_words"))
 
 
-@query(sql(*_WRITTEN, select="select pn as page, section, lang, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as n_words from rl"))
+@query(sql(*_WRITTEN, select="select pn as page, section, lang, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as n_words from wl"))
 def running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = transliteration.running_lines(loci(spark, sf_dir))
     number = lambda c: F.col(c).cast("long").alias(c)
@@ -366,20 +366,85 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("section", "kind").agg(F.count("*").alias("n_lines"), F.sum(F.size("ws")).alias("n_words"))
 
 
-@query(sql(*_WRITTEN, "tk as (select pn as page, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as line_len, k, unnest(kept) as w, unnest(range(0, len(kept))) as word_idx from rl)", select="select page, hand, par_idx, line_idx, word_idx, line_len, row_number() over (partition by page order by k, word_idx) - 1 as pos, w from tk"))
+@query(sql(*_WRITTEN, "tk as (select pn as page, hand, par_idx::bigint as par_idx, line_idx::bigint as line_idx, len(kept) as line_len, k, unnest(kept) as w, unnest(range(0, len(kept))) as word_idx from wl)", select="select page, hand, par_idx, line_idx, word_idx, line_len, row_number() over (partition by page order by k, word_idx) - 1 as pos, w from tk"))
 def transliterated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = transliteration.tokens(transliteration.running_lines(loci(spark, sf_dir)))
     number = [F.col(c).cast("long").alias(c) for c in ("par_idx", "line_idx", "word_idx", "line_len", "pos")]
     return toks.select("page", "hand", *number, "w")
 
 
-@query(sql(*_WRITTEN, "jn as (select section, list_concat(case when k % 6 = 3 then [array_to_string(kept, '')] else kept end, []) as ws from rl)", select="select section, count(*) as n_lines, sum(len(ws))::bigint as n_words from jn group by all"))
+@query(sql(*_WRITTEN, "jn as (select section, list_concat(case when k % 6 = 3 then [array_to_string(kept, '')] else kept end, []) as ws from wl)", select="select section, count(*) as n_lines, sum(len(ws))::bigint as n_words from jn group by all"))
 def joined_commas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running text where uncertain spaces join words instead of parting them. S18, P3, A48."""
     lines = transliteration.running_lines(loci(spark, sf_dir), "")
     return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.sum(F.size("ws")).alias("n_words"))
 
 
+_LABELLED = (
+    *_WRITTEN, "lb as (select pn as page, section, unnest(kept) as w from sn where label)", "tx as (select unnest(kept) as w from wl)",
+    "lv as (select w, count(*) as c, count(distinct page) as pages from lb group by w)", "tv as (select w, count(*) as c from tx group by w)",
+)
+
+
+@query(sql(
+    *_LABELLED,
+    "st as (select 'labels' as kind, w, c from lv union all select 'text', w, c from tv)",
+    "ag as (select kind, sum(c)::bigint as n_tokens, count(*) as n_types, avg((c = 1)::int) as hapax_share, sum(case when c > 1 then c else 0 end) / sum(c) as repeat_share, "
+    + ", ".join(f"sum(case when {c} then c else 0 end) / sum(c) as {n}" for n, c in (("starts_q", "w like 'q%'"), ("starts_o", "w like 'o%'"), ("starts_d", "w like 'd%'"), ("starts_y", "w like 'y%'"), ("starts_bench", "w like 'ch%' or w like 'sh%'")))
+    + ", sum(c * length(w)) / sum(c) as mean_length from st group by kind)",
+    select="select kind, n_tokens, n_types, " + ", ".join(f"{r(c)} as {c}" for c in ("hapax_share", "repeat_share", "starts_q", "starts_o", "starts_d", "starts_y", "starts_bench", "mean_length"))
+    + ", case when kind = 'labels' then (select count(*) from lv where w not in (select w from tv)) else 0 end as n_novel, case when kind = 'labels' then (select count(*) from lv where pages > 1) else 0 end as n_on_pages from ag",
+))
+def label_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are labels like names? Their words beside those of the running text. A49, A51."""
+    all_loci = loci(spark, sf_dir)
+    lab = transliteration.labels(all_loci).select(F.lit("labels").alias("kind"), "page", "w")
+    text = transliteration.tokens(transliteration.running_lines(all_loci)).select(F.lit("text").alias("kind"), "page", "w")
+    voc = lab.unionByName(text).groupBy("kind", "w").agg(F.count("*").alias("cnt"), F.countDistinct("page").alias("pages"))
+    w, n = F.col("w"), F.sum("cnt")
+    share = lambda hit: F.sum(F.when(hit, F.col("cnt")).otherwise(0)) / n
+    out = voc.groupBy("kind").agg(
+        n.alias("n_tokens"), F.count("*").alias("n_types"), F.avg((F.col("cnt") == 1).cast("double")).alias("hapax_share"), share(F.col("cnt") > 1).alias("repeat_share"),
+        *[share(w.startswith(c)).alias(f"starts_{c}") for c in "qody"], share(w.startswith("ch") | w.startswith("sh")).alias("starts_bench"), (F.sum(F.col("cnt") * F.length(w)) / n).alias("mean_length"),
+    )
+    own = voc.where("kind = 'labels'")
+    novel = own.join(voc.where("kind = 'text'").select("w", F.lit(1).alias("known")), "w", "left").groupBy("kind").agg(F.sum(F.col("known").isNull().cast("long")).alias("n_novel"), F.sum((F.col("pages") > 1).cast("long")).alias("n_on_pages"))
+    return out.join(novel, "kind", "left").select(*out.columns, F.coalesce("n_novel", F.lit(0)).alias("n_novel"), F.coalesce("n_on_pages", F.lit(0)).alias("n_on_pages"))
+
+
+@query(sql(
+    *_WRITTEN, "tx as (select unnest(kept) as w from wl)",
+    "jn as (select unnest(case when k % 6 = 3 then [array_to_string(kept, '')] else kept end) as w from wl)",
+    f"nw as (select w, count(*) as c, regexp_matches({_CV_CLASS}, '{_CV_GRAMMAR}') as fits from jn where w not in (select w from tx) group by w)",
+    select=f"select count(*) as n_types, sum(c)::bigint as n_tokens, {r('sum(case when fits then c else 0 end) / sum(c)')} as conforming from nw",
+))
+def comma_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that exist only where uncertain spaces join: do they fit the grammar? A48, J3."""
+    all_loci = loci(spark, sf_dir)
+    text, joined = (transliteration.running_lines(all_loci, comma).select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c")) for comma in (".", ""))
+    new = joined.join(text.select("w"), "w", "left_anti").withColumn("fits", _cv().rlike(_CV_GRAMMAR))
+    return new.agg(F.count("*").alias("n_types"), F.sum("c").alias("n_tokens"), (F.sum(F.when(F.col("fits"), F.col("c")).otherwise(0)) / F.sum("c")).alias("conforming"))
+
+
+_PARAGRAPHS = (
+    *_WRITTEN,
+    "t0 as (select lang as corpus, pn as page, par_idx, k, len(kept) as line_len, unnest(kept) as w, unnest(range(0, len(kept))) as word_idx from wl)",
+    "tp as (select *, row_number() over (partition by page order by k, word_idx) - 1 as pos from t0)",
+    "rr as (select * from tp, unnest(range(0, 11)) as u(round))",
+    "sl as (select * exclude (w), row_number() over (partition by round, page, par_idx order by pos) as slot from rr)",
+    "dw as (select round, page, par_idx, w, row_number() over (partition by round, page, par_idx order by case when round > 0 then md5(concat_ws('|', round, page, pos)) else '' end, pos) as slot from rr)",
+    "rf as (select sl.*, dw.w from sl join dw on sl.round = dw.round and sl.page = dw.page and sl.par_idx = dw.par_idx and sl.slot = dw.slot)",
+)
+
+
+@query(sql(*_PARAGRAPHS, _ROLE_RF, _tv_round("left(w, 1)", "first", "last", "s"), _tv_round("right(w, 1)", "last", "first", "e"), _z("s", "tv", "zs"), _z("e", "tv", "ze"), select=f"select zs.corpus, {r('zs.x')} as tv_start, {r('zs.z')} as z_start, {r('ze.x')} as tv_end, {r('ze.z')} as z_end from zs join ze on zs.corpus = ze.corpus"))
+def positional_z_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words permuted inside their paragraphs, which the transliteration marks. A33, N2."""
+    toks = transliteration.tokens(transliteration.running_lines(loci(spark, sf_dir)))
+    toks = toks.select(F.col("lang").alias("corpus"), "page", "par_idx", "pos", "word_idx", "line_len", "w")
+    return layout.positional_z(toks, 10, within=("corpus", "page", "par_idx"))
+
+
 # ---- plain-text sources over documents as files ----
 
 

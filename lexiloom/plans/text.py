@@ -158,6 +158,21 @@ def mi_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.mi_adjacent(docs(spark, sf_dir))
 
 
+@query(sql(VOC, RANKED, TOP150, _LEAD, _TOPPED, "m as (select *, sum(c) over (partition by corpus) as n, sum(c) over (partition by corpus, a) as la, sum(c) over (partition by corpus, b) as rb from p)", select=f"select corpus, a, b, c, {r('log2(c * n / (la::double * rb))')} as pmi from m where c >= 12"))
+def pmi_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.top_pmi(docs(spark, sf_dir))
+
+
+@query(sql(
+    "sx as (select corpus || '|' || section as corpus, page, pos, w from tok)", "voc as (select corpus, w, count(*) as cnt from sx group by all)", RANKED, TOP150,
+    "nx as (select corpus, w as a, lead(w) over (partition by page order by pos) as b from sx)", _TOPPED, mutual("p", "corpus"), "z as (select corpus, section, count(*) as n_words from tok group by all)",
+    select=f"select z.corpus, z.section, n_words, case when n_words >= 3000 then {r('mi')} end as mi from z left join mi_ on mi_.corpus = z.corpus || '|' || z.section",
+))
+def mi_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections under 3,000 words have no figure."""
+    return pairs.mi_floored(docs(spark, sf_dir), 3000, 150, ("corpus", "section"))
+
+
 @query(sql(VOC, RANKED, TOP150, _LEAD, _TOPPED, "q as (select * from p where a <> b)", mutual("q", "corpus"), select=f"select corpus, n_pairs, {r('mi')} as mi from mi_"))
 def mi_drop_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.mi_adjacent(docs(spark, sf_dir), drop_diagonal=True)
@@ -221,6 +236,11 @@ def lag_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.lag_curve(docs(spark, sf_dir), 40)
 
 
+@query(sql(_LAGS.format(n=41), "z as (select *, hits / n as rate from q)", "b as (select corpus, avg(rate) as baseline from z where lag between 30 and 40 group by corpus)", select=f"select z.corpus, lag::int as lag, {r('rate')} as rate, {r('baseline')} as baseline, {r('rate / nullif(baseline, 0)')} as ratio from z join b on b.corpus = z.corpus"))
+def lag_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.far_baseline(pairs.lag_curve(docs(spark, sf_dir), 40))
+
+
 @query(sql(_LAGS.format(n=61), "z as (select *, hits / n as rate from q)", select=f"select corpus, {r('max(case when lag = 1 then rate end)')} as kappa_1, {r('avg(case when lag > 10 then rate end)')} as plateau, {r('max(case when lag > 10 then rate end)')} as highest from z group by corpus"))
 def kappa_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.kappa(pairs.lag_curve(docs(spark, sf_dir), 60))
@@ -535,11 +555,20 @@ _PARTNER = (
 )
 
 
-@query(sql(*_PARTNER, "f as (select t.corpus, t.page, t.w, pt.partner from tok t join pt on pt.corpus = t.corpus and pt.page = t.page where line_idx = 0)", select=f"select f.corpus, count(*) as n, {r('avg((o.w is not null)::int)')} as own_page, {r('avg((p.w is not null)::int)')} as other_page from f left join bd o on o.corpus = f.corpus and o.page = f.page and o.w = f.w left join bd p on p.corpus = f.corpus and p.page = f.partner and p.w = f.w group by f.corpus"))
+_COHESION = sql(*_PARTNER, "f as (select t.corpus, t.page, t.w, pt.partner from tok t join pt on pt.corpus = t.corpus and pt.page = t.page where line_idx = 0)", select=f"select f.corpus, count(*) as n, {r('avg((o.w is not null)::int)')} as own_page, {r('avg((p.w is not null)::int)')} as other_page from f left join bd o on o.corpus = f.corpus and o.page = f.page and o.w = f.w left join bd p on p.corpus = f.corpus and p.page = f.partner and p.w = f.w group by f.corpus")
+
+
+@query(_COHESION)
 def own_vs_other_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cohesion(docs(spark, sf_dir))
 
 
+@query(_COHESION.replace("pg as (select distinct corpus, page from tok)", "bg as (select page from tok where line_idx > 0 group by page having count(*) >= 10), pg as (select distinct corpus, page from tok where page in (select page from bg))"))
+def own_vs_other_page_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose other lines have ten words or more."""
+    return layout.cohesion(docs(spark, sf_dir), least_body=10)
+
+
 # ---- word grammar (letters as glyphs) ----
 
 _UNITS = (VOC, "un as (select corpus, cnt, string_split(w, '') as u from voc)", "us as (select corpus, cnt, len(u) as n, i - 1 as i, u[i] as g from un, unnest(range(1, len(u) + 1)) as v(i) where len(u) >= 2)", "gp as (select corpus, g, sum(cnt)::bigint as n, sum(cnt * i::double / (n - 1)) / sum(cnt) as mean_pos from us group by all having sum(cnt) >= 30)", "gr as (select *, row_number() over (partition by corpus order by mean_pos, g) as rank from gp)")
