@@ -272,7 +272,7 @@ select part, filter_order, step,
        coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
        coalesce(sum(good) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost,
        coalesce(sum(toxic) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost,
-       coalesce(sum(n * 120 // bit_count(mask)) filter (where mask & bit > 0), 0)::bigint as shapley
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) filter (where mask & bit > 0), 0)::bigint as shapley
 from c, s group by part, filter_order, step
 """
 
