@@ -285,8 +285,7 @@ def _boundary_sql(first: str, rounds: int = 3) -> str:
 
 
 def _boundary(spark: SparkSession, sf_dir: str, qo: bool, rounds: int = 3) -> DataFrame:
-    permuted = nulls.shuffled(docs(spark, sf_dir), rounds)
-    return pairs.excess(pairs.boundary_mi(permuted, ("corpus", "round"), qo, ("corpus", "page", "round")), "mi").select("corpus", "real", "null_mean", "excess")
+    return pairs.excess(pairs.page_boundary_mi(docs(spark, sf_dir), rounds, qo=qo, whole=True), "mi").select("corpus", "real", "null_mean", "excess")
 
 
 @query(_boundary_sql("left(w, 1)"))
