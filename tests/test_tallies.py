@@ -80,3 +80,11 @@ def test_lags_by_brute_force(spark):
     assert got == {k: (sum(max(0, len(ws) - k) for ws in pages.values()), sum(x == y for ws in pages.values() for x, y in zip(ws, ws[k:]))) for k in range(1, 13)}
     plan = registry.queries()["lag_baseline"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_lines_and_samples_move_no_words(spark):
+    """Lines come from their text's row; a sample's edge is a row a group; a lag curve makes no row a lag."""
+    plans = {name: registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString() for name in ("tercile_rate", "corr_last_z", "line_sharing_30", "downsample_equal", "lag_baseline", "kappa_scan")}
+    assert not any("collect_list(struct(word_idx" in p for p in plans.values())
+    assert "WindowGroupLimit" not in plans["downsample_equal"] and "posexplode" not in plans["lag_baseline"].split("MapInArrow")[0]
+    assert all("MapInArrow" in plans[k] for k in ("lag_baseline", "kappa_scan")) and "explode(words" not in plans["line_sharing_30"]
