@@ -88,3 +88,23 @@ def test_lines_and_samples_move_no_words(spark):
     assert not any("collect_list(struct(word_idx" in p for p in plans.values())
     assert "WindowGroupLimit" not in plans["downsample_equal"] and "posexplode" not in plans["lag_baseline"].split("MapInArrow")[0]
     assert all("MapInArrow" in plans[k] for k in ("lag_baseline", "kappa_scan")) and "explode(words" not in plans["line_sharing_30"]
+
+
+def test_near_pages_in_tiles(spark, monkeypatch):
+    """Blocks that a corpus's size sets, compared in smaller tiles, find what blocks of one size do."""
+    from lexiloom.operators import vectors
+    from lexiloom.sources import tables
+
+    toks = tables.documents(spark, SF)
+    want = sorted(map(tuple, vectors.near_pages(toks).collect()))
+    monkeypatch.setattr(vectors, "NEAR_BLOCKS", (7, 40))
+    monkeypatch.setattr(vectors, "NEAR_TILE", 5)
+    assert sorted(map(tuple, vectors.near_pages(toks).collect())) == want
+
+
+def test_near_pages_are_copied_a_bounded_number_of_times(spark):
+    from lexiloom.operators import vectors
+
+    low, high = vectors.NEAR_BLOCKS
+    blocks = lambda n: -(-n // max(low, min(high, -(-n // vectors.NEAR_MANY))))
+    assert max(blocks(n) for n in range(1, vectors.NEAR_MANY * high, 997)) <= vectors.NEAR_MANY
