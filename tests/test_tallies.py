@@ -108,3 +108,23 @@ def test_near_pages_are_copied_a_bounded_number_of_times(spark):
     low, high = vectors.NEAR_BLOCKS
     blocks = lambda n: -(-n // max(low, min(high, -(-n // vectors.NEAR_MANY))))
     assert max(blocks(n) for n in range(1, vectors.NEAR_MANY * high, 997)) <= vectors.NEAR_MANY
+
+
+def test_corpora_shuffled_in_one_move(spark, monkeypatch):
+    """Numbers, ranges and gaps of a shuffled corpus take one exchange of its tokens, and gaps are those of plain lists."""
+    from lexiloom.operators import lexical, nulls, order
+
+    rng = random.Random(9)
+    rows = [("x", f"p{i // 50}", i % 50, rng.choice("abcd")) for i in range(3000)]
+    toks = spark.createDataFrame(rows, "corpus string, page string, pos int, w string")
+    drawn = order.dense(nulls.rounds(toks, 2, False), ("corpus", "round"), nulls.key("round", "page", "pos"), ("page", "pos"), "gpos", cell=True)
+    found = lexical.gaps(drawn, ("corpus", "round"), cells=True)
+    want = {}
+    for k in (1, 2):
+        placed = {}
+        for at, r in enumerate(sorted(rows, key=lambda r: hashlib.md5(f"{k}|{r[1]}|{r[2]}".encode()).hexdigest())):
+            placed.setdefault(r[3], []).append(at)
+        want |= {(k, w): (len(at), at[0], at[-1], sum((y - x) ** 2 for x, y in zip(at, at[1:]))) for w, at in placed.items()}
+    assert {(r.round, r.w): (r.n, r["first"], r["last"], r.squares) for r in found.collect()} == want
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
