@@ -1,6 +1,7 @@
 """Words fetched by their number, by brute force."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -50,3 +51,32 @@ def test_copyists_draw_without_moving(spark, monkeypatch, habits):
     got = generators.copyist(toks.repartition(3), habits)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == first and len(first) == sum(r[0] is not None for r in rows)
+
+
+def test_table_walks_page_by_page(spark, monkeypatch):
+    """Only pages go through the scan; a page's places walk where they are, and pages without a chosen row too."""
+    from lexiloom.operators import scan
+
+    rng = random.Random(7)
+    rows = [("c" if p % 4 else "d", p, i // 6, i % 6, 6, i, rng.choice(["qokedy", "okchey", "dcheey", "shaiin"])) for p in range(90) for i in range(rng.randrange(1, 5))]
+    toks = spark.createDataFrame(rows, "corpus string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
+    scanned, walked = [], scan.walked
+    monkeypatch.setattr(scan, "walked", lambda r, *a, **k: scanned.append(r.count()) or walked(r, *a, **k))
+    monkeypatch.setattr(chunks, "CHUNK", 16)
+    got = {(r.corpus, int(r.page), r.pos): r.w for r in generators.table_words(toks).collect()}
+    assert scanned[0] == 90
+    parts: dict = {}
+    for r in generators.part_table(toks).collect():
+        parts.setdefault((r.corpus, r.column), {})[r.row] = r.part
+    at, want = {}, {}
+    for corpus, page, pos in sorted((r[0], str(r[1]), r[5]) for r in rows):
+        w = ""
+        for k in range(3):
+            draw, last = hashlib.md5(f"3|{page}|{pos}|{k}".encode()).hexdigest(), max(parts.get((corpus, k), {0: ""}))
+            if int(draw[:8], 16) < generators.ANEW * 16**8:
+                at[corpus, k] = min(int(math.log((int(draw[8:20], 16) + 1) / 16**12) / math.log(generators.ONWARD)), last)
+            else:
+                at[corpus, k] = min(max(at.get((corpus, k), 0) + (-1, 0, 0, 1)[int(draw[20], 16) % 4], 0), last)
+            w += parts.get((corpus, k), {}).get(at[corpus, k], "")
+        want[corpus, int(page), pos] = w or "ol"
+    assert got == want
