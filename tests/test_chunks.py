@@ -80,3 +80,30 @@ def test_table_walks_page_by_page(spark, monkeypatch):
             w += parts.get((corpus, k), {}).get(at[corpus, k], "")
         want[corpus, int(page), pos] = w or "ol"
     assert got == want
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_phrases_count_without_moving(spark, monkeypatch, whole):
+    """Repeat events of every round and section by brute force; phrases go to tasks as packed numbers."""
+    from lexiloom.operators import phrases
+
+    rng = random.Random(3)
+    pages = [(c, p, f"s{p % 3}" if p % 4 else None, rng.randrange(1, 40)) for p, c in enumerate(["x", "x", "y", None, "x", "y", None, "x", "x"])]
+    rows = [(c, s, p, i, rng.choice("ab")) for c, p, s, n in pages for i in range(n)]
+    toks = spark.createDataFrame(rows, "corpus string, section string, page int, pos int, w string")
+    toks = toks.coalesce(1) if whole else toks.repartition(4)
+    monkeypatch.setattr(chunks, "CHUNK", 32)
+    monkeypatch.setattr(phrases, "GROUP", 16)
+    made = phrases.counted(toks, 3, 2, ("corpus",), "section", **({"whole": True} if whole else {}))
+    got = {(r.corpus, r.round, r.of_): r.events for r in made.collect()}
+    want: dict = {}
+    for k in range(3):
+        found: dict = {}
+        for c, p, s, n in pages:
+            own = sorted((r for r in rows if r[2] == p), key=lambda r: (hashlib.md5(f"{k}|{p}|{r[3]}".encode()).hexdigest() if k else "", r[3]))
+            for i in range(n - 2):
+                found.setdefault((c, "".join(r[4] for r in own[i : i + 3])), []).append((p, s))
+        for (c, _), at in found.items():
+            for p, s in at:
+                want[c, k, s] = want.get((c, k, s), 0) + (p > min(at, key=lambda x: x[0])[0])
+    assert got == want and sum(want.values()) > 50
