@@ -95,6 +95,7 @@ def test_phrases_count_without_moving(spark, monkeypatch, whole):
     monkeypatch.setattr(chunks, "CHUNK", 32)
     monkeypatch.setattr(phrases, "GROUP", 16)
     made = phrases.counted(toks, 3, 2, ("corpus",), "section", **({"whole": True} if whole else {}))
+    types = {(r.corpus, r.of_): r.n_own for r in made.where("round = 0 and n_own > 0").collect()}
     got = {(r.corpus, r.round, r.of_): r.events for r in made.collect()}
     want: dict = {}
     for k in range(3):
@@ -104,6 +105,33 @@ def test_phrases_count_without_moving(spark, monkeypatch, whole):
             for i in range(n - 2):
                 found.setdefault((c, "".join(r[4] for r in own[i : i + 3])), []).append((p, s))
         for (c, _), at in found.items():
+            for s in {s for _, s in at} if not k else ():
+                types[c, s] -= 1
             for p, s in at:
                 want[c, k, s] = want.get((c, k, s), 0) + (p > min(at, key=lambda x: x[0])[0])
-    assert got == want and sum(want.values()) > 50
+    assert got == want and sum(want.values()) > 50 and set(types.values()) == {0}
+
+
+def test_pages_merge_without_moving(spark, monkeypatch):
+    """Pairs of whole pages are counted and merged where pages are read, as joins of tokens have them."""
+    from lexiloom.operators import pairs
+
+    rng = random.Random(9)
+    rows = [(c, p, i, rng.choice(["a", "b", "ab", "ba", "aa"])) for p, c in enumerate("xyxxy") for i in range(60)]
+    toks = spark.createDataFrame(rows, "corpus string, page int, pos int, w string").coalesce(1)
+    candidates = pairs.pmi_candidates(toks, 2, -9.0, whole=True)
+    merged = pairs.merge(toks, candidates, whole=True)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in merged.collect())
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 0)
+    assert got == sorted(tuple(r) for r in pairs.merge(toks, candidates).collect()) and len(got) < len(rows)
+
+
+def test_grams_without_moving(spark, monkeypatch):
+    from lexiloom.operators import phrases
+
+    rows, toks = made(spark)
+    monkeypatch.setattr(chunks, "CHUNK", 16)
+    got = phrases.grams(toks.coalesce(1), 3, whole=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, phrases.ngrams(toks, 3).select("corpus", "gram").collect()))
