@@ -1,16 +1,26 @@
 """Page-and-locus transliteration files as tables. S1-S5, S14-S23.
 
-A file is one row of text, so its lines are numbered inside the row and the sequential parts
-of the format (a page header holds for the loci after it, a slash continues a line) become
-windows inside one file; files are parsed in parallel.
+A file is one row of text, so the sequential parts of the format (a page header holds for the
+loci after it, a slash continues a line) are arrays inside the row; files are parsed in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, glyphs, words
+from ..operators import chunks, tallies
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
     """Lines of transliteration files: (file, n, line)."""
@@ -23,32 +33,57 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _variables(line: Column) -> Column:
+    """The variables of a page header; of equal ones the last holds."""
+    head = F.regexp_extract(line, fixed.PAGE_HEADER, 2)
+    zipped = F.arrays_zip(F.regexp_extract_all(head, F.lit(fixed.PAGE_VARIABLE), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(fixed.PAGE_VARIABLE), F.lit(2)).alias("v"))
+    later = lambda pairs, p: F.exists(pairs, lambda q: (q["k"] == p["k"]) & (F.array_position(pairs, q) > F.array_position(pairs, p)))
+    return _let(zipped, lambda pairs: F.map_from_entries(F.filter(pairs, lambda p: ~later(pairs, p))))
+
+
 def parse(raw: DataFrame) -> DataFrame:
-    """Loci: (file, page, page_seq, locus_seq, num, ltype, text, page_vars). S1, S2, S3."""
-    file = Window.partitionBy("file").orderBy("n")
-    kept = raw.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
-    is_header, is_locus = F.col("line").rlike(fixed.PAGE_HEADER), F.col("line").rlike(fixed.LOCUS)
-    head = F.regexp_extract("line", fixed.PAGE_HEADER, 2)
-    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(fixed.PAGE_VARIABLE), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(fixed.PAGE_VARIABLE), F.lit(2)).alias("v"))
-    found = F.map_from_entries(F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (F.array_position(pairs, q) > F.array_position(pairs, p)))))
-    marked = kept.select(
-        "file", "n", "line", is_locus.alias("is_locus"), is_header.alias("is_header"),
-        F.when(is_header, found).alias("vars"), F.when(is_header, F.regexp_extract("line", fixed.PAGE_HEADER, 1)).alias("head_page"),
-    )
-    marked = marked.withColumns({
-        "page_vars": F.last("vars", True).over(file),
-        "locus": F.sum(F.col("is_locus").cast("int")).over(file),
-        "page_seq": F.sum(F.col("is_header").cast("int")).over(file),
-    })
-    body = marked.where(~F.col("is_header") & (F.col("locus") > 0))
-    text = F.when(F.col("is_locus"), F.regexp_extract("line", fixed.LOCUS, 4)).otherwise(F.trim("line"))
-    text = F.regexp_replace(F.regexp_replace(F.trim(text), "/$", ""), "^/", "")
-    first = lambda i: F.first(F.when(F.col("is_locus"), F.regexp_extract("line", fixed.LOCUS, i)), True)
-    parts = F.array_sort(F.collect_list(F.struct("n", text.alias("t"))))
-    return body.groupBy("file", "locus").agg(
-        first(1).alias("page"), F.min("page_seq").alias("page_seq"), first(2).alias("num"), first(3).alias("ltype"),
-        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.first("page_vars", True).alias("page_vars"),
-    ).withColumnRenamed("locus", "locus_seq")
+    """Loci: (file, locus_seq, page, page_seq, num, ltype, text, page_vars), in order. S1, S2, S3.
+
+    ``raw`` has whole files (file, text), which are parsed in their rows, so nothing moves and a
+    task holds a file at a time; lines (file, n, line) are gathered to files first.
+    """
+    if "text" in raw.columns:
+        files = raw.select("file", F.split("text", r"\r?\n").alias("lines"))
+    else:
+        files = raw.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+    kept = F.filter("lines", lambda x: ~x.startswith("#") & (F.trim(x) != ""))
+    marked = F.transform(kept, lambda x, i: F.struct(i.alias("i"), x.alias("line"), x.rlike(fixed.LOCUS).alias("is_locus"), x.rlike(fixed.PAGE_HEADER).alias("is_header")))
+
+    def found(rows: Column, heads: Column, starts: Column) -> Column:
+        def locus(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(rows))
+            body = F.filter(F.slice(rows, at + 1, end - at), lambda r: ~r["is_header"])
+            return _let(body, lambda own: F.when(F.size(own) > 0, cells(own, k)))
+
+        def cells(own: Column, k: Column) -> Column:
+            first = F.get(own, F.lit(0))
+            part = lambda i: F.when(first["is_locus"], F.regexp_extract(first["line"], fixed.LOCUS, i))
+            text = lambda r: F.when(r["is_locus"], F.regexp_extract(r["line"], fixed.LOCUS, 4)).otherwise(F.trim(r["line"]))
+            bare = lambda r: F.regexp_replace(F.regexp_replace(F.trim(text(r)), "/$", ""), "^/", "")
+            # the variables of the first line that has a header before it
+            headed = F.get(F.filter(own, lambda r: r["i"] > F.get(heads, F.lit(0))["i"]), F.lit(0))["i"]
+            before = F.filter(heads, lambda h: h["i"] < headed)
+            return F.struct(
+                (k + 1).cast("long").alias("locus_seq"), part(1).alias("page"), F.size(F.filter(heads, lambda h: h["i"] < first["i"])).cast("long").alias("page_seq"),
+                part(2).alias("num"), part(3).alias("ltype"), F.array_join(F.transform(own, bare), "").alias("text"), F.get(before, F.size(before) - 1)["vars"].alias("page_vars"),
+            )
+
+        return F.array_compact(F.transform(starts, locus))
+
+    heads = lambda rows: F.transform(F.filter(rows, lambda r: r["is_header"]), lambda r: F.struct(r["i"].alias("i"), _variables(r["line"]).alias("vars")))
+    starts = lambda rows: F.transform(F.filter(rows, lambda r: r["is_locus"]), lambda r: r["i"])
+    loci = _let(marked, lambda rows: _let(heads(rows), lambda h: _let(starts(rows), lambda s: found(rows, h, s))))
+    return files.select("file", F.inline(loci))
 
 
 def section(loci: DataFrame, unknown: Column | None = None) -> DataFrame:
@@ -67,19 +102,49 @@ def kind(which: str) -> Column:
     return F.substring("ltype", 2, 1) == which
 
 
-def running_lines(loci: DataFrame, comma: str = ".") -> DataFrame:
+def running_lines(loci: DataFrame, comma: str = ".", whole: bool = False) -> DataFrame:
     """Running-text lines with words: a paragraph opens at its mark or on a page's first line. S4, S16-S19.
 
     The mark counts before lines without surviving words are left out, so such a line loses
-    its break.
+    its break. ``start`` is the number of the line's first word in its page. ``whole`` says that a
+    file's loci are next to each other in their task and in order, as :func:`parse` gives them of
+    whole files; without it they are shuffled.
     """
-    page = Window.partitionBy("file", "page").orderBy("locus_seq")
-    opens = F.contains("text", F.lit("<%>")) | (F.row_number().over(page) == 1)
-    marked = section(loci).where(kind("P")).withColumns({"opens": opens, "ws": words.words(words.clean(F.col("text"), comma))})
-    kept = marked.where(F.size("ws") > 0)
-    kept = kept.withColumn("par_idx", F.greatest(F.sum(F.col("opens").cast("int")).over(page), F.lit(1)) - 1)
-    line = Window.partitionBy("file", "page", "par_idx").orderBy("locus_seq")
-    return kept.withColumn("line_idx", F.row_number().over(line) - 1)
+    if not whole:
+        loci = loci.repartition("file").sortWithinPartitions("file", "locus_seq")
+    opens = F.contains("text", F.lit("<%>"))
+    marked = section(loci).where(kind("P")).withColumns({"opens": opens, "ws": words.words(words.clean(F.col("text"), comma))}).drop("text", "page_vars")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema]
+    return marked.mapInArrow(_numbered, ", ".join([*columns, "par_idx bigint", "line_idx int", "start int"]))
+
+
+def _numbered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with words and their paragraph, line and first word, by runs of whole files."""
+    for table, _ in chunks.pages_of(source, ("file",)):
+        page = tallies.joint([tallies.codes(table[c], "encode")[0] for c in ("file", "page")])
+        order = np.argsort(page, kind="stable")
+        top = np.diff(page[order], prepend=-1) != 0
+        size = pc.list_value_length(table["ws"]).to_numpy()[order].astype(np.int64)
+        opens = pc.fill_null(table["opens"], False).to_numpy()[order] | top
+        kept = np.flatnonzero(size > 0)
+        order, size, opens, page = order[kept], size[kept], opens[kept].astype(np.int64), page[order][kept]
+        n = len(order)
+        if not n:
+            continue
+        first = np.flatnonzero(np.diff(page, prepend=-1) != 0)
+        own = np.repeat(first, np.diff(np.append(first, n)))
+        before = np.cumsum(opens) - opens
+        par = np.maximum(before + opens - before[own], 1) - 1
+        start = np.cumsum(size) - size
+        breaks = np.flatnonzero((np.arange(n) == own) | (np.diff(par, prepend=-1) != 0))
+        line = np.arange(n) - np.repeat(breaks, np.diff(np.append(breaks, n)))
+        back = np.argsort(order)
+        numbers = {"par_idx": par, "line_idx": line.astype(np.int32), "start": (start - start[own]).astype(np.int32)}
+        out = table.take(pa.array(order[back]))
+        out = out.set_column(out.schema.get_field_index("opens"), "opens", pa.array(opens[back] > 0))
+        for name, x in numbers.items():
+            out = out.append_column(name, pa.array(x[back]))
+        yield from out.to_batches()
 
 
 def kind_lines(loci: DataFrame) -> DataFrame:
@@ -91,9 +156,8 @@ def kind_lines(loci: DataFrame) -> DataFrame:
 
 def tokens(running: DataFrame) -> DataFrame:
     """The token table: (corpus, section, lang, hand, page, par_idx, line_idx, word_idx, line_len, pos, w). S5, S20."""
-    each = running.select(F.col("file").alias("corpus"), "section", "lang", "hand", "page", "locus_seq", "par_idx", "line_idx", F.size("ws").alias("line_len"), F.posexplode("ws").alias("word_idx", "w"))
-    order = Window.partitionBy("corpus", "page").orderBy("locus_seq", "word_idx")
-    return each.withColumn("pos", F.row_number().over(order) - 1)
+    each = running.select(F.col("file").alias("corpus"), "section", "lang", "hand", "page", "locus_seq", "par_idx", "line_idx", F.size("ws").alias("line_len"), "start", F.posexplode("ws").alias("word_idx", "w"))
+    return each.withColumn("pos", F.col("start") + F.col("word_idx")).drop("start")
 
 
 def labels(loci: DataFrame) -> DataFrame:
