@@ -105,21 +105,36 @@ def normalisation(toks: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """The text as it is and normalised (m as ir, a line's first y off where the rest is a word):
     (by, form, n_types, hapax_share, h_words, h2, n_merged). A42, P15, P16.
 
-    ``n_merged`` counts types that the normalised text doesn't have any more.
+    ``n_merged`` counts types that the normalised text doesn't have any more. What becomes of a word
+    depends on the word and on whether it opens a line, so types with that mark stand for tokens;
+    only the tokens of each group's first and last page are read again, for the text's ends.
     """
+    from .. import stage
     from ..functions import words
 
-    known = vocab(toks, by).select(*by, F.col("w").alias("rest"), F.lit(True).alias("known"))
-    each = toks.withColumn("rest", F.expr("substring(w, 2)")).join(known, [*by, "rest"], "left")
-    stripped = words.strip_initial_y(F.col("w"), F.col("word_idx") == 0, F.coalesce("known", F.lit(False)))
-    slim = [*by, "page", "pos"]
-    both = each.select(*slim, F.inline(F.array(F.struct(F.lit("raw").alias("form"), F.col("w")), F.struct(F.lit("normalised").alias("form"), words.m_to_ir(stripped).alias("w")))))
+    page = F.col("page")
+    marked = toks.withColumn("opens_", F.col("word_idx") == 0)
+    voc = marked.groupBy(*by, "w", "opens_").agg(F.count("*").alias("cnt"), F.min(page).alias("low_"), F.max(page).alias("high_"))
+    voc = stage.written(voc, "types")
+    limits = voc.groupBy(*by).agg(F.min("low_").alias("low_"), F.max("high_").alias("high_"))
+    limits = limits.select(*by, F.explode(F.array("low_", "high_")).alias("page")).distinct().withColumnsRenamed({c: f"{c}_r" for c in (*by, "page")})
+    here = F.lit(True)
+    for c in (*by, "page"):
+        here &= F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    outer = marked.join(F.broadcast(limits), here, "left_semi").select(*by, "page", "pos", "w", "opens_", F.lit(0).cast("long").alias("cnt"))
+    slim = (*by, "page", "pos", "w", "opens_", "cnt")
+    each = voc.select(*by, F.lit(None).cast(toks.schema["page"].dataType).alias("page"), F.lit(None).cast(toks.schema["pos"].dataType).alias("pos"), "w", "opens_", "cnt").unionByName(outer)
+    known = voc.select(*by, F.col("w").alias("rest"), F.lit(True).alias("known")).distinct()
+    each = each.withColumn("rest", F.expr("substring(w, 2)")).join(known, [*by, "rest"], "left")
+    stripped = words.strip_initial_y(F.col("w"), F.col("opens_"), F.coalesce("known", F.lit(False)))
+    forms = F.array(F.struct(F.lit("raw").alias("form"), F.col("w")), F.struct(F.lit("normalised").alias("form"), words.m_to_ir(stripped).alias("w")))
+    both = stage.written(each.select(*[c for c in slim if c not in ("w", "opens_")], F.inline(forms)), "forms")
     keys = (*by, "form")
-    voc = vocab(both, keys)
+    voc = vocab(both.where("cnt > 0"), keys)
     types = counts(voc, keys).select(*keys, "n_types", "hapax_share")
     entropy = entropy_of(voc, keys).select(*keys, F.col("h").alias("h_words"))
     lost = voc.where("form = 'raw'").join(voc.where("form = 'normalised'").select(*by, "w"), [*by, "w"], "left_anti").groupBy(*by).agg(F.count("*").alias("lost")).withColumn("form", F.lit("normalised"))
-    out = joined_by(joined_by(types, entropy, keys), char_h2(both, keys, voc=voc), keys)
+    out = joined_by(joined_by(types, entropy, keys), char_h2(both.where("cnt = 0"), keys, voc=voc), keys)
     return out.join(lost, list(keys), "left").select(*keys, "n_types", "hapax_share", "h_words", "h2", F.coalesce("lost", F.lit(0)).alias("n_merged"))
 
 
