@@ -310,7 +310,7 @@ def boundary_excess_qo(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def selfsim_glyph_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P26, A15: edits of whole glyphs."""
-    return pairs.selfsim_edit(pairs.recoded(docs(spark, sf_dir), glyphs.glyphs(F.col("w"))))
+    return pairs.selfsim_edit(docs(spark, sf_dir), symbols=fixed.GLYPH, whole=True)
 
 
 _PF = "len(list_filter(gs, lambda g: g in ('p', 'f', 'cph', 'cfh')))"

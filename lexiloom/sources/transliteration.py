@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, glyphs, words
-from ..operators import chunks, tallies
+from ..operators.chunks import pages_of
+from ..operators.tallies import codes, joint
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,8 +121,8 @@ def running_lines(loci: DataFrame, comma: str = ".", whole: bool = False) -> Dat
 
 def _numbered(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with words and their paragraph, line and first word, by runs of whole files."""
-    for table, _ in chunks.pages_of(source, ("file",)):
-        page = tallies.joint([tallies.codes(table[c], "encode")[0] for c in ("file", "page")])
+    for table, _ in pages_of(source, ("file",)):
+        page = joint([codes(table[c], "encode")[0] for c in ("file", "page")])
         order = np.argsort(page, kind="stable")
         top = np.diff(page[order], prepend=-1) != 0
         size = pc.list_value_length(table["ws"]).to_numpy()[order].astype(np.int64)
