@@ -1,6 +1,7 @@
 """Training-data operators against DuckDB, brute force, round trips and held-out accuracy."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -628,6 +629,39 @@ def test_suffix_tree_states_and_probabilities(spark, edges):
     assert same != split and all(x <= 0 for x in split.values())
 
 
+def test_suffix_tree_is_the_same_however_it_is_dealt(spark, edges):
+    """Neither dealing out frequent contexts nor joining the counts of rarer words changes a score."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["ta", "To", "no", "ri", "que"]) if rng.random() < 0.8 else "x" + str(int(rng.random() ** 3 * 300))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{edges}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # with 300 some frequent contexts aren't retained
+    for cutoff, most, ways in ((4.0, None, ((20, 1 << 22), (1 << 18, 30))), (300.0, None, ((20, 1 << 22),)), (4.0, 60, ((150, 90),))):
+        want, kept = plain_tree_scores(rows, 3, cutoff, 8.0, most or 1 << 40)
+        times = [t for _, t in kept.values()]
+        assert max(times) > 400 and any(len(c) == 3 and t > 20 for c, (_, t) in kept.items())
+        plain = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.scores(docs, cutoff=cutoff, most_words=most).collect()}
+        for part, broadcast in ways:
+            got = suffix_tree.scores(docs, cutoff=cutoff, most_words=most, part=part, broadcast=broadcast).collect()
+            assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-4)
+            assert {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got} == plain
+
+
+def test_suffix_tree_has_no_bound_by_size():
+    """Contexts and words beyond the former bounds keep their own counts unless options say otherwise."""
+    signature = inspect.signature(suffix_tree.scores).parameters
+    assert signature["piece"].default is None and signature["most_words"].default is None
+    heavy = suffix_tree.Heavy(np.arange(3), np.array([1000, 400, 120]), 100)
+    bucket, keys, at = heavy.held(16)
+    assert np.bincount(at).tolist() == [10, 4, 2] and (np.diff(bucket) >= 0).all()
+    hashes = kernels.mix(np.arange(5000, dtype=np.uint64))
+    used = {suffix_tree.dealt(heavy.dealt(np.zeros(1, int), hashes[i : i + 1]), np.zeros(1, np.uint64), 16)[0][0] for i in range(200)}
+    assert len(used) > 3  # one context's pairs are in several partitions
+    root = suffix_tree.Root(np.arange(2, dtype=np.uint64), np.array([9, 7]), 30, 8, 1, 6, 14)
+    assert np.isclose(root.p[:2].sum() + root.share(np.full(6, 1 << 23), np.array([4, 3, 2, 2, 2, 1])).sum() + root.p[-1], 1)
+
+
 def test_suffix_tree_distributions_sum_to_one():
     rng = np.random.default_rng(2)
     root = suffix_tree.Root(np.arange(5, dtype=np.uint64), np.array([9, 7, 5, 3, 2]), 30, 8)
