@@ -135,3 +135,32 @@ def test_grams_without_moving(spark, monkeypatch):
     got = phrases.grams(toks.coalesce(1), 3, whole=True)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, got.collect())) == sorted(map(str, phrases.ngrams(toks, 3).select("corpus", "gram").collect()))
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_every_word_of_the_corpus_is_attested(spark, monkeypatch, bits):
+    """A word splits into any words of its corpus, the rarest too, and into no others, however often the filter errs."""
+    rng = random.Random(5)
+    words = ["darchol", "qokedy", "okchey", "dar", "chol", "okaiin", "qo", "kedy"] + [f"dar{x}y" for x in "abcde"]
+    rows = [(c, p, i // 5, i % 5, 5, i, rng.choice(words if c == "x" else words[:3])) for p, c in enumerate("xxyxyxx") for i in range(60)]
+    toks = spark.createDataFrame(rows, "corpus string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
+    monkeypatch.setattr(generators, "ATTESTED", 1, raising=False)  # the former bound
+    monkeypatch.setattr(generators, "FILTER_BITS", bits, raising=False)
+    monkeypatch.setattr(generators, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(chunks, "CHUNK", 100)
+    habits = generators.replace(generators.MEMORY, split=0.9)
+    got = {(r.corpus, int(r.page), r.pos): r.w for r in generators.copyist(toks, habits, 8).collect()}
+    of = {}
+    for r in sorted(rows, key=lambda r: (str(r[1]), r[5])):
+        of.setdefault(bucket(r), []).append(r[6])
+    number = lambda head: int(hashlib.md5(head.encode()).hexdigest()[:12], 16)
+    want, splits = {}, set()
+    for p, c in enumerate("xxyxyxx"):
+        own = [r for r in rows if r[1] == p]
+        turns = [number(f"turn8|{p}|{r[5]}") / 16**12 for r in own]
+        many = [1 + (habits.pull_draws if t < habits.pull else habits.avoid_draws if t < habits.avoid else 0) for t in turns]
+        draws = [[of[bucket(r)][number(f"8|{p}|{r[5]}|{k}") % len(of[bucket(r)])] for k in range(n)] for r, n in zip(own, many)]
+        page = generators.write_page(draws, turns, habits, {r[6] for r in rows if r[0] == c}, random.Random(generators._seed(8, c, p)))
+        want |= {(c, p, i): w for i, w in enumerate(page)}
+        splits |= {(a, b) for a, b in zip(page, page[1:]) if a + b in words}
+    assert got == want and len(got) == len(rows) and splits
