@@ -164,3 +164,15 @@ def test_every_word_of_the_corpus_is_attested(spark, monkeypatch, bits):
         want |= {(c, p, i): w for i, w in enumerate(page)}
         splits |= {(a, b) for a, b in zip(page, page[1:]) if a + b in words}
     assert got == want and len(got) == len(rows) and splits
+
+
+def test_chunks_are_small(spark):
+    """A reader holds a row group's chunks at once: they have a few bytes a token, and give the places back."""
+    rng = random.Random(6)
+    rows = [("c", p, i // 8, i % 8, 8, i, rng.choice(["qokedy", "okchey", "dar", "shaiin"])) for p in range(40) for i in range(400)]
+    toks = spark.createDataFrame(rows, "corpus string, page int, line_idx int, word_idx int, line_len int, pos int, w string")
+    got = [r.asDict() for r in generators.chunked(toks).collect()]
+    assert sum(len(v) for r in got for v in r.values() if isinstance(v, (bytes, bytearray))) < 8 * len(rows)
+    each = [chunks.Chunk({k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.items()}) for r in got]
+    back = [(c.corpora[p], int(c.pages[p]), *at, w) for c in each for p, *at, w in zip(c.page.tolist(), *(c.columns[x].tolist() for x in chunks.PLACES), c.words().to_pylist())]
+    assert sorted(back) == rows
