@@ -58,3 +58,18 @@ def test_shuffles_go_with_what_is_written(spark):
             break
         time.sleep(0.1)
     assert not found() - before and out.count() == 100_000
+
+
+def test_near_pages_go_in_passes(spark, monkeypatch):
+    """Pairs of blocks move some at a time, packed, with the same rows as at once."""
+    from lexiloom.operators import vectors
+
+    rng = random.Random(8)
+    rows = [("c", p, i, rng.choice("abc") + str(p % 4)) for p in range(40) for i in range(rng.randrange(1, 12))]
+    toks = spark.createDataFrame(rows, "corpus string, page int, pos int, w string").coalesce(1)
+    want = sorted(map(str, vectors.near_pages(toks, block=7).collect()))
+    sent, real = [], vectors.stage.written
+    monkeypatch.setattr(vectors.stage, "written", lambda df, name, **o: sent.append(name) or real(df, name, **o))
+    monkeypatch.setattr(vectors, "NEAR_MOVED", 1000, raising=False)
+    assert sorted(map(str, vectors.near_pages(toks, block=7, whole=True).collect())) == want
+    assert sent.count("found") > 1 and len(want) == 40
