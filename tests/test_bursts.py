@@ -73,3 +73,31 @@ def test_near_pages_go_in_passes(spark, monkeypatch):
     monkeypatch.setattr(vectors, "NEAR_MOVED", 1000, raising=False)
     assert sorted(map(str, vectors.near_pages(toks, block=7, whole=True).collect())) == want
     assert sent.count("found") > 1 and len(want) == 40
+
+
+def test_samples_of_lines_by_brute_force(spark, monkeypatch):
+    """Each round takes the lines with the least hashes; no round makes rows of lines."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import layout, order
+
+    monkeypatch.setattr(order, "least", lambda *a: pytest.fail("lines are made rows of rounds"))
+    rng = random.Random(4)
+    rows = [(c, p, i, [rng.choice("abcdefghijkl") + rng.choice("xyz") for _ in range(rng.randrange(1, 6))]) for p in range(12) for c in ("u", "v" if p % 2 else None) for i in range(rng.randrange(1, 9))]
+    lines = spark.createDataFrame(rows, "corpus string, page int, line_idx int, ws array<string>").repartition(3)
+    got = {(r.corpus, r.kind): (r.n_lines, r.shared, r.deviation) for r in layout.sampled_sharing(lines, F.when(F.col("line_idx") == 0, "first").otherwise("body"), 4).collect()}
+    of = {}
+    for r in rows:
+        of.setdefault((r[0], "body" if r[2] else "first"), []).append(r)
+    want = {}
+    for (c, kind), own in of.items():
+        size, shares = min(len(x) for (d, _), x in of.items() if d == c), []
+        for k in range(1, 5):
+            taken = sorted(own, key=lambda r: (hashlib.md5(f"{k}|{r[1]}|{r[2]}".encode()).hexdigest(), r[1], r[2]))[:size]
+            words = [w for r in taken for w in r[3]]
+            shares.append(sum(sum(w in r[3] for r in taken) >= 2 for w in words) / len(words))
+        mean = sum(shares) / 4
+        want[c, kind] = (size, mean, (sum((x - mean) ** 2 for x in shares) / 4) ** 0.5)
+    assert got.keys() == want.keys() and len(got) == 6
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, abs=1e-9)
